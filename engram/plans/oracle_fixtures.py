@@ -79,6 +79,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                    AS embedding,
                0.5::DOUBLE AS importance, 'api' AS source, NULL::VARCHAR AS visibility
         FROM memories_fx m JOIN emb_n ON true JOIN emb b ON b.vec_id = (m.i + 1) % emb_n.n"""),
+    "arrivals_chain_fx": (("arrivals_fx", "memories_fx", "emb_n"), """
+        SELECT * FROM arrivals_fx
+        UNION ALL
+        SELECT 'b' || a.arrival_order, a.arrival_order + emb_n.n, a.tenant_id, a.user_id, a.namespace,
+               a.team_id, a.fact, a.embedding, a.importance, a.source, a.visibility
+        FROM arrivals_fx a JOIN emb_n ON true WHERE a.arrival_order % 4 IN (1, 2)
+        UNION ALL
+        SELECT 'c' || a.arrival_order, a.arrival_order + 2 * emb_n.n, a.tenant_id, a.user_id,
+               a.namespace, m.team_id, a.fact, a.embedding, a.importance, a.source, a.visibility
+        FROM arrivals_fx a JOIN emb_n ON true JOIN memories_fx m ON m.i = a.arrival_order
+        WHERE a.arrival_order % 4 = 1 AND m.team_id IS NOT NULL"""),
     "tenants_fx": (("memories_fx",), f"""
         SELECT tenant_id AS id, 'tenant ' || tenant_id AS name,
                (['free', 'developer', 'pro'])[CAST(substring(tenant_id, 2) AS INTEGER) + 1] AS plan,

@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, app: str = "engram", **extra) -> SparkSes
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(extra.pop("shuffle_partitions", 8)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
