@@ -117,6 +117,30 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT 'k' || id AS id, id AS tenant_id, sha256('key_' || id) AS key_hash,
                'fixture key' AS label, {EPOCH_SQL} AS created_at, NULL::TIMESTAMP AS last_used_at
         FROM tenants_fx"""),
+    "retrieval_logs_fx": ((), """
+        SELECT 'r' || event_id AS id, 't' || (user_id % 3) AS tenant_id, 'u' || user_id AS user_id,
+               CASE WHEN event_type IN ('click', 'view') THEN 'search' ELSE 'context' END AS endpoint,
+               event_id % 11 AS result_count, ts AS created_at
+        FROM events"""),
+    "feedback_submissions_fx": ((), f"""
+        SELECT doc_id AS seq,
+               (['feature', 'bug', 'general', 'other'])[doc_id % 4 + 1] AS type,
+               substring(text, 1, CASE WHEN doc_id % 3 > 0 THEN 100 ELSE 210 END) AS title,
+               text AS description,
+               CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'd' || doc_id || '@example.com' END AS email,
+               CASE WHEN doc_id % 2 = 0 THEN 'Bearer key_t' || (doc_id % 4) END AS authorization,
+               {EPOCH_SQL} + to_minutes(doc_id) AS created_at
+        FROM documents"""),
+    "feedback_table_fx": ((), f"""
+        SELECT 'f' || doc_id AS id, NULL::VARCHAR AS tenant_id,
+               (['feature', 'bug', 'general', 'other'])[doc_id % 4 + 1] AS type,
+               substring(text, 1, 100) AS title, text AS description, NULL::VARCHAR AS email,
+               (['new', 'reviewed', 'planned', 'done', 'wontfix'])[doc_id % 5 + 1] AS status,
+               CAST(1 + (doc_id * 37) % 50 AS BIGINT) AS votes, '{{}}' AS metadata,
+               {EPOCH_SQL} + to_minutes(doc_id) AS created_at
+        FROM documents WHERE doc_id % 4 < 3"""),
+    "votes_fx": ((), """
+        SELECT event_id AS vote_id, 'f' || (event_id % 300) AS feedback_id, ts AS voted_at FROM events"""),
     "team_access_fx": (("team_members_fx", "teams_fx"), """
         SELECT tm.team_id, tm.user_id, t.tenant_id, tm.role
         FROM team_members_fx tm JOIN teams_fx t ON t.id = tm.team_id"""),

@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from engram.plans import ingest_queries, memory_queries  # noqa: F401
+    from engram.plans import ingest_queries, memory_queries, usage_queries  # noqa: F401

@@ -211,3 +211,64 @@ def api_keys_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(EPOCH).cast("timestamp_ntz").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("last_used_at"),
     )
+
+
+# --------------------------------------------------------------------------- logs and commands
+
+STATUSES = ["new", "reviewed", "planned", "done", "wontfix"]
+
+
+def retrieval_logs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load_raw(spark, sf_dir, "events")
+    return ev.select(
+        F.concat(F.lit("r"), F.col("event_id")).alias("id"),
+        F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"),
+        F.concat(F.lit("u"), F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_type").isin("click", "view"), F.lit("search")).otherwise(F.lit("context"))
+        .alias("endpoint"),
+        (F.col("event_id") % 11).alias("result_count"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def feedback_submissions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback posts from documents: type by doc_id % 4 (one in four is not
+    a valid type), title the first 210 characters (100 when doc_id % 3 > 0),
+    description the text, some without email, half with an API key."""
+    d = load_raw(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("seq"),
+        _pick(FEEDBACK_TYPES, "doc_id % 4").alias("type"),
+        F.expr("substring(text, 1, CASE WHEN doc_id % 3 > 0 THEN 100 ELSE 210 END)").alias("title"),
+        F.col("text").alias("description"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("d"), F.col("doc_id"), F.lit("@example.com"))).alias("email"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Bearer key_t"), F.col("doc_id") % 4))
+        .alias("authorization"),
+        F.expr(f"timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'{EPOCH}')").alias("created_at"),
+    )
+
+
+def feedback_table_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feedback table: valid-typed documents, status by doc_id % 5 and
+    votes 1 + (doc_id * 37) % 50."""
+    d = load_raw(spark, sf_dir, "documents").filter(F.col("doc_id") % 4 < 3)
+    return d.select(
+        F.concat(F.lit("f"), F.col("doc_id")).alias("id"),
+        F.lit(None).cast("string").alias("tenant_id"),
+        _pick(FEEDBACK_TYPES, "doc_id % 4").alias("type"),
+        F.substring("text", 1, 100).alias("title"),
+        F.col("text").alias("description"),
+        F.lit(None).cast("string").alias("email"),
+        _pick(STATUSES, "doc_id % 5").alias("status"),
+        (F.lit(1) + (F.col("doc_id") * 37) % 50).cast("bigint").alias("votes"),
+        F.lit("{}").alias("metadata"),
+        F.expr(f"timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'{EPOCH}')").alias("created_at"),
+    )
+
+
+def votes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load_raw(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("vote_id"),
+                     F.concat(F.lit("f"), F.col("event_id") % 300).alias("feedback_id"),
+                     F.col("ts").alias("voted_at"))
