@@ -230,9 +230,12 @@ def running_sum(df: DataFrame, part: str, order: list[str], value: Column, out:
     prefix-summed and joined back to the local running sums."""
     spark = df.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Slice ids come from the range partitioner's sampled bounds; both uses
+    # below must see the same assignment, so it is materialised once.
+    ensure_checkpoint_dir(spark)
     d = (df.withColumn("_v", value.cast("bigint"))
          .repartitionByRange(n, part, *order)
-         .withColumn("_slice", F.spark_partition_id()))
+         .withColumn("_slice", F.spark_partition_id())).checkpoint()
     totals = d.groupBy(part, "_slice").agg(F.sum("_v").alias("_t"))
     w_tot = Window.partitionBy(part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_tot), F.lit(0))).drop("_t")

@@ -141,6 +141,23 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents WHERE doc_id % 4 < 3"""),
     "votes_fx": ((), """
         SELECT event_id AS vote_id, 'f' || (event_id % 300) AS feedback_id, ts AS voted_at FROM events"""),
+    "auth_requests_fx": ((), """
+        SELECT event_id AS request_id,
+               CASE WHEN event_id % 9 = 0 THEN 'key_t' || (user_id % 4)
+                    ELSE 'Bearer key_t' || (user_id % 4) END AS authorization, ts
+        FROM events"""),
+    "signups_fx": ((), """
+        SELECT c_custkey AS seq, 'ip' || (c_custkey % 7) AS ip,
+               CAST(1704067200 + c_custkey * 97 AS BIGINT) AS t,
+               CASE WHEN c_custkey % 17 = 0 THEN 'user' || (c_custkey % 50) || 'mail.com'
+                    WHEN c_custkey % 23 = 0 THEN 't' || (c_custkey % 3) || '@example.com'
+                    WHEN c_custkey % 2 = 0 THEN ' User' || (c_custkey % 50) || '@Mail.COM '
+                    ELSE 'user' || (c_custkey % 50) || '@mail.com' END AS email,
+               CASE WHEN c_custkey % 4 > 0 THEN 'https://ref' || (c_custkey % 3) || '.example' END
+                   AS referrer
+        FROM customer"""),
+    "rate_events_fx": ((), """
+        SELECT 'k' || (user_id % 3) AS key, epoch_us(ts) // 1000000 AS t, event_id FROM events"""),
     "team_access_fx": (("team_members_fx", "teams_fx"), """
         SELECT tm.team_id, tm.user_id, t.tenant_id, tm.role
         FROM team_members_fx tm JOIN teams_fx t ON t.id = tm.team_id"""),

@@ -272,3 +272,43 @@ def votes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("vote_id"),
                      F.concat(F.lit("f"), F.col("event_id") % 300).alias("feedback_id"),
                      F.col("ts").alias("voted_at"))
+
+
+def auth_requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header 'Bearer key_t<user_id % 4>' (t3 has no key); every 9th event
+    without the prefix."""
+    ev = load_raw(spark, sf_dir, "events")
+    raw = F.concat(F.lit("key_t"), F.col("user_id") % 4)
+    return ev.select(F.col("event_id").alias("request_id"),
+                     F.when(F.col("event_id") % 9 == 0, raw).otherwise(F.concat(F.lit("Bearer "), raw))
+                     .alias("authorization"),
+                     F.col("ts"))
+
+
+def signups_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups from customers: ip by c_custkey % 7, one every 97 s; emails
+    fold c_custkey % 50 in mixed case and spacing; every 17th lacks '@';
+    every 23rd reuses an existing tenant's email; some with a referrer."""
+    c = load_raw(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 50
+    email = (F.when(F.col("c_custkey") % 17 == 0, F.concat(F.lit("user"), k, F.lit("mail.com")))
+             .when(F.col("c_custkey") % 23 == 0,
+                   F.concat(F.lit("t"), F.col("c_custkey") % 3, F.lit("@example.com")))
+             .when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" User"), k, F.lit("@Mail.COM ")))
+             .otherwise(F.concat(F.lit("user"), k, F.lit("@mail.com"))))
+    return c.select(
+        F.col("c_custkey").alias("seq"),
+        F.concat(F.lit("ip"), F.col("c_custkey") % 7).alias("ip"),
+        (F.lit(1704067200) + F.col("c_custkey") * 97).cast("bigint").alias("t"),
+        email.alias("email"),
+        F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("https://ref"), F.col("c_custkey") % 3,
+                                                     F.lit(".example"))).alias("referrer"),
+    )
+
+
+def rate_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate-limit input: key user_id % 3, t = ts in whole epoch seconds."""
+    ev = load_raw(spark, sf_dir, "events")
+    secs = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
+    return ev.select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("key"), secs.alias("t"),
+                     "event_id")
