@@ -76,13 +76,22 @@ def name_from_email(c) -> Column:
     return F.substring_index(col_(c), "@", 1)
 
 
+def parse_int(c) -> Column:
+    """JavaScript parseInt on a string: optional sign and leading digits
+    after whitespace; anything else is NaN (null here)."""
+    digits = F.regexp_extract(F.trim(col_(c)), r"^[+-]?[0-9]+", 0)
+    return F.when(F.length(digits) > 0, digits.try_cast("bigint"))
+
+
 def clamp_limit(c, endpoint: str) -> Column:
-    """least(coalesce(x, default), max); negative or non-numeric -> null."""
+    """least(parseInt(x ?? default), max).  A non-numeric or negative
+    limit makes the database reject the statement: null here, and callers
+    turn it into a rejected request."""
     default, maximum = LIMITS[endpoint]
-    parsed = F.expr(f"try_cast({c} AS BIGINT)") if isinstance(c, str) else c.try_cast("bigint")
     raw = col_(c)
-    value = F.when(raw.isNull(), F.lit(default)).otherwise(parsed)
-    return F.when(value >= 0, F.least(value, F.lit(maximum)))
+    parsed = parse_int(raw.cast("string"))
+    value = F.when(raw.isNull(), F.lit(default).cast("bigint")).otherwise(parsed)
+    return F.when(value >= 0, F.least(value, F.lit(maximum).cast("bigint")))
 
 
 def flag(c) -> Column:

@@ -31,4 +31,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from engram.plans import account_queries, ingest_queries, memory_queries, usage_queries  # noqa: F401
+    from engram.plans import (  # noqa: F401
+        account_queries, ingest_queries, memory_queries, parts_queries, usage_queries)
