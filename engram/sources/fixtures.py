@@ -312,3 +312,55 @@ def rate_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     secs = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
     return ev.select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("key"), secs.alias("t"),
                      "event_id")
+
+
+# Price ids of the fixture's billing log and the plans they map to.
+FIXTURE_PLANS = {"price_developer": ("developer", 200000), "price_pro": ("pro", 2000000)}
+
+
+def billing_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Billing log from orders as JSON payloads: O -> checkout, F -> invoice
+    paid, P -> subscription deleted; tenant = customer = o_custkey; price by
+    priority (1-URGENT pro, 2-HIGH / 3-MEDIUM developer, else unknown).
+    Checkouts lack a tenant when o_orderkey % 97 = 0, lack a customer when
+    o_orderkey % 89 = 0 and claim the next customer when o_orderkey % 101 = 0."""
+    o = load_raw(spark, sf_dir, "orders")
+    typ = (F.when(F.col("o_orderstatus") == "O", F.lit("checkout.session.completed"))
+           .when(F.col("o_orderstatus") == "F", F.lit("invoice.payment_succeeded"))
+           .otherwise(F.lit("customer.subscription.deleted")))
+    checkout = F.col("o_orderstatus") == "O"
+    customer = (F.when(checkout & (F.col("o_orderkey") % 89 == 0), F.lit(None).cast("string"))
+                .when(checkout & (F.col("o_orderkey") % 101 == 0),
+                      F.concat(F.lit("cus_"), F.col("o_custkey") + 1))
+                .otherwise(F.concat(F.lit("cus_"), F.col("o_custkey"))))
+    tenant = F.when(checkout & (F.col("o_orderkey") % 97 != 0), F.concat(F.lit("tc"), F.col("o_custkey")))
+    price = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("price_pro"))
+             .when(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM"), F.lit("price_developer"))
+             .otherwise(F.lit("price_unknown")))
+    obj = F.struct(
+        customer.alias("customer"),
+        F.concat(F.lit("sub_"), F.col("o_orderkey")).alias("subscription"),
+        F.when(tenant.isNotNull(), F.create_map(F.lit("tenant_id"), tenant)).alias("metadata"),
+        F.struct(F.array(F.struct(F.struct(price.alias("id")).alias("price"))).alias("data")).alias("items"))
+    secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) div 1000000")
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("evt_"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("id"),
+        typ.alias("type"), secs.alias("created"), F.struct(obj.alias("object")).alias("data")))
+    return o.select(payload.alias("payload"))
+
+
+def billing_tenants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load_raw(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("tc"), F.col("c_custkey")).alias("id"), F.lit("free").alias("plan"),
+                    F.lit(10000).cast("bigint").alias("memory_limit"),
+                    F.lit(None).cast("string").alias("stripe_customer_id"))
+
+
+def subscription_items_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 items: each lineitem is an item of subscription sub_<orderkey>;
+    price by l_linenumber % 3 (developer, pro, unknown)."""
+    li = load_raw(spark, sf_dir, "lineitem")
+    price = F.element_at(F.array(F.lit("price_developer"), F.lit("price_pro"), F.lit("price_unknown")),
+                         (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return li.select(F.concat(F.lit("sub_"), F.col("l_orderkey")).alias("subscription"),
+                     F.col("l_linenumber").alias("item"), price.alias("price"))
