@@ -97,7 +97,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                    AS memory_limit,
                {EPOCH_SQL} AS created_at, NULL::VARCHAR AS stripe_customer_id,
                tenant_id || '@example.com' AS email,
-               1::BIGINT AS team_limit, 3::BIGINT AS members_per_team_limit,
+               CAST(1 + 2 * CAST(substring(tenant_id, 2) AS INTEGER) AS BIGINT) AS team_limit,
+               3::BIGINT AS members_per_team_limit,
                2::BIGINT AS agent_limit, 0::BIGINT AS custom_skill_limit
         FROM (SELECT DISTINCT tenant_id FROM memories_fx)"""),
     "teams_fx": (("memories_fx",), f"""
@@ -158,6 +159,27 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM customer"""),
     "rate_events_fx": ((), """
         SELECT 'k' || (user_id % 3) AS key, epoch_us(ts) // 1000000 AS t, event_id FROM events"""),
+    "team_cmds_fx": ((), """
+        SELECT event_id AS cmd_id, 't' || (user_id % 3) AS tenant_id,
+               'team' || CASE WHEN event_id % 11 = 0 THEN (user_id + 1) % 3 ELSE user_id % 3 END AS team_id,
+               'u' || ((event_id // 3) % 20) AS actor, 'u' || (event_id % 20) AS target,
+               CASE WHEN event_id % 5 = 0 THEN NULL
+                    ELSE (['admin', 'member', 'read_only', 'owner'])[event_id % 4 + 1] END AS role,
+               CASE WHEN event_id % 17 = 0 THEN '' ELSE 'Team ' || event_id END AS name,
+               CASE WHEN event_id % 13 = 0 THEN 'Bad Slug' ELSE 'team-' || (event_id % 7) END AS slug,
+               CASE WHEN event_id % 19 = 0 THEN 'broken' ELSE ' E' || event_id || '@Example.com' END AS email
+        FROM events"""),
+    "invitations_fx": ((), f"""
+        SELECT 'inv' || doc_id AS id, 'team' || (doc_id % 3) AS team_id, 'd' || doc_id || '@example.com' AS email,
+               (['admin', 'member', 'read_only'])[doc_id % 3 + 1] AS role, 'tok' || doc_id AS token,
+               {EPOCH_SQL} + to_days(CAST(doc_id % 60 AS INTEGER)) AS expires_at,
+               CASE WHEN doc_id % 7 = 0 THEN {EPOCH_SQL} END AS accepted_at, {EPOCH_SQL} AS created_at
+        FROM documents"""),
+    "accepts_fx": ((), """
+        SELECT event_id AS cmd_id, 'tok' || (event_id % ((SELECT count(*) FROM documents) + 50)) AS token,
+               'u' || (user_id % 20) AS user_id,
+               CASE WHEN event_id % 2 = 1 THEN 'a' || event_id || '@example.com' END AS email
+        FROM events"""),
     "team_access_fx": (("team_members_fx", "teams_fx"), """
         SELECT tm.team_id, tm.user_id, t.tenant_id, tm.role
         FROM team_members_fx tm JOIN teams_fx t ON t.id = tm.team_id"""),

@@ -33,4 +33,4 @@ def load_all() -> None:
     """Import every plan module so that its queries register."""
     from engram.plans import (  # noqa: F401
         account_queries, billing_queries, ingest_queries, memory_queries, parts_queries,
-        usage_queries)
+        team_queries, usage_queries)

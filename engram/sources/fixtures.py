@@ -167,7 +167,7 @@ def tenants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(EPOCH).cast("timestamp_ntz").alias("created_at"),
         F.lit(None).cast("string").alias("stripe_customer_id"),
         F.concat(F.col("tenant_id"), F.lit("@example.com")).alias("email"),
-        F.lit(1).cast("bigint").alias("team_limit"),
+        (F.lit(1) + 2 * k).cast("bigint").alias("team_limit"),
         F.lit(3).cast("bigint").alias("members_per_team_limit"),
         F.lit(2).cast("bigint").alias("agent_limit"),
         F.lit(0).cast("bigint").alias("custom_skill_limit"),
@@ -364,3 +364,59 @@ def subscription_items_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("l_linenumber") % 3 + 1).cast("int"))
     return li.select(F.concat(F.lit("sub_"), F.col("l_orderkey")).alias("subscription"),
                      F.col("l_linenumber").alias("item"), price.alias("price"))
+
+
+def team_cmds_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team commands from events (cmd_id = event_id): tenant t<user_id % 3>
+    and its team, another tenant's team when event_id % 11 = 0; actor
+    u<(event_id div 3) % 20>, target u<event_id % 20>; role by event_id % 4
+    ('owner' is invalid), none when event_id % 5 = 0; name empty when
+    event_id % 17 = 0; slug team-<event_id % 7>, invalid when % 13 = 0."""
+    ev = load_raw(spark, sf_dir, "events")
+    role = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).otherwise(
+        _pick(["admin", "member", "read_only", "owner"], "event_id % 4"))
+    return ev.select(
+        F.col("event_id").alias("cmd_id"),
+        F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"),
+        F.concat(F.lit("team"), F.when(F.col("event_id") % 11 == 0, (F.col("user_id") + 1) % 3)
+                 .otherwise(F.col("user_id") % 3)).alias("team_id"),
+        F.concat(F.lit("u"), F.expr("(event_id div 3) % 20")).alias("actor"),
+        F.concat(F.lit("u"), F.col("event_id") % 20).alias("target"),
+        role.alias("role"),
+        F.when(F.col("event_id") % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("Team "), F.col("event_id")))
+        .alias("name"),
+        F.when(F.col("event_id") % 13 == 0, F.lit("Bad Slug")).otherwise(
+            F.concat(F.lit("team-"), F.col("event_id") % 7)).alias("slug"),
+        F.when(F.col("event_id") % 19 == 0, F.lit("broken")).otherwise(
+            F.concat(F.lit(" E"), F.col("event_id"), F.lit("@Example.com"))).alias("email"),
+    )
+
+
+def invitations_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invitations from documents: team doc_id % 3, token tok<doc_id>,
+    expiring (doc_id % 60) days after the epoch, accepted when % 7 = 0."""
+    d = load_raw(spark, sf_dir, "documents")
+    return d.select(
+        F.concat(F.lit("inv"), F.col("doc_id")).alias("id"),
+        F.concat(F.lit("team"), F.col("doc_id") % 3).alias("team_id"),
+        F.concat(F.lit("d"), F.col("doc_id"), F.lit("@example.com")).alias("email"),
+        _pick(ROLES, "doc_id % 3").alias("role"),
+        F.concat(F.lit("tok"), F.col("doc_id")).alias("token"),
+        F.expr(f"timestampadd(DAY, doc_id % 60, TIMESTAMP_NTZ'{EPOCH}')").alias("expires_at"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit(EPOCH).cast("timestamp_ntz")).alias("accepted_at"),
+        F.lit(EPOCH).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def accepts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accept requests from events: token tok<event_id % (docs + 50)> (some
+    unknown), user u<user_id % 20>, email given on odd events."""
+    ev = load_raw(spark, sf_dir, "events")
+    n_docs = load_raw(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    return ev.select(
+        F.col("event_id").alias("cmd_id"),
+        F.concat(F.lit("tok"), F.col("event_id") % (n_docs + 50)).alias("token"),
+        F.concat(F.lit("u"), F.col("user_id") % 20).alias("user_id"),
+        F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("a"), F.col("event_id"), F.lit("@example.com")))
+        .alias("email"),
+    )
