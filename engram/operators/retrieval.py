@@ -183,9 +183,10 @@ def topk_candidates(pairs: DataFrame, max_limit: int) -> DataFrame:
 def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
            teams: DataFrame | None = None, *, max_limit: int | None = None,
            apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-           gated: bool = False) -> DataFrame:
+           gated: bool = False, keep_raw: bool = False) -> DataFrame:
     """queries(query_id, tenant_id, user_id, namespace, vector, q_limit,
-    source, team_id, include_team) -> ranked MemoryResult rows per query."""
+    source, team_id, include_team) -> ranked MemoryResult rows per query.
+    ``keep_raw`` adds the unrounded similarity (what M7 stores)."""
     q = queries if gated else gate_queries(queries, members, teams, "search")
     if max_limit is None:
         max_limit = _max_limit(q, 50)
@@ -195,7 +196,7 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     dec = S.decay("created_at", "importance", as_of)
     cands = cands.withColumn("_decay", dec).withColumn("decay_score", S.round4("_decay"))
     ranked = _rerank(cands, S.round4("sim"), S.round4(S.blend("sim", "_decay")), max_limit=max_limit)
-    return _project(ranked)
+    return _project(ranked, [F.col("sim").alias("raw_similarity")] if keep_raw else None)
 
 
 # --------------------------------------------------------------------------- R2

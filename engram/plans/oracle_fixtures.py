@@ -180,6 +180,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                'u' || (user_id % 20) AS user_id,
                CASE WHEN event_id % 2 = 1 THEN 'a' || event_id || '@example.com' END AS email
         FROM events"""),
+    "memory_cmds_fx": (("emb_n",), """
+        SELECT e.event_id AS cmd_id,
+               't' || CASE WHEN e.event_id % 7 = 0 THEN (e.event_id % (n.n + 20) + 1) % 3
+                           ELSE (e.event_id % (n.n + 20)) % 3 END AS tenant_id,
+               'm' || (e.event_id % (n.n + 20)) AS memory_id,
+               (['private', 'team', NULL, NULL, 'public'])[e.event_id % 5 + 1] AS visibility,
+               ([NULL, 0.25, 1.5, 0.75]::DOUBLE[])[e.event_id % 4 + 1] AS importance
+        FROM events e JOIN emb_n n ON true"""),
     "team_access_fx": (("team_members_fx", "teams_fx"), """
         SELECT tm.team_id, tm.user_id, t.tenant_id, tm.role
         FROM team_members_fx tm JOIN teams_fx t ON t.id = tm.team_id"""),

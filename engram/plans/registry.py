@@ -32,5 +32,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from engram.plans import (  # noqa: F401
-        account_queries, billing_queries, ingest_queries, memory_queries, parts_queries,
+        account_queries, billing_queries, ingest_queries, memory_queries, mutate_queries, parts_queries,
         team_queries, usage_queries)

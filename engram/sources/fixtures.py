@@ -420,3 +420,47 @@ def accepts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("a"), F.col("event_id"), F.lit("@example.com")))
         .alias("email"),
     )
+
+
+def memory_cmds_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete / patch commands from events: memory m<event_id % (n + 20)>
+    (20 unknown ids), its tenant except every 7th event (wrong tenant);
+    visibility by event_id % 5 (private, team, -, -, public = invalid) and
+    importance by event_id % 4 (-, 0.25, 1.5 = invalid, 0.75)."""
+    ev = load_raw(spark, sf_dir, "events")
+    n = _embedding_count(load_raw(spark, sf_dir, "embeddings"))
+    k = F.col("event_id") % (n + 20)
+    vis = F.element_at(F.array(F.lit("private"), F.lit("team"), F.lit(None).cast("string"),
+                               F.lit(None).cast("string"), F.lit("public")),
+                       (F.col("event_id") % 5 + 1).cast("int"))
+    imp = F.element_at(F.array(F.lit(None).cast("double"), F.lit(0.25), F.lit(1.5), F.lit(0.75)),
+                       (F.col("event_id") % 4 + 1).cast("int"))
+    return ev.select(
+        F.col("event_id").alias("cmd_id"),
+        F.concat(F.lit("t"), F.when(F.col("event_id") % 7 == 0, (k + 1) % 3).otherwise(k % 3)).alias("tenant_id"),
+        F.concat(F.lit("m"), k).alias("memory_id"),
+        vis.alias("visibility"), imp.alias("importance"))
+
+
+TOOL_PREFIX = "mem"
+
+
+def tool_calls_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls from events: function by event_id % 6 (five known, one
+    unknown), every 10th without user_id, JSON body {name, arguments}."""
+    ev = load_raw(spark, sf_dir, "events")
+    names = [f"{TOOL_PREFIX}_{k}" for k in ("store_memory", "search_memories", "get_context",
+                                            "delete_memory", "get_usage")] + ["other_tool"]
+    args = F.struct(
+        F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("u"), F.col("user_id") % 20)).alias("user_id"),
+        F.concat(F.lit("fact "), F.col("event_id")).alias("fact"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(0.9)).alias("importance"),
+        F.when(F.col("event_id") % 4 == 0, F.lit("cursor")).alias("source"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("work")).alias("namespace"),
+        F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("q"),
+        F.when(F.col("event_id") % 8 > 0, (F.col("event_id") % 90).cast("bigint")).alias("limit"),
+        F.when(F.col("event_id") % 9 > 0, (F.col("event_id") % 30).cast("bigint")).alias("top_n"),
+        F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("m"), F.col("event_id") % 600)).alias("memory_id"))
+    body = F.to_json(F.struct(_pick(names, "event_id % 6").alias("name"), args.alias("arguments")))
+    return ev.select(F.col("event_id").alias("call_id"),
+                     F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), body.alias("body"))
