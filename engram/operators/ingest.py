@@ -113,13 +113,14 @@ def near_pairs(arrivals: DataFrame, memories: DataFrame, lo: float = S.CONTRADIC
 # --------------------------------------------------------------------------- components
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
+                         max_iter: int = 100, checkpoint_every: int = 4) -> DataFrame:
     """Undirected connected components by iterative min-label propagation.
 
     Returns (node, comp) for every node that appears in ``edges``; comp is
-    the smallest node id of the component.  Each round is two joins and one
+    the smallest node id of the component.  Each round is one join and one
     aggregate over the (sparse) edge list; lineage is cut with reliable
-    checkpoints in the session's checkpoint folder."""
+    checkpoints every few rounds, and a round that changes no label ends
+    the loop (labels only ever decrease, so a count of changes suffices)."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -128,12 +129,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         .withColumnRenamed("a", "node").checkpoint()
     for it in range(max_iter):
         prop = (und.join(labels.withColumnRenamed("node", "a"), "a")
-                .select(F.col("b").alias("node"), F.col("comp")))
-        new = labels.unionByName(prop).groupBy("node").agg(F.min("comp").alias("comp"))
+                .select(F.col("b").alias("node"), F.col("comp").alias("cand")))
+        best = prop.groupBy("node").agg(F.min("cand").alias("cand"))
+        new = (labels.join(best, "node", "left")
+               .select("node", F.least("comp", F.coalesce("cand", "comp")).alias("comp"),
+                       (F.col("cand") < F.col("comp")).alias("_moved")))
         new = new.checkpoint() if (it + 1) % checkpoint_every == 0 else new.cache()
-        changed = (new.join(labels.withColumnRenamed("comp", "old"), "node")
-                   .filter(F.col("comp") != F.col("old")).limit(1).count())
-        labels = new
+        changed = new.filter(F.col("_moved")).limit(1).count()
+        labels = new.drop("_moved")
         if changed == 0:
             return labels
     raise RuntimeError(f"components did not converge in {max_iter} rounds")
@@ -184,7 +187,9 @@ def store(arrivals: DataFrame, memories: DataFrame, edges: DataFrame | None = No
     replaced_id, similarity (rounded nearest similarity for non-stored)."""
     if edges is None:
         edges = near_pairs(arrivals, memories)
-    folded = fold_edges(edges)
+    # the sparse edge list feeds both the components and the fold
+    ensure_checkpoint_dir(arrivals.sparkSession)
+    folded = fold_edges(edges.checkpoint())
     out = arrivals.select("arrival_id", "arrival_order", "tenant_id").join(folded, "arrival_id", "left")
     action = F.coalesce(F.col("action"), F.lit("stored"))
     return out.select(

@@ -47,20 +47,27 @@ def anchors(events: DataFrame, key: str, t: str, tie: str, window_s: int,
     spark = events.sparkSession
     ensure_checkpoint_dir(spark)
     idx = _index(events, key, t, tie).checkpoint()
-    jump = _next_pointer(idx, key, t, window_s).withColumnRenamed("nxt", "j").checkpoint()
+    # j = next(i), null when no later event falls outside i's window
+    n_key = idx.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    jump = (_next_pointer(idx, key, t, window_s).join(n_key, key)
+            .select(key, "idx", F.when(F.col("nxt") < F.col("_n"), F.col("nxt")).alias("j"))
+            .checkpoint())
     orbit = idx.filter(F.col("idx") == 0).select(key, "idx").checkpoint()
-    for _ in range(max_rounds):
-        step = (orbit.join(jump, [key, "idx"])
+    for it in range(max_rounds):
+        # O_{k+1} = O_k + J_k(O_k); the new part never overlaps O_k
+        step = (orbit.join(jump, [key, "idx"]).filter(F.col("j").isNotNull())
                 .select(key, F.col("j").alias("idx")))
-        grown = orbit.unionByName(step).distinct().checkpoint()
-        if grown.count() == orbit.count():
+        step = step.checkpoint() if (it + 1) % 4 == 0 else step.cache()
+        if step.limit(1).count() == 0:
             break
-        orbit = grown
+        orbit = orbit.unionByName(step)
         jump = (jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
                                      & (F.col("a.j") == F.col("b.idx")), "left")
                 .select(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx"),
-                        F.coalesce(F.col("b.j"), F.col("a.j")).alias("j"))
-                .checkpoint())
+                        F.col("b.j").alias("j")))
+        jump = jump.checkpoint() if (it + 1) % 4 == 0 else jump.cache()
+        if (it + 1) % 4 == 0:
+            orbit = orbit.checkpoint()
     else:
         raise RuntimeError("rate-limit anchors did not converge")
     marked = idx.join(orbit.withColumn("_is_anchor", F.lit(True)), [key, "idx"], "left")

@@ -464,3 +464,39 @@ def tool_calls_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(_pick(names, "event_id % 6").alias("name"), args.alias("arguments")))
     return ev.select(F.col("event_id").alias("call_id"),
                      F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), body.alias("body"))
+
+
+def store_bodies_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store-memory request bodies from documents (JSON): the whole text as
+    fact, importance (doc_id % 13) / 10 (some above 1), source and lang as
+    source and namespace, visibility by doc_id % 5, a team id (not a uuid
+    when doc_id % 12 = 0, uuid-shaped when % 12 = 6), an extra field, an
+    empty user_id when doc_id % 29 = 0 and a truncated body when % 31 = 0."""
+    d = load_raw(spark, sf_dir, "documents")
+    vis = F.element_at(F.array(F.lit("private"), F.lit("team"), F.lit(None).cast("string"), F.lit("public"),
+                               F.lit(None).cast("string")), (F.col("doc_id") % 5 + 1).cast("int"))
+    team = (F.when(F.col("doc_id") % 12 == 0, F.concat(F.lit("team"), F.col("doc_id") % 3))
+            .when(F.col("doc_id") % 12 == 6, F.concat(F.lit("00000000-0000-0000-0000-"),
+                                                      F.lpad(F.col("doc_id").cast("string"), 12, "0"))))
+    body = F.to_json(F.struct(
+        F.when(F.col("doc_id") % 29 == 0, F.lit("")).otherwise(F.concat(F.lit("u"), F.col("doc_id") % 20))
+        .alias("user_id"),
+        F.col("text").alias("fact"),
+        ((F.col("doc_id") % 13).cast("double") / F.lit(10.0)).alias("importance"),
+        F.col("source").alias("source"), F.col("lang").alias("namespace"),
+        vis.alias("visibility"), team.alias("team_id"), F.lit(1).alias("extra")))
+    body = F.when(F.col("doc_id") % 31 == 0, F.expr("substring(to_json(named_struct('x', text)), 1, 20)")) \
+        .otherwise(body)
+    return d.select(F.col("doc_id").alias("seq"), body.alias("body"))
+
+
+def vectors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A (text, embedding) table: memories' facts, first vec_id per
+    trimmed text."""
+    from pyspark.sql import Window
+
+    m = memories_fx(spark, sf_dir).withColumn("i", F.expr("cast(substring(id, 2) as bigint)"))
+    w = Window.partitionBy(F.trim("fact")).orderBy("i")
+    return (m.filter(F.col("fact").isNotNull()).withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") == 1)
+            .select(F.col("id").alias("vector_id"), F.col("fact").alias("text"), "embedding"))
