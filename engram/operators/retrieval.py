@@ -108,7 +108,8 @@ def gate_queries(queries: DataFrame, members: DataFrame | None, teams: DataFrame
 
 
 def scoped_pairs(queries: DataFrame, memories: DataFrame, *, with_vector: bool,
-                 apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                 extra_keys: list[tuple[str, str]] | None = None) -> DataFrame:
     """J3 + F1 + F2/F3 + F4: (query, memory) pairs in each query's read scope.
 
     ``queries`` must be gated (``include``, ``lim``, ``status``).  Only
@@ -124,6 +125,7 @@ def scoped_pairs(queries: DataFrame, memories: DataFrame, *, with_vector: bool,
                 "importance", "created_at", "source"]
     if with_vector:
         mem_cols.append("embedding")
+    mem_cols += [mc for _, mc in (extra_keys or [])]
     m = active(memories).select(*mem_cols)
     if with_vector:
         m = m.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn(
@@ -133,6 +135,8 @@ def scoped_pairs(queries: DataFrame, memories: DataFrame, *, with_vector: bool,
     cond = ((F.col("q_tenant_id") == F.col("tenant_id")) & (F.col("q_namespace") == F.col("namespace"))
             & (F.col("q_scope_kind") == F.col("scope_kind"))
             & (F.col("q_scope_key") == F.col("scope_key")))
+    for qc, mc in extra_keys or []:
+        cond = cond & (F.col(qc) == F.col(mc))
     pairs = q.join(m, cond).drop("q_scope_kind", "q_scope_key")
     # through the user key an include-team query sees only rows without a team.
     pairs = pairs.filter(~(F.col("include") & (F.col("scope_kind") == "u") & F.col("team_id").isNotNull()))

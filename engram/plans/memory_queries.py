@@ -176,3 +176,36 @@ _LIST_BODY = f"""
 @register("list_memories", with_fixtures(_LIST_BODY, "memories_fx", "list_queries_fx"))
 def q_list_memories(spark, sf_dir):
     return R.list_memories(FX.list_queries_fx(spark, sf_dir), FX.memories_fx(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- approximate search
+
+IVF_LISTS, IVF_PROBES = 16, 8
+
+
+def _ivf(spark, sf_dir):
+    from engram.operators import ann
+
+    mem, members, teams = _fixture_tables(spark, sf_dir)
+    cents = ann.ivf_build(mem, IVF_LISTS)
+    approx = ann.ivf_search(FX.queries_fx(spark, sf_dir), mem, FX.as_of_col(), cents, IVF_PROBES,
+                            members, teams)
+    return approx, mem, members, teams
+
+
+@register("ivf_search")
+def q_ivf_search(spark, sf_dir):
+    """V2: R1 restricted to the probed inverted lists (k-means centroids);
+    approximate, so checked by rows and by recall against exact R1."""
+    return _ivf(spark, sf_dir)[0]
+
+
+@register("recall_at_k")
+def q_recall(spark, sf_dir):
+    """V3: recall of the approximate top-k (k = the queries' limit) against
+    the exact search."""
+    from engram.operators import ann
+
+    approx, mem, members, teams = _ivf(spark, sf_dir)
+    exact = R.search(FX.queries_fx(spark, sf_dir), mem, FX.as_of_col(), members, teams)
+    return ann.recall_at_k(approx, exact, 3)

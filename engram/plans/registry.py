@@ -34,3 +34,4 @@ def load_all() -> None:
     from engram.plans import (  # noqa: F401
         account_queries, billing_queries, ingest_queries, memory_queries, mutate_queries, parts_queries, source_queries,
         team_queries, usage_queries)
+    from engram.plans import stream_queries  # noqa: F401  (uses the oracles above)
