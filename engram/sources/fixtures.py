@@ -500,3 +500,25 @@ def vectors_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (m.filter(F.col("fact").isNotNull()).withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") == 1)
             .select(F.col("id").alias("vector_id"), F.col("fact").alias("text"), "embedding"))
+
+
+def edge_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory graph edge log from embeddings: m_i -> m_((7i + 3) % n) typed
+    by i % 3; m_i -> m_((i + 1) % n) for i % 4 = 0; a second version of
+    every fifth edge with a new weight."""
+    e = load_raw(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"))
+    n = _embedding_count(load_raw(spark, sf_dir, "embeddings"))
+    types = ["relates", "supports", "contradicts"]
+    a = e.select(F.concat(F.lit("m"), F.col("i")).alias("src"),
+                 F.concat(F.lit("m"), (F.col("i") * 7 + 3) % n).alias("dst"),
+                 _pick(types, "i % 3").alias("type"),
+                 ((F.col("i") * 13) % 10).cast("double").alias("w"), F.col("i"))
+    b = e.filter(F.col("i") % 4 == 0).select(
+        F.concat(F.lit("m"), F.col("i")).alias("src"), F.concat(F.lit("m"), (F.col("i") + 1) % n).alias("dst"),
+        F.lit("relates").alias("type"), ((F.col("i") * 3) % 10).cast("double").alias("w"), F.col("i"))
+    base = a.unionByName(b)
+    v1 = base.select("src", "dst", "type", (F.col("w") / F.lit(10.0)).alias("weight"), F.lit(1).alias("version"))
+    v2 = base.filter(F.col("i") % 5 == 0).select(
+        "src", "dst", "type", (((F.col("i") * 17) % 10).cast("double") / F.lit(10.0)).alias("weight"),
+        F.lit(2).alias("version"))
+    return v1.unionByName(v2)
