@@ -38,7 +38,9 @@ def active(memories: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it is proven to have at most ``max_rows``
-    rows; otherwise leave the choice to AQE's runtime statistics."""
+    rows; otherwise leave the choice to AQE's runtime statistics.  (The
+    query tables passed here are persisted by the caller, so the check does
+    not recompute them.)"""
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
@@ -191,7 +193,7 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     """queries(query_id, tenant_id, user_id, namespace, vector, q_limit,
     source, team_id, include_team) -> ranked MemoryResult rows per query.
     ``keep_raw`` adds the unrounded similarity (what M7 stores)."""
-    q = queries if gated else gate_queries(queries, members, teams, "search")
+    q = queries if gated else gate_queries(queries, members, teams, "search").persist()
     if max_limit is None:
         max_limit = _max_limit(q, 50)
     pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source,
@@ -211,7 +213,7 @@ def recent(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
            gated: bool = False) -> DataFrame:
     """R2: newest 2L rows, re-ranked by rounded decay; similarity 1, score =
     decay.  Never reads the embedding column."""
-    q = queries if gated else gate_queries(queries, members, teams, endpoint)
+    q = queries if gated else gate_queries(queries, members, teams, endpoint).persist()
     if max_limit is None:
         max_limit = _max_limit(q, 20)
     pairs = scoped_pairs(q, memories, with_vector=False, apply_source=False,
@@ -239,7 +241,7 @@ def context(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     """Search when the query has a vector (source filter never applied),
     else recent; results joined into numbered lines (A9).  One row per
     accepted query: query_id, n_memories, context."""
-    q = gate_queries(queries, members, teams, "context")
+    q = gate_queries(queries, members, teams, "context").persist()
     if max_limit is None:
         max_limit = _max_limit(q, 20)
     with_vec = q.filter(F.col("vector").isNotNull())
