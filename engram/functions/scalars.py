@@ -31,6 +31,14 @@ def age_ms(created_at, as_of) -> Column:
     return F.timestamp_diff("MILLISECOND", col_(created_at), col_(as_of))
 
 
+def epoch_seconds(ts) -> Column:
+    """Whole seconds since 1970-01-01 of a timestamp_ntz, from its calendar
+    fields only -- the same under any session time zone."""
+    c = col_(ts)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
 def decay(created_at, importance, as_of) -> Column:
     """exp(-days / (max(importance, 0.1) * 10)); no clamp for future rows."""
     days = age_ms(created_at, as_of).cast("double") / F.lit(float(MS_PER_DAY))

@@ -131,3 +131,49 @@ def q_tool_calls(spark, sf_dir):
     p = M.parse_tool_calls(FX.tool_calls_fx(spark, sf_dir), FX.TOOL_PREFIX)
     return p.select("call_id", "name", F.col("args.user_id").alias("user_id"),
                     F.col("args.memory_id").alias("memory_id"))
+
+
+@register("cascade_tenant", with_fixtures("""
+    SELECT 'api_key' AS kind, k.id AS row_id, k.tenant_id FROM api_keys_fx k WHERE k.tenant_id NOT IN (SELECT id FROM gone)
+    UNION ALL
+    SELECT 'memory', m.id, m.tenant_id FROM memories_fx m WHERE m.tenant_id NOT IN (SELECT id FROM gone)
+    UNION ALL
+    SELECT 'log', l.id, l.tenant_id FROM retrieval_logs_fx l WHERE l.tenant_id NOT IN (SELECT id FROM gone)
+    UNION ALL
+    SELECT 'team', t.id, t.tenant_id FROM teams_fx t WHERE t.tenant_id NOT IN (SELECT id FROM gone)
+    UNION ALL
+    SELECT 'member', tm.id, NULL FROM team_members_fx tm
+    WHERE tm.team_id NOT IN (SELECT id FROM teams_fx WHERE tenant_id IN (SELECT id FROM gone))
+    UNION ALL
+    SELECT 'feedback', f.seq::VARCHAR, CASE WHEN f.tenant_id IN (SELECT id FROM gone) THEN NULL ELSE f.tenant_id END
+    FROM ft f""", "api_keys_fx", "tenants_fx", "memories_fx", "retrieval_logs_fx", "teams_fx", "team_members_fx",
+    "feedback_submissions_fx", extra={
+        "gone": "SELECT id FROM tenants_fx WHERE memory_limit > 1000000",
+        "ft": """SELECT f.seq, k.tenant_id FROM feedback_submissions_fx f
+                 LEFT JOIN api_keys_fx k ON starts_with(f.authorization, 'Bearer ')
+                                        AND k.key_hash = sha256(substring(f.authorization, 8))"""}))
+def q_cascade_tenant(spark, sf_dir):
+    """M8 for tenants: delete the tenants above one million memories and
+    cascade (keys, memories, logs, teams and their members go; feedback
+    keeps its rows with the tenant nulled)."""
+    from engram.operators.accounts import feedback_tenant
+
+    tenants = FX.tenants_fx(spark, sf_dir)
+    gone = tenants.filter(F.col("memory_limit") > 1000000).select(F.col("id").alias("tenant_id"))
+    keys = FX.api_keys_fx(spark, sf_dir)
+    fb = feedback_tenant(FX.feedback_submissions_fx(spark, sf_dir), keys).select(
+        F.col("seq").cast("string").alias("id"), "tenant_id")
+    out = M.cascade_tenant(gone, {
+        "api_keys": keys, "memories": FX.memories_fx(spark, sf_dir),
+        "retrieval_logs": FX.retrieval_logs_fx(spark, sf_dir), "teams": FX.teams_fx(spark, sf_dir),
+        "team_members": FX.team_members_fx(spark, sf_dir), "feedback": fb})
+    parts = [("api_key", "api_keys", "tenant_id"), ("memory", "memories", "tenant_id"),
+             ("log", "retrieval_logs", "tenant_id"), ("team", "teams", "tenant_id"),
+             ("member", "team_members", None), ("feedback", "feedback", "tenant_id")]
+    dfs = [out[t].select(F.lit(k).alias("kind"), F.col("id").alias("row_id"),
+                         (F.col(c) if c else F.lit(None).cast("string")).alias("tenant_id"))
+           for k, t, c in parts]
+    res = dfs[0]
+    for d in dfs[1:]:
+        res = res.unionByName(d)
+    return res

@@ -34,7 +34,9 @@ def q_stream_metering(spark, sf_dir):
 def q_stream_rate_limit(spark, sf_dir):
     """ST3: the signup throttle as a per-key stateful stream."""
     ev = _events_stream(spark, sf_dir)
-    secs = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
+    from engram.functions.scalars import epoch_seconds
+
+    secs = epoch_seconds("ts")
     keyed = ev.select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("key"), secs.alias("t"), "event_id")
     return ST.run_to_table(ST.rate_limit_stream(keyed), "rate_limit", mode="append")
 

@@ -308,9 +308,10 @@ def signups_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate-limit input: key user_id % 3, t = ts in whole epoch seconds."""
+    from engram.functions.scalars import epoch_seconds
+
     ev = load_raw(spark, sf_dir, "events")
-    secs = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
-    return ev.select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("key"), secs.alias("t"),
+    return ev.select(F.concat(F.lit("k"), F.col("user_id") % 3).alias("key"), epoch_seconds("ts").alias("t"),
                      "event_id")
 
 
@@ -342,7 +343,9 @@ def billing_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sub_"), F.col("o_orderkey")).alias("subscription"),
         F.when(tenant.isNotNull(), F.create_map(F.lit("tenant_id"), tenant)).alias("metadata"),
         F.struct(F.array(F.struct(F.struct(price.alias("id")).alias("price"))).alias("data")).alias("items"))
-    secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) div 1000000")
+    from engram.functions.scalars import epoch_seconds
+
+    secs = epoch_seconds("o_orderdate")
     payload = F.to_json(F.struct(
         F.concat(F.lit("evt_"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("id"),
         typ.alias("type"), secs.alias("created"), F.struct(obj.alias("object")).alias("data")))
