@@ -152,32 +152,58 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
 
     State is the set of rows that are gone: memories or arrivals replaced
     so far, and arrivals judged duplicate (never inserted).  An arrival that
-    is only ever a target has no edges of its own, so it was stored."""
-    pdf = pdf.sort_values(["arrival_order", "src"])
+    is only ever a target has no edges of its own, so it was stored.  One
+    pass over the edges sorted by (arrival order, arrival id)."""
+    import numpy as np
+
+    order = np.lexsort((pdf["src"].to_numpy(), pdf["arrival_order"].to_numpy()))
+    src = pdf["src"].to_numpy()[order]
+    dst = pdf["dst"].to_numpy()[order]
+    sim = pdf["sim"].to_numpy()[order]
     gone: set[str] = set()
-    out = []
-    for src, grp in pdf.groupby("src", sort=False):
-        live = grp[~grp["dst"].isin(gone)]
-        if live.empty:
-            action, target, sim = "stored", None, None
+    rows = []
+    i, n = 0, len(src)
+    while i < n:
+        s = src[i]
+        best_sim, best_dst = None, None
+        while i < n and src[i] == s:
+            d = dst[i]
+            if d not in gone:
+                v = sim[i]
+                if best_sim is None or v > best_sim or (v == best_sim and d < best_dst):
+                    best_sim, best_dst = v, d
+            i += 1
+        if best_sim is None:
+            rows.append((s, "stored", None, None))
+        elif best_sim >= S.DUPLICATE_THRESHOLD:
+            gone.add(s)
+            rows.append((s, "duplicate", best_dst, float(best_sim)))
         else:
-            best = live.sort_values(["sim", "dst"], ascending=[False, True]).iloc[0]
-            sim, target = float(best["sim"]), best["dst"]
-            action = "duplicate" if sim >= S.DUPLICATE_THRESHOLD else "replaced"
-        if action == "duplicate":
-            gone.add(src)
-        elif action == "replaced":
-            gone.add(target)
-        out.append((src, action, target, sim))
-    return pd.DataFrame(out, columns=["arrival_id", "action", "target_id", "nearest_sim"])
+            gone.add(best_dst)
+            rows.append((s, "replaced", best_dst, float(best_sim)))
+    return pd.DataFrame(rows, columns=["arrival_id", "action", "target_id", "nearest_sim"])
+
+
+def _fold_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fold every component of one hash bucket (components stay whole)."""
+    outs = [_fold_component(g) for _, g in pdf.groupby("comp", sort=False)]
+    if not outs:
+        return pd.DataFrame(columns=["arrival_id", "action", "target_id", "nearest_sim"])
+    return pd.concat(outs, ignore_index=True)
 
 
 def fold_edges(edges: DataFrame) -> DataFrame:
-    """Run the serial fold per connected component of ``edges``."""
+    """Run the serial fold per connected component of ``edges``.
+
+    Components are small (near-duplicate chains), so they are batched into
+    hash buckets -- four per shuffle partition -- to spare a Python call and
+    an Arrow batch per component; a component is never split."""
     comps = connected_components(edges)
     e = edges.join(comps.withColumnRenamed("node", "src"), "src")
+    n_buckets = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (e.select("comp", "src", "arrival_order", "dst", "dst_kind", "sim")
-            .groupBy("comp").applyInPandas(_fold_component, FOLD_SCHEMA))
+            .withColumn("_bucket", F.pmod(F.xxhash64("comp"), F.lit(n_buckets)))
+            .groupBy("_bucket").applyInPandas(_fold_bucket, FOLD_SCHEMA))
 
 
 def store(arrivals: DataFrame, memories: DataFrame, edges: DataFrame | None = None) -> DataFrame:
