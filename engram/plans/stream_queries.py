@@ -42,3 +42,61 @@ def q_stream_rate_limit(spark, sf_dir):
 
 
 __all__ = ["account_queries", "usage_queries"]
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    return f"{ST._checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("stream_store")
+def q_stream_store(spark, sf_dir):
+    """ST1: the chained arrivals as a file stream, stored per micro-batch
+    (foreachBatch M2 + versioned snapshot); returns the outcomes.  Checked
+    equal to batch M2 in tests/test_streams.py."""
+    from engram.sources import fixtures as FX
+
+    root = _scratch(spark, "st1")
+    arrivals = FX.arrivals_fx(spark, sf_dir, chained=True)
+    arrivals.write.parquet(f"{root}/in")
+    stream = ST.stream_table(spark, f"{root}/in", arrivals.schema)
+    ST.ingest_stream(stream, f"{root}/snap", FX.memories_fx(spark, sf_dir), FX.as_of_col(),
+                     f"{root}/chk", outcomes_root=f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out/b*")
+
+
+@register("stream_touch", ORACLES["touch_memories"])
+def q_stream_touch(spark, sf_dir):
+    """ST2: search results streamed in; access touches per micro-batch."""
+    from engram.functions import scalars as S
+    from engram.operators import retrieval as R
+    from engram.sources import fixtures as FX
+
+    root = _scratch(spark, "st2")
+    mem = FX.memories_fx(spark, sf_dir)
+    res = R.search(FX.queries_fx(spark, sf_dir), mem, FX.as_of_col(), FX.team_members_fx(spark, sf_dir),
+                   FX.teams_fx(spark, sf_dir), keep_raw=True).select("query_id", "id", "raw_similarity")
+    res.write.parquet(f"{root}/in")
+    stream = ST.stream_table(spark, f"{root}/in", res.schema)
+    ST.touch_stream(stream, mem, FX.as_of_col(), f"{root}/out", f"{root}/chk").awaitTermination()
+    t = spark.read.parquet(f"{root}/out/b*")
+    return t.select("id", "access_count", S.round4("decay_score").alias("decay_score"),
+                    F.date_format("last_accessed_at", "yyyy-MM-dd HH:mm:ss").alias("last_accessed_at"))
+
+
+@register("stream_billing", ORACLES["plan_state"])
+def q_stream_billing(spark, sf_dir):
+    """ST4: the billing log as a stream, redeliveries dropped within the
+    watermark, plan state recomputed per micro-batch; returns the last
+    state."""
+    from engram.operators import billing as B
+    from engram.sources import fixtures as FX
+
+    root = _scratch(spark, "st4")
+    ev = B.parse_events(FX.billing_events_fx(spark, sf_dir)).drop("payload")
+    ev.write.parquet(f"{root}/in")
+    stream = ST.stream_table(spark, f"{root}/in", ev.schema)
+    ST.billing_stream(stream, FX.billing_tenants_fx(spark, sf_dir), B.plans_table(spark, FX.FIXTURE_PLANS),
+                      f"{root}/log", f"{root}/state", f"{root}/chk").awaitTermination()
+    return spark.read.parquet(f"{root}/state/latest")

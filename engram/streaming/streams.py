@@ -156,7 +156,8 @@ def touch_stream(results: DataFrame, memories: DataFrame, as_of, sink_root: str,
 def billing_stream(events: DataFrame, tenants: DataFrame, plans: DataFrame, log_root: str,
                    state_root: str, checkpoint: str, watermark: str = "7 days"):
     """ST4: redelivered events (same event id) are dropped within the
-    watermark; each batch appends to the log and recomputes B1."""
+    watermark; each batch appends to the log and recomputes B1, writing
+    version ``v<batchId>`` and ``latest``."""
     from engram.operators.billing import plan_state
 
     spark = events.sparkSession
@@ -167,7 +168,9 @@ def billing_stream(events: DataFrame, tenants: DataFrame, plans: DataFrame, log_
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_root}/b{batch_id}")
         log = spark.read.parquet(f"{log_root}/b*")
-        plan_state(log, tenants, plans).write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
+        state = plan_state(log, tenants, plans).checkpoint()
+        state.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
+        state.write.mode("overwrite").parquet(f"{state_root}/latest")
 
     return (deduped.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
