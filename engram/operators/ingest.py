@@ -198,6 +198,9 @@ def fold_edges(edges: DataFrame) -> DataFrame:
     Components are small (near-duplicate chains), so they are batched into
     hash buckets -- four per shuffle partition -- to spare a Python call and
     an Arrow batch per component; a component is never split."""
+    from engram.session import ship_package
+
+    ship_package(edges.sparkSession)
     comps = connected_components(edges)
     e = edges.join(comps.withColumnRenamed("node", "src"), "src")
     n_buckets = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))

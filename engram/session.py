@@ -57,3 +57,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="engram-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``engram`` importable in Python workers (the ``--py-files``
+    mechanism): zip the package once per driver process and add it to the
+    context.  Operators that run Python (the store fold, the stateful rate
+    limit stream, caller models) call this before building their plan."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    fd, path = tempfile.mkstemp(prefix="engram-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, Path("engram") / f.relative_to(pkg))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

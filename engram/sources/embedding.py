@@ -38,6 +38,9 @@ def embed_with(df: DataFrame, model: Callable[[list[str]], np.ndarray], text_col
     2-D array) to each Arrow batch; order within the batch is kept."""
     from pyspark.sql import types as T
 
+    from engram.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):

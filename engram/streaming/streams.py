@@ -112,6 +112,9 @@ def rate_limit_stream(events: DataFrame, n: int = 5, window_s: int = 3600,
     """U2 per key with per-key state; equal to the batch operator when each
     key's events arrive in time order.  State expires by event time: once
     the watermark passes a key's reset, the key starts afresh anyway."""
+    from engram.session import ship_package
+
+    ship_package(events.sparkSession)
     e = events.withColumn("_et", F.timestamp_seconds("t")).withWatermark("_et", late)
     return e.groupBy("key").applyInPandasWithState(
         _rate_fn(n, window_s), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
