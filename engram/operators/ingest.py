@@ -276,7 +276,9 @@ def running_sum(df: DataFrame, part: str, order: list[str], value: Column, out:
     w_loc = (Window.partitionBy(part, "_slice").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, -1))
     local = d.withColumn("_loc", F.coalesce(F.sum("_v").over(w_loc), F.lit(0)))
-    return (local.join(F.broadcast(offsets), [part, "_slice"])
+    # offsets has a row per (key, slice): it grows with the number of keys,
+    # so the join strategy is left to AQE's runtime sizes
+    return (local.join(offsets, [part, "_slice"])
             .withColumn(out, F.col("_off") + F.col("_loc")).drop("_v", "_slice", "_off", "_loc"))
 
 

@@ -87,7 +87,8 @@ def running_max_inclusive(df: DataFrame, part: str, order: list[str], value, out
     carry = tops.withColumn("_carry", F.max("_m").over(w_tot)).drop("_m")
     w_loc = Window.partitionBy(part, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("_loc", F.max("_v").over(w_loc))
-    return (local.join(F.broadcast(carry), [part, "_slice"])
+    # a row per (key, slice): join strategy left to AQE's runtime sizes
+    return (local.join(carry, [part, "_slice"])
             .withColumn(out, F.greatest("_carry", "_loc")).drop("_v", "_slice", "_carry", "_loc"))
 
 
