@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import scalars as S
+from engram.operators.ingest import prior_count
 from engram.operators.ratelimit import rate_limit
 
 BEARER = "Bearer "
@@ -74,8 +75,7 @@ def signup(signups: DataFrame, tenants: DataFrame, api_keys: DataFrame, n: int =
     s = s.join(taken, "email_n", "left")
     ok = F.col("accepted") & valid_email("email_n") & F.col("_exists").isNull()
     # an earlier signup of the same email that reached the insert step wins
-    w = Window.partitionBy("email_n").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_prior_ok", F.sum(ok.cast("int")).over(w))
+    s = prior_count(s, ["email_n"], ["seq"], ok, "_prior_ok")
     status = (F.when(~F.col("accepted"), F.lit(429))
               .when(~valid_email("email_n"), F.lit(400))
               .when(F.col("_exists").isNotNull(), F.lit(409))
@@ -99,8 +99,7 @@ def waitlist(signups: DataFrame, existing: DataFrame | None = None) -> DataFrame
                    "email_n", "left")
     else:
         s = s.withColumn("_old", F.lit(None).cast("boolean"))
-    w = Window.partitionBy("email_n").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_prior", F.sum(valid.cast("int")).over(w))
+    s = prior_count(s, ["email_n"], ["seq"], valid, "_prior")
     first = valid & F.col("_old").isNull() & (F.coalesce("_prior", F.lit(0)) == 0)
     return s.select(
         "seq", F.when(valid, F.lit(200)).otherwise(F.lit(400)).alias("status_code"),

@@ -282,6 +282,15 @@ def running_sum(df: DataFrame, part: str, order: list[str], value: Column, out:
             .withColumn(out, F.col("_off") + F.col("_loc")).drop("_v", "_slice", "_off", "_loc"))
 
 
+def prior_count(df: DataFrame, keys: list[str], order: list[str], flag: Column, out: str) -> DataFrame:
+    """Number of earlier rows (in ``order``) with the same ``keys`` for which
+    ``flag`` holds -- the 'first wins' test -- as a range-sliced running sum,
+    so a hot key is spread over tasks.  Null keys are grouped as a value."""
+    pk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    d = df.withColumn("_pk", pk)
+    return running_sum(d, "_pk", order, F.coalesce(flag, F.lit(False)).cast("int"), out).drop("_pk")
+
+
 def quota_gate(outcomes: DataFrame, used: DataFrame, tenants: DataFrame) -> DataFrame:
     """M3: refuse (402) everything from the first arrival at which the
     tenant's active count (before the batch + stored so far) reaches its

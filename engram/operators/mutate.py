@@ -23,8 +23,10 @@ def soft_delete(cmds: DataFrame, memories: DataFrame) -> DataFrame:
         F.col("id").alias("memory_id"), F.col("tenant_id").alias("_m_tenant"))
     d = cmds.join(act, "memory_id", "left")
     hit = F.col("_m_tenant").isNotNull() & (F.col("_m_tenant") == F.col("tenant_id"))
-    w = Window.partitionBy("memory_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(hit.cast("int")).over(w), F.lit(0))
+    from engram.operators.ingest import prior_count
+
+    d = prior_count(d, ["memory_id"], ["cmd_id"], hit, "_earlier")
+    earlier = F.col("_earlier")
     return d.select("cmd_id", "memory_id",
                     F.when(hit & (earlier == 0), F.lit(204)).otherwise(F.lit(404)).alias("status"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import scalars as S
-from engram.operators.ingest import running_sum
+from engram.operators.ingest import prior_count, running_sum
 from engram.operators.retrieval import team_access
 
 ROLES = ("admin", "member", "read_only")   # fixed: the role enum
@@ -54,11 +54,9 @@ def _capped_inserts(df: DataFrame, part: str, key_cols: list[str], eligible: Col
     and no earlier eligible row has the same key.  Inserts before a row =
     least(cap, first-seen-new rows before it).  Status: cap reached -> 402,
     not first-seen-new -> 409, else 201."""
-    w_key = Window.partitionBy(part, *key_cols).orderBy("cmd_id").rowsBetween(
-        Window.unboundedPreceding, -1)
-    d = df.withColumn("_elig", eligible).withColumn(
-        "_first_new", F.col("_elig") & ~exists
-        & (F.coalesce(F.sum(F.col("_elig").cast("int")).over(w_key), F.lit(0)) == 0))
+    d = df.withColumn("_elig", eligible)
+    d = prior_count(d, [part, *key_cols], ["cmd_id"], F.col("_elig"), "_elig_before")
+    d = d.withColumn("_first_new", F.col("_elig") & ~exists & (F.col("_elig_before") == 0)).drop("_elig_before")
     d = running_sum(d, part, ["cmd_id"], F.col("_first_new").cast("int"), "_new_before")
     d = d.withColumn("_cap", F.greatest(cap, F.lit(0)))
     done = F.least(F.col("_new_before"), F.col("_cap"))
@@ -148,8 +146,8 @@ def delete_teams(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> DataF
     """TM3: cmds(cmd_id, tenant_id, team_id, user_id): non-admin -> 403;
     the first admin delete of a team -> 204; later ones -> 404."""
     g = _admin_gate(cmds, members, teams, "user_id")
-    w = Window.partitionBy("team_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(F.col("_is_admin").cast("int")).over(w), F.lit(0))
+    g = prior_count(g, ["team_id"], ["cmd_id"], F.col("_is_admin"), "_earlier")
+    earlier = F.col("_earlier")
     status = F.when(~F.col("_is_admin"), F.lit(403)).when(earlier > 0, F.lit(404)).otherwise(F.lit(204))
     return g.select("cmd_id", "team_id", status.alias("status"))
 
@@ -189,8 +187,8 @@ def remove_members(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> Dat
     d = g.join(m, ["team_id", "user_id"], "left")
     allowed = (F.col("removed_by") == F.col("user_id")) | F.col("_is_admin")
     hit = allowed & F.col("_is_member").isNotNull()
-    w = Window.partitionBy("team_id", "user_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(hit.cast("int")).over(w), F.lit(0))
+    d = prior_count(d, ["team_id", "user_id"], ["cmd_id"], hit, "_earlier")
+    earlier = F.col("_earlier")
     status = (F.when(~allowed, F.lit(403)).when(~hit | (earlier > 0), F.lit(404)).otherwise(F.lit(204)))
     return d.select("cmd_id", "team_id", "user_id", status.alias("status"))
 
@@ -226,8 +224,8 @@ def accept_invites(accepts: DataFrame, invitations: DataFrame, members: DataFram
                              "expires_at", "accepted_at")
     d = accepts.join(inv, "token", "left")
     live = F.col("team_id").isNotNull() & F.col("accepted_at").isNull() & ~(as_of > F.col("expires_at"))
-    w = Window.partitionBy("token").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum(live.cast("int")).over(w), F.lit(0))
+    d = prior_count(d, ["token"], ["cmd_id"], live, "_earlier")
+    earlier = F.col("_earlier")
     status = (F.when(F.col("team_id").isNull(), F.lit(404))
               .when(F.col("accepted_at").isNotNull() | (earlier > 0), F.lit(410))
               .when(as_of > F.col("expires_at"), F.lit(410)).otherwise(F.lit(200)))
@@ -238,8 +236,8 @@ def accept_invites(accepts: DataFrame, invitations: DataFrame, members: DataFram
     existing = members.select("team_id", "user_id", F.lit(True).alias("_was_member"))
     d = d.join(existing, ["team_id", "user_id"], "left")
     # within the batch, (team, user) is inserted by its first successful accept
-    w2 = Window.partitionBy("team_id", "user_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum((F.col("status") == 200).cast("int")).over(w2), F.lit(0))
+    d = prior_count(d, ["team_id", "user_id"], ["cmd_id"], F.col("status") == 200, "_prior")
+    prior = F.col("_prior")
     inserted = (F.col("status") == 200) & F.col("_was_member").isNull() & (prior == 0)
     return d.select("cmd_id", "token", "status", "reason",
                     F.when(F.col("status") == 200, F.col("team_id")).alias("team_id"),
