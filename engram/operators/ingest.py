@@ -291,6 +291,36 @@ def prior_count(df: DataFrame, keys: list[str], order: list[str], flag: Column,
     return running_sum(d, "_pk", order, F.coalesce(flag, F.lit(False)).cast("int"), out).drop("_pk")
 
 
+def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """For each named value: the last non-null value so far (this row
+    included) among rows with the same ``keys`` in ``order`` -- range-sliced
+    like ``running_sum``.  Each slice's last value is carried into all later
+    slices of the key, also into slices that have none of their own."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    d = df.withColumn("_pk", pk)
+    for name, v in values.items():
+        d = d.withColumn(f"_v_{name}", v)
+    d = (d.repartitionByRange(n, "_pk", *order).withColumn("_slice", F.spark_partition_id())).checkpoint()
+    ordkey = F.struct(*[F.col(c) for c in order])
+    tails = d.groupBy("_pk", "_slice").agg(*[
+        F.max_by(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), ordkey)).alias(f"_t_{name}")
+        for name in values])
+    w_tot = Window.partitionBy("_pk").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_pk", "_slice", *[F.last(f"_t_{name}", ignorenulls=True).over(w_tot).alias(f"_c_{name}")
+                                           for name in values])
+    w_loc = Window.partitionBy("_pk", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.last(f"_v_{name}", ignorenulls=True).over(w_loc).alias(f"_l_{name}")
+                           for name in values])
+    out = local.join(carry, ["_pk", "_slice"], "left")
+    for name in values:
+        out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")))
+    drop = ["_pk", "_slice"] + [f"_{p}_{name}" for name in values for p in ("v", "l", "c")]
+    return out.drop(*drop)
+
+
 def quota_gate(outcomes: DataFrame, used: DataFrame, tenants: DataFrame) -> DataFrame:
     """M3: refuse (402) everything from the first arrival at which the
     tenant's active count (before the batch + stored so far) reaches its

@@ -58,14 +58,17 @@ def patch(cmds: DataFrame, memories: DataFrame) -> DataFrame:
     status = F.when(bad | nothing, F.lit(400)).when(~found, F.lit(404)).otherwise(F.lit(200))
     d = d.withColumn("status", status)
     ok = F.col("status") == 200
-    w = Window.partitionBy("memory_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, 0)
-    vis = F.last(F.when(ok, F.col("visibility")), ignorenulls=True).over(w)
-    imp = F.last(F.when(ok, F.col("importance")), ignorenulls=True).over(w)
-    priv = F.max((ok & F.coalesce(F.col("visibility") == "private", F.lit(False))).cast("int")).over(w)
+    from engram.operators.ingest import prior_count, running_last
+
+    private = ok & F.coalesce(F.col("visibility") == "private", F.lit(False))
+    d = running_last(d, ["memory_id"], ["cmd_id"], {
+        "_vis": F.when(ok, F.col("visibility")), "_imp": F.when(ok, F.col("importance"))})
+    d = prior_count(d, ["memory_id"], ["cmd_id"], private, "_priv_before")
+    priv = F.col("_priv_before") + private.cast("int")
     return d.select(
         "cmd_id", "memory_id", "status",
-        F.when(ok, F.coalesce(vis, F.col("_vis0"))).alias("visibility"),
-        F.when(ok, F.coalesce(imp, F.col("_imp0"))).alias("importance"),
+        F.when(ok, F.coalesce(F.col("_vis"), F.col("_vis0"))).alias("visibility"),
+        F.when(ok, F.coalesce(F.col("_imp"), F.col("_imp0"))).alias("importance"),
         F.when(ok & (priv == 0), F.col("_team0")).alias("team_id"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import scalars as S
-from engram.operators.ingest import prior_count, running_sum
+from engram.operators.ingest import prior_count, running_last, running_sum
 from engram.operators.retrieval import team_access
 
 ROLES = ("admin", "member", "read_only")   # fixed: the role enum
@@ -133,13 +133,13 @@ def update_teams(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> DataF
               .when(F.col("_t_tenant").isNull() | (F.col("_t_tenant") != F.col("tenant_id")), F.lit(404))
               .otherwise(F.lit(200)))
     d = d.withColumn("status", status)
-    w = Window.partitionBy("team_id").orderBy("cmd_id").rowsBetween(Window.unboundedPreceding, 0)
     ok = F.col("status") == 200
-    new_name = F.last(F.when(ok & (F.length("name") > 0), F.col("name")), ignorenulls=True).over(w)
-    new_slug = F.last(F.when(ok & (F.length("slug") > 0), F.col("slug")), ignorenulls=True).over(w)
+    d = running_last(d, ["team_id"], ["cmd_id"], {
+        "_new_name": F.when(ok & (F.length("name") > 0), F.col("name")),
+        "_new_slug": F.when(ok & (F.length("slug") > 0), F.col("slug"))})
     return d.select("cmd_id", "team_id", "status",
-                    F.when(ok, F.coalesce(new_name, F.col("_name0"))).alias("name"),
-                    F.when(ok, F.coalesce(new_slug, F.col("_slug0"))).alias("slug"))
+                    F.when(ok, F.coalesce(F.col("_new_name"), F.col("_name0"))).alias("name"),
+                    F.when(ok, F.coalesce(F.col("_new_slug"), F.col("_slug0"))).alias("slug"))
 
 
 def delete_teams(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> DataFrame:
