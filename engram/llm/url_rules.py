@@ -29,7 +29,7 @@ GIVEN_RULES = (
     ("block", "net", "/fr/"),
 )
 # Words that, as a whole token of the host, mark an address the method blocks.
-BLOCK_WORDS = ("spam", "adult", "casino", "porn", "xxx", "sex", "gambling", "poker", "viagra", "malware", "phishing", "warez", "torrent", "ads", "adserver", "doubleclick", "clickbait", "escort")
+BLOCK_WORDS = ("spam", "adult", "casino", "porn", "xxx", "sex", "gambling", "poker", "viagra", "malware", "phishing", "warez", "torrent", "ads", "adserver", "doubleclick", "clickbait", "escort", "pills", "pharmacy", "bets", "betting", "jackpot")
 BROADCAST_RULES = 50_000  # rules up to this many are broadcast; more are joined by shuffle
 
 
