@@ -11,9 +11,9 @@ and one whose blocks are mostly its own has no partner at all.  Candidates whose
 folded sketches are too far apart fall out; the rest are verified on the texts.
 
 Sizes below 64 use one block per shingle and an exact ``t``.  Above, the sketch
-covers a hash-sample of 32 to 64 expected shingles and ``t`` lies seven standard
+covers a hash-sample of 32 to 64 expected shingles and ``t`` lies 5.5 standard
 deviations above the expected number of differing blocks of a pair that only
-just links, a chance below 1e-10 of missing any one such pair.
+just links, a chance of about 1e-7 of missing any one such pair.
 
 Equal sets are one class from the start, so copies meet no one.  Only
 connectivity is wanted, so classes that share a block are tested against a few
@@ -29,7 +29,7 @@ a component unless all its members' ids are null; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.components import connected_components
@@ -38,9 +38,10 @@ from .common import SPACES, U64, lower_words, map_batches, materialise, mix
 
 WORDS = 5
 SMALL = 64  # set sizes below it are sketched whole
-BLOCKS = 64
+BLOCKS = 256
+DEVIATIONS = 5.5
 FOLD = 1024  # bits of the folded sketch
-PIVOTS = 3
+PIVOTS = 2
 _SHINGLE = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -77,8 +78,10 @@ def sketch_blocks(items: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     if not len(at):
         return np.zeros(0, U64), 0
     size = np.diff(at, append=len(block))
-    differ = 1 - 0.75**size * np.exp(-(n / 3) * 2.0 ** (5 - band) / BLOCKS)
-    t = int(np.ceil(differ.sum() + 7 * np.sqrt((differ * (1 - differ)).sum()) + 3))
+    # a linked set lacks at most a quarter of this one's shingles, or has at most a third
+    # more; of the mixtures of both, the extremes hit most blocks
+    differ = np.maximum(1 - 0.75**size, 1 - np.exp(-n / 3 * 2.0 ** (5 - band) / BLOCKS))
+    t = int(np.ceil(differ.sum() + DEVIATIONS * np.sqrt((differ * (1 - differ)).sum()) + 1))
     tokens = mix(np.bitwise_xor.reduceat(bits, at) + block[at].astype(U64) * _SHINGLE[3])
     return tokens, min(t, len(tokens) - 1)
 
@@ -125,42 +128,46 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def candidate_blocks(classes: DataFrame) -> DataFrame:
-    """(sk, tok, score): the shared ones among the rarest blocks by which a class looks
+    """(node, tok, score): the shared ones among the rarest blocks by which a class looks
     for partners; score is the number of its shared blocks."""
+    # a class has a seat in each of its bands; ``spare`` is t + 1 less all of its blocks there
     sides = [
-        classes.filter(F.col(k).isNotNull()).select("sk", F.lit(k).alias("side"), F.col(f"{k}_t").alias("t"), F.size(k).alias("nb"), F.explode(k).alias("tok"))
-        for k in ("own", "up")
+        classes.filter(F.col(k).isNotNull()).select((2 * F.col("node") + i).alias("seat"), (F.col(f"{k}_t") + 1 - F.size(k)).alias("spare"), F.explode(k).alias("tok"))
+        for i, k in enumerate(("own", "up"))
     ]
     blocks = sides[0].unionByName(sides[1])
     count = blocks.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = blocks.join(count, "tok")
-    mine = Window.partitionBy("sk", "side")
+    mine = Window.partitionBy("seat")
     rare = (
-        shared.withColumn("score", F.count("*").over(mine))
+        blocks.join(count, "tok")
+        .withColumn("score", F.count("*").over(mine))
         .withColumn("rn", F.row_number().over(mine.orderBy("c", "tok")))
-        .filter("rn <= t + 1 - (nb - score)")
+        .filter("rn <= spare + score")
     )
-    rare = materialise(rare.select("sk", "tok", "score"))
+    rare = materialise(rare.select(F.floor(F.col("seat") / 2).cast("long").alias("node"), "tok", "score"))
     again = rare.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     return materialise(rare.join(again, "tok"))
 
 
-def linked(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of set digests whose sets are similar enough."""
-    side = lambda x: sizes.select(F.col("sk").alias(x), F.col("n").alias(f"n{x}"), F.col("fold").alias(f"f{x}"))
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|) for every link
-    near = (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        .select("a", "b")
-    )
-    text = lambda x: texts.select(F.col("sk").alias(x), F.col("text").alias(f"t{x}"))
-    rows_in = near.join(text("a"), "a").join(text("b"), "b")
+def _distance(a: str, b: str) -> Column:
+    """Hamming distance of two folded sketches."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _near(percent: int) -> Column:
+    """Whether sizes n, m and sketch distance d leave a link possible:
+    |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|) holds for every link."""
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("d") * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by their texts."""
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    rows_in = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b")
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
         keep: dict[str, list] = {"a": [], "b": []}
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"]):
             for key, t in ((a, ta), (b, tb)):
                 if key not in known:
@@ -171,38 +178,38 @@ def linked(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int =
                 keep["b"].append(b)
         return keep
 
-    return map_batches(rows_in, {"a": "binary", "b": "binary"}, rows)
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return map_batches(rows_in, {"a": "long", "b": "long"}, rows)
 
 
-def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between classes that connect all that are linked, as (node, component)."""
+def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of the linked classes; None when no two classes share a block."""
     links, labels, turn, before = None, None, 0, None
     while True:
-        now = cand.withColumn("label", F.col("sk")) if labels is None else cand.join(
-            labels.select(F.col("node").alias("sk"), F.col("component").alias("label")), "sk", "left"
-        ).withColumn("label", F.coalesce("label", "sk"))
+        now = cand.withColumn("label", F.col("node")) if labels is None else cand.join(
+            labels.withColumnRenamed("component", "label"), "node", "left"
+        ).withColumn("label", F.coalesce("label", "node"))
         now = materialise(now)
         per = now.groupBy("tok", "label").agg(F.count("*").cast("double").alias("k"))
         open_ = per.groupBy("tok").agg((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))).alias("x"), F.count("*").alias("labels")).filter("labels > 1")
-        left, nodes = open_.agg(F.coalesce(F.sum("x") / 2, F.lit(0.0))).first()[0], now.select("sk").distinct().count()
+        left = open_.agg(F.coalesce(F.sum("x") / 2, F.lit(0.0))).first()[0]
         if left == 0:
             break
-        live = now.join(open_.select("tok"), "tok")
+        nodes = now.agg(F.countDistinct("node")).first()[0]
+        live = now.join(open_.select("tok"), "tok", "left_semi").join(sizes.select("node", "n", "fold"), "node")
         final = left <= 8 * nodes or (before is not None and left > 0.5 * before)
         if final:  # every pair that shares a block and isn't known to be connected
-            other = live.select("tok", F.col("sk").alias("o"), F.col("label").alias("l"))
-            pairs = live.join(other, "tok").filter("label != l and sk < o").select(F.col("sk").alias("a"), F.col("o").alias("b")).distinct()
-        else:  # each class against the PIVOTS pivots with which it shares most blocks
-            rank = F.col("score") if turn == 0 else F.xxhash64("sk", F.lit(turn))
-            pivot = live.groupBy("tok").agg(F.max(F.struct(rank.alias("r"), "sk", "label")).alias("p"))
-            met = live.join(pivot, "tok").filter("label != p.label").groupBy("sk", F.col("p.sk").alias("p")).agg(F.count("*").alias("c"))
-            best = F.row_number().over(Window.partitionBy("sk").orderBy(F.desc("c"), "p"))
-            pairs = met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select(*_ordered("sk", "p")).distinct()
-        found = materialise(linked(pairs, sizes, texts))
+            other = live.select("tok", F.col("node").alias("o"), F.col("label").alias("l"), F.col("n").alias("m"), F.col("fold").alias("f"))
+            met = live.join(other, "tok").filter("label != l and node < o")
+            pairs = met.withColumn("d", _distance("fold", "f")).filter(_near(percent)).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
+        else:  # each class against its PIVOTS nearest among the pivots of its blocks
+            rank = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            pivot = live.groupBy("tok").agg(F.max_by(F.struct("node", "label", "n", "fold"), F.struct(rank, "node")).alias("p"))
+            pivot = pivot.select("tok", F.col("p.node").alias("o"), F.col("p.label").alias("l"), F.col("p.n").alias("m"), F.col("p.fold").alias("f"))
+            met = live.join(pivot, "tok").filter("label != l").withColumn("d", _distance("fold", "f")).filter(_near(percent))
+            best = F.row_number().over(Window.partitionBy("node").orderBy("d", "o"))
+            some = met.select("node", "o", "d").distinct().withColumn("rn", best).filter(F.col("rn") <= PIVOTS)
+            pairs = some.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+        found = materialise(linked(pairs, texts, percent))
         links = found if links is None else links.unionByName(found)
         labels = materialise(connected_components(links, materialise))
         if final:
@@ -211,26 +218,27 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFram
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, td, n_shingles, component_id) for every row of ``docs`` (doc_id, text);
-    td is the MD5 of the text."""
+    td is the MD5 of the text.  ``percent`` (at least 75) is the least similarity."""
     feats = materialise(features(docs))
     classes = feats.filter("n > 0").groupBy("sk").agg(
         F.min("doc_id").alias("rep"), F.min("td").alias("td"), *(F.first(c).alias(c) for c in list(FEATURES) if c not in ("doc_id", "td", "sk"))
     )
-    classes = materialise(classes)
+    # numbers are given once: the table is stored before anything reads them
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
     cand = candidate_blocks(classes)
-    sizes = materialise(classes.join(cand.select("sk").distinct(), "sk", "left_semi").select("sk", "td", "n", "fold"))
-    texts = docs.select(F.unhex(F.md5("text")).alias("td"), "text").join(sizes.select("td", "sk"), "td")
-    texts = materialise(texts.groupBy("sk").agg(F.min("text").alias("text")))
-    labels = class_links(cand, sizes, texts)
-    member = classes.select("sk", "rep")
+    sizes = materialise(classes.join(cand.select("node").distinct(), "node", "left_semi").select("node", "td", "n", "fold"))
+    texts = docs.select(F.unhex(F.md5("text")).alias("td"), "text").join(sizes.select("td", "node"), "td")
+    texts = materialise(texts.groupBy("node").agg(F.min("text").alias("text")))
+    labels = class_links(cand, sizes, texts, percent)
+    member = classes.select("sk", "node", "rep")
     if labels is not None:
-        joined = member.join(labels.withColumnRenamed("node", "sk"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
+        joined = member.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-        member = joined.join(least, "component").select("sk", "component_id")
+        member = joined.join(least, "component")
     else:
         member = member.withColumnRenamed("rep", "component_id")
-    return feats.select("doc_id", "td", F.col("n").alias("n_shingles"), "sk").join(member, "sk", "left").select(
+    return feats.select("doc_id", "td", F.col("n").alias("n_shingles"), "sk").join(member.select("sk", "component_id"), "sk", "left").select(
         "doc_id", "td", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
