@@ -183,7 +183,7 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the linked classes; None when no two classes share a block."""
-    links, labels, turn, before = None, None, 0, None
+    links, labels, turn, few = None, None, 0, False
     while True:
         now = cand.withColumn("label", F.col("node")) if labels is None else cand.join(
             labels.withColumnRenamed("component", "label"), "node", "left"
@@ -196,13 +196,14 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
             break
         nodes = now.agg(F.countDistinct("node")).first()[0]
         live = now.join(open_.select("tok"), "tok", "left_semi").join(sizes.select("node", "n", "fold"), "node")
-        final = left <= 8 * nodes or (before is not None and left > 0.5 * before)
+        # pivots go on while they connect more than a few classes; hardly any link is left then
+        final = few or left <= 8 * nodes
         if final:  # every pair that shares a block and isn't known to be connected
             other = live.select("tok", F.col("node").alias("o"), F.col("label").alias("l"), F.col("n").alias("m"), F.col("fold").alias("f"))
             met = live.join(other, "tok").filter("label != l and node < o")
             pairs = met.withColumn("d", _distance("fold", "f")).filter(_near(percent)).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
         else:  # each class against its PIVOTS nearest among the pivots of its blocks
-            rank = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            rank = F.col("score") if turn == 0 else F.xxhash64("node", "tok", F.lit(turn))
             pivot = live.groupBy("tok").agg(F.max_by(F.struct("node", "label", "n", "fold"), F.struct(rank, "node")).alias("p"))
             pivot = pivot.select("tok", F.col("p.node").alias("o"), F.col("p.label").alias("l"), F.col("p.n").alias("m"), F.col("p.fold").alias("f"))
             met = live.join(pivot, "tok").filter("label != l").withColumn("d", _distance("fold", "f")).filter(_near(percent))
@@ -214,7 +215,7 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
         labels = materialise(connected_components(links, materialise))
         if final:
             break
-        turn, before = turn + 1, left
+        turn, few = turn + 1, found.count() * 1000 < nodes
     return labels
 
 
