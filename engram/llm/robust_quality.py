@@ -35,6 +35,7 @@ MIN_GROUP = 200
 CUTOFF = 150.0
 LEVELS = ("source", "lang", "all")
 DIMS = 4
+BROADCAST_GROUPS = 10_000  # estimates of up to this many groups (3 MB) are broadcast
 FLOOR = (0.15, 0.12, 0.06, 0.06)  # least standard deviations of the statistics
 _BASE = {"doc_id": "long", "lang": "string", "source": "string", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
 
@@ -111,6 +112,12 @@ def _solve(params: DataFrame) -> DataFrame:
     return params.select("g", "mean", "cov").mapInPandas(run, "g string, mean array<double>, inverse array<double>")
 
 
+def _beside(rows: DataFrame, small: DataFrame, groups: int, how: str = "inner") -> DataFrame:
+    """Join one row per group to ``rows``: by broadcast when there are few groups, so that
+    a large group's rows stay where they are; else by shuffle."""
+    return rows.join(F.broadcast(small) if groups <= BROADCAST_GROUPS else small, "g", how)
+
+
 def _distance():
     gap = [F.col("x")[i] - F.col("mean")[i] for i in range(DIMS)]
     return sum((F.col("inverse")[i * DIMS + j] * gap[i] * gap[j] for i in range(DIMS) for j in range(DIMS)), F.lit(0.0))
@@ -130,20 +137,21 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(g, mean, inverse) of every group of ``rows`` (g, x)."""
+    groups = rows.select("g").distinct().count()
     middle = rows.groupBy("g").agg(*(F.percentile_approx(F.col("x")[i], 0.5, 10_000).alias(f"m{i}") for i in range(DIMS)))
     middle = middle.select("g", F.array(*(f"m{i}" for i in range(DIMS))).alias("mean"))
-    spread = rows.join(middle, "g").groupBy("g").agg(
+    spread = _beside(rows, middle, groups).groupBy("g").agg(
         F.first("mean").alias("mean"), *(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 10_000).alias(f"s{i}") for i in range(DIMS))
     )
     diagonal = [F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
     params = materialise(_solve(spread.select("g", "mean", F.array(*diagonal).alias("cov"))))
     for step in range(STEPS + 1):
-        far = rows.join(params, "g").withColumn("d", _distance())
+        far = _beside(rows, params, groups).withColumn("d", _distance())
         # the core of each step; at the end all rows at an ordinary distance
         near = far.groupBy("g").agg(F.percentile_approx("d", CORE, 10_000).alias("cut"))
         if step == STEPS:
             near = near.withColumn("cut", F.greatest("cut", F.lit(20.0)))
-        core = far.join(near, "g").filter("d <= cut")
+        core = _beside(far, near, groups).filter("d <= cut")
         params = materialise(_solve(_moments(core)))
     return params
 
@@ -166,7 +174,7 @@ def judge(docs: DataFrame) -> DataFrame:
         rows = rows.join(wanted, "g", "left_semi")
         every = rows if every is None else every.unionByName(rows)
     params = estimates(materialise(every))
-    judged = marked.join(params, "g", "left").withColumn("distance", _distance())
+    judged = _beside(marked, params, params.count(), "left").withColumn("distance", _distance())
     return judged.select(
         "doc_id", *list(_BASE)[3:], "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"), "distance"
     )
