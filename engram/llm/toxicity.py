@@ -25,7 +25,7 @@ from .common import LOWER, U64, separators, span_hashes, word_spans
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-MAX_TOXIC, MAX_CLEAN = 4000, 8000
+MAX_TOXIC, MAX_CLEAN = 2500, 5000
 FEATURES = 1024
 MIN_DOCS = 4
 MIN_Z = 3.0  # standard deviations from chance
@@ -92,11 +92,11 @@ def fit(texts: list[str | None], toxic: list[int], groups=GROUPS, strength: floa
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), 12.0 * (share > 0) - 6.0 if len(y) else -np.inf)
-    rows = [feature_ids(t) for t in texts]
-    every = np.concatenate(rows)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_pos = np.bincount(every[y[of] == 1], minlength=1 << BITS)
-    n_all = np.bincount(every, minlength=1 << BITS)
+    rows = [feature_ids(t).astype(np.int32) for t in texts]
+    n_pos, n_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for ids, mark in zip(rows, y):  # the numbers of a row are distinct
+        n_all[ids] += 1
+        n_pos[ids] += mark
     # rank by how far the share of toxic documents among a feature's is from the overall share
     z = np.abs(n_pos - n_all * share) / np.sqrt(n_all * share * (1 - share) + 1)
     z[(n_all < MIN_DOCS) | (z < MIN_Z)] = -1
@@ -106,12 +106,12 @@ def fit(texts: list[str | None], toxic: list[int], groups=GROUPS, strength: floa
         z[ids] = np.inf
     ids = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     ids = ids[z[ids] > 0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
     # log count ratios scale the features: rare ones move the score less
     ratio = np.log((n_pos[ids] + 1) / (y.sum() + 2)) - np.log((n_all[ids] - n_pos[ids] + 1) / ((1 - y).sum() + 2))
-    on = place[every] >= 0
-    col, row = place[every[on]], of[on]
+    cols = [place[r][place[r] >= 0] for r in rows]
+    row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
     # differences of counterfactual sentences: one row per kind of swap, with its count
     kinds: dict[tuple[str, str], int] = {}
     for p in pairs:
