@@ -30,9 +30,9 @@ def norm(v) -> Column:
 def cosine(a, b, norm_a, norm_b) -> Column:
     """1 - cosine distance.  Null vector -> null; zero norm -> null (the
     service's NaN sorts last; Spark would sort NaN first, so it is mapped
-    to null)."""
+    to null), and so do vectors with a NaN component."""
     denom = col_(norm_a) * col_(norm_b)
-    return F.when(denom > 0, dot(a, b) / denom)
+    return F.when((denom > 0) & ~F.isnan(denom), dot(a, b) / denom)
 
 
 def lin_comb(a, b, wa: float, wb: float) -> Column:

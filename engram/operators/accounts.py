@@ -57,26 +57,35 @@ def valid_email(email) -> "F.Column":
     return e.isNotNull() & (F.length(e) > 0) & e.contains("@") & e.contains(".")
 
 
+# Fixed value: the email format of a request body (atoms, dots, host labels).
+EMAIL_FORMAT = (r"(?i)^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
+                r"@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$")
+
+
 def signup(signups: DataFrame, tenants: DataFrame, api_keys: DataFrame, n: int = 5,
            window_s: int = 3600) -> DataFrame:
     """U1 (+ U2 throttle, C4, J6): signups(seq, ip, t, email) in seq order.
 
-    429 when the ip is throttled; 400 for an invalid email; 409 when the
-    email already has a tenant (with a key: J6 semi join; without: the
+    400 when the body's email is not in email format: such requests never
+    reach the throttle.  Of the others, 429 when the ip is throttled; 400 for
+    an invalid email; 409 when the email already has a tenant (with a key: J6 semi join; without: the
     unique index) or an earlier signup in the batch won; else 201 with the
     new tenant's name."""
-    throttled = rate_limit(signups.withColumnRenamed("ip", "key"), "key", "t", "seq", n, window_s)
-    s = throttled.withColumn("email_n", S.norm_email("email"))
+    formed = F.coalesce(F.col("email").rlike(EMAIL_FORMAT), F.lit(False))
+    throttled = rate_limit(signups.filter(formed).withColumnRenamed("ip", "key"), "key", "t", "seq", n, window_s)
+    unformed = signups.filter(~formed).select("seq", "email", F.lit(False).alias("formed"), F.lit(True).alias("accepted"))
+    s = throttled.select("seq", "email", F.lit(True).alias("formed"), "accepted").unionByName(unformed)
+    s = s.withColumn("email_n", S.norm_email("email"))
     with_key = tenants.join(api_keys.select(F.col("tenant_id").alias("id")).distinct(), "id", "left_semi")
     taken = (tenants.filter(F.col("email").isNotNull())
              .select(F.col("email").alias("email_n"), F.lit(True).alias("_exists"))
              .join(with_key.select(F.col("email").alias("email_n"), F.lit(True).alias("_has_key")),
                    "email_n", "left").dropDuplicates(["email_n"]))
     s = s.join(taken, "email_n", "left")
-    ok = F.col("accepted") & valid_email("email_n") & F.col("_exists").isNull()
+    ok = F.col("formed") & F.col("accepted") & valid_email("email_n") & F.col("_exists").isNull()
     # an earlier signup of the same email that reached the insert step wins
     s = prior_count(s, ["email_n"], ["seq"], ok, "_prior_ok")
-    status = (F.when(~F.col("accepted"), F.lit(429))
+    status = (F.when(~F.col("formed"), F.lit(400)).when(~F.col("accepted"), F.lit(429))
               .when(~valid_email("email_n"), F.lit(400))
               .when(F.col("_exists").isNotNull(), F.lit(409))
               .when(F.coalesce(F.col("_prior_ok"), F.lit(0)) > 0, F.lit(409))

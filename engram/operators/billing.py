@@ -166,8 +166,7 @@ def effective_changes(events: DataFrame, plans: DataFrame, links: DataFrame | No
     ev = events.filter(~F.coalesce(F.col("rejected"), F.lit(False))).join(rejected, "event_id", "left")
     owners = _owner_at(events, links)
     ev = ev.join(owners, "event_id", "left")
-    p = F.broadcast(plans)   # a handful of price rows
-    ev = ev.join(p, "price", "left")
+    ev = ev.join(plans, "price", "left")
     checkout = ((F.col("type") == CHECKOUT) & F.col("_rej").isNull() & F.col("subscription").isNotNull()
                 & F.col("tenant_id").isNotNull() & F.col("plan").isNotNull())
     invoice = ((F.col("type") == INVOICE) & F.col("subscription").isNotNull() & F.col("owner").isNotNull()
@@ -218,7 +217,7 @@ def plan_history(events: DataFrame, plans: DataFrame) -> DataFrame:
 def highest_plan(items: DataFrame, plans: DataFrame) -> DataFrame:
     """Per subscription the known plan with the largest memory_limit
     (null when no item has a known price)."""
-    j = items.join(F.broadcast(plans), "price", "left")
+    j = items.join(plans, "price", "left")
     return j.groupBy("subscription").agg(
         F.max_by(F.struct("plan", "memory_limit"), "memory_limit").alias("_b")).select(
         "subscription", F.col("_b.plan").alias("plan"), F.col("_b.memory_limit").alias("memory_limit"))

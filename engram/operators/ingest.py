@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators.components import connected_components
 from engram.functions import scalars as S
 from engram.functions.vectors import cosine, norm
 from engram.operators.retrieval import active, broadcast_if_small, team_access
@@ -112,34 +113,12 @@ def near_pairs(arrivals: DataFrame, memories: DataFrame, lo: float = S.CONTRADIC
 
 # --------------------------------------------------------------------------- components
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_iter: int = 100, checkpoint_every: int = 4) -> DataFrame:
-    """Undirected connected components by iterative min-label propagation.
-
-    Returns (node, comp) for every node that appears in ``edges``; comp is
-    the smallest node id of the component.  Each round is one join and one
-    aggregate over the (sparse) edge list; lineage is cut with reliable
-    checkpoints every few rounds, and a round that changes no label ends
-    the loop (labels only ever decrease, so a count of changes suffices)."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    und = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")) \
-        .withColumnRenamed("a", "node").checkpoint()
-    for it in range(max_iter):
-        prop = (und.join(labels.withColumnRenamed("node", "a"), "a")
-                .select(F.col("b").alias("node"), F.col("comp").alias("cand")))
-        best = prop.groupBy("node").agg(F.min("cand").alias("cand"))
-        new = (labels.join(best, "node", "left")
-               .select("node", F.least("comp", F.coalesce("cand", "comp")).alias("comp"),
-                       (F.col("cand") < F.col("comp")).alias("_moved")))
-        new = new.checkpoint() if (it + 1) % checkpoint_every == 0 else new.cache()
-        changed = new.filter(F.col("_moved")).limit(1).count()
-        labels = new.drop("_moved")
-        if changed == 0:
-            return labels
-    raise RuntimeError(f"components did not converge in {max_iter} rounds")
+def edge_components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``edges`` (src, dst); comp is the smallest
+    node id of its component.  Logarithmic rounds, no cap on their number."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return connected_components(pairs, lambda df: df.checkpoint()).withColumnRenamed("component", "comp")
 
 
 # --------------------------------------------------------------------------- the fold
@@ -201,7 +180,7 @@ def fold_edges(edges: DataFrame) -> DataFrame:
     from engram.session import ship_package
 
     ship_package(edges.sparkSession)
-    comps = connected_components(edges)
+    comps = edge_components(edges)
     e = edges.join(comps.withColumnRenamed("node", "src"), "src")
     n_buckets = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (e.select("comp", "src", "arrival_order", "dst", "dst_kind", "sim")
@@ -363,5 +342,5 @@ def active_counts(memories: DataFrame) -> DataFrame:
 
 
 __all__ = ["classify", "near_pairs", "nearest_one", "store", "quota_gate", "store_access",
-           "connected_components", "running_sum", "apply_outcomes", "active_counts",
+           "edge_components", "running_sum", "apply_outcomes", "active_counts",
            "broadcast_if_small"]

@@ -125,13 +125,15 @@ def parse_tool_calls(calls: DataFrame, prefix: str, body: str = "body") -> DataF
                     F.col("_b.arguments").alias("args")).drop("_b")
 
 
-def route_tool_calls(calls: DataFrame, prefix: str, compat: bool = True) -> DataFrame:
+def route_tool_calls(calls: DataFrame, prefix: str, memories: DataFrame, compat: bool = True) -> DataFrame:
     """One outcome per call.  Unknown function or missing required
     arguments -> 400.  Store defaults: importance 0.5, source 'openai',
     namespace 'default'.  Search takes limit min(limit ?? 10, 50) and -- as
     the service's positional call does -- filters source by the namespace
     argument and scopes namespace by the source argument (``compat``);
-    context uses namespace as given and top_n min(top_n ?? 5, 20)."""
+    context uses namespace as given and top_n min(top_n ?? 5, 20).  A delete
+    is carried out in call order (M5): 204 when it hits an active memory of
+    its tenant, else 404."""
     p = parse_tool_calls(calls, prefix)
     known = F.col("kind").isin(*TOOL_KINDS)
     missing = F.lit(False)
@@ -143,6 +145,12 @@ def route_tool_calls(calls: DataFrame, prefix: str, compat: bool = True) -> Data
         missing = F.when(F.col("kind") == kind, cond).otherwise(missing)
     status = F.when(~known | F.col("kind").isNull(), F.lit(400)).when(missing, F.lit(400)).otherwise(
         F.when(F.col("kind") == "store_memory", F.lit(201)).otherwise(F.lit(200)))
+    p = p.withColumn("status", status)
+    deletes = p.filter((F.col("kind") == "delete_memory") & (F.col("status") == 200)).select(
+        F.col("call_id").alias("cmd_id"), "tenant_id", F.col("args.memory_id").alias("memory_id"))
+    done = soft_delete(deletes, memories).select(F.col("cmd_id").alias("call_id"), F.col("status").alias("_deleted"))
+    p = p.join(done, "call_id", "left").withColumn("status", F.coalesce("_deleted", "status"))
+    status = F.col("status")
     args = F.col("args")
     is_search = F.col("kind") == "search_memories"
     ns_arg = F.coalesce(args["namespace"], F.lit("default"))
@@ -157,7 +165,8 @@ def route_tool_calls(calls: DataFrame, prefix: str, compat: bool = True) -> Data
     return p.select(
         "call_id", "tenant_id", "name", "kind", status.alias("status"),
         F.when(status == 400, F.when(~known | F.col("kind").isNull(), F.lit("unknown function"))
-               .otherwise(F.lit("missing required argument"))).alias("reason"),
+               .otherwise(F.lit("missing required argument")))
+        .when(status == 404, F.lit("memory not found")).alias("reason"),
         args["user_id"].alias("user_id"), args["memory_id"].alias("memory_id"),
         F.when(status < 400, namespace).alias("namespace"),
         F.when(status < 400, F.when(store, F.coalesce(args["source"], F.lit("openai"))).otherwise(source))

@@ -96,14 +96,16 @@ def q_rate_limit(spark, sf_dir):
     return r.select("key", "event_id", "t", "accepted", "window_start")
 
 
+_FORMED = "coalesce(regexp_matches(email, '" + A.EMAIL_FORMAT.replace("'", "''") + "'), false)"
 _SIGNUP_CTES = {
-    **rate_sql("signups_fx", "ip", "t", "seq"),
+    "formed": f"SELECT * FROM signups_fx WHERE {_FORMED}",
+    **rate_sql("formed", "ip", "t", "seq"),
     "taken": """
         SELECT t.email FROM tenants_fx t WHERE t.email IS NOT NULL GROUP BY t.email""",
-    "s": """
-        SELECT f.seq, lower(trim(f.email)) AS email_n, rl.accepted,
+    "s": f"""
+        SELECT f.seq, lower(trim(f.email)) AS email_n, coalesce(rl.accepted, false) AS accepted, {_FORMED} AS formed,
                lower(trim(f.email)) IN (SELECT email FROM taken) AS exists_
-        FROM signups_fx f JOIN rl ON rl.key = f.ip AND rl.tie = f.seq""",
+        FROM signups_fx f LEFT JOIN rl ON rl.key = f.ip AND rl.tie = f.seq""",
     "s2": """
         SELECT *, (length(email_n) > 0 AND contains(email_n, '@') AND contains(email_n, '.')) AS valid
         FROM s""",
@@ -114,7 +116,7 @@ _SIGNUP_CTES = {
         FROM s2""",
     "s4": """
         SELECT seq, email_n,
-               CASE WHEN NOT accepted THEN 429 WHEN NOT valid THEN 400 WHEN exists_ THEN 409
+               CASE WHEN NOT formed THEN 400 WHEN NOT accepted THEN 429 WHEN NOT valid THEN 400 WHEN exists_ THEN 409
                     WHEN coalesce(prior_ok, 0) > 0 THEN 409 ELSE 201 END AS status
         FROM s3""",
 }

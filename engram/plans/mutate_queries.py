@@ -76,7 +76,8 @@ def q_touch(spark, sf_dir):
 _TOOL_SQL = """
     SELECT call_id, tenant_id, name, kind, status,
            CASE WHEN status = 400 THEN CASE WHEN NOT known THEN 'unknown function'
-                                             ELSE 'missing required argument' END END AS reason,
+                                             ELSE 'missing required argument' END
+                WHEN status = 404 THEN 'memory not found' END AS reason,
            user_id, memory_id,
            CASE WHEN status < 400 THEN CASE WHEN kind = 'search_memories' THEN coalesce(source, 'default')
                                             ELSE coalesce(namespace, 'default') END END AS namespace,
@@ -88,6 +89,13 @@ _TOOL_SQL = """
                 END::BIGINT AS "limit",
            CASE WHEN status < 400 AND kind = 'store_memory' THEN coalesce(importance, 0.5) END AS importance
     FROM (
+      SELECT * REPLACE (CASE WHEN kind <> 'delete_memory' OR status <> 200 OR kind IS NULL THEN status
+                             WHEN hit AND row_number() OVER (PARTITION BY hit, status, kind, memory_id ORDER BY call_id) = 1 THEN 204
+                             ELSE 404 END AS status)
+      FROM (
+        SELECT c.*, EXISTS (SELECT 1 FROM memories_fx m WHERE m.id = c.memory_id AND m.tenant_id = c.tenant_id
+                            AND m.valid_until IS NULL) AS hit
+        FROM (
         SELECT *, CASE WHEN NOT known THEN 400
                        WHEN kind = 'store_memory' AND (coalesce(user_id, '') = '' OR coalesce(fact, '') = '') THEN 400
                        WHEN kind = 'search_memories' AND (coalesce(user_id, '') = '' OR coalesce(q, '') = '') THEN 400
@@ -111,12 +119,12 @@ _TOOL_SQL = """
                        CASE WHEN e.event_id % 8 > 0 THEN e.event_id % 90 END AS lim,
                        CASE WHEN e.event_id % 9 > 0 THEN e.event_id % 30 END AS top_n,
                        CASE WHEN e.event_id % 11 > 0 THEN 'm' || (e.event_id % 600) END AS memory_id
-                FROM events e)))"""
+                FROM events e))) c))"""
 
 
-@register("tool_call_route", _TOOL_SQL)
+@register("tool_call_route", with_fixtures(_TOOL_SQL, "memories_fx"))
 def q_tool_route(spark, sf_dir):
-    return M.route_tool_calls(FX.tool_calls_fx(spark, sf_dir), FX.TOOL_PREFIX, compat=True)
+    return M.route_tool_calls(FX.tool_calls_fx(spark, sf_dir), FX.TOOL_PREFIX, FX.memories_fx(spark, sf_dir), compat=True)
 
 
 @register("tool_calls", """

@@ -23,7 +23,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN (e.vec_id // 60) % 4 = 0 THEN 'work' ELSE 'default' END AS namespace,
                CASE WHEN (e.vec_id // 7) % 5 = 0 THEN 'team' || (e.vec_id % 3) END AS team_id,
                CASE WHEN (e.vec_id // 7) % 5 = 0 THEN 'team' ELSE 'private' END AS visibility,
-               substring(d.text, 1, 2000) AS fact,
+               d.text AS fact,
                e.embedding,
                CAST(e.vec_id % 11 AS DOUBLE) / 10.0::DOUBLE AS importance,
                1.0::DOUBLE AS decay_score,
@@ -34,8 +34,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                {EPOCH_SQL} + to_seconds((e.vec_id * 7919) % 2592000) AS created_at,
                (['api', 'claude-code', 'cursor', 'codex'])[((e.vec_id // 3) % 4) + 1] AS source,
                e.vec_id AS i
-        FROM emb e LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id < 200) d
-             ON d.doc_id = e.vec_id % 200"""),
+        FROM emb e LEFT JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)"""),
     "queries_base": (("emb", "emb_n"), """
         SELECT 'q' || a.vec_id AS query_id, a.vec_id AS i,
                't' || (a.vec_id % 3) AS tenant_id,
@@ -134,12 +133,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents"""),
     "feedback_table_fx": ((), f"""
         SELECT 'f' || doc_id AS id, NULL::VARCHAR AS tenant_id,
-               (['feature', 'bug', 'general', 'other'])[doc_id % 4 + 1] AS type,
+               (['feature', 'bug', 'general'])[doc_id % 3 + 1] AS type,
                substring(text, 1, 100) AS title, text AS description, NULL::VARCHAR AS email,
                (['new', 'reviewed', 'planned', 'done', 'wontfix'])[doc_id % 5 + 1] AS status,
                CAST(1 + (doc_id * 37) % 50 AS BIGINT) AS votes, '{{}}' AS metadata,
                {EPOCH_SQL} + to_minutes(doc_id) AS created_at
-        FROM documents WHERE doc_id % 4 < 3"""),
+        FROM documents"""),
     "votes_fx": ((), """
         SELECT event_id AS vote_id, 'f' || (event_id % 300) AS feedback_id, ts AS voted_at FROM events"""),
     "auth_requests_fx": ((), """
@@ -152,7 +151,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(1704067200 + c_custkey * 97 AS BIGINT) AS t,
                CASE WHEN c_custkey % 17 = 0 THEN 'user' || (c_custkey % 50) || 'mail.com'
                     WHEN c_custkey % 23 = 0 THEN 't' || (c_custkey % 3) || '@example.com'
-                    WHEN c_custkey % 2 = 0 THEN ' User' || (c_custkey % 50) || '@Mail.COM '
+                    WHEN c_custkey % 6 = 0 THEN ' User' || (c_custkey % 50) || '@Mail.COM '
+                    WHEN c_custkey % 2 = 0 THEN 'User' || (c_custkey % 50) || '@Mail.COM'
                     ELSE 'user' || (c_custkey % 50) || '@mail.com' END AS email,
                CASE WHEN c_custkey % 4 > 0 THEN 'https://ref' || (c_custkey % 3) || '.example' END
                    AS referrer

@@ -39,13 +39,12 @@ def _embedding_count(e: DataFrame):
 
 def memories_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load_raw(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    # At most 200 documents feed the fact text, each cut to 2000 characters:
-    # a proven size bound, so this side is broadcast.
-    docs = (load_raw(spark, sf_dir, "documents").filter(F.col("doc_id") < 200)
-            .select("doc_id", F.substring("text", 1, 2000).alias("fact")))
+    # every document is some memories' fact, whole
+    docs = load_raw(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("fact"))
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
     created = F.expr(f"timestampadd(SECOND, (vec_id * 7919) % 2592000, TIMESTAMP_NTZ'{EPOCH}')")
     team = F.when(F.expr("(vec_id div 7) % 5 = 0"), F.concat(F.lit("team"), F.col("vec_id") % 3))
-    m = e.join(F.broadcast(docs), (F.col("vec_id") % 200) == F.col("doc_id"), "left")
+    m = e.withColumn("doc_id", F.col("vec_id") % n_docs).join(docs, "doc_id", "left")
     return m.select(
         F.concat(F.lit("m"), F.col("vec_id")).alias("id"),
         F.concat(F.lit("t"), F.col("vec_id") % 3).alias("tenant_id"),
@@ -250,13 +249,13 @@ def feedback_submissions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_table_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feedback table: valid-typed documents, status by doc_id % 5 and
-    votes 1 + (doc_id * 37) % 50."""
-    d = load_raw(spark, sf_dir, "documents").filter(F.col("doc_id") % 4 < 3)
+    """A feedback table: all documents, a valid type by doc_id % 3, status by
+    doc_id % 5 and votes 1 + (doc_id * 37) % 50."""
+    d = load_raw(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("f"), F.col("doc_id")).alias("id"),
         F.lit(None).cast("string").alias("tenant_id"),
-        _pick(FEEDBACK_TYPES, "doc_id % 4").alias("type"),
+        _pick(FEEDBACK_TYPES[:3], "doc_id % 3").alias("type"),
         F.substring("text", 1, 100).alias("title"),
         F.col("text").alias("description"),
         F.lit(None).cast("string").alias("email"),
@@ -294,7 +293,8 @@ def signups_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     email = (F.when(F.col("c_custkey") % 17 == 0, F.concat(F.lit("user"), k, F.lit("mail.com")))
              .when(F.col("c_custkey") % 23 == 0,
                    F.concat(F.lit("t"), F.col("c_custkey") % 3, F.lit("@example.com")))
-             .when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" User"), k, F.lit("@Mail.COM ")))
+             .when(F.col("c_custkey") % 6 == 0, F.concat(F.lit(" User"), k, F.lit("@Mail.COM ")))
+             .when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("User"), k, F.lit("@Mail.COM")))
              .otherwise(F.concat(F.lit("user"), k, F.lit("@mail.com"))))
     return c.select(
         F.col("c_custkey").alias("seq"),
