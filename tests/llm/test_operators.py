@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-from conftest import SF  # noqa: F401  (the folder above also has one)
+from llm.conftest import SF
 
 from engram.llm import decontam, hist_shard, html_cut, line_chunks, packing, parity_join, robust_quality, secret_layers, toxicity, url_rules
 

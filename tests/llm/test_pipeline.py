@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
-from conftest import SF  # noqa: F401
+from llm.conftest import SF
 
 import corpus_pipeline as P
-from test_operators import brute_components, brute_leaks, brute_lines
+from llm.test_operators import brute_components, brute_leaks, brute_lines
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
