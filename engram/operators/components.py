@@ -26,21 +26,32 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def star_round(edges: DataFrame) -> DataFrame:
+    """One large and one small star over ``edges`` (a, b): the same components, with
+    shorter paths and a > b in every row."""
+    return _stars(_stars(edges, large=True), large=False)
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has exactly one, by one count per node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per.filter("out + into > 1 and out > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its least node.
 
     ``store`` cuts the lineage of a round reliably.  The number of rounds grows with
     the logarithm of the longest path, so there is no cap on it: the rounds end when
-    a round changes nothing.  A star's centre may have any number of neighbours: the
-    minima are pre-aggregated per task and the join back can be split."""
-    edges = store(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or state[0] == 0:
-            break
-        seen = tuple(state)
-        edges = store(_stars(_stars(edges, large=True), large=False))
+    only stars around their least node are left.  A star's centre may have any number
+    of neighbours: the minima are pre-aggregated per task and the join back can be split."""
+    edges = edges.filter(F.col("a") != F.col("b"))
+    edges = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _is_forest_of_stars(edges):
+        edges = store(star_round(edges))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
