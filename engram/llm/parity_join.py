@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.operators.components import connected_components
+from engram.operators.components import connected_components, star_round
 
 from .common import SPACES, U64, lower_words, map_batches, materialise, mix
 
@@ -41,7 +41,7 @@ SMALL = 64  # set sizes below it are sketched whole
 BLOCKS = 256
 DEVIATIONS = 5.5
 FOLD = 1024  # bits of the folded sketch
-PIVOTS = 2
+PIVOTS = 4
 _SHINGLE = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -183,19 +183,18 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the linked classes; None when no two classes share a block."""
-    links, labels, turn, few = None, None, 0, False
+    links, turn, few = None, 0, False
+    nodes = sizes.count()
+    now = cand.withColumn("label", F.col("node"))
     while True:
-        now = cand.withColumn("label", F.col("node")) if labels is None else cand.join(
-            labels.withColumnRenamed("component", "label"), "node", "left"
-        ).withColumn("label", F.coalesce("label", "node"))
-        now = materialise(now)
         per = now.groupBy("tok", "label").agg(F.count("*").cast("double").alias("k"))
-        open_ = per.groupBy("tok").agg((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))).alias("x"), F.count("*").alias("labels")).filter("labels > 1")
+        open_ = per.groupBy("tok").agg((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))).alias("x"), F.count("*").alias("labels"))
+        open_ = materialise(open_.filter("labels > 1").select("tok", "x"))
         left = open_.agg(F.coalesce(F.sum("x") / 2, F.lit(0.0))).first()[0]
         if left == 0:
             break
-        nodes = now.agg(F.countDistinct("node")).first()[0]
-        live = now.join(open_.select("tok"), "tok", "left_semi").join(sizes.select("node", "n", "fold"), "node")
+        now = now.join(open_.select("tok"), "tok", "left_semi")  # a block within one label stays so
+        live = now.join(sizes.select("node", "n", "fold"), "node")
         # pivots go on while they connect more than a few classes; hardly any link is left then
         final = few or left <= 8 * nodes
         if final:  # every pair that shares a block and isn't known to be connected
@@ -207,16 +206,19 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
             pivot = live.groupBy("tok").agg(F.max_by(F.struct("node", "label", "n", "fold"), F.struct(rank, "node")).alias("p"))
             pivot = pivot.select("tok", F.col("p.node").alias("o"), F.col("p.label").alias("l"), F.col("p.n").alias("m"), F.col("p.fold").alias("f"))
             met = live.join(pivot, "tok").filter("label != l").withColumn("d", _distance("fold", "f")).filter(_near(percent))
-            best = F.row_number().over(Window.partitionBy("node").orderBy("d", "o"))
-            some = met.select("node", "o", "d").distinct().withColumn("rn", best).filter(F.col("rn") <= PIVOTS)
+            best = F.dense_rank().over(Window.partitionBy("node").orderBy("d", "o"))  # a pair may share many blocks
+            some = met.select("node", "o", "d").withColumn("rn", best).filter(F.col("rn") <= PIVOTS)
             pairs = some.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
         found = materialise(linked(pairs, texts, percent))
         links = found if links is None else links.unionByName(found)
-        labels = materialise(connected_components(links, materialise))
         if final:
             break
-        turn, few = turn + 1, found.count() * 1000 < nodes
-    return labels
+        # one round of stars joins each class with its pivots; longer paths shrink in later turns
+        links = materialise(star_round(links))
+        root = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        now = materialise(now.drop("label").join(root, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        turn, few = turn + 1, found.count() * 200 < nodes
+    return None if links is None else materialise(connected_components(links, materialise))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
