@@ -72,13 +72,15 @@ def patch(cmds: DataFrame, memories: DataFrame) -> DataFrame:
         F.when(ok & (priv == 0), F.col("_team0")).alias("team_id"))
 
 
-def touch(results: DataFrame, memories: DataFrame, as_of: Column) -> DataFrame:
+def touch(results: DataFrame, memories: DataFrame, as_of: Column, order: str = "query_id") -> DataFrame:
     """M7: every returned row gets last_accessed_at = as_of, access_count +
     times returned, and its stored decay_score overwritten with the raw
-    similarity of the last query (query_id order) that returned it."""
+    similarity of the last query that returned it.  ``order`` names the
+    column that tells which query came last; give a number or a time where
+    query ids are text, as text puts q7 after q1007."""
     per = results.groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.max_by("raw_similarity", "query_id").alias("_sim"))
+        F.max_by("raw_similarity", order).alias("_sim"))
     return (memories.join(per, "id", "inner")
             .select("id", (F.col("access_count") + F.col("_n")).cast("bigint").alias("access_count"),
                     F.col("_sim").alias("decay_score"), as_of.alias("last_accessed_at")))
