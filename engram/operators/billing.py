@@ -9,15 +9,20 @@ subscription item's price; an invoice does the same for the tenant that
 holds the customer at that moment; a deletion downgrades that tenant to
 free.  Unknown prices change nothing.
 
+Links that the tenants bring along count as attempts before the whole log.
+Only tenants of the table can link or change plan: the update of an unknown
+one touches no row.
+
 Whether a link attempt succeeds depends only on earlier attempts, so the
 outcomes are the fixpoint of "succeeds iff nobody else holds the customer",
-reached by iterating from "all succeed" (each round fixes at least one more
-level of the dependency chain; in practice one or two rounds).
+reached by iterating from "all succeed".  Each round settles at least one
+more level of the dependency chain, so the rounds end without a cap; in
+practice there are a few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.session import ensure_checkpoint_dir
@@ -26,6 +31,7 @@ CHECKOUT = "checkout.session.completed"
 INVOICE = "invoice.payment_succeeded"
 DELETED = "customer.subscription.deleted"
 FREE_PLAN = ("free", 10000)
+BEFORE_LOG = -(1 << 62)  # the ts of links that exist before the log
 
 EVENT_SCHEMA = ("struct<id:string, type:string, created:bigint, data:struct<object:struct<"
                 "customer:string, subscription:string, metadata:map<string,string>, "
@@ -66,8 +72,16 @@ def _signature(df: DataFrame):
     return (r["n"], r["h"])
 
 
-def link_outcomes(events: DataFrame, max_rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
-    """Link attempts (checkouts with tenant and customer) with ``ok``.
+def initial_links(tenants: DataFrame) -> DataFrame:
+    """The links the tenants have before the log, as attempts at ``BEFORE_LOG``."""
+    return tenants.filter(F.col("stripe_customer_id").isNotNull()).select(
+        F.concat(F.lit("link:"), F.col("id")).alias("event_id"), F.lit(BEFORE_LOG).cast("bigint").alias("ts"),
+        F.col("id").alias("tenant_id"), F.col("stripe_customer_id").alias("customer"))
+
+
+def link_outcomes(events: DataFrame, tenants: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+    """Link attempts (checkouts of known tenants with a customer, and the
+    links from before the log) with ``ok``.
 
     Only a customer claimed by two or more tenants can block anyone, so the
     iteration runs on the contested part of the log (those customers'
@@ -77,9 +91,12 @@ def link_outcomes(events: DataFrame, max_rounds: int = 64, checkpoint_every: int
     ensure_checkpoint_dir(spark)
     att = (events.filter((F.col("type") == CHECKOUT) & F.col("tenant_id").isNotNull()
                          & F.col("customer").isNotNull())
-           .select("event_id", "ts", "tenant_id", "customer"))
-    contested = (att.groupBy("customer").agg(F.countDistinct("tenant_id").alias("_n"))
-                 .filter(F.col("_n") > 1).select("customer"))
+           .select("event_id", "ts", "tenant_id", "customer")
+           .join(tenants.select(F.col("id").alias("tenant_id")), "tenant_id", "left_semi")
+           .select("event_id", "ts", "tenant_id", "customer")
+           .unionByName(initial_links(tenants)))
+    contested = (att.groupBy("customer").agg((F.min("tenant_id") != F.max("tenant_id")).alias("_n"))
+                 .filter("_n").select("customer"))
     involved = att.join(contested, "customer", "left_semi").select("tenant_id").distinct()
     hot = (att.join(contested.withColumn("_c", F.lit(True)), "customer", "left")
            .join(involved.withColumn("_i", F.lit(True)), "tenant_id", "left"))
@@ -89,16 +106,26 @@ def link_outcomes(events: DataFrame, max_rounds: int = 64, checkpoint_every: int
                                                F.lit(True).alias("ok"))
     ok = hot.filter(F.col("_play")).select("event_id", "ts", "tenant_id", "customer",
                                             F.lit(True).alias("ok")).checkpoint()
-    sig = _signature(ok)
-    for it in range(max_rounds):
+    sig, held, it = _signature(ok), [], 0
+    while True:
+        it += 1
         new = _link_round(ok)
-        new = new.checkpoint() if (it + 1) % checkpoint_every == 0 else new.cache()
+        cut = it % checkpoint_every == 0
+        new = new.checkpoint() if cut else new.cache()
         new_sig = _signature(new)
+        if cut:  # the rounds before are in the checkpoint
+            for old in held:
+                old.unpersist()
+            held = []
+        else:
+            held.append(new)
         ok = new
         if new_sig == sig:
-            return ok.unionByName(calm)
+            out = ok if cut else ok.checkpoint()
+            for old in held:
+                old.unpersist()
+            return out.unionByName(calm)
         sig = new_sig
-    raise RuntimeError("billing link outcomes did not converge")
 
 
 def _link_round(att: DataFrame) -> DataFrame:
@@ -158,10 +185,11 @@ def _owner_at(events: DataFrame, links: DataFrame) -> DataFrame:
             .select("event_id", F.col("tenant_id").alias("owner")))
 
 
-def effective_changes(events: DataFrame, plans: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def effective_changes(events: DataFrame, tenants: DataFrame, plans: DataFrame,
+                      links: DataFrame | None = None) -> DataFrame:
     """Plan changes that take effect: (tenant_id, ts, event_id, plan,
     memory_limit, kind)."""
-    links = link_outcomes(events) if links is None else links
+    links = link_outcomes(events, tenants) if links is None else links
     rejected = links.filter(~F.col("ok")).select("event_id", F.lit(True).alias("_rej"))
     ev = events.filter(~F.coalesce(F.col("rejected"), F.lit(False))).join(rejected, "event_id", "left")
     owners = _owner_at(events, links)
@@ -173,12 +201,13 @@ def effective_changes(events: DataFrame, plans: DataFrame, links: DataFrame | No
                & F.col("plan").isNotNull())
     deleted = (F.col("type") == DELETED) & F.col("owner").isNotNull()
     target = F.when(checkout, F.col("tenant_id")).when(invoice | deleted, F.col("owner"))
-    return ev.filter(checkout | invoice | deleted).select(
+    changes = ev.filter(checkout | invoice | deleted).select(
         target.alias("tenant_id"), "ts", "event_id",
         F.when(deleted, F.lit(FREE_PLAN[0])).otherwise(F.col("plan")).alias("plan"),
         F.when(deleted, F.lit(FREE_PLAN[1]).cast("bigint")).otherwise(F.col("memory_limit"))
         .alias("memory_limit"),
         F.col("type").alias("kind"))
+    return changes.join(tenants.select(F.col("id").alias("tenant_id")), "tenant_id", "left_semi")
 
 
 def _typed(events: DataFrame) -> DataFrame:
@@ -192,8 +221,8 @@ def _typed(events: DataFrame) -> DataFrame:
 def plan_state(events: DataFrame, tenants: DataFrame, plans: DataFrame) -> DataFrame:
     """B1: each tenant's plan, limit and linked customer after the log."""
     events = _typed(events)
-    links = link_outcomes(events)
-    changes = effective_changes(events, plans, links)
+    links = link_outcomes(events, tenants)
+    changes = effective_changes(events, tenants, plans, links)
     last = changes.groupBy("tenant_id").agg(F.max_by(F.struct("plan", "memory_limit"),
                                                      F.struct("ts", "event_id")).alias("_p"))
     cust = links.filter("ok").groupBy("tenant_id").agg(F.max_by("customer", F.struct("ts", "event_id")).alias("_c"))
@@ -205,10 +234,10 @@ def plan_state(events: DataFrame, tenants: DataFrame, plans: DataFrame) -> DataF
                     F.coalesce(F.col("_c"), F.col("stripe_customer_id")).alias("stripe_customer_id")))
 
 
-def plan_history(events: DataFrame, plans: DataFrame) -> DataFrame:
+def plan_history(events: DataFrame, tenants: DataFrame, plans: DataFrame) -> DataFrame:
     """B2: each effective change as a validity interval [valid_from,
     valid_to) per tenant."""
-    c = effective_changes(_typed(events), plans)
+    c = effective_changes(_typed(events), tenants, plans)
     w = Window.partitionBy("tenant_id").orderBy("ts", "event_id")
     return c.select("tenant_id", "event_id", "plan", "memory_limit", "kind",
                     F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
@@ -221,7 +250,3 @@ def highest_plan(items: DataFrame, plans: DataFrame) -> DataFrame:
     return j.groupBy("subscription").agg(
         F.max_by(F.struct("plan", "memory_limit"), "memory_limit").alias("_b")).select(
         "subscription", F.col("_b.plan").alias("plan"), F.col("_b.memory_limit").alias("memory_limit"))
-
-
-def seq_col(ts: Column, key: Column) -> Column:
-    return F.struct(ts, key)

@@ -39,7 +39,9 @@ def _billing_ctes() -> list[str]:
              "plans AS (SELECT * FROM (VALUES ('price_developer', 'developer', 200000::BIGINT), "
              "('price_pro', 'pro', 2000000::BIGINT)) v(price, plan, memory_limit))",
              "r0 AS MATERIALIZED (SELECT event_id, ts, tenant_id, customer, true AS ok FROM bev "
-             "WHERE type = 'checkout.session.completed' AND tenant_id IS NOT NULL AND customer IS NOT NULL)"]
+             "WHERE type = 'checkout.session.completed' AND tenant_id IN (SELECT 'tc' || c_custkey FROM customer) "
+             "AND customer IS NOT NULL UNION ALL SELECT 'link:tc' || c_custkey, (-4611686018427387904)::BIGINT, "
+             "'tc' || c_custkey, 'cus_' || (c_custkey + 2), true FROM customer WHERE c_custkey % 3 = 0)"]
     for k in range(1, ROUNDS + 1):
         p = f"r{k - 1}"
         parts.append(f"""r{k} AS MATERIALIZED (
@@ -74,11 +76,13 @@ def _billing_ctes() -> list[str]:
         LEFT JOIN owners o USING (event_id)
         LEFT JOIN plans p USING (price)
         LEFT JOIN (SELECT event_id FROM links WHERE NOT ok) rj USING (event_id)
-        WHERE (e.type = 'checkout.session.completed' AND rj.event_id IS NULL AND e.subscription IS NOT NULL
+        WHERE CASE WHEN e.type = 'checkout.session.completed' THEN e.tenant_id ELSE o.owner END
+              IN (SELECT 'tc' || c_custkey FROM customer)
+          AND ((e.type = 'checkout.session.completed' AND rj.event_id IS NULL AND e.subscription IS NOT NULL
                AND e.tenant_id IS NOT NULL AND p.plan IS NOT NULL)
            OR (e.type = 'invoice.payment_succeeded' AND e.subscription IS NOT NULL AND o.owner IS NOT NULL
                AND p.plan IS NOT NULL)
-           OR (e.type = 'customer.subscription.deleted' AND o.owner IS NOT NULL))""")
+           OR (e.type = 'customer.subscription.deleted' AND o.owner IS NOT NULL)))""")
     return parts
 
 
@@ -88,7 +92,8 @@ def _sql(body: str) -> str:
 
 _PLAN_STATE_BODY = """
     SELECT 'tc' || c.c_custkey AS tenant_id,
-           coalesce(lc.plan, 'free') AS plan, coalesce(lc.memory_limit, 10000)::BIGINT AS memory_limit,
+           coalesce(lc.plan, CASE WHEN c_custkey % 3 = 0 THEN 'pro' ELSE 'free' END) AS plan,
+           coalesce(lc.memory_limit, CASE WHEN c_custkey % 3 = 0 THEN 2000000 ELSE 10000 END)::BIGINT AS memory_limit,
            ll.customer AS stripe_customer_id
     FROM customer c
     LEFT JOIN (SELECT tenant_id, arg_max(plan, (ts, event_id)) AS plan,
@@ -113,7 +118,8 @@ def q_plan_state(spark, sf_dir):
            lead(ts) OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS valid_to
     FROM changes"""))
 def q_plan_history(spark, sf_dir):
-    return B.plan_history(_events(spark, sf_dir), B.plans_table(spark, FX.FIXTURE_PLANS))
+    return B.plan_history(_events(spark, sf_dir), FX.billing_tenants_fx(spark, sf_dir),
+                          B.plans_table(spark, FX.FIXTURE_PLANS))
 
 
 @register("billing_parse", """

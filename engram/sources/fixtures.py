@@ -353,10 +353,15 @@ def billing_events_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def billing_tenants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tenant per customer.  Every third is on the pro plan and holds
+    customer cus_<c_custkey + 2> before the log, so it meets that customer's
+    own tenant there."""
     c = load_raw(spark, sf_dir, "customer")
-    return c.select(F.concat(F.lit("tc"), F.col("c_custkey")).alias("id"), F.lit("free").alias("plan"),
-                    F.lit(10000).cast("bigint").alias("memory_limit"),
-                    F.lit(None).cast("string").alias("stripe_customer_id"))
+    linked = F.col("c_custkey") % 3 == 0
+    return c.select(F.concat(F.lit("tc"), F.col("c_custkey")).alias("id"),
+                    F.when(linked, F.lit("pro")).otherwise(F.lit("free")).alias("plan"),
+                    F.when(linked, F.lit(2000000)).otherwise(F.lit(10000)).cast("bigint").alias("memory_limit"),
+                    F.when(linked, F.concat(F.lit("cus_"), F.col("c_custkey") + 2)).alias("stripe_customer_id"))
 
 
 def subscription_items_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
