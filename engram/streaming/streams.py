@@ -3,12 +3,13 @@
 * ST1 ``ingest_stream``: fact arrivals per micro-batch -> M2 store against
   the previous snapshot, each batch overwriting snapshot ``v<batchId>`` (a
   replayed batch recomputes the same version, so the sink is idempotent).
-* ST2 ``touch_stream``: returned-result streams -> M7 per micro-batch.
+* ST2 ``touch_stream``: returned-result streams -> M7 per micro-batch on top
+  of the touches of the batches before.
 * ST3 ``rate_limit_stream``: the U2 state machine per key with
-  ``applyInPandasWithState``; state is (count, reset) per key and is dropped
-  once the watermark passes the window's end (event-time timeout).
-* ST4 ``billing_stream``: redelivered events dropped within the watermark,
-  then the log is appended and B1 recomputed per micro-batch.
+  ``applyInPandasWithState``; state is (count, reset, start) per key.  No
+  event is late: every one gets its outcome.
+* ST4 ``billing_stream``: events whose id is in the log already are dropped,
+  the rest are appended and B1 recomputed per micro-batch.
 * ST5 ``metering_stream``: event-time tumbling (or sliding) windows with a
   watermark.
 """
@@ -43,17 +44,23 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a streaming query over all available input (``availableNow``)
-    into a memory table and return that table as a batch DataFrame.  Each
-    run gets fresh names, so a second run re-reads the whole input."""
+    into Parquet below the checkpoint folder and return that as a batch
+    DataFrame.  In append mode each batch has a folder of its own, otherwise
+    it replaces the one before.  Each run gets fresh names, so a second run
+    re-reads the whole input."""
     import uuid
 
     spark = df.sparkSession
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    chk = checkpoint or f"{_checkpoint_root(spark).rstrip('/')}/stream-{name}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", chk).trigger(availableNow=True).start())
+    root = f"{_checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{root}/out/empty")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/" + (f"b{batch_id}" if mode == "append" else "latest"))
+
+    q = (df.writeStream.foreachBatch(per_batch).outputMode(mode)
+         .option("checkpointLocation", checkpoint or f"{root}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{root}/out/*")
 
 
 # --------------------------------------------------------------------------- ST5
@@ -76,11 +83,9 @@ RATE_OUT = "key string, event_id long, t long, accepted boolean, window_start lo
 RATE_STATE = "count long, reset long, start long"
 
 
-def _rate_fn(n: int, window_s: int):
+def _rate_fn(n: int, window_s: int, ttl_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # the key's window ended before the watermark: forget it (the
-            # service's periodic cleanup of expired entries)
+        if state.hasTimedOut:  # the service's periodic cleanup of idle entries
             state.remove()
             return
         count, reset, start = state.get if state.exists else (0, None, None)
@@ -96,11 +101,9 @@ def _rate_fn(n: int, window_s: int):
                 count += 1
                 acc.append(True)
             starts.append(start)
-        if (reset + 1) * 1000 > state.getCurrentWatermarkMs():
-            state.update((count, reset, start))
-            state.setTimeoutTimestamp((reset + 1) * 1000)
-        else:
-            state.remove()
+        state.update((count, reset, start))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(),
                             "t": batch["t"].to_numpy(), "accepted": acc, "window_start": starts})
 
@@ -108,16 +111,18 @@ def _rate_fn(n: int, window_s: int):
 
 
 def rate_limit_stream(events: DataFrame, n: int = 5, window_s: int = 3600,
-                      late: str = "0 seconds") -> DataFrame:
+                      ttl_ms: int | None = None) -> DataFrame:
     """U2 per key with per-key state; equal to the batch operator when each
-    key's events arrive in time order.  State expires by event time: once
-    the watermark passes a key's reset, the key starts afresh anyway."""
+    key's events arrive in time order.  Keys do not wait for one another: a
+    watermark would drop the events of a key that trails the others.  State
+    is three numbers per key; ``ttl_ms`` forgets a key that long idle on the
+    clock, and must exceed the window and the delay of the input."""
     from engram.session import ship_package
 
     ship_package(events.sparkSession)
-    e = events.withColumn("_et", F.timestamp_seconds("t")).withWatermark("_et", late)
-    return e.groupBy("key").applyInPandasWithState(
-        _rate_fn(n, window_s), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("key").applyInPandasWithState(
+        _rate_fn(n, window_s, ttl_ms), RATE_OUT, RATE_STATE, "append", timeout)
 
 
 # --------------------------------------------------------------------------- ST1 / ST2 / ST4
@@ -145,35 +150,51 @@ def ingest_stream(arrivals: DataFrame, snapshot_root: str, initial: DataFrame, a
             .trigger(availableNow=True).start())
 
 
-def touch_stream(results: DataFrame, memories: DataFrame, as_of, sink_root: str, checkpoint: str):
-    """ST2: M7 per micro-batch, written as one touch table per batch id."""
+def touch_stream(results: DataFrame, memories: DataFrame, as_of, sink_root: str, checkpoint: str,
+                 order: str = "query_id"):
+    """ST2: M7 per micro-batch.  Version ``v<batchId>`` (and ``latest``) has
+    one row per memory touched so far; a batch starts from the version
+    before it, so counts add up and a replayed batch writes the same rows."""
     from engram.operators.mutate import touch
 
+    spark = results.sparkSession
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        touch(batch, memories, as_of).write.mode("overwrite").parquet(f"{sink_root}/b{batch_id}")
+        if batch_id == 0:
+            new = touch(batch, memories, as_of, order)
+        else:
+            old = spark.read.parquet(f"{sink_root}/v{batch_id - 1}")
+            counts = old.select("id", F.col("access_count").alias("_count"))
+            now = (memories.join(counts, "id", "left")
+                   .withColumn("access_count", F.coalesce("_count", "access_count")).drop("_count"))
+            touched = touch(batch, now, as_of, order)
+            new = touched.unionByName(old.join(batch.select("id"), "id", "left_anti"))
+        new.write.mode("overwrite").parquet(f"{sink_root}/v{batch_id}")
+        spark.read.parquet(f"{sink_root}/v{batch_id}").write.mode("overwrite").parquet(f"{sink_root}/latest")
 
     return (results.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def billing_stream(events: DataFrame, tenants: DataFrame, plans: DataFrame, log_root: str,
-                   state_root: str, checkpoint: str, watermark: str = "7 days"):
-    """ST4: redelivered events (same event id) are dropped within the
-    watermark; each batch appends to the log and recomputes B1, writing
-    version ``v<batchId>`` and ``latest``."""
+                   state_root: str, checkpoint: str):
+    """ST4: redelivered events (an event id the log or the batch has already)
+    are dropped, however late they or others come; each batch appends to the
+    log and recomputes B1, writing version ``v<batchId>`` and ``latest``."""
     from engram.operators.billing import plan_state
 
     spark = events.sparkSession
-    deduped = (events.withColumn("_evt_time", F.timestamp_seconds("ts"))
-               .withWatermark("_evt_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
-               .drop("_evt_time"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_root}/b{batch_id}")
-        log = spark.read.parquet(f"{log_root}/b*")
-        state = plan_state(log, tenants, plans).checkpoint()
-        state.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
-        state.write.mode("overwrite").parquet(f"{state_root}/latest")
-
-    return (deduped.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+        earlier = [f"{log_root}/b{i}" for i in range(batch_id)]
+        named = batch.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+        if earlier:
+            named = named.join(spark.read.parquet(*earlier).select("event_id"), "event_id", "left_anti")
+        new = named.unionByName(batch.filter(F.col("event_id").isNull()))
+        new.write.mode("overwrite").parquet(f"{log_root}/b{batch_id}")
+        log = spark.read.parquet(*earlier, f"{log_root}/b{batch_id}")
+        plan_state(log, tenants, plans).write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
+        spark.read.parquet(f"{state_root}/v{batch_id}").write.mode("overwrite").parquet(f"{state_root}/latest")
+
+    return (events.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
