@@ -29,14 +29,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near duplicates."""
-    groups = parity_join.near_duplicates(docs)
-    # a document that stands for its group, or has no words, stays; equal rows of one stay once
-    leads = groups.filter((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id"))).select(
-        F.col("doc_id").alias("_d"), F.col("td").alias("_td"), (F.col("n_shingles") > 0).alias("_words"), F.col("component_id").alias("_c")
-    ).distinct()
+    """Keep the document with the least doc_id (then text digest; null ids last) of each group
+    of near duplicates."""
+    groups = materialise(parity_join.near_duplicates(docs))
+    # groups go by the number of their component: ids may be null, or shared by different texts
+    place = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("td").alias("t"))
+    first = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(place).alias("p"))
+    leads = first.select(F.col("p.d").alias("_d"), F.col("p.t").alias("_td"), F.lit(True).alias("_words"), F.col("component").alias("_c"))
+    # a document without words stays; equal rows of a lead stay once
+    blank = groups.filter("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("td").alias("_td"), F.lit(False).alias("_words"), F.col("component").alias("_c")).distinct()
     named = docs.withColumn("_t", F.unhex(F.md5("text")))
-    kept = named.join(leads, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_td")))
+    kept = named.join(leads.unionByName(blank), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_td")))
     words = kept.filter("_words").dropDuplicates(["_c"])
     return words.unionByName(kept.filter("not _words")).select(*docs.columns)
 

@@ -222,8 +222,10 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, td, n_shingles, component_id) for every row of ``docs`` (doc_id, text);
-    td is the MD5 of the text.  ``percent`` (at least 75) is the least similarity."""
+    """(doc_id, td, n_shingles, component_id, component) for every row of ``docs`` (doc_id,
+    text); td is the MD5 of the text.  ``component`` numbers the component itself (null without
+    words): unlike component_id it is its own where ids are null or shared.  ``percent`` (at
+    least 75) is the least similarity."""
     feats = materialise(features(docs))
     classes = feats.filter("n > 0").groupBy("sk").agg(
         F.min("doc_id").alias("rep"), F.min("td").alias("td"), *(F.first(c).alias(c) for c in list(FEATURES) if c not in ("doc_id", "td", "sk"))
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
         member = joined.join(least, "component")
     else:
-        member = member.withColumnRenamed("rep", "component_id")
-    return feats.select("doc_id", "td", F.col("n").alias("n_shingles"), "sk").join(member.select("sk", "component_id"), "sk", "left").select(
-        "doc_id", "td", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        member = member.withColumnRenamed("rep", "component_id").withColumnRenamed("node", "component")
+    return feats.select("doc_id", "td", F.col("n").alias("n_shingles"), "sk").join(member.select("sk", "component_id", "component"), "sk", "left").select(
+        "doc_id", "td", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"
     )

@@ -47,3 +47,14 @@ def test_run_and_empty(spark, docs):
     empty = docs.select(*COLUMNS).limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_duplicates_keep_one_row_per_component(spark):
+    """Null ids and one id under several texts: one row stays of each group, whatever its id."""
+    text = lambda k, n=30: " ".join(f"g{k}w{i}" for i in range(n))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(6)), (8, text(6) + " end"), (None, text(4)), (5, text(5, 29)), (None, ""), (7, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, df, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(
+        [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (5, text(5, 29)), (7, text(6)), (None, ""), (7, None)]
+    )
