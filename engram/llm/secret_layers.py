@@ -12,9 +12,9 @@ Base findings of the text itself are always kept.  Spans are code points, end
 exclusive.
 
 Edge cases: null and empty texts have none; whole texts are searched; runs that
-don't decode, or decode to something unreadable, are left; decompression is
-bounded by ``MAX_RATIO`` times its input (a longer output is scanned up to that
-size); repeated rows give repeated results; extra columns are ignored.
+don't decode, or decode to something unreadable, are left; compressed data is
+inflated whole, all members of it (deflate expands at most 1032 times); base64
+wrapped over lines is decoded as one run as well as line by line; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
 _HINTS = ("passw", "secret", "token", "api")
 
-MAX_RATIO = 1000
-_PERCENT = re.compile(r"(?:[^\s%]{0,200}%[0-9A-Fa-f]{2})+[^\s%]{0,200}")
-_UNICODE = re.compile(r"(?:\\u\{?[0-9A-Fa-f]{4,6}\}?|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,8};)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
+_UNICODE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,8};)")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 
 
 def find_base(text: str) -> list[tuple[int, int, int]]:
@@ -83,12 +84,18 @@ def _readable(text: str) -> bool:
 
 
 def _inflate(data: bytes) -> bytes | None:
+    """All members of compressed data; what follows the last one is no part of it."""
+    out = []
     for head, bits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
-        if data.startswith(head):
+        while data.startswith(head):
+            member = zlib.decompressobj(bits)
             try:
-                return zlib.decompressobj(bits).decompress(data, MAX_RATIO * len(data) + 1000)
+                out.append(member.decompress(data) + member.flush())
             except zlib.error:
-                return None
+                break
+            data = member.unused_data
+        if out:
+            return b"".join(out)
     return None
 
 
@@ -133,14 +140,40 @@ def _character(escape: str) -> str:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "�"
 
 
+def _wrapped(block: str) -> list[tuple[int, int]]:
+    """The parts of a block of base64 lines that may be one wrapped run: the first line
+    may follow other text; of the others all have the length of the second but the last,
+    which may be shorter (with or without it, since a word may follow)."""
+    lines = [m.span() for m in _LINE.finditer(block)]
+    size = [b - a for a, b in lines]
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at + 1 < len(lines):
+        to = at + 2
+        if size[at + 1] >= 16:
+            while to < len(lines) and size[to] == size[at + 1]:
+                to += 1
+            if to - at > 1:
+                out.append((lines[at][0], lines[to - 1][1]))
+            if to < len(lines) and size[to] < size[at + 1]:
+                out.append((lines[at][0], lines[to][1]))
+        elif size[at] >= 16:
+            out.append((lines[at][0], lines[at + 1][1]))
+        at = to - 1
+    return out
+
+
 def _runs(text: str):
     """(start, end, decoded pieces) of the encoded runs of a layer."""
+    # escapes are rewritten in place, together with the words around them
     if "%" in text:
-        for m in _PERCENT.finditer(text):
-            yield m.start(), m.end(), _percent(m[0])
+        for m in re.finditer(r"\S+", text):
+            if "%" in m[0] and _ESCAPED.search(m[0]):
+                yield m.start(), m.end(), _percent(m[0])
     if "\\" in text or "&" in text:
-        # escapes are rewritten in place, together with the words around them
-        for m in re.finditer(r"\S*(?:\\[ux]|&)\S*", text):
+        for m in re.finditer(r"\S+", text):
+            if "\\" not in m[0] and "&" not in m[0]:
+                continue
             pieces, at = [], 0
             for e in _UNICODE.finditer(m[0]):
                 if e.start() > at:
@@ -155,6 +188,12 @@ def _runs(text: str):
         plain = _from_base64(m[0])
         if plain is not None:
             yield m.start(), m.end(), [(plain, 0, m.end() - m.start(), False)]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            for a, b in _wrapped(m[0]):
+                plain = _from_base64("".join(_LINE.findall(m[0], a, b)))
+                if plain is not None:
+                    yield m.start() + a, m.start() + b, [(plain, 0, b - a, False)]
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -473,3 +473,45 @@ def test_nested_layers():
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
     assert secret_layers.find_secrets(bomb)[0] == []
     assert secret_layers.find_secrets(None) == secret_layers.find_secrets("") == ([], [])
+
+
+def test_encoded_runs_are_decoded_whole():
+    import base64
+    import gzip
+
+    b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    found = lambda text: {(k, text[a:b]) for a, k, b in secret_layers.find_secrets(text)[1]}
+    run = b64("password=hunter2hunter2")
+    assert (0, run) in found(f"data={run}") and (0, run) in found(f"x {b64('some other words')}={run} y")  # after an equals sign
+    # four hex digits, whatever follows; braces take one to six
+    assert (0, "token\\u003dabcdefabcdefabc") in found("a token\\u003dabcdefabcdefabc b")
+    assert (0, "\\u0070assword=hunter2hunter2") in found("\\u0070assword=hunter2hunter2")
+    assert (0, "token\\u{3d}abcdefabcdefabc") in found("token\\u{3d}abcdefabcdefabc")
+    # more than 200 plain characters around percent escapes
+    long = b64("\u00fb\u00ef words, " * 40 + "password=hunter2hunter2" + " and more words" * 40)
+    assert len(long) > 1000
+    for k in (5, 300, 601, 900):
+        coded = long[:k] + f"%{ord(long[k]):02X}" + long[k + 1 :]
+        assert any(c == 0 for _, c, _ in secret_layers.find_secrets(f"see {coded} there")[1]), k
+    # wrapped lines, bare and after a label, with any line end and a word behind
+    raw = b"\x1f" + b"words " * 8
+    secret = gzip.compress(bytes(random.Random(1).randrange(97, 123) for _ in range(300)) + b" password=hunter2hunter2", mtime=0)
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n  "):
+            body = b64(secret)
+            lines = [body[i : i + width] for i in range(0, len(body), width)]
+            for before, after in (("", ""), ("key:\n", "\nword\n"), ("blob: ", " tail")):
+                text = before + end.join(lines) + after
+                assert (0, end.join(lines)) in found(text), (width, end, before)
+    # every member, to the end of a long output
+    two = gzip.compress(b"a" * 3_000_000 + b" ") + gzip.compress(b"password=hunter2hunter2")
+    assert (0, b64(two)) in found(b64(two))
+    assert found(b64(raw)) == set()
+
+
+def test_escape_search_is_linear():
+    import time
+
+    begin = time.process_time()
+    secret_layers.find_secrets("a" * 400_000 + " \\ & % " + "Ab/" * 100_000 + "\n" + "Q" * 400_000)
+    assert time.process_time() - begin < 20
