@@ -1,55 +1,61 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over two neighbouring line hashes chooses
-the chunk boundaries, so they depend on the lines around them alone and survive
-insertions before them.  A line of ``HEAVY`` or more words is a chunk by itself.
-Chunks of several lines (and ``MIN_WORDS`` words), and heavy lines, that occur
-more than once anywhere are kept where they come first (by doc_id, text digest
-and position) and removed elsewhere, once their bytes equal those kept.
+A chunk is a shortest run of whole lines that may be removed: two or more lines of
+``MIN_WORDS`` words together, or one line of ``HEAVY`` words.  Every line begins
+the shortest run from it and ends the shortest run up to it, so chunks overlap,
+depend on their own lines alone, and together cover every longer run: of a passage
+found elsewhere before, all whole lines go, whatever stands around it.
+Chunks that occur more than once anywhere are kept where they come first (by
+doc_id, text digest and position) and removed elsewhere: neighbouring chunks with
+neighbouring first places are joined, and their bytes must equal those kept.
 
 Edge cases: null and empty texts stay as they are; a document whose chunks all
 occur earlier ends up empty, not dropped; rows equal in doc_id and text are one
-document listed twice and are edited alike; null doc_ids come last; extra
+document listed twice and are edited alike; a chunk that overlaps its own first
+place in a document (lines repeated at once) stays; null doc_ids come last; extra
 columns pass through.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, map_batches, materialise, mix, separators, span_hashes, word_spans
+from .common import _POWERS, U64, map_batches, materialise, mix, span_hashes
 
 HEAVY = 30
 MIN_WORDS = 20
-MEAN_LINES = 3
-_NEWLINE = separators(b"\n")
 
 
 def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the chunks of a text: first lines, ends (one past the last line), and
-    128-bit hashes of those that may be removed (two columns; zeros for others)."""
+    """Of the chunks of a text, by their lines: first lines, ends (one past the last line),
+    and 128-bit hashes (two columns; zeros for those that overlap their first place)."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    n = len(lines)
     raw = np.frombuffer(b"\n".join(lines), np.uint8)
     size = np.array([len(x) for x in lines])
     start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     words = np.array([len(x.split()) for x in lines])
-    h = span_hashes(raw, start, start + size) if len(raw) else np.zeros(len(lines), U64)
-    rolling = mix(np.concatenate(([U64(0)], h[:-1])) * U64(0x9E3779B97F4A7C15) + h)
+    h = span_hashes(raw, start, start + size) if len(raw) else np.zeros(n, U64)
+    total = np.concatenate(([0], np.cumsum(words)))
     heavy = words >= HEAVY
-    ends = (rolling % U64(MEAN_LINES) == 0) | heavy
-    ends[:-1] |= heavy[1:]
-    ends[-1] = True
-    to = np.flatnonzero(ends) + 1
-    at = np.concatenate(([0], to[:-1]))
-    total = np.add.reduceat(words, at)
-    usable = ((to - at >= 2) & (total >= MIN_WORDS)) | heavy[at]
+    each = np.arange(n)
+    to = np.where(heavy, each + 1, np.maximum(each + 2, np.searchsorted(total, total[:-1] + MIN_WORDS)))
+    at = np.where(heavy, each, np.minimum(each - 1, np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1))
+    pairs = np.unique(np.concatenate((each[to <= n] * (n + 1) + to[to <= n], at[at >= 0] * (n + 1) + each[at >= 0] + 1)))
+    at, to = pairs // (n + 1), pairs % (n + 1)
+    # a run's hash is a difference of prefix sums, scaled back to its first line
+    _POWERS.grow(n + 1)
     keys = np.zeros((len(at), 2), U64)
-    place = np.arange(len(lines)) - np.repeat(at, to - at)
     for k, salt in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
-        keys[:, k] = np.add.reduceat(mix(h + U64(salt) * (place.astype(U64) + U64(1))), at)
-    keys[~usable] = 0
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(mix(h + U64(salt)) * _POWERS.up[:n], out=sums[1:])
+        keys[:, k] = mix((sums[to] - sums[at]) * _POWERS.down[at] + (to - at).astype(U64) * U64(salt))
+    if len(at):
+        _, first, same = np.unique(keys[:, 0], return_index=True, return_inverse=True)
+        first = first[same]
+        keys[(np.arange(len(at)) > first) & (at < to[first])] = 0
     return at, to, keys
 
 
@@ -62,40 +68,43 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = _identified(docs)
 
     def split(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"_id": [], "doc_id": [], "pos": [], "key": []}
+        out: dict[str, list] = {"_id": [], "doc_id": [], "pos": [], "end": [], "key": []}
         for uid, doc_id, text in zip(cols["_id"], cols["doc_id"], cols["text"]):
             if text:
-                at, _, keys = chunk_lines(text)
+                at, to, keys = chunk_lines(text)
                 for i in np.flatnonzero(keys.any(axis=1)):
-                    for k, v in zip(out, (uid, doc_id, int(at[i]), keys[i].tobytes())):
+                    for k, v in zip(out, (uid, doc_id, int(at[i]), int(to[i]), keys[i].tobytes())):
                         out[k].append(v)
         return out
 
-    chunks = materialise(map_batches(named.select("_id", "doc_id", "text"), {"_id": "binary", "doc_id": "long", "pos": "int", "key": "binary"}, split).distinct())
+    schema = {"_id": "binary", "doc_id": "long", "pos": "int", "end": "int", "key": "binary"}
+    chunks = materialise(map_batches(named.select("_id", "doc_id", "text"), schema, split))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("_id").alias("u"), F.col("pos").alias("p"))
-    repeated = materialise(chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    # rows that repeat a document have the same places
+    repeated = chunks.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+    later = chunks.join(repeated, "key").filter((F.col("_id") != F.col("first.u")) | (F.col("pos") != F.col("first.p")))
+    # chunks that meet or overlap, and do so where they come first, are one run
+    near = Window.partitionBy("_id", "u", "shift").orderBy("pos", "end")
+    so_far = F.max("end").over(near.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.select("_id", "pos", "end", F.col("first.u").alias("u"), (F.col("first.p") - F.col("pos")).alias("shift"))
+    later = later.withColumn("new", F.coalesce((F.col("pos") > so_far).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(near))
+    runs = later.groupBy("_id", "u", "shift", "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+    runs = materialise(runs.select("_id", "u", "pos", "end", (F.col("pos") + F.col("shift")).alias("p"), (F.col("end") + F.col("shift")).alias("e")))
     # the bytes that are kept: read again from the documents that have them
-    keepers = repeated.groupBy(F.col("first.u").alias("_id")).agg(F.collect_list(F.struct(F.col("first.p").alias("p"), "key")).alias("k"))
+    keepers = runs.select("u", "p", "e").distinct().groupBy(F.col("u").alias("_id")).agg(F.collect_list(F.struct("p", "e")).alias("k"))
 
     def kept(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": [], "bytes": []}
-        for text, wanted in zip(cols["text"], cols["k"]):
+        out: dict[str, list] = {"u": [], "p": [], "e": [], "bytes": []}
+        for uid, text, wanted in zip(cols["_id"], cols["text"], cols["k"]):
             lines = text.split("\n")
-            at, to, _ = chunk_lines(text)
-            end = dict(zip(at.tolist(), to.tolist()))
             for x in wanted:
-                out["key"].append(x["key"])
-                out["bytes"].append("\n".join(lines[x["p"] : end[x["p"]]]).encode("utf-8", "surrogatepass"))
+                for k, v in zip(out, (uid, x["p"], x["e"], "\n".join(lines[x["p"] : x["e"]]).encode("utf-8", "surrogatepass"))):
+                    out[k].append(v)
         return out
 
-    first_text = named.join(keepers, "_id").dropDuplicates(["_id"]).select("text", "k")
-    originals = materialise(map_batches(first_text, {"key": "binary", "bytes": "binary"}, kept))
-    later = (
-        chunks.join(repeated, "key")
-        .filter((F.col("_id") != F.col("first.u")) | (F.col("pos") != F.col("first.p")))
-        .join(originals, "key")
-        .groupBy("_id").agg(F.collect_list(F.struct("pos", "bytes")).alias("_later"))
-    )
+    first_text = named.join(keepers, "_id").dropDuplicates(["_id"]).select("_id", "text", "k")
+    originals = materialise(map_batches(first_text, {"u": "binary", "p": "int", "e": "int", "bytes": "binary"}, kept))
+    later = runs.join(originals, ["u", "p", "e"]).groupBy("_id").agg(F.collect_list(F.struct("pos", "end", "bytes")).alias("_later"))
     edited = named.join(later, "_id", "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
@@ -110,12 +119,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lines = t.split("\n")
             drop: set[int] = set()
             if gone is not None and len(gone):
-                at, to, _ = chunk_lines(t)
-                end = dict(zip(at.tolist(), to.tolist()))
                 for x in gone:
-                    a = x["pos"]
-                    if "\n".join(lines[a : end[a]]).encode("utf-8", "surrogatepass") == bytes(x["bytes"]):
-                        drop.update(range(a, end[a]))
+                    a, b = x["pos"], x["end"]
+                    if "\n".join(lines[a:b]).encode("utf-8", "surrogatepass") == bytes(x["bytes"]):
+                        drop.update(range(a, b))
             out.append((t if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 

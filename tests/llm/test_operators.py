@@ -315,6 +315,47 @@ def test_line_chunks_do_not_shift():
     assert len(a - b) <= 1 and len(a) >= 5
 
 
+def brute_passages(rows):
+    """Every run of lines of two or more lines and MIN_WORDS words, or of HEAVY words, is
+    looked up in all documents before and in the lines before it."""
+    seen, out = {}, []
+    for k, (doc_id, text) in enumerate(rows):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                n = sum(len(x.split()) for x in lines[a:b])
+                if n >= line_chunks.HEAVY or (b - a >= 2 and n >= line_chunks.MIN_WORDS):
+                    first = seen.setdefault("\n".join(lines[a:b]), (k, b))
+                    if first[0] < k or first[1] <= a:
+                        gone.update(range(a, b))
+        out.append((doc_id, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
+def test_planted_passages_go_whole(spark):
+    """Passages of all shapes between different lines, also inside one document."""
+    rnd = random.Random(9)
+    word = lambda: f"v{rnd.randint(0, 10**7)}"
+    lines = lambda k, n: [" ".join(word() for _ in range(n)) for _ in range(k)]
+    rows, planted = [], []
+    for shape in [(4, 15), (6, 10), (10, 10), (13, 4), (2, 29), (1, 60), (25, 2)]:
+        for _ in range(6):
+            passage = lines(*shape)
+            planted.append(passage)
+            for _ in range(2):
+                rows.append((len(rows), "\n".join(lines(rnd.randint(1, 4), rnd.randint(1, 12)) + passage + lines(rnd.randint(1, 4), rnd.randint(1, 12)))))
+    rows.append((len(rows), "\n".join(planted[0][1:] + lines(2, 5) + planted[8] + lines(1, 3) + planted[8])))
+    inside = lines(5, 11)
+    rows.append((len(rows), "\n".join(inside + lines(2, 5) + inside + ["\u00e9 one word more"] + inside[:2])))
+    got = sorted((r["doc_id"], r["text"]) for r in line_chunks.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_passages(rows)
+    for i, passage in enumerate(planted):
+        assert "\n".join(passage) in got[2 * i][1] and not set(passage) & set(got[2 * i + 1][1].split("\n"))
+    # lines repeated at once: the first place stays whole
+    at, to, keys = line_chunks.chunk_lines("\n".join(["five words make a line"] * 40))
+    assert [a for a, k in zip(at.tolist(), keys) if k.any()][:2] == [0, 4]
+
+
 # 7. decontamination
 
 
