@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -54,6 +55,9 @@ BAD_NAMES = re.compile(
     r"tags?|pagination|pager|toolbar|search|copyright|legal|disclaimer|author-?bio|skip)(?:$|[^a-z])",
     re.I,
 )
+# What a name says of another element or of the topic, not of its own: no-sidebar, tag-news, layout--menu.
+STATE = re.compile(r"(?:(?:^|[-_])(?:no|not|has|have|with|without)[-_]|--).*$", re.I | re.S)
+TOPIC = re.compile(r"(?:type|format|status|category|cat|tag|term|tax|topic)[-_](?!(?:cloud|links?|lists?|box|bar)$)", re.I)
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 NAME_GOOD, NAME_BAD = 1500, -9000
 CHAIN, SIBLING = 700, 1100  # smoothness: neighbours in the page, neighbours in a container
@@ -67,44 +71,87 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 class Block:
     """A block of text: its open containers, its own pieces and those inside links."""
 
-    __slots__ = ("owner", "score", "hidden", "parts", "linked")
+    __slots__ = ("owner", "score", "hidden", "named", "parts", "linked")
 
-    def __init__(self, owner: int, score: int, hidden: bool) -> None:
-        self.owner, self.score, self.hidden = owner, score, hidden
+    def __init__(self, owner: int, score: int, hidden: bool, named: int) -> None:
+        self.owner, self.score, self.hidden, self.named = owner, score, hidden, named
         self.parts: list[str] = []
         self.linked = 0
 
 
-def _container(tag: str, attrs: str) -> tuple[int, bool]:
-    """Weight of an element and whether it is hidden."""
-    weight, hidden = TAG_WEIGHT.get(tag, 0), tag in HIDDEN_TAGS
+@lru_cache(10_000)
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether a class or id holds a good name, and a bad one; each name is judged by itself."""
+    good = bad = False
+    for name in value.split():
+        if TOPIC.match(name):
+            continue
+        name = STATE.sub("", name)
+        if BAD_NAMES.search(name):
+            bad = True
+        elif GOOD_NAMES.search(name):
+            good = True
+    return good, bad
+
+
+def _container(tag: str, attrs: str) -> tuple[int, bool, int, bool]:
+    """Weight of an element without its bad names, whether it is hidden, the weight of its
+    bad names, and whether it speaks for content around it."""
+    weight, hidden, against = TAG_WEIGHT.get(tag, 0), tag in HIDDEN_TAGS, 0
+    speaks = tag in ("main", "article", "h1")
     if attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                weight += NAME_BAD if BAD_NAMES.search(value) else NAME_GOOD if GOOD_NAMES.search(value) else 0
+                good, bad = _names(value)
+                against += NAME_BAD * bad
+                weight += NAME_GOOD * good
+                speaks |= good
             elif name == "role":
                 weight += NAME_BAD if value.lower() in BAD_ROLES else TAG_WEIGHT["article"] if value.lower() in ("main", "article") else 0
+                speaks |= value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 hidden = True
-    return weight, hidden
+    return weight, hidden, against, speaks
+
+
+def _weigh_names(found: list[Block], names: list[list]) -> None:
+    """Add the weight of bad names to the blocks inside.  A container that holds more than half
+    of the page's text outside links, and a heading or container that speaks for content (or is
+    one), is no boilerplate whatever its name.  ``names``: outer one, weight, whether it speaks."""
+    mass = [0] * len(names)
+    for b in found:
+        mass[b.named] += max(0, sum(map(len, b.parts)) - b.linked)
+    every = sum(mass)
+    for i in range(len(names) - 1, 0, -1):
+        outer, _, speaks = names[i]
+        mass[outer] += mass[i]
+        names[outer][2] |= speaks
+    total = [0] * len(names)
+    for i in range(1, len(names)):
+        outer, weight, speaks = names[i]
+        total[i] = total[outer] + (0 if speaks and 2 * mass[i] > every else weight)
+    for b in found:
+        b.score += total[b.named]
 
 
 def blocks(source: str) -> list[Block]:
     """The text blocks of a page in order, without those that never show."""
     out: list[Block] = []
-    # open elements: tag, number of the nearest block container, summed weight, hidden, in a link
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # open elements: tag, number of the nearest block container, summed weight, hidden, in a link,
+    # number of the nearest container with a bad name
+    stack: list[tuple[str, int, int, bool, bool, int]] = [("", 0, 0, False, False, 0)]
+    names: list[list] = [[0, 0, False]]
     made, current = 0, None
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
         nonlocal current
-        _, owner, score, hidden, link = stack[-1]
+        _, owner, score, hidden, link, named = stack[-1]
         if current is None:
             if piece.isspace():
                 return
-            current = Block(owner, score, hidden)
+            current = Block(owner, score, hidden, named)
             out.append(current)
         current.parts.append(piece)
         if link:
@@ -149,8 +196,8 @@ def blocks(source: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in BLOCK_TAGS:
             continue
-        weight, hidden = _container(tag, m[3])
-        _, owner, score, was, link = stack[-1]
+        weight, hidden, against, speaks = _container(tag, m[3])
+        _, owner, score, was, link, named = stack[-1]
         if tag in BLOCK_TAGS:
             made += 1
             owner = made if tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dd", "dt") else owner
@@ -158,8 +205,15 @@ def blocks(source: str) -> list[Block]:
             close = _RAW_END[tag].search(source, at)
             at = close.end() if close else end
             continue
-        stack.append((tag, owner, score + weight, was or hidden, link or tag == "a"))
-    return [b for b in out if not b.hidden]
+        if against:
+            names.append([named, against, speaks])
+            named = len(names) - 1
+        elif speaks:
+            names[named][2] = True
+        stack.append((tag, owner, score + weight, was or hidden, link or tag == "a", named))
+    out = [b for b in out if not b.hidden]
+    _weigh_names(out, names)
+    return out
 
 
 def costs(block: Block, text: str) -> int:

@@ -177,6 +177,27 @@ def test_extraction_edges():
     assert e("<article><p" + " x" * 1000) == ""
 
 
+def test_extraction_inside_named_wrappers():
+    """Names that speak of something else, or of a wrapper of nearly everything, cost no text."""
+    paras = [f"Paragraph number {i} says something at length, with commas, and ends well." for i in range(6)]
+    body = "<h1>The title of it</h1>" + "".join(f"<p>{x}</p>" for x in paras)
+    rest = "<div class='widget tag-cloud'><p>Popular words today.</p></div><div id=comments><p>A reader's comment, quite long, with commas.</p></div>"
+    page = lambda open_, close: f"<div class=site-footer><p>All rights reserved here.</p></div>{open_}{body}{close}"
+    want = ["The title of it", *paras]
+    for names in (
+        "post-7 post type-post status-publish format-standard has-post-thumbnail hentry category-search tag-news", "content no-sidebar", "layout has-sidebar",
+        "layout--menu", "page_with_sidebar", "layout sidebar-right", "post tag-alert content",
+    ):
+        for tag in ("article", "main", "div", "section"):
+            inner = html_cut.extract(page(f'<{tag} class="{names}">', f"</{tag}>{rest}"))
+            outer = html_cut.extract(page(f'<div id="x" class="{names}"><{tag}>', f"</{tag}>{rest}</div>"))
+            assert inner.split() == outer.split() == " ".join(want).split(), (names, tag)
+    # names that are bad by themselves stay so, beside good ones and on articles
+    comments = "".join(f"<article class='comment-body'><p>Comment {i}, rather long, with commas, and more.</p></article>" for i in range(4))
+    for names in ("sidebar content", "main-menu", "tag-links", "cookie-notice", "widget--large", "site-footer"):
+        assert html_cut.extract(f"<article>{body}</article><div class='{names}'><p>Some other words here.</p></div>{comments}").split() == " ".join(want).split()
+
+
 def brute_cut(gain, edges):
     best = None
     for bits in range(1 << len(gain)):
