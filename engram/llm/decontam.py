@@ -8,11 +8,12 @@ no window holds.  One pass over a document finds every occurrence; the hit words
 map back to character spans of the original text.
 
 The automaton is built in each worker from the items, whose size is checked:
-above ``ITEM_BYTES`` of benchmark text, the items are scanned in slices of that
-size and the hits of the slices are united per document.
+above ``ITEM_BYTES`` of benchmark text, the items are dealt into slices of about
+that size.  The driver holds one slice at a time and broadcasts it; the hits of
+each are stored before the next, and united per document.
 
 Edge cases: null, empty or wordless texts and items have no words, windows or
-hits; overlapping and repeated windows count a word once; items with equal
+hits; a hit of an item without an id counts, but names no item (as in the SQL); overlapping and repeated windows count a word once; items with equal
 windows are all reported; rows that repeat a doc_id and text agree; extra
 columns are ignored.
 """
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import count
+from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialise
 
 WINDOW = 10
 ITEM_BYTES = 32 << 20
@@ -47,7 +49,7 @@ def lower_ascii(text: str) -> str:
 class Windows:
     """The automaton of the items' windows and which items have each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW) -> None:
         import ahocorasick
 
         number = (c for c in count(1) if not 0xD800 <= c < 0xE000)
@@ -60,7 +62,7 @@ class Windows:
                     self.symbol[w] = chr(next(number))
             coded = "".join(map(self.symbol.__getitem__, line))
             for i in range(max(1, len(coded) - width + 1) if coded else 0):
-                self.items.setdefault(coded[i : i + width], set()).add(item)
+                self.items.setdefault(coded[i : i + width], set()).update([] if item is None else [item])
         self.machine = ahocorasick.Automaton()
         for w in self.items:
             self.machine.add_word(w, w)
@@ -100,17 +102,17 @@ def item_hash(met: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
 
 
-def _slices(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str | None]]]:
-    """The items in lists of at most ``limit`` bytes of text (or one item)."""
-    out: list[list] = [[]]
-    size = 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        size += len((text or "").encode("utf-8", "surrogatepass"))
-        if size > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
-    return out
+def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The distinct items in lists of about ``limit`` bytes (texts and ids), one at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    size = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("item", "text"))
+    n = -(-(items.agg(F.sum(size)).first()[0] or 0) // limit)
+    if n <= 1:
+        yield [tuple(r) for r in items.collect()]
+        return
+    items = materialise(items.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
+    for k in range(n):
+        yield [tuple(r) for r in items.filter(F.col("slice") == k).select("item", "text").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = ITEM_BYTES) -> DataFrame:
@@ -118,12 +120,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit
     schema = {"doc_id": "long", "td": "binary", "n_words": "long", "hits": "array<long>", "items": "string"}
     source = docs.select("doc_id", F.unhex(F.md5("text")).alias("td"), "text")
 
-    def one(items: list[tuple[str, str | None]]) -> DataFrame:
+    def one(items: list[tuple[str | None, str | None]]) -> DataFrame:
         built: list[Windows] = []
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def rows(cols: dict[str, list]) -> dict[str, list]:
             if not built:
-                built.append(Windows(items, width))
+                built.append(Windows(shared.value, width))
             found = [built[0].scan(t) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"], "td": cols["td"], "n_words": [n for n, _, _ in found],
@@ -133,9 +136,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit
 
         return map_batches(source, schema, rows)
 
-    parts = [one(items) for items in _slices(benchmark, limit)]
-    if len(parts) == 1:
-        return parts[0]
+    slices = _slices(benchmark, limit)
+    first, second = next(slices), next(slices, None)
+    if second is None:
+        return one(first)
+    parts = [materialise(one(items)) for items in chain([first, second], slices)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -407,6 +407,19 @@ def test_leaks(spark, docs, texts, empty):
     assert not any(r["contaminated"] for r in decontam.report(decontam.find_leaks(part, bench.limit(0))).collect())
 
 
+def test_leaks_of_items_without_an_id(spark):
+    """Their hits count and name no item, in one slice and in several; lists stay bounded."""
+    items = [(None, "one two three"), (None, None), ("b", "three four"), ("c", "never met"), (None, "five")] + [(f"z{i}", f"pad{i} " * 20) for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "One, two, three four"), (2, "a five b"), (3, "none"), (None, "three four"), (3, "none")], "doc_id long, text string")
+    name = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    want = Counter([(1, 4, 4, 1, name("b"), True), (2, 3, 1, 0, name(), True), (None, 2, 2, 1, name("b"), True), (3, 1, 0, 0, name(), False), (3, 1, 0, 0, name(), False)])
+    for limit in (1 << 20, 3000):
+        assert bag(decontam.report(decontam.find_leaks(docs, bench, limit=limit)).collect()) == want
+    sizes = [len(x) for x in decontam._slices(bench, 1000)]
+    assert len(sizes) > 4 and sum(sizes) == len(items) and max(sizes) < len(items) / 2
+
+
 def test_leak_spans_map_to_the_original():
     machine = decontam.Windows([("a", "Big CATS eat"), ("b", "é1")])
     text = "Hm: big, cats -- Eat! ...É1 é1 big cats"
