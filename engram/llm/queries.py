@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hist_shard, html_cut, line_chunks, packing, parity_join, robust_quality, secret_layers, toxicity, url_rules
+from . import (
+    decontam, hist_shard, html_cut, line_chunks, packing, parity_join, periodic_runs, robust_quality, secret_layers, substring_dedup, toxicity,
+    url_rules, whitening,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_layers.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_html_extraction, op4_url_filters, op5_toxicity, op6_line_dedup,
-        op7_benchmark_decontamination, op8_sharding, op9_quality_rules, op10_secret_scans, pipeline,
+        op7_benchmark_decontamination, op8_sharding, op9_quality_rules, op10_secret_scans, op11_embedding_whitening,
+        op12_substring_dedup, op13_periodic_run_detection, pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op4_url_filters": url_rules.oracle(), "op7_benchmark_decontamination": decontam.oracle()}
