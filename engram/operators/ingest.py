@@ -5,7 +5,7 @@ M2 design: only neighbours with similarity >= 0.94 can change an outcome, so
 the sparse edge list (arrival -> existing row or earlier arrival, in the
 arrival's dedup scope) is computed natively.  Arrivals without an edge are
 ``stored`` without Python.  The rest are split into connected components of
-the edge graph (iterative min-label propagation with reliable checkpoints)
+the edge graph (alternating stars with reliable checkpoints)
 and each component is folded in arrival order in ``applyInPandas``; a
 component holds only near-duplicate chains, so groups are small.
 """
@@ -210,13 +210,10 @@ def store(arrivals: DataFrame, memories: DataFrame, edges: DataFrame | None = No
 
 def apply_outcomes(memories: DataFrame, arrivals: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
     """The new memories snapshot after M2: replaced rows get valid_until =
-    as_of; stored/replaced arrivals become rows with decay 1.0 and P13
-    visibility."""
+    as_of, also those that the same batch stored; stored/replaced arrivals
+    become rows with decay 1.0 and P13 visibility."""
     replaced = (outcomes.filter(F.col("action") == "replaced")
                 .select(F.col("replaced_id").alias("id"), F.lit(True).alias("_rep")))
-    old = (memories.join(replaced, "id", "left")
-           .withColumn("valid_until", F.when(F.col("_rep") & F.col("valid_until").isNull(), as_of)
-                       .otherwise(F.col("valid_until"))).drop("_rep"))
     new = (arrivals.join(outcomes.filter(F.col("action") != "duplicate").select("arrival_id"), "arrival_id")
            .select(F.col("arrival_id").alias("id"), "tenant_id", "user_id", "fact",
                    F.col("embedding").cast("array<double>").alias("embedding"),
@@ -228,7 +225,9 @@ def apply_outcomes(memories: DataFrame, arrivals: DataFrame, outcomes: DataFrame
                    F.coalesce("source", F.lit("api")).alias("source"),
                    F.coalesce("namespace", F.lit("default")).alias("namespace"), "team_id",
                    S.effective_visibility("team_id", "visibility").alias("visibility")))
-    return old.unionByName(new.select(*old.columns))
+    every = memories.unionByName(new.select(*memories.columns)).join(replaced, "id", "left")
+    closed = F.when(F.col("_rep") & F.col("valid_until").isNull(), as_of).otherwise(F.col("valid_until"))
+    return every.withColumn("valid_until", closed).select(*memories.columns)
 
 
 # --------------------------------------------------------------------------- prefix sums / quota

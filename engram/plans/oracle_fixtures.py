@@ -89,6 +89,29 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                a.namespace, m.team_id, a.fact, a.embedding, a.importance, a.source, a.visibility
         FROM arrivals_fx a JOIN emb_n ON true JOIN memories_fx m ON m.i = a.arrival_order
         WHERE a.arrival_order % 4 = 1 AND m.team_id IS NOT NULL"""),
+    "store_requests_fx": (("arrivals_chain_fx", "arrivals_fx", "emb", "emb_n"), """
+        SELECT arrival_id, arrival_order,
+               CASE WHEN arrival_order % 5 = 3 AND team_id IS NULL THEN 'tool' ELSE 'api' END AS via,
+               tenant_id, user_id, namespace, team_id,
+               CASE arrival_order % 6 WHEN 1 THEN 'private' WHEN 2 THEN 'team' END AS visibility,
+               fact, embedding,
+               CASE WHEN arrival_order % 17 = 0 THEN 1.5::DOUBLE
+                    WHEN arrival_order % 3 > 0 THEN 0.75::DOUBLE END AS importance,
+               CASE WHEN arrival_order % 4 <> 1 THEN 'cursor' END AS source
+        FROM (SELECT arrival_id, arrival_order, tenant_id, user_id, namespace, team_id, fact, embedding
+              FROM arrivals_chain_fx
+              UNION ALL
+              SELECT 'd' || a.arrival_order, a.arrival_order + 3 * emb_n.n, a.tenant_id, a.user_id,
+                     a.namespace, a.team_id, a.fact,
+                     list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1] + z[2] * 0.25::DOUBLE)
+              FROM arrivals_fx a JOIN emb_n ON true JOIN emb b ON b.vec_id = (a.arrival_order + 2) % emb_n.n
+              WHERE a.arrival_order % 4 = 2)"""),
+    "store_tenants_fx": (("memories_fx", "emb_n"), """
+        SELECT m.tenant_id AS id,
+               CASE m.tenant_id WHEN 't0' THEN m.used + emb_n.n // 32 WHEN 't1' THEN m.used + emb_n.n // 16 END
+                   AS memory_limit
+        FROM (SELECT tenant_id, count(*) FILTER (WHERE valid_until IS NULL) AS used FROM memories_fx
+              GROUP BY tenant_id) m JOIN emb_n ON true"""),
     "tenants_fx": (("memories_fx",), f"""
         SELECT tenant_id AS id, 'tenant ' || tenant_id AS name,
                (['free', 'developer', 'pro'])[CAST(substring(tenant_id, 2) AS INTEGER) + 1] AS plan,

@@ -154,6 +154,39 @@ def arrivals_fx(spark: SparkSession, sf_dir: str, chained: bool = False) -> Data
     return out
 
 
+def store_requests_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store requests: the chained arrivals and, at order 3n + i, for i % 4 =
+    2, one near the arrival of order i (plus 0.25 v_((i+2) % n)), which replaces it.
+    Every fifth without a team comes by a tool.  Importance by order % 17 (1.5
+    is invalid) and % 3 (none), visibility by % 6, no source when % 4 = 1."""
+    base = arrivals_fx(spark, sf_dir, chained=True)
+    e = load_raw(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("j"), as_double("embedding").alias("e2"))
+    n = _embedding_count(e)
+    near = base.filter((F.col("arrival_order") < n) & (F.col("arrival_order") % 4 == 2)).withColumn("j", (F.col("arrival_order") + 2) % n).join(e, "j")
+    near = (near.withColumn("arrival_id", F.concat(F.lit("d"), F.col("arrival_order")))
+            .withColumn("arrival_order", F.col("arrival_order") + 3 * n)
+            .withColumn("embedding", F.zip_with("embedding", "e2", lambda x, y: x + y * F.lit(0.25))))
+    o = F.col("arrival_order")
+    return base.unionByName(near.select(base.columns)).select(
+        "arrival_id", "arrival_order",
+        F.when((o % 5 == 3) & F.col("team_id").isNull(), F.lit("tool")).otherwise(F.lit("api")).alias("via"),
+        "tenant_id", "user_id", "namespace", "team_id",
+        F.when(o % 6 == 1, F.lit("private")).when(o % 6 == 2, F.lit("team")).alias("visibility"),
+        "fact", "embedding",
+        F.when(o % 17 == 0, F.lit(1.5)).when(o % 3 > 0, F.lit(0.75)).alias("importance"),
+        F.when(o % 4 != 1, F.lit("cursor")).alias("source"))
+
+
+def store_tenants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants whose quota a batch reaches: t0 and t1 may add a 32nd and a
+    16th of the number of vectors to what they have, t2 has no limit of its own."""
+    m = memories_fx(spark, sf_dir).groupBy("tenant_id").agg(F.count(F.when(F.col("valid_until").isNull(), 1)).alias("used"))
+    n = _embedding_count(load_raw(spark, sf_dir, "embeddings"))
+    return m.select(F.col("tenant_id").alias("id"),
+                    F.when(F.col("tenant_id") == "t0", F.col("used") + F.floor(n / 32))
+                    .when(F.col("tenant_id") == "t1", F.col("used") + F.floor(n / 16)).alias("memory_limit"))
+
+
 def tenants_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenants t0..t2 from the memories' tenant ids; plan by number."""
     m = memories_fx(spark, sf_dir).select("tenant_id").distinct()

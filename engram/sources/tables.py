@@ -96,16 +96,19 @@ def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: str | None = "tenant_id",
-                   mode: str = "errorifexists") -> str:
+                   mode: str = "errorifexists", touched_only: bool = False) -> str:
     """Write a new, versioned snapshot (never overwrite in place).
 
     Partitioned by tenant so tenant-scoped reads prune directories; rows are
     sorted within files by the scope keys so row-group statistics prune the
-    user/namespace predicates too.
+    user/namespace predicates too.  ``touched_only`` (with mode 'overwrite')
+    replaces just the partitions that ``df`` has rows of.
     """
     writer = df.sortWithinPartitions(*[c for c in ("tenant_id", "user_id", "namespace")
                                        if c in df.columns]).write.mode(mode)
     if partition_by and partition_by in df.columns:
         writer = writer.partitionBy(partition_by)
+    if touched_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     return path
