@@ -131,7 +131,8 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
 
     State is the set of rows that are gone: memories or arrivals replaced
     so far, and arrivals judged duplicate (never inserted).  An arrival that
-    is only ever a target has no edges of its own, so it was stored.  One
+    is only ever a target has no edges of its own, so it was stored.  An edge
+    without a similarity is a delete of its target, which must be there.  One
     pass over the edges sorted by (arrival order, arrival id)."""
     import numpy as np
 
@@ -144,6 +145,11 @@ def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
     i, n = 0, len(src)
     while i < n:
         s = src[i]
+        if np.isnan(sim[i]):
+            rows.append((s, "missing" if dst[i] in gone else "deleted", dst[i], None))
+            gone.add(dst[i])
+            i += 1
+            continue
         best_sim, best_dst = None, None
         while i < n and src[i] == s:
             d = dst[i]

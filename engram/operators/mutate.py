@@ -127,15 +127,9 @@ def parse_tool_calls(calls: DataFrame, prefix: str, body: str = "body") -> DataF
                     F.col("_b.arguments").alias("args")).drop("_b")
 
 
-def route_tool_calls(calls: DataFrame, prefix: str, memories: DataFrame, compat: bool = True) -> DataFrame:
-    """One outcome per call.  Unknown function or missing required
-    arguments -> 400.  Store defaults: importance 0.5, source 'openai',
-    namespace 'default'.  Search takes limit min(limit ?? 10, 50) and -- as
-    the service's positional call does -- filters source by the namespace
-    argument and scopes namespace by the source argument (``compat``);
-    context uses namespace as given and top_n min(top_n ?? 5, 20).  A delete
-    is carried out in call order (M5): 204 when it hits an active memory of
-    its tenant, else 404."""
+def checked_tool_calls(calls: DataFrame, prefix: str) -> DataFrame:
+    """Parsed calls with ``status``: 400 for an unknown function or a missing
+    required argument, 201 for a store, else 200."""
     p = parse_tool_calls(calls, prefix)
     known = F.col("kind").isin(*TOOL_KINDS)
     missing = F.lit(False)
@@ -147,12 +141,11 @@ def route_tool_calls(calls: DataFrame, prefix: str, memories: DataFrame, compat:
         missing = F.when(F.col("kind") == kind, cond).otherwise(missing)
     status = F.when(~known | F.col("kind").isNull(), F.lit(400)).when(missing, F.lit(400)).otherwise(
         F.when(F.col("kind") == "store_memory", F.lit(201)).otherwise(F.lit(200)))
-    p = p.withColumn("status", status)
-    deletes = p.filter((F.col("kind") == "delete_memory") & (F.col("status") == 200)).select(
-        F.col("call_id").alias("cmd_id"), "tenant_id", F.col("args.memory_id").alias("memory_id"))
-    done = soft_delete(deletes, memories).select(F.col("cmd_id").alias("call_id"), F.col("status").alias("_deleted"))
-    p = p.join(done, "call_id", "left").withColumn("status", F.coalesce("_deleted", "status"))
-    status = F.col("status")
+    return p.withColumn("status", status)
+
+
+def tool_arguments(compat: bool = True) -> dict[str, Column]:
+    """namespace, source and limit of a parsed call, as the service reads them."""
     args = F.col("args")
     is_search = F.col("kind") == "search_memories"
     ns_arg = F.coalesce(args["namespace"], F.lit("default"))
@@ -163,6 +156,27 @@ def route_tool_calls(calls: DataFrame, prefix: str, memories: DataFrame, compat:
         namespace, source = ns_arg, args["source"]
     limit = (F.when(is_search, F.least(F.coalesce(args["limit"], F.lit(10)), F.lit(50)))
              .when(F.col("kind") == "get_context", F.least(F.coalesce(args["top_n"], F.lit(5)), F.lit(20))))
+    return {"namespace": namespace, "source": source, "limit": limit}
+
+
+def route_tool_calls(calls: DataFrame, prefix: str, memories: DataFrame, compat: bool = True) -> DataFrame:
+    """One outcome per call.  Unknown function or missing required
+    arguments -> 400.  Store defaults: importance 0.5, source 'openai',
+    namespace 'default'.  Search takes limit min(limit ?? 10, 50) and -- as
+    the service's positional call does -- filters source by the namespace
+    argument and scopes namespace by the source argument (``compat``);
+    context uses namespace as given and top_n min(top_n ?? 5, 20).  A delete
+    is carried out in call order (M5): 204 when it hits an active memory of
+    its tenant, else 404."""
+    p = checked_tool_calls(calls, prefix)
+    known = F.col("kind").isin(*TOOL_KINDS)
+    deletes = p.filter((F.col("kind") == "delete_memory") & (F.col("status") == 200)).select(
+        F.col("call_id").alias("cmd_id"), "tenant_id", F.col("args.memory_id").alias("memory_id"))
+    done = soft_delete(deletes, memories).select(F.col("cmd_id").alias("call_id"), F.col("status").alias("_deleted"))
+    p = p.join(done, "call_id", "left").withColumn("status", F.coalesce("_deleted", "status"))
+    status = F.col("status")
+    args = F.col("args")
+    namespace, source, limit = tool_arguments(compat).values()
     store = F.col("kind") == "store_memory"
     return p.select(
         "call_id", "tenant_id", "name", "kind", status.alias("status"),

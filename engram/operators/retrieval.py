@@ -111,23 +111,24 @@ def gate_queries(queries: DataFrame, members: DataFrame | None, teams: DataFrame
 
 def scoped_pairs(queries: DataFrame, memories: DataFrame, *, with_vector: bool,
                  apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                 extra_keys: list[tuple[str, str]] | None = None) -> DataFrame:
+                 extra_keys: list[tuple[str, str]] | None = None, versioned: bool = False) -> DataFrame:
     """J3 + F1 + F2/F3 + F4: (query, memory) pairs in each query's read scope.
 
     ``queries`` must be gated (``include``, ``lim``, ``status``).  Only
     accepted queries take part.  Memory columns keep their names; query
-    columns are prefixed ``q_``.
+    columns are prefixed ``q_``.  ``versioned`` memories have ``born`` and
+    ``died`` (null: never), and a query sees those with born < at < died.
     """
     qcols = ["tenant_id", "user_id", "namespace", "team_id", "source", "vector"]
     q = _prefixed(queries.filter(F.col("status") == 200), qcols)
     if with_vector:
         q = q.withColumn("q_norm", norm("q_vector"))
     q = query_scope_keys(q, F.col("include"))
-    mem_cols = ["id", "tenant_id", "user_id", "namespace", "team_id", "visibility", "fact",
+    mem_cols = ["id", "tenant_id", "user_id", "namespace", "team_id", "visibility",
                 "importance", "created_at", "source"]
     if with_vector:
         mem_cols.append("embedding")
-    mem_cols += [mc for _, mc in (extra_keys or [])]
+    mem_cols += [mc for _, mc in (extra_keys or [])] + (["born", "died"] if versioned else [])
     m = active(memories).select(*mem_cols)
     if with_vector:
         m = m.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn(
@@ -139,6 +140,8 @@ def scoped_pairs(queries: DataFrame, memories: DataFrame, *, with_vector: bool,
             & (F.col("q_scope_key") == F.col("scope_key")))
     for qc, mc in extra_keys or []:
         cond = cond & (F.col(qc) == F.col(mc))
+    if versioned:
+        cond = cond & (F.col("born") < F.col("at")) & (F.col("died").isNull() | (F.col("died") > F.col("at")))
     pairs = q.join(m, cond).drop("q_scope_kind", "q_scope_key")
     # through the user key an include-team query sees only rows without a team.
     pairs = pairs.filter(~(F.col("include") & (F.col("scope_kind") == "u") & F.col("team_id").isNotNull()))
@@ -168,6 +171,12 @@ def _rerank(cands: DataFrame, sim: Column, score: Column, limit_col: str = "lim"
     return out.filter(F.col("rank") <= F.col(limit_col))
 
 
+def _with_facts(ranked: DataFrame, memories: DataFrame) -> DataFrame:
+    """The facts of ranked rows: texts join the few kept rows, and never ride
+    through the pair join and its windows."""
+    return ranked.join(memories.select("id", "fact"), "id")
+
+
 def _project(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """P5 (+ query id and rank), created_at as ISO-8601 milliseconds."""
     cols = ["query_id", F.col("rank").cast("bigint").alias("rank"), "id", "fact", "importance",
@@ -189,7 +198,7 @@ def topk_candidates(pairs: DataFrame, max_limit: int) -> DataFrame:
 def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
            teams: DataFrame | None = None, *, max_limit: int | None = None,
            apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-           gated: bool = False, keep_raw: bool = False) -> DataFrame:
+           gated: bool = False, keep_raw: bool = False, versioned: bool = False) -> DataFrame:
     """queries(query_id, tenant_id, user_id, namespace, vector, q_limit,
     source, team_id, include_team) -> ranked MemoryResult rows per query.
     ``keep_raw`` adds the unrounded similarity (what M7 stores)."""
@@ -197,12 +206,12 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     if max_limit is None:
         max_limit = _max_limit(q, 50)
     pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source,
-                         broadcast_rows=broadcast_rows)
+                         broadcast_rows=broadcast_rows, versioned=versioned)
     cands = topk_candidates(pairs, max_limit)
     dec = S.decay("created_at", "importance", as_of)
     cands = cands.withColumn("_decay", dec).withColumn("decay_score", S.round4("_decay"))
     ranked = _rerank(cands, S.round4("sim"), S.round4(S.blend("sim", "_decay")), max_limit=max_limit)
-    return _project(ranked, [F.col("sim").alias("raw_similarity")] if keep_raw else None)
+    return _project(_with_facts(ranked, memories), [F.col("sim").alias("raw_similarity")] if keep_raw else None)
 
 
 # --------------------------------------------------------------------------- R2
@@ -210,21 +219,21 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
 def recent(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
            teams: DataFrame | None = None, *, max_limit: int | None = None,
            endpoint: str = "context", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-           gated: bool = False) -> DataFrame:
+           gated: bool = False, versioned: bool = False) -> DataFrame:
     """R2: newest 2L rows, re-ranked by rounded decay; similarity 1, score =
     decay.  Never reads the embedding column."""
     q = queries if gated else gate_queries(queries, members, teams, endpoint).persist()
     if max_limit is None:
         max_limit = _max_limit(q, 20)
     pairs = scoped_pairs(q, memories, with_vector=False, apply_source=False,
-                         broadcast_rows=broadcast_rows)
+                         broadcast_rows=broadcast_rows, versioned=versioned)
     w = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), F.col("id").asc())
     cands = (pairs.withColumn("cand_rank", F.row_number().over(w))
              .filter(F.col("cand_rank") <= F.lit(2 * max_limit))
              .filter(F.col("cand_rank") <= 2 * F.col("lim")))
     cands = cands.withColumn("decay_score", S.round4(S.decay("created_at", "importance", as_of)))
     ranked = _rerank(cands, F.lit(1.0), F.col("decay_score"), max_limit=max_limit)
-    return _project(ranked)
+    return _project(_with_facts(ranked, memories))
 
 
 # --------------------------------------------------------------------------- R3
@@ -237,7 +246,7 @@ def context_line(rank, importance, decay_score, source, fact) -> Column:
 
 def context(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
             teams: DataFrame | None = None, *, max_limit: int | None = None,
-            broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+            broadcast_rows: int = DEFAULT_BROADCAST_ROWS, versioned: bool = False) -> DataFrame:
     """Search when the query has a vector (source filter never applied),
     else recent; results joined into numbered lines (A9).  One row per
     accepted query: query_id, n_memories, context."""
@@ -247,9 +256,9 @@ def context(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     with_vec = q.filter(F.col("vector").isNotNull())
     without = q.filter(F.col("vector").isNull())
     res = (search(with_vec, memories, as_of, max_limit=max_limit, apply_source=False,
-                  broadcast_rows=broadcast_rows, gated=True)
+                  broadcast_rows=broadcast_rows, gated=True, versioned=versioned)
            .unionByName(recent(without, memories, as_of, max_limit=max_limit,
-                               broadcast_rows=broadcast_rows, gated=True)))
+                               broadcast_rows=broadcast_rows, gated=True, versioned=versioned)))
     lines = res.select("query_id", F.struct(
         F.col("rank"), context_line(F.col("rank"), F.col("importance"), F.col("decay_score"),
                                     F.col("source"), F.col("fact")).alias("line")).alias("r"))
@@ -286,6 +295,7 @@ def list_memories(queries: DataFrame, memories: DataFrame, *, max_limit: int | N
     w = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), F.col("id").asc())
     ranked = pairs.withColumn("pos", F.row_number().over(w))
     ranked = ranked.filter((F.col("pos") > F.col("off")) & (F.col("pos") <= F.col("off") + F.col("lim")))
+    ranked = _with_facts(ranked, memories)
     return ranked.select("query_id", (F.col("pos") - F.col("off")).cast("bigint").alias("rank"),
                          "id", "fact", "visibility", "team_id", "importance", "source", "namespace",
                          S.iso_ms("created_at").alias("created_at"))

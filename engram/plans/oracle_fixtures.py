@@ -211,6 +211,28 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                (['private', 'team', NULL, NULL, 'public'])[e.event_id % 5 + 1] AS visibility,
                ([NULL, 0.25, 1.5, 0.75]::DOUBLE[])[e.event_id % 4 + 1] AS importance
         FROM events e JOIN emb_n n ON true"""),
+    "tool_log_fx": (("emb", "emb_n"), """
+        SELECT c.call_id, c.tenant_id, c.kind, c.user_id, c.fact, c.importance, c.source, c.namespace, c.q,
+               c.lim, c.top_n, c.memory_id,
+               list_transform(list_zip(e1.embedding, e2.embedding), lambda z: z[1] + z[2] * c.b) AS vector
+        FROM (
+            SELECT event_id AS call_id, 't' || (user_id % 3) AS tenant_id, event_id % 6 AS kind,
+                   CASE WHEN event_id % 13 <> 0 THEN 'u' || (user_id % 20) END AS user_id,
+                   'fact ' || event_id AS fact,
+                   CASE WHEN event_id % 4 = 0 THEN 0.75::DOUBLE END AS importance,
+                   CASE WHEN event_id % 6 = 1 AND event_id % 10 < 5 THEN 'default'
+                        WHEN event_id % 6 = 0 AND event_id % 12 > 0 THEN 'default' END AS source,
+                   CASE WHEN event_id % 5 = 0 AND event_id % 6 <> 1 THEN 'work' END AS namespace,
+                   CASE WHEN event_id % 6 = 1 OR (event_id // 6) % 2 = 0 THEN event_type END AS q,
+                   CASE WHEN event_id % 8 > 0 THEN event_id % 90 END AS lim,
+                   CASE WHEN event_id % 9 > 0 THEN event_id % 30 END AS top_n,
+                   CASE WHEN event_id % 6 = 3 THEN
+                        CASE WHEN (event_id // 6) % 3 = 1 THEN 'c' || (event_id - 3 - 6 * (event_id % 4))
+                             ELSE 'm' || (user_id % 60 + 60 * (event_id % (emb_n.n // 60))) END END AS memory_id,
+                   user_id % 60 + 60 * (event_id % (emb_n.n // 60)) AS k,
+                   ([0.1, 0.25, 0.6, 0.0]::DOUBLE[])[(event_id // 6) % 4 + 1] AS b
+            FROM events JOIN emb_n ON true) c JOIN emb_n ON true
+        LEFT JOIN emb e1 ON e1.vec_id = c.k LEFT JOIN emb e2 ON e2.vec_id = (c.k + 1) % emb_n.n"""),
     "team_access_fx": (("team_members_fx", "teams_fx"), """
         SELECT tm.team_id, tm.user_id, t.tenant_id, tm.role
         FROM team_members_fx tm JOIN teams_fx t ON t.id = tm.team_id"""),

@@ -33,5 +33,5 @@ def load_all() -> None:
     """Import every plan module so that its queries register."""
     from engram.plans import (  # noqa: F401
         account_queries, billing_queries, graph_queries, ingest_queries, memory_queries, mutate_queries, parts_queries, source_queries,
-        store_queries, team_queries, usage_queries)
+        store_queries, team_queries, tool_queries, usage_queries)
     from engram.plans import stream_queries  # noqa: F401  (uses the oracles above)

@@ -507,6 +507,41 @@ def tool_calls_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), body.alias("body"))
 
 
+def tool_log_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls that act on one another, from events: function by event_id
+    % 6 as in tool_calls_fx, every 13th without user_id, namespace 'work' when
+    % 5 = 0, limits as there.  The vector is v_k + b v_((k+1) % n) for a memory
+    k of the user's own scope, b by (event_id div 6) % 4 of 0.1, 0.25, 0.6, 0.
+    Deletes name memory k, or (event_id div 6) % 3 = 1 the memory that the
+    store call 3 + 6 * (event_id % 4) calls before has made.  Contexts have a
+    query when (event_id div 6) % 2 = 0."""
+    ev = load_raw(spark, sf_dir, "events")
+    e = load_raw(spark, sf_dir, "embeddings").select("vec_id", as_double("embedding").alias("v1"))
+    n = _embedding_count(load_raw(spark, sf_dir, "embeddings"))
+    names = [f"{TOOL_PREFIX}_{k}" for k in ("store_memory", "search_memories", "get_context", "delete_memory", "get_usage")] + ["other_tool"]
+    k = F.col("user_id") % 60 + 60 * (F.col("event_id") % F.floor(n / 60))
+    kind, turn = F.col("event_id") % 6, F.expr("event_id div 6")
+    target = F.when(turn % 3 == 1, F.concat(F.lit("c"), F.col("event_id") - 3 - 6 * (F.col("event_id") % 4))).otherwise(F.concat(F.lit("m"), k))
+    args = F.struct(
+        F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("u"), F.col("user_id") % 20)).alias("user_id"),
+        F.concat(F.lit("fact "), F.col("event_id")).alias("fact"),
+        F.when(F.col("event_id") % 4 == 0, F.lit(0.75)).alias("importance"),
+        F.when((kind == 1) & (F.col("event_id") % 10 < 5), F.lit("default")).when((kind == 0) & (F.col("event_id") % 12 > 0), F.lit("default"))
+        .alias("source"),
+        F.when((F.col("event_id") % 5 == 0) & (kind != 1), F.lit("work")).alias("namespace"),
+        F.when((kind == 1) | (turn % 2 == 0), F.col("event_type")).alias("q"),
+        F.when(F.col("event_id") % 8 > 0, (F.col("event_id") % 90).cast("bigint")).alias("limit"),
+        F.when(F.col("event_id") % 9 > 0, (F.col("event_id") % 30).cast("bigint")).alias("top_n"),
+        F.when(kind == 3, target).alias("memory_id"))
+    body = F.to_json(F.struct(_pick(names, "event_id % 6").alias("name"), args.alias("arguments")))
+    b = F.element_at(F.array(*[F.lit(x) for x in ARRIVAL_MIX]), (turn % 4 + 1).cast("int"))
+    calls = ev.select(F.col("event_id").alias("call_id"), F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"),
+                      body.alias("body"), k.alias("k"), ((k + 1) % n).alias("j"), b.alias("b"))
+    other = e.select(F.col("vec_id").alias("j"), F.col("v1").alias("v2"))
+    return (calls.join(e.withColumnRenamed("vec_id", "k"), "k", "left").join(other, "j", "left")
+            .select("call_id", "tenant_id", "body", F.zip_with("v1", "v2", lambda x, y: x + y * F.col("b")).alias("vector")))
+
+
 def store_bodies_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store-memory request bodies from documents (JSON): the whole text as
     fact, importance (doc_id % 13) / 10 (some above 1), source and lang as
