@@ -19,14 +19,25 @@ ARROW = {
 }
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def store(df: DataFrame) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` as Parquet into a new folder under
-    ``spark.checkpoint.dir`` and read it back.  The folder is shared by the
+    ``spark.checkpoint.dir`` and read it back; also the folder.  It is shared by the
     driver and all executors, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/engram-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written and read back."""
+    return store(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_batches(df: DataFrame, schema: dict[str, str], rows: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:

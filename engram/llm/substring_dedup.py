@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _POWERS, SPACES, U64, map_batches, materialise, mix, ship_package, span_hashes, word_spans
+from .common import _POWERS, SPACES, U64, discard, map_batches, materialise, mix, ship_package, span_hashes, store, word_spans
 from .fm_index import FMIndex
 
 WIDTH = 20
@@ -232,17 +232,19 @@ def _search(contents: DataFrame, width: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(d, t, spans): for each document (d, t) with repeated windows, the word spans (start,
     size) that they cover; spans may overlap."""
-    places = materialise(_cut(keyed, width))
-    shared = places.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
-    places = materialise(places.join(shared, "m", "left_semi"))
+    every, folder = store(_cut(keyed, width))
+    # stored before it is joined: a plain join of two tables can split a hot gram
+    shared = materialise(every.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"))
+    places = materialise(every.join(shared, "m", "left_semi"))
+    discard(keyed.sparkSession, folder)  # the largest intermediate table
     merged = materialise(_merge(places))
     per_gram = merged.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1")
     wanted = merged.join(per_gram, "m").select("p.d", "p.t", "p.start", "size", "m", (F.col("c") > HOT).alias("hot"))
     contents = materialise(_contents(_unique_texts(keyed), wanted, width))
     windows = contents.filter("words is null").drop("words")
     found = _search(contents.filter("words is not null"), width)
-    every = _not_first(places, merged).unionByName(_not_first(windows, _merge(windows))).unionByName(found)
-    return every.groupBy("d", "t").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    gone = _not_first(places, merged).unionByName(_not_first(windows, _merge(windows))).unionByName(found)
+    return gone.groupBy("d", "t").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
 
 
 def _kept(words: list, spans: list) -> list:
