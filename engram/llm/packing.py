@@ -31,6 +31,8 @@ from .common import map_batches, materialise, shuffle_width
 LIMIT = 2048
 END_ID = 0
 GRID = 8  # lengths are rounded up to a multiple of limit / 256 while patterns are fitted
+# Fixed value: the token that the vocabulary's file adds to the ranks, wherever its literal stands.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 CACHE = 200_000  # words whose ids a worker keeps
 PIECE_SCHEMA = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
 
@@ -73,6 +75,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
+        if any(SPECIAL in t for t in texts if t):
+            return self._with_special(texts)
         parts = [(t or "").split(" ") for t in texts]
         words: set[str] = set()
         for p in parts:
@@ -88,6 +92,14 @@ class Encoder:
         return out
 
 
+    def _with_special(self, texts: list[str | None]) -> list[bytes]:
+        """The texts between the literals are encoded by themselves."""
+        split = [(t or "").split(SPECIAL) for t in texts]
+        done = iter(self.encode([x for parts in split for x in parts]))
+        mark = SPECIAL_ID.to_bytes(4, "little")
+        return [mark.join([next(done) for _ in parts]) for parts in split]
+
+
 _ENCODER: list[Encoder] = []
 
 
@@ -158,7 +170,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def coarse_patterns(cells: int, depth: int = 4) -> list[tuple[int, ...]]:
     """Multisets of two to ``depth`` cells (ascending) that fill ``cells`` exactly;
-    four-part patterns on every fourth cell only, which keeps the list short."""
+    four-part patterns on every eighth cell only, which keeps the list short."""
     out = [(a, cells - a) for a in range(1, cells // 2 + 1)]
     if depth >= 3:
         out += [(a, b, cells - a - b) for a in range(1, cells // 3 + 1) for b in range(a, (cells - a) // 2 + 1)]

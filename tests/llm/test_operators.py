@@ -30,7 +30,6 @@ def test_packing_places_every_token_once(docs, texts, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = Counter()
     for doc_id, text in texts:
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
@@ -52,6 +51,18 @@ def test_packing_places_every_token_once(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_special_literals_are_one_token():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    cases = [mark, f"a {mark} b", f"{mark}{mark}", f"a{mark}b", f"  {mark}\n {mark}  x", f"x {mark[:-1]} {mark}", f"<|{mark}|>", "a  b", f"word {mark}word  \t{mark}"]
+    got = [np.frombuffer(b, np.uint32).tolist() for b in packing.Encoder().encode(cases)]
+    assert got == [tok.encode(c, add_special_tokens=False).ids for c in cases]
+    assert got[1] == [64, 220, 50256, 275]
+
+
 def test_packed_sequences_round_trip(docs, texts):
     few = docs.filter("doc_id < 20 or doc_id > 9000")
     seqs = {r["sequence_id"]: r["ids"] for r in packing.packed_sequences(few).collect()}
@@ -158,7 +169,7 @@ def test_extraction_of_pages(spark, empty):
     for page_id, source in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
         inside = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?p>|</?h1>", inside)]
-        want = "\n".join(x for x in parts if x)
+        want = "\n\n".join(x for x in parts if x)
         assert (got[page_id]["text"], got[page_id]["n_chars"]) == (want, len(want))
 
 
@@ -172,9 +183,15 @@ def test_extraction_edges():
         "please accept them, it is a long notice with many words.</div><section id=comments><p>A reader's comment, quite long, with commas.</p></section>"
         "<aside>More links</aside><footer>c</footer><script>var a = '<p>no</p>';</script><!-- no -->"
     )
-    assert e(page) == "Title é\nFirst para, bold text. And more.\nUnclosed <x>.\nSecond, long enough."
-    assert e("<article>" + "<p>word, word.</p>" * 30000).count("\n") == 29999
+    assert e(page) == "Title é\n\nFirst para, bold text. And more.\n\nUnclosed <x>.\n\nSecond, long enough."
+    assert e("<article>" + "<p>word, word.</p>" * 30000).count("\n\n") == 29999
     assert e("<article><p" + " x" * 1000) == ""
+    # a stray quote ends no tag late, and a slash doesn't close a script
+    body = "<article><p>Long enough a text, with <a href=\"foo\"\">one</a> link.</p>%s</article>"
+    assert e(body % "<script src=\"a.js\"/>var x = 1;</script><p title='a>b' x='>Second text, also long.</p>") == (
+        "Long enough a text, with one link.\n\nSecond text, also long.")
+    assert e(body % "<p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> stands, in a text.</p><svg width=1/><p>After it, more.</p>") == (
+        "Long enough a text, with one link.\n\nHere x=1 stands, in a text.\n\nAfter it, more.")
 
 
 def test_extraction_inside_named_wrappers():
@@ -590,3 +607,20 @@ def test_escape_search_is_linear():
     begin = time.process_time()
     secret_layers.find_secrets("a" * 400_000 + " \\ & % " + "Ab/" * 100_000 + "\n" + "Q" * 400_000)
     assert time.process_time() - begin < 20
+
+
+def test_deep_mixed_layers_end_soon():
+    """Percent and character escapes around one another, forty deep: layers are worked off
+    once each, in whatever order they can be reached."""
+    import time
+
+    secret = "password=abcdefghijkl"
+    text = secret.replace("=", "%3D")
+    for depth in range(40):
+        text = text.replace("%", "%25") if depth % 2 else text.replace("%", "&#37;").replace("&", "&amp;")
+    begin = time.time()
+    base, found = secret_layers.find_secrets(f"x {text} y")
+    assert time.time() - begin < 3
+    assert base == [] and (2, 0, 2 + len(text)) in found
+    both = "%26amp;" * 20 + "token%3Dabcdefghijkl0123"
+    assert any(k == 0 for _, k, _ in secret_layers.find_secrets(both)[1])
