@@ -5,7 +5,8 @@ looks like (its containers' tags and names, its links, length and punctuation)
 into the costs of calling it content or boilerplate; these are the capacities to
 the two terminals.  Blocks that follow each other, and blocks in the same
 container, are joined by smoothness edges.  The minimum cut (max-flow) is the
-cheapest labelling; the blocks on the source side, in page order, are the text.
+cheapest labelling; the blocks on the source side, in page order and joined by an empty
+line, are the text.
 
 White space inside a block becomes one space; ``br`` separates words only.
 Character references are decoded; markup, scripts, styles, templates and
@@ -34,7 +35,7 @@ BLOCK_TAGS = frozenset(
     "title tr ul button textarea label legend".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("head script style noscript template svg iframe object canvas audio video math title".split())
+HIDDEN_TAGS = frozenset("head script style noscript template svg iframe object canvas audio video title".split())
 RAW_TAGS = frozenset("script style textarea title".split())
 # An open element that the start of one of the others ends.
 CLOSED_BY = {
@@ -62,7 +63,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 NAME_GOOD, NAME_BAD = 1500, -9000
 CHAIN, SIBLING = 700, 1100  # smoothness: neighbours in the page, neighbours in a container
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
@@ -194,8 +195,8 @@ def blocks(source: str) -> list[Block]:
                     break
         if tag in VOID_TAGS:
             continue
-        if m[3].endswith("/") and tag not in BLOCK_TAGS:
-            continue
+        if m[3].endswith("/") and tag not in BLOCK_TAGS and (tag == "svg" or tag not in HIDDEN_TAGS):
+            continue  # scripts and the like stay open: there a slash means nothing
         weight, hidden, against, speaks = _container(tag, m[3])
         _, owner, score, was, link, named = stack[-1]
         if tag in BLOCK_TAGS:
@@ -315,7 +316,7 @@ def extract(source: str | None) -> str:
             edges.append((last[o], i, SIBLING))
         last[o] = i
     keep = min_cut(gain, edges)
-    return "\n".join(t for (b, t), k in zip(found, node) if keep[k])
+    return "\n\n".join(t for (b, t), k in zip(found, node) if keep[k])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
