@@ -4,8 +4,8 @@ The text itself is the first layer.  Every layer is searched for secrets and for
 encoded runs (percent escapes, backslash-u and character references, base64,
 compressed data inside base64); each run that decodes to readable text is a new
 layer on the worklist, with a map from its characters back to the original text.
-The list ends when it is empty; a layer whose content was seen before on its way
-down is not entered again.  A finding in a decoded layer is reported as the span
+The list ends when it is empty; a layer whose content was seen before at the same place
+of the original text is not entered again, in whatever order its encodings came off.  A finding in a decoded layer is reported as the span
 of the original text that it came from, under the same kind.
 
 Base findings of the text itself are always kept.  Spans are code points, end
@@ -62,10 +62,10 @@ class Layer:
     """A decoded text; ``at[i]`` and ``to[i]`` are the original span of the piece that
     begins at its character ``starts[i]``.  Pieces that are plain copies are ``flat``."""
 
-    __slots__ = ("text", "starts", "at", "to", "flat", "way")
+    __slots__ = ("text", "starts", "at", "to", "flat")
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]], way: frozenset[bytes]) -> None:
-        self.text, self.way = text, way
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]) -> None:
+        self.text = text
         self.starts = [p[0] for p in pieces]
         self.at = [p[1] for p in pieces]
         self.to = [p[2] for p in pieces]
@@ -202,22 +202,24 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
         return [], []
     base = find_base(text)
     found = set(base)
-    work = [Layer(text, [(0, 0, len(text), True)], frozenset())]
+    work = [Layer(text, [(0, 0, len(text), True)])]
+    seen: set[tuple[bytes, int, int]] = set()  # layers by content and origin
     while work:
         layer = work.pop()
         for a, b, pieces in _runs(layer.text):
             decoded = "".join(p[0] for p in pieces)
             if not decoded or decoded == layer.text[a:b]:
                 continue
-            digest = hashlib.md5(decoded.encode("utf-8", "surrogatepass")).digest()
-            if digest in layer.way:
+            mark = (hashlib.md5(decoded.encode("utf-8", "surrogatepass")).digest(), *layer.origin(a, b))
+            if mark in seen:
                 continue
+            seen.add(mark)
             origin, at = [], 0
             for piece, x, y, plain in pieces:
                 low, high = layer.origin(a + x, a + y)
                 origin.append((at, low, high, plain and high - low == len(piece)))
                 at += len(piece)
-            inner = Layer(decoded, origin, layer.way | {digest})
+            inner = Layer(decoded, origin)
             work.append(inner)
             found.update((low, k, high) for s, k, e in find_base(decoded) for low, high in [inner.origin(s, e)])
     return base, sorted(found)
