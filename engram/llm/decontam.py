@@ -3,7 +3,7 @@
 Texts are normalised to words (A-Z lower-cased; ASCII letters and digits and all
 characters beyond ASCII make words).  The windows of the benchmark (ten
 consecutive words of an item; a shorter item whole) go into one automaton over
-words: each word of the benchmark is one symbol, any other word is a symbol that
+words: each word of the benchmark is one whole number, any other word is a number that
 no window holds.  One pass over a document finds every occurrence; the hit words
 map back to character spans of the original text.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise
 
 WINDOW = 10
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 3 << 20  # a few hundred MB of automaton in each worker
 _ASCII = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_OTHER = "\x00"
+_OTHER = 0
 
 
 def words(text: str | None) -> list[bytes]:
@@ -52,21 +52,17 @@ class Windows:
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW) -> None:
         import ahocorasick
 
-        number = (c for c in count(1) if not 0xD800 <= c < 0xE000)
-        self.symbol: dict[bytes, str] = {}
-        self.items: dict[str, set[str]] = {}
+        self.symbol: dict[bytes, int] = {}
+        windows: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            line = words(text)
-            for w in line:
-                if w not in self.symbol:
-                    self.symbol[w] = chr(next(number))
-            coded = "".join(map(self.symbol.__getitem__, line))
+            coded = tuple([self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(text)])
             for i in range(max(1, len(coded) - width + 1) if coded else 0):
-                self.items.setdefault(coded[i : i + width], set()).update([] if item is None else [item])
-        self.machine = ahocorasick.Automaton()
-        for w in self.items:
-            self.machine.add_word(w, w)
-        if self.items:
+                windows.setdefault(coded[i : i + width], set()).update([] if item is None else [item])
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, met in windows.items():
+            self.machine.add_word(w, (len(w), met))
+        self.empty = not windows
+        if windows:
             self.machine.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -75,10 +71,10 @@ class Windows:
         get = self.symbol.get
         spans: list[tuple[int, int]] = []
         met: set[str] = set()
-        if self.items:
-            for last, w in self.machine.iter("".join([get(x, _OTHER) for x in line])):
-                spans.append((last - len(w) + 1, last + 1))
-                met |= self.items[w]
+        if line and not self.empty:
+            for last, (size, items) in self.machine.iter(tuple([get(x, _OTHER) for x in line])):
+                spans.append((last - size + 1, last + 1))
+                met |= items
         return len(line), unite(spans), met
 
 
