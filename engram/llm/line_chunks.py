@@ -60,11 +60,23 @@ def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_td", F.unhex(F.md5("text"))).withColumn("_id", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("_td")))))
+    """doc_id, text, and the caller's whole row as one column, so that none of its names can
+    meet one of ours; _td and _id name the document."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select("doc_id", "text", row).withColumn("_td", F.unhex(F.md5("text")))
+    return named.withColumn("_id", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("_td")))))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with edited text, and n_lines, n_removed (lines)."""
+    """``docs`` with edited text, and n_lines, n_removed (lines); a caller's columns of these
+    two names give way to them."""
+    done = edit_rows(docs)
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c == "text" or c in rest], "n_lines", "n_removed")
+
+
+def edit_rows(docs: DataFrame) -> DataFrame:
+    """row (the caller's columns), text (edited), n_lines, n_removed."""
     named = _identified(docs)
 
     def split(cols: dict[str, list]) -> dict[str, list]:
@@ -126,5 +138,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((t if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    done = edited.withColumn("_e", edit("text", "_later"))
-    return done.select(*[F.col("_e.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_e.n_lines", "_e.n_removed")
+    return edited.withColumn("_e", edit("text", "_later")).select("row", "_e.text", "_e.n_lines", "_e.n_removed")

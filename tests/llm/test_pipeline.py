@@ -58,3 +58,27 @@ def test_near_duplicates_keep_one_row_per_component(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(
         [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (5, text(5, 29)), (7, text(6)), (None, ""), (7, None)]
     )
+
+
+TEMPORARY = ("_d", "_t", "_td", "_c", "_words", "_id", "_e", "_later", "row", "td", "score", "n_lines", "n_removed", "u", "p", "e", "k", "key", "pos", "run", "x.y")
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Extra columns named like anything that a stage makes come out as they went in."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select(*COLUMNS)
+    docs = base.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in TEMPORARY)).cache()
+    want = {r["doc_id"]: tuple(r)[5:] for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        done = stage(spark, docs, SF)
+        assert done.columns == docs.columns, name
+        rows = done.collect()
+        assert rows and all(tuple(r)[5:] == want[r["doc_id"]] for r in rows), name
+    plain = {(r["doc_id"], r["text"]) for r in P.drop_repeated_lines(spark, base, SF).collect()}
+    from engram.llm import line_chunks
+
+    done = line_chunks.remove_repeats(docs)
+    assert done.columns == [c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    assert {(r["doc_id"], r["text"]) for r in done.collect()} == plain
+    assert all(isinstance(r["n_lines"], int) and r["_td"] == f"_td {r['doc_id']}" for r in done.collect())
