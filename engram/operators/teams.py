@@ -119,8 +119,12 @@ def update_teams(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> DataF
     """TM2: cmds(cmd_id, tenant_id, team_id, user_id, name?, slug?).
 
     Schema errors (a given but invalid name/slug) -> 400; non-admin -> 403;
-    nothing to update -> 400; team gone -> 404; else 200 with the team as
-    it is after this command (last non-empty value per field so far)."""
+    nothing to update -> 400; team gone -> 404; a slug that another team of
+    the tenant holds at that moment -> 409 (a rename frees the old slug for
+    later commands); else 200 with the team as it is after this command (last
+    non-empty value per field so far)."""
+    from engram.operators.unique import claim_keys
+
     bad_field = ((F.col("name").isNotNull() & ~valid_name("name"))
                  | (F.col("slug").isNotNull() & ~valid_slug("slug")))
     g = _admin_gate(cmds, members, teams, "user_id")
@@ -133,6 +137,11 @@ def update_teams(cmds: DataFrame, members: DataFrame, teams: DataFrame) -> DataF
               .when(F.col("_t_tenant").isNull() | (F.col("_t_tenant") != F.col("tenant_id")), F.lit(404))
               .otherwise(F.lit(200)))
     d = d.withColumn("status", status)
+    claims = d.filter((F.col("status") == 200) & (F.length("slug") > 0)).select(
+        "cmd_id", F.col("tenant_id").alias("scope"), F.col("team_id").alias("owner"), F.col("slug").alias("key"))
+    holders = teams.select(F.col("tenant_id").alias("scope"), F.col("id").alias("owner"), F.col("slug").alias("key"))
+    d = d.join(claim_keys(claims, holders), "cmd_id", "left").withColumn(
+        "status", F.when(~F.coalesce("granted", F.lit(True)), F.lit(409)).otherwise(F.col("status"))).drop("granted")
     ok = F.col("status") == 200
     d = running_last(d, ["team_id"], ["cmd_id"], {
         "_new_name": F.when(ok & (F.length("name") > 0), F.col("name")),

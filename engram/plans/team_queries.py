@@ -137,6 +137,47 @@ def q_update_teams(spark, sf_dir):
     return T.update_teams(c, members, teams)
 
 
+_RENAME = {
+    "teams": """
+        SELECT 'tm' || c_custkey AS id, 'w' || (c_custkey // 12) AS tenant_id, 'Team ' || c_custkey AS name,
+               's' || (c_custkey % 12) AS slug FROM customer""",
+    "cmds": """
+        SELECT o_orderkey AS cmd_id, 'w' || (o_custkey // 12) AS tenant_id, 'tm' || o_custkey AS team_id,
+               CASE WHEN o_orderkey % 3 = 0 THEN 'Name ' || o_orderkey END AS name,
+               CASE WHEN o_orderkey % 7 > 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'own-' || o_custkey
+                    ELSE 's' || ((o_orderkey // 4) % 16) END END AS slug,
+               o_orderkey % 19 > 0 AS is_admin FROM orders""",
+    # all tenants step by step at once: the k-th slug command of each
+    "steps": """
+        SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY cmd_id) AS k FROM cmds WHERE is_admin AND slug IS NOT NULL""",
+    "walk": """
+        SELECT 0::BIGINT AS k, tenant_id, map_from_entries(list({'k': id, 'v': slug})) AS held, NULL::BIGINT AS cmd_id, true AS granted
+        FROM teams GROUP BY tenant_id
+        UNION ALL
+        SELECT k, tenant_id, CASE WHEN free THEN map_concat(held, map([team_id], [slug])) ELSE held END, cmd_id, free
+        FROM (SELECT s.k, s.tenant_id, w.held, s.cmd_id, s.team_id, s.slug,
+                     w.held[s.team_id] = s.slug OR NOT list_contains(map_values(w.held), s.slug) AS free
+              FROM walk w JOIN steps s ON s.tenant_id = w.tenant_id AND s.k = w.k + 1)""",
+    "judged": """
+        SELECT c.*, CASE WHEN NOT c.is_admin THEN 403 WHEN c.name IS NULL AND c.slug IS NULL THEN 400
+                         WHEN NOT coalesce(w.granted, true) THEN 409 ELSE 200 END AS status
+        FROM cmds c LEFT JOIN walk w ON w.cmd_id = c.cmd_id""",
+}
+
+
+@register("rename_teams", ("WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in _RENAME.items()) + """
+    SELECT j.cmd_id, j.team_id, status,
+           CASE WHEN status = 200 THEN coalesce(last_value(CASE WHEN status = 200 THEN j.name END IGNORE NULLS) OVER w, t.name) END AS name,
+           CASE WHEN status = 200 THEN coalesce(last_value(CASE WHEN status = 200 THEN j.slug END IGNORE NULLS) OVER w, t.slug) END AS slug
+    FROM judged j JOIN teams t ON t.id = j.team_id
+    WINDOW w AS (PARTITION BY j.team_id ORDER BY j.cmd_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_rename_teams(spark, sf_dir):
+    """TM2 where teams of a tenant claim each other's slugs: 409 while another
+    holds it, granted once a rename has freed it."""
+    teams = FX.rename_teams_fx(spark, sf_dir)
+    return T.update_teams(FX.rename_cmds_fx(spark, sf_dir), FX.rename_admins_fx(spark, sf_dir), teams)
+
+
 @register("delete_teams", with_fixtures(f"""
     SELECT cmd_id, team_id,
            CASE WHEN NOT is_admin THEN 403

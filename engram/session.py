@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "engram", **extra) -> SparkSession:
@@ -59,6 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table of its own below the checkpoint
+    folder.  Unlike a checkpoint, what comes back has a known size (so small
+    tables are broadcast without a shuffle) and no leftovers of the old plan."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

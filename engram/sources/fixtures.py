@@ -433,6 +433,36 @@ def team_cmds_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rename_teams_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams from customers: tenant w<(c_custkey div 12)>, slug s<c_custkey % 12>; and their
+    one admin u<c_custkey> (``rename_admins_fx``)."""
+    c = load_raw(spark, sf_dir, "customer")
+    return c.select(
+        F.concat(F.lit("tm"), F.col("c_custkey")).alias("id"), F.concat(F.lit("w"), F.expr("c_custkey div 12")).alias("tenant_id"),
+        F.concat(F.lit("Team "), F.col("c_custkey")).alias("name"), F.concat(F.lit("s"), F.col("c_custkey") % 12).alias("slug"))
+
+
+def rename_admins_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load_raw(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("tm"), F.col("c_custkey")).alias("team_id"), F.concat(F.lit("u"), F.col("c_custkey")).alias("user_id"),
+                    F.lit("admin").alias("role"))
+
+
+def rename_cmds_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames from orders, by the team's admin (another user when o_orderkey % 19 = 0): slug
+    s<(o_orderkey div 4) % 16>, an own one when o_orderkey % 5 = 0, none when % 7 = 0; a
+    name when % 3 = 0."""
+    o = load_raw(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("cmd_id"), F.concat(F.lit("w"), F.expr("o_custkey div 12")).alias("tenant_id"),
+        F.concat(F.lit("tm"), F.col("o_custkey")).alias("team_id"),
+        F.when(k % 19 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("u"), F.col("o_custkey"))).alias("user_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("Name "), k)).alias("name"),
+        F.when(k % 7 > 0, F.when(k % 5 == 0, F.concat(F.lit("own-"), F.col("o_custkey"))).otherwise(
+            F.concat(F.lit("s"), F.expr("(o_orderkey div 4) % 16")))).alias("slug"))
+
+
 def invitations_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invitations from documents: team doc_id % 3, token tok<doc_id>,
     expiring (doc_id % 60) days after the epoch, accepted when % 7 = 0."""
