@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators import near
 from engram.operators.components import connected_components
 from engram.functions import scalars as S
 from engram.functions.vectors import cosine, norm
 from engram.operators.retrieval import active, broadcast_if_small, team_access
-from engram.session import ensure_checkpoint_dir
+from engram.session import ensure_checkpoint_dir, stored
 
 DEDUP = "dedup"
 
@@ -98,17 +99,23 @@ def classify(arrivals: DataFrame, memories: DataFrame) -> DataFrame:
     )
 
 
+def _near_sides(arrivals: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Probes and rows of V1 for ``near.pairs_above``."""
+    probe = _probe(arrivals).filter(near.usable(F.col("p_vec"), F.col("p_norm")))
+    probe = probe.select(F.col("arrival_id").alias("src"), "arrival_order", F.col("p_tenant_id").alias("s1"), F.col("p_namespace").alias("s2"),
+                         F.col("p_kind").alias("s3"), F.col("p_key").alias("s4"), F.col("p_vec").alias("vec"), F.col("p_norm").alias("norm"))
+    rows = (_rows(active(memories), "id", None).withColumn("dst_kind", F.lit("memory"))
+            .unionByName(_rows(arrivals, "arrival_id", F.col("arrival_order")).withColumn("dst_kind", F.lit("arrival"))))
+    rows = rows.filter(near.usable(F.col("r_vec"), F.col("r_norm")))
+    rows = rows.select("dst", "dst_kind", "dst_order", F.col("tenant_id").alias("s1"), F.col("namespace").alias("s2"),
+                       F.col("scope_kind").alias("s3"), F.col("scope_key").alias("s4"), F.col("r_vec").alias("vec"), F.col("r_norm").alias("norm"))
+    return stored(probe), stored(rows)
+
+
 def near_pairs(arrivals: DataFrame, memories: DataFrame, lo: float = S.CONTRADICTION_LOW) -> DataFrame:
     """V1: directed edges arrival -> (active memory | earlier arrival) in the
     arrival's dedup scope with similarity >= lo (unrounded)."""
-    probe = _probe(arrivals)
-    mem_rows = _rows(active(memories), "id", None).withColumn("dst_kind", F.lit("memory"))
-    arr_rows = _rows(arrivals, "arrival_id", F.col("arrival_order")).withColumn("dst_kind", F.lit("arrival"))
-    e1 = _scope_join(probe, mem_rows)
-    e2 = _scope_join(probe, arr_rows, F.col("dst_order") < F.col("arrival_order"))
-    edges = e1.unionByName(e2).filter(F.col("sim") >= F.lit(lo))
-    return edges.select(F.col("arrival_id").alias("src"), "arrival_order", "dst", "dst_kind",
-                        "dst_order", "sim")
+    return near.pairs_above(*_near_sides(arrivals, memories), lo)
 
 
 # --------------------------------------------------------------------------- components
