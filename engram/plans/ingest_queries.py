@@ -91,10 +91,33 @@ def q_near_pairs(spark, sf_dir):
     return e.select("src", "dst", "dst_kind", S.round4("sim").alias("similarity"))
 
 
-@register("store_batch")
+# the batch walked one arrival at a time: gone are replaced rows and duplicates
+_STORE_CTES = _NEAR_PAIRS_CTES | {
+    "ready": "SELECT *, row_number() OVER (ORDER BY arrival_order, arrival_id) AS k FROM arrivals_chain_fx",
+    "edges": """
+        SELECT r.k, e.dst, e.sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) e JOIN ready r ON r.arrival_id = e.src
+        WHERE e.sim >= 0.94::DOUBLE""",
+    "walk": """
+        SELECT 0::BIGINT AS k, []::VARCHAR[] AS gone, NULL::VARCHAR AS action, NULL::VARCHAR AS target, NULL::DOUBLE AS sim
+        UNION ALL
+        SELECT k, CASE action WHEN 'duplicate' THEN list_append(gone, arrival_id) WHEN 'replaced' THEN list_append(gone, best.d)
+                              ELSE gone END, action, best.d, -best.s
+        FROM (SELECT *, CASE WHEN best IS NULL THEN 'stored' WHEN -best.s >= 0.985::DOUBLE THEN 'duplicate' ELSE 'replaced' END AS action
+              FROM (SELECT r.k, any_value(r.arrival_id) AS arrival_id, any_value(w.gone) AS gone,
+                           min({'s': -e.sim, 'd': e.dst}) FILTER (WHERE e.dst IS NOT NULL) AS best
+                    FROM walk w JOIN ready r ON r.k = w.k + 1
+                    LEFT JOIN edges e ON e.k = r.k AND NOT list_contains(w.gone, e.dst)
+                    GROUP BY r.k))""",
+}
+
+
+@register("store_batch", with_fixtures("""
+    SELECT r.arrival_id, r.arrival_order, r.tenant_id, w.action,
+           CASE WHEN w.action = 'duplicate' THEN w.target ELSE r.arrival_id END AS memory_id,
+           CASE WHEN w.action = 'replaced' THEN w.target END AS replaced_id, round(w.sim, 4) AS similarity
+    FROM walk w JOIN ready r USING (k)""", "memories_fx", "arrivals_chain_fx", extra=_STORE_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_store_batch(spark, sf_dir):
-    """M2 over the chained arrivals (order-dependent; checked in tests
-    against a serial reference, so no SQL oracle)."""
+    """M2 over the chained arrivals; the oracle walks them one by one."""
     return I.store(FX.arrivals_fx(spark, sf_dir, chained=True), FX.memories_fx(spark, sf_dir))
 
 

@@ -184,23 +184,68 @@ IVF_LISTS, IVF_PROBES = 16, 8
 
 
 def _ivf(spark, sf_dir):
+    """The approximate search over an index written for it.  Its centroids are by rule, so
+    that the oracle has the same: the vectors j * (n div 16), as unit vectors."""
+    import uuid
+
     from engram.operators import ann
+    from engram.session import ensure_checkpoint_dir
 
     mem, members, teams = _fixture_tables(spark, sf_dir)
-    cents = ann.ivf_build(mem, IVF_LISTS)
-    approx = ann.ivf_search(FX.queries_fx(spark, sf_dir), mem, FX.as_of_col(), cents, IVF_PROBES,
-                            members, teams)
-    return approx, mem, members, teams
+    n = mem.count()
+    i = F.expr("cast(substring(id, 2) as bigint)")
+    cents = mem.filter((i % (n // IVF_LISTS) == 0) & (i < IVF_LISTS * (n // IVF_LISTS))).select(
+        (i / (n // IVF_LISTS)).cast("int").alias("cid"), ann._unit(F.col("embedding")).alias("centroid"))
+    path = ann.build_index(mem, cents, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ivf-{uuid.uuid4().hex}")
+    return ann.ivf_search(FX.queries_fx(spark, sf_dir), path, FX.as_of_col(), IVF_PROBES, members, teams), mem, members, teams
+
+
+def _ivf_ctes() -> dict[str, str]:
+    score = "round(list_dot_product({v}, c.centroid) / sqrt(list_dot_product({v}, {v})), 9) DESC, c.cid"
+    exact = _search_ctes("gated")
+    return {
+        "cents": f"""
+            SELECT m.i // (e.n // {IVF_LISTS}) AS cid,
+                   list_transform(m.embedding, lambda x: x / sqrt(list_dot_product(m.embedding, m.embedding))) AS centroid
+            FROM memories_fx m JOIN emb_n e ON true
+            WHERE m.i % (e.n // {IVF_LISTS}) = 0 AND m.i < {IVF_LISTS} * (e.n // {IVF_LISTS})""",
+        "gated": _gated_sql("queries_fx", 10, 50),
+        "probed": f"""
+            SELECT g.*, c.cid AS q_cid FROM gated g JOIN cents c ON true
+            QUALIFY row_number() OVER (PARTITION BY g.query_id ORDER BY {score.format(v='g.vector')}) <= {IVF_PROBES}""",
+        "mem": exact["mem"],
+        "listed": f"""
+            SELECT m.*, c.cid FROM mem m JOIN cents c ON true
+            QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY {score.format(v='m.embedding')}) = 1""",
+        "pairs": exact["pairs"].replace("FROM gated)", "FROM probed)").replace("JOIN mem m ON", "JOIN listed m ON m.cid = g.q_cid AND"),
+        **{k: exact[k] for k in ("cands", "scored", "ranked")},
+    }
 
 
-@register("ivf_search")
+@register("ivf_search", with_fixtures(RESULT_SELECT, "memories_fx", "queries_fx", "team_access_fx", "emb_n", extra=_ivf_ctes()))
 def q_ivf_search(spark, sf_dir):
-    """V2: R1 restricted to the probed inverted lists (k-means centroids);
-    approximate, so checked by rows and by recall against exact R1."""
+    """V2: R1 over the probed lists of a stored index."""
     return _ivf(spark, sf_dir)[0]
 
 
-@register("recall_at_k")
+def _recall_ctes() -> dict[str, str]:
+    exact = _search_ctes("gated")
+    again = {"pairs": "x_pairs", "cands": "x_cands", "scored": "x_scored", "ranked": "x_ranked"}
+    out = _ivf_ctes()
+    for name, new in again.items():
+        sql = exact[name]
+        for old in again:
+            sql = sql.replace(f"FROM {old}", f"FROM {again[old]}")
+        out[new] = sql
+    return out
+
+
+@register("recall_at_k", with_fixtures("""
+    SELECT count(*) AS queries, round(avg(recall), 4) AS recall_at_k, 3 AS k FROM (
+        SELECT x.query_id, sum(CASE WHEN a.id IS NOT NULL THEN 1 ELSE 0 END) / count(*) AS recall
+        FROM (SELECT query_id, id FROM x_ranked WHERE rnk <= lim AND rnk <= 3) x
+        LEFT JOIN (SELECT query_id, id FROM ranked WHERE rnk <= lim AND rnk <= 3) a ON a.query_id = x.query_id AND a.id = x.id
+        GROUP BY x.query_id)""", "memories_fx", "queries_fx", "team_access_fx", "emb_n", extra=_recall_ctes()))
 def q_recall(spark, sf_dir):
     """V3: recall of the approximate top-k (k = the queries' limit) against
     the exact search."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.plans import account_queries, usage_queries
+from engram.plans import account_queries, ingest_queries, usage_queries
 from engram.plans.registry import ORACLES, register
 from engram.sources.tables import RAW_SCHEMAS
 from engram.streaming import streams as ST
@@ -41,7 +41,7 @@ def q_stream_rate_limit(spark, sf_dir):
     return ST.run_to_table(ST.rate_limit_stream(keyed), "rate_limit", mode="append")
 
 
-__all__ = ["account_queries", "usage_queries"]
+__all__ = ["account_queries", "ingest_queries", "usage_queries"]
 
 
 def _scratch(spark, name: str) -> str:
@@ -50,7 +50,7 @@ def _scratch(spark, name: str) -> str:
     return f"{ST._checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-@register("stream_store")
+@register("stream_store", ORACLES["store_batch"])
 def q_stream_store(spark, sf_dir):
     """ST1: the chained arrivals as a file stream, stored per micro-batch
     (foreachBatch M2 + versioned snapshot); returns the outcomes.  Checked
