@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.operators.components import connected_components, star_round
+from engram.operators.components import connected_components
 
 from .common import SPACES, U64, lower_words, map_batches, materialise, mix
 
@@ -42,6 +42,7 @@ BLOCKS = 256
 DEVIATIONS = 5.5
 FOLD = 1024  # bits of the folded sketch
 PIVOTS = 4
+RANKS = 2  # pivots of a block in a turn
 _SHINGLE = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -144,9 +145,7 @@ def candidate_blocks(classes: DataFrame) -> DataFrame:
         .withColumn("rn", F.row_number().over(mine.orderBy("c", "tok")))
         .filter("rn <= spare + score")
     )
-    rare = materialise(rare.select(F.floor(F.col("seat") / 2).cast("long").alias("node"), "tok", "score"))
-    again = rare.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    return materialise(rare.join(again, "tok"))
+    return materialise(rare.select(F.floor(F.col("seat") / 2).cast("long").alias("node"), "tok", "score"))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -161,24 +160,34 @@ def _near(percent: int) -> Column:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by their texts."""
+    """The pairs (a, b, la, lb: nodes and their labels) of nodes whose sets are similar
+    enough, by their texts."""
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    rows_in = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b")
+    rows_in = pairs.select("a", "b", "la", "lb").join(text("a"), "a").join(text("b"), "b")
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        keep: dict[str, list] = {"a": [], "b": []}
+        keep: dict[str, list] = {"a": [], "b": [], "la": [], "lb": []}
         known: dict[int, np.ndarray] = {}
-        for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"]):
+        for a, b, la, lb, ta, tb in zip(*(cols[k] for k in (*keep, "ta", "tb"))):
             for key, t in ((a, ta), (b, tb)):
                 if key not in known:
                     known[key] = shingles(t)
             both = len(np.intersect1d(known[a], known[b], assume_unique=True))
             if 100 * both >= percent * (len(known[a]) + len(known[b]) - both):
-                keep["a"].append(a)
-                keep["b"].append(b)
+                for k, v in zip(keep, (a, b, la, lb)):
+                    keep[k].append(v)
         return keep
 
-    return map_batches(rows_in, {"a": "long", "b": "long"}, rows)
+    return map_batches(rows_in, {k: "long" for k in ("a", "b", "la", "lb")}, rows)
+
+
+def _likely(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, la, lb) whose sizes and sketches leave a link possible, stored: small
+    enough ones then go to the texts and not the texts to them."""
+    one = sizes.select(F.col("node").alias("a"), "n", "fold")
+    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fold").alias("g"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("d", _distance("fold", "g"))
+    return materialise(met.filter(_near(percent)).select("a", "b", "la", "lb"))
 
 
 def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
@@ -187,38 +196,41 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
     nodes = sizes.count()
     now = cand.withColumn("label", F.col("node"))
     while True:
-        per = now.groupBy("tok", "label").agg(F.count("*").cast("double").alias("k"))
-        open_ = per.groupBy("tok").agg((F.sum("k") ** 2 - F.sum(F.col("k") * F.col("k"))).alias("x"), F.count("*").alias("labels"))
-        open_ = materialise(open_.filter("labels > 1").select("tok", "x"))
-        left = open_.agg(F.coalesce(F.sum("x") / 2, F.lit(0.0))).first()[0]
-        if left == 0:
+        # per block: whether it holds several labels, and some pivots
+        ranks = [F.col("score").cast("long") if turn + k == 0 else F.xxhash64("node", "tok", F.lit(RANKS * turn + k)) for k in range(RANKS)]
+        blocks = now.groupBy("tok").agg(
+            F.count("*").cast("double").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"),
+            *[F.max(F.struct(r.alias("rank"), F.col("node").alias("o"), F.col("label").alias("l"))).alias(f"p{k}") for k, r in enumerate(ranks)])
+        pivots = F.array(*[F.struct(f"p{k}.o", f"p{k}.l") for k in range(RANKS)])
+        blocks = materialise(blocks.filter("low < high").select("tok", "c", pivots.alias("pivots")))
+        most = blocks.agg(F.sum(F.col("c") * (F.col("c") - 1)) / 2).first()[0]
+        if most is None:
             break
-        now = now.join(open_.select("tok"), "tok", "left_semi")  # a block within one label stays so
-        live = now.join(sizes.select("node", "n", "fold"), "node")
+        live = now.join(blocks, "tok")  # a block within one label stays so
         # pivots go on while they connect more than a few classes; hardly any link is left then
-        final = few or left <= 8 * nodes
+        final = few or most <= 8 * nodes
         if final:  # every pair that shares a block and isn't known to be connected
-            other = live.select("tok", F.col("node").alias("o"), F.col("label").alias("l"), F.col("n").alias("m"), F.col("fold").alias("f"))
-            met = live.join(other, "tok").filter("label != l and node < o")
-            pairs = met.withColumn("d", _distance("fold", "f")).filter(_near(percent)).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
-        else:  # each class against its PIVOTS nearest among the pivots of its blocks
-            rank = F.col("score") if turn == 0 else F.xxhash64("node", "tok", F.lit(turn))
-            pivot = live.groupBy("tok").agg(F.max_by(F.struct("node", "label", "n", "fold"), F.struct(rank, "node")).alias("p"))
-            pivot = pivot.select("tok", F.col("p.node").alias("o"), F.col("p.label").alias("l"), F.col("p.n").alias("m"), F.col("p.fold").alias("f"))
-            met = live.join(pivot, "tok").filter("label != l").withColumn("d", _distance("fold", "f")).filter(_near(percent))
-            best = F.dense_rank().over(Window.partitionBy("node").orderBy("d", "o"))  # a pair may share many blocks
-            some = met.select("node", "o", "d").withColumn("rn", best).filter(F.col("rn") <= PIVOTS)
-            pairs = some.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+            mine = live.select("tok", "node", "label").join(sizes.select("node", "n", "fold"), "node")
+            other = mine.select("tok", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("fold").alias("g"))
+            met = mine.join(other, "tok").filter("label != lb and node < b").withColumn("d", _distance("fold", "g")).filter(_near(percent))
+            pairs = materialise(met.select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
+        else:  # each class against the PIVOTS pivots that it shares most blocks with
+            met = live.select("node", "label", F.explode("pivots").alias("p")).select("node", "label", "p.o", "p.l").filter("label != l").repartition("node")
+            met = met.groupBy("node", "o").agg(F.count("*").alias("c"), F.first("label").alias("la"), F.first("l").alias("lb"))
+            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "o"))
+            chosen = met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select(F.col("node").alias("a"), F.col("o").alias("b"), "la", "lb")
+            pairs = _likely(chosen, sizes, percent)
         found = materialise(linked(pairs, texts, percent))
         links = found if links is None else links.unionByName(found)
         if final:
             break
-        # one round of stars joins each class with its pivots; longer paths shrink in later turns
-        links = materialise(star_round(links))
-        root = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-        now = materialise(now.drop("label").join(root, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        turn, few = turn + 1, found.count() * 200 < nodes
-    return None if links is None else materialise(connected_components(links, materialise))
+        # labels that met take the lesser one; longer paths shrink in later turns
+        ends = found.select(F.col("la").alias("label"), F.col("lb").alias("to")).unionByName(found.select(F.col("lb").alias("label"), F.col("la").alias("to")))
+        root = ends.groupBy("label").agg(F.min("to").alias("to"))
+        now = live.select("tok", "node", "score", "label").join(root, "label", "left")
+        now = materialise(now.select("tok", "node", "score", F.least("label", F.coalesce("to", "label")).alias("label")))
+        turn, few = turn + 1, found.count() * 20 < nodes
+    return None if links is None else materialise(connected_components(links.select("a", "b"), materialise))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
