@@ -60,9 +60,9 @@ def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the caller's whole row as one column, so that none of its names can
-    meet one of ours; _td and _id name the document."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    """doc_id, text, and the rest of the caller's row as one column, so that none of its names
+    can meet one of ours; _td and _id name the document."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     named = docs.select("doc_id", "text", row).withColumn("_td", F.unhex(F.md5("text")))
     return named.withColumn("_id", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("_td")))))
 
@@ -76,7 +76,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def edit_rows(docs: DataFrame) -> DataFrame:
-    """row (the caller's columns), text (edited), n_lines, n_removed."""
+    """row (the caller's columns but text), text (edited), n_lines, n_removed."""
     named = _identified(docs)
 
     def split(cols: dict[str, list]) -> dict[str, list]:
