@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.plans import account_queries, ingest_queries, usage_queries
+from engram.plans import account_queries, ingest_queries, store_queries, usage_queries
 from engram.plans.registry import ORACLES, register
 from engram.sources.tables import RAW_SCHEMAS
 from engram.streaming import streams as ST
@@ -41,7 +41,7 @@ def q_stream_rate_limit(spark, sf_dir):
     return ST.run_to_table(ST.rate_limit_stream(keyed), "rate_limit", mode="append")
 
 
-__all__ = ["account_queries", "ingest_queries", "usage_queries"]
+__all__ = ["account_queries", "ingest_queries", "store_queries", "usage_queries"]
 
 
 def _scratch(spark, name: str) -> str:
@@ -99,3 +99,49 @@ def q_stream_billing(spark, sf_dir):
     ST.billing_stream(stream, FX.billing_tenants_fx(spark, sf_dir), B.plans_table(spark, FX.FIXTURE_PLANS),
                       f"{root}/log", f"{root}/state", f"{root}/chk").awaitTermination()
     return spark.read.parquet(f"{root}/state/latest")
+
+
+@register("stream_store_gated", ORACLES["store_pipeline"])
+def q_stream_store_gated(spark, sf_dir):
+    """ST1 with all gates: the store requests in five micro-batches, each committed as a
+    version; returns the outcomes."""
+    from engram.plans.store_queries import TEAM_PATTERN
+    from engram.session import stored
+    from engram.sources import fixtures as FX
+    from engram.streaming.snapshots import SnapshotLog, gated_store_stream
+
+    root = _scratch(spark, "st1g")
+    requests = stored(FX.store_requests_fx(spark, sf_dir))
+    last = requests.agg(F.max("arrival_order")).first()[0]
+    for k in range(5):  # one after another: files are read in order of their time
+        part = requests.filter((F.col("arrival_order") * 5 >= k * (last + 1)) & (F.col("arrival_order") * 5 < (k + 1) * (last + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    log = SnapshotLog(spark, f"{root}/log")
+    log.start(FX.memories_fx(spark, sf_dir))
+    stream = ST.stream_table(spark, f"{root}/in", requests.schema, file_glob="*.parquet", max_files=1)
+    gated_store_stream(stream, log, FX.store_tenants_fx(spark, sf_dir), FX.team_members_fx(spark, sf_dir), FX.teams_fx(spark, sf_dir),
+                       FX.as_of_col(), f"{root}/chk", TEAM_PATTERN).awaitTermination()
+    return log.outcomes().select(
+        "arrival_id", "arrival_order", "tenant_id", "status", "action", "memory_id", "replaced_id", "similarity", "count_before")
+
+
+@register("stream_sessions", """
+    SELECT tenant_id, user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_call,
+           count(*) AS calls, CAST(sum(event_id % 11) AS BIGINT) AS results
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY tenant_id, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k
+          FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY tenant_id, user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE
+                               THEN 0 ELSE 1 END AS opens
+                FROM (SELECT 't' || (user_id % 3) AS tenant_id, 'u' || user_id AS user_id, ts, event_id FROM events)))
+    GROUP BY tenant_id, user_id, k
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def q_stream_sessions(spark, sf_dir):
+    """ST5: a user's sessions in append mode: those that the watermark has closed."""
+    ev = _events_stream(spark, sf_dir)
+    logs = ev.select(
+        F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), F.concat(F.lit("u"), F.col("user_id")).alias("user_id"),
+        (F.col("event_id") % 11).alias("result_count"), F.col("ts").alias("created_at"))
+    out = ST.run_to_table(ST.session_stream(logs), "sessions", mode="append")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return out.select("tenant_id", "user_id", F.date_format("w.start", stamp).alias("started"),
+                      F.date_format(F.col("w.end") - F.expr("interval 30 minutes"), stamp).alias("last_call"),
+                      F.col("calls").cast("bigint").alias("calls"), F.col("results").cast("bigint").alias("results"))

@@ -11,7 +11,8 @@
 * ST4 ``billing_stream``: events whose id is in the log already are dropped,
   the rest are appended and B1 recomputed per micro-batch.
 * ST5 ``metering_stream``: event-time tumbling (or sliding) windows with a
-  watermark.
+  watermark; ``session_stream``: sessions in append mode, with the rows that
+  come too late in ``late_rows``.
 """
 
 from __future__ import annotations
@@ -77,6 +78,40 @@ def metering_stream(logs: DataFrame, window: str = "1 day", slide: str | None =
             .agg(F.count(F.lit(1)).alias("calls"), F.sum("result_count").alias("results")))
 
 
+def session_stream(logs: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
+    """Sessions of a user: calls with less than ``gap`` between them.  In append
+    mode a session comes out once, when the watermark has passed its end, and
+    its state goes; ``split_late`` gives rows behind the watermark an output of
+    their own first."""
+    logs = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return (logs.withWatermark("created_at", watermark)
+            .groupBy("tenant_id", "user_id", F.session_window("created_at", gap).alias("w"))
+            .agg(F.count(F.lit(1)).alias("calls"), F.sum("result_count").alias("results")))
+
+
+def split_late(logs: DataFrame, root: str, checkpoint: str, watermark_seconds: int = 3600):
+    """Deal the rows of a stream to ``in_time/b<k>`` and ``late/b<k>``: late are those before
+    the greatest event time of the earlier batches less the delay.  ``marks/b<k>`` keeps that
+    time, so a replayed batch is split alike.  A stream over ``in_time`` with the same
+    watermark then drops nothing, since its own watermark is never ahead."""
+    spark = logs.sparkSession
+    logs = logs.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for part in ("in_time", "late"):
+        spark.createDataFrame([], logs.schema).write.mode("overwrite").parquet(f"{root}/{part}/none")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(f"{root}/marks/b{batch_id - 1}").first()["mark"] if batch_id else None
+        line = F.lit(before).cast("timestamp") - F.expr(f"interval {watermark_seconds} seconds")
+        late = F.coalesce(F.col("created_at") < line, F.lit(False))
+        batch.filter(late).write.mode("overwrite").parquet(f"{root}/late/b{batch_id}")
+        batch.filter(~late).write.mode("overwrite").parquet(f"{root}/in_time/b{batch_id}")
+        mark = batch.agg(F.max("created_at").alias("m")).select(F.greatest("m", F.lit(before).cast("timestamp")).alias("mark"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/b{batch_id}")
+
+    return (logs.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 # --------------------------------------------------------------------------- ST3
 
 RATE_OUT = "key string, event_id long, t long, accepted boolean, window_start long"
