@@ -13,11 +13,8 @@ Links that the tenants bring along count as attempts before the whole log.
 Only tenants of the table can link or change plan: the update of an unknown
 one touches no row.
 
-Whether a link attempt succeeds depends only on earlier attempts, so the
-outcomes are the fixpoint of "succeeds iff nobody else holds the customer",
-reached by iterating from "all succeed".  Each round settles at least one
-more level of the dependency chain, so the rounds end without a cap; in
-practice there are a few.
+Link attempts are claims of a unique key (``operators.unique``): only the
+contested customers and their tenants are walked in order.
 """
 
 from __future__ import annotations
@@ -25,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.session import ensure_checkpoint_dir
+from engram.operators.unique import claim_keys
+from engram.session import ensure_checkpoint_dir, stored
 
 CHECKOUT = "checkout.session.completed"
 INVOICE = "invoice.payment_succeeded"
@@ -39,7 +37,7 @@ EVENT_SCHEMA = ("struct<id:string, type:string, created:bigint, data:struct<obje
 
 
 def plans_table(spark: SparkSession, plans: dict[str, tuple[str, int]]) -> DataFrame:
-    """price id -> (plan, memory_limit); a handful of rows, broadcast."""
+    """price id -> (plan, memory_limit); a handful of rows."""
     rows = [(p, name, int(limit)) for p, (name, limit) in plans.items()]
     return spark.createDataFrame(rows, "price string, plan string, memory_limit bigint")
 
@@ -59,19 +57,6 @@ def parse_events(raw: DataFrame, col: str = "payload") -> DataFrame:
     ).drop("_e")
 
 
-def _order_cols():
-    return [F.col("ts"), F.col("event_id")]
-
-
-def _signature(df: DataFrame):
-    """(rows ok, hash-sum of ok ids): equal signatures in consecutive rounds
-    mean the outcome set did not change."""
-    r = df.agg(F.sum(F.col("ok").cast("long")).alias("n"),
-               F.sum(F.when(F.col("ok"), F.xxhash64("event_id")).otherwise(F.lit(0)).cast("decimal(38,0)"))
-               .alias("h")).first()
-    return (r["n"], r["h"])
-
-
 def initial_links(tenants: DataFrame) -> DataFrame:
     """The links the tenants have before the log, as attempts at ``BEFORE_LOG``."""
     return tenants.filter(F.col("stripe_customer_id").isNotNull()).select(
@@ -79,81 +64,20 @@ def initial_links(tenants: DataFrame) -> DataFrame:
         F.col("id").alias("tenant_id"), F.col("stripe_customer_id").alias("customer"))
 
 
-def link_outcomes(events: DataFrame, tenants: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+def link_outcomes(events: DataFrame, tenants: DataFrame) -> DataFrame:
     """Link attempts (checkouts of known tenants with a customer, and the
-    links from before the log) with ``ok``.
-
-    Only a customer claimed by two or more tenants can block anyone, so the
-    iteration runs on the contested part of the log (those customers'
-    attempts plus every attempt of the tenants involved); all other
-    attempts succeed outright."""
-    spark = events.sparkSession
-    ensure_checkpoint_dir(spark)
-    att = (events.filter((F.col("type") == CHECKOUT) & F.col("tenant_id").isNotNull()
-                         & F.col("customer").isNotNull())
-           .select("event_id", "ts", "tenant_id", "customer")
-           .join(tenants.select(F.col("id").alias("tenant_id")), "tenant_id", "left_semi")
-           .select("event_id", "ts", "tenant_id", "customer")
-           .unionByName(initial_links(tenants)))
-    contested = (att.groupBy("customer").agg((F.min("tenant_id") != F.max("tenant_id")).alias("_n"))
-                 .filter("_n").select("customer"))
-    involved = att.join(contested, "customer", "left_semi").select("tenant_id").distinct()
-    hot = (att.join(contested.withColumn("_c", F.lit(True)), "customer", "left")
-           .join(involved.withColumn("_i", F.lit(True)), "tenant_id", "left"))
-    in_play = F.col("_c").isNotNull() | F.col("_i").isNotNull()
-    hot = hot.withColumn("_play", in_play).checkpoint()
-    calm = hot.filter(~F.col("_play")).select("event_id", "ts", "tenant_id", "customer",
-                                               F.lit(True).alias("ok"))
-    ok = hot.filter(F.col("_play")).select("event_id", "ts", "tenant_id", "customer",
-                                            F.lit(True).alias("ok")).checkpoint()
-    sig, held, it = _signature(ok), [], 0
-    while True:
-        it += 1
-        new = _link_round(ok)
-        cut = it % checkpoint_every == 0
-        new = new.checkpoint() if cut else new.cache()
-        new_sig = _signature(new)
-        if cut:  # the rounds before are in the checkpoint
-            for old in held:
-                old.unpersist()
-            held = []
-        else:
-            held.append(new)
-        ok = new
-        if new_sig == sig:
-            out = ok if cut else ok.checkpoint()
-            for old in held:
-                old.unpersist()
-            return out.unionByName(calm)
-        sig = new_sig
-
-
-def _link_round(att: DataFrame) -> DataFrame:
-    """One Jacobi round: an attempt succeeds iff the customer's latest
-    earlier successful claimant is this tenant, nobody, or a tenant that
-    has since linked another customer successfully."""
-    before = Window.partitionBy("customer").orderBy(*_order_cols()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    prev = att.withColumn("_prev", F.last(F.when(F.col("ok"), F.struct(
-        F.col("tenant_id").alias("t"), F.col("ts").alias("ts"), F.col("event_id").alias("e"))),
-        ignorenulls=True).over(before))
-    # the holder's latest successful link before this attempt (as-of lookup
-    # by union: holder's own attempts as data rows, this attempt as a probe)
-    probes = prev.filter(F.col("_prev").isNotNull() & (F.col("_prev.t") != F.col("tenant_id"))).select(
-        F.col("_prev.t").alias("holder"), "ts", "event_id", F.lit(1).alias("_probe"),
-        F.lit(None).cast("string").alias("_cust"), F.col("customer").alias("_claim"))
-    data = att.filter("ok").select(
-        F.col("tenant_id").alias("holder"), "ts", "event_id", F.lit(0).alias("_probe"),
-        F.col("customer").alias("_cust"), F.lit(None).cast("string").alias("_claim"))
-    w = Window.partitionBy("holder").orderBy("ts", "event_id", "_probe").rowsBetween(
-        Window.unboundedPreceding, -1)
-    holder_now = (data.unionByName(probes)
-                  .withColumn("_holder_cust", F.last("_cust", ignorenulls=True).over(w))
-                  .filter(F.col("_probe") == 1)
-                  .select("event_id", (F.col("_holder_cust") == F.col("_claim")).alias("_blocked")))
-    return (prev.join(holder_now, "event_id", "left")
-            .select("event_id", "ts", "tenant_id", "customer",
-                    (~F.coalesce(F.col("_blocked"), F.lit(False))).alias("ok")))
+    links from before the log) with ``ok``: claims of customers, each held by
+    one tenant, in order of the log."""
+    att = stored(events.filter((F.col("type") == CHECKOUT) & F.col("tenant_id").isNotNull()
+                               & F.col("customer").isNotNull())
+                 .select("event_id", "ts", "tenant_id", "customer")
+                 .join(tenants.select(F.col("id").alias("tenant_id")), "tenant_id", "left_semi")
+                 .select("event_id", "ts", "tenant_id", "customer")
+                 .unionByName(initial_links(tenants)))
+    claims = att.select(F.col("event_id").alias("cmd_id"), F.lit("").alias("scope"), F.col("tenant_id").alias("owner"),
+                        F.col("customer").alias("key"), "ts")
+    granted = claim_keys(claims, order=("ts", "cmd_id")).select(F.col("cmd_id").alias("event_id"), F.col("granted").alias("ok"))
+    return stored(att.join(granted, "event_id"))
 
 
 def _owner_at(events: DataFrame, links: DataFrame) -> DataFrame:

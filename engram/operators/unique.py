@@ -21,42 +21,50 @@ from engram.operators.components import connected_components
 from engram.session import ship_package, stored
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Claims of a component (holders have no cmd_id and come first)."""
-    pdf = pdf.sort_values("cmd_id", na_position="first", kind="stable")
+def _walk(pdf: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """Claims of a component in order (holders have no order and come first)."""
+    pdf = pdf.sort_values(order, na_position="first", kind="stable")
     holder: dict[tuple, str] = {}
     held: dict[tuple, str] = {}
     ok = []
     for scope, owner, key in zip(pdf["scope"], pdf["owner"], pdf["key"]):
         by = holder.get((scope, key))
-        free = by is None or by == owner
-        if free and by is None:
+        if by is None:
             before = held.get((scope, owner))
             if before is not None:
                 del holder[scope, before]
             held[scope, owner] = key
             holder[scope, key] = owner
-        ok.append(free)
+        ok.append(by is None or by == owner)
     out = pd.DataFrame({"cmd_id": pdf["cmd_id"], "granted": ok})
-    return out[out["cmd_id"].notna()].astype({"cmd_id": "int64"})
+    return out[out["cmd_id"].notna()]
 
 
-def claim_keys(claims: DataFrame, holders: DataFrame) -> DataFrame:
-    """claims(cmd_id, scope, owner, key), holders(scope, owner, key) -> (cmd_id,
-    granted).  Nulls claim nothing and are not granted."""
+def claim_keys(claims: DataFrame, holders: DataFrame | None = None, order: tuple[str, ...] = ("cmd_id",)) -> DataFrame:
+    """claims(cmd_id, scope, owner, key and the columns of ``order``), holders(scope, owner,
+    key) -> (cmd_id, granted).  Nulls claim nothing and are not granted."""
     spark = claims.sparkSession
     ship_package(spark)
-    cols = ["scope", "owner", "key"]
-    claims = claims.select("cmd_id", *cols)
-    full = claims.dropna(subset=cols)
-    every = stored(full.unionByName(holders.select(F.lit(None).cast("bigint").alias("cmd_id"), *cols).dropna(subset=cols)))
+    cols, extra = ["scope", "owner", "key"], [c for c in order if c != "cmd_id"]
+    kind = dict(claims.dtypes)["cmd_id"]
+    claims = claims.select("cmd_id", *cols, *extra)
+    every = claims.dropna(subset=cols)
+    if holders is not None:
+        every = every.unionByName(holders.select(*cols).dropna(subset=cols), allowMissingColumns=True)
+    every = stored(every)
     touched = every.select(*cols).distinct()
     contested = touched.groupBy("scope", "key").agg(F.count("*").alias("n")).filter("n > 1").select("scope", "key")
     ties = touched.join(contested, ["scope", "key"]).select(
         F.xxhash64("scope", F.lit("owner"), "owner").alias("a"), F.xxhash64("scope", F.lit("key"), "key").alias("b"))
     comps = connected_components(ties, stored).select(F.col("node").alias("_node"), "component")
-    # contested claims and the other claims of the same owners
+    # contested claims and the other claims of the same owners; small components share a task
     rows = every.withColumn("_node", F.xxhash64("scope", F.lit("owner"), "owner")).join(comps, "_node").drop("_node")
-    walked = rows.groupBy("component").applyInPandas(lambda pdf: _walk(pdf), "cmd_id bigint, granted boolean")
+    names = list(order)
+    bucket = F.pmod("component", F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_walk(g, names) for _, g in pdf.groupby("component", sort=False)], ignore_index=True)
+
+    walked = rows.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(walk, f"cmd_id {kind}, granted boolean")
     named = F.coalesce(F.col("granted"), F.col("scope").isNotNull() & F.col("owner").isNotNull() & F.col("key").isNotNull())
     return claims.join(walked, "cmd_id", "left").select("cmd_id", named.alias("granted"))
