@@ -181,13 +181,15 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows_in, {k: "long" for k in ("a", "b", "la", "lb")}, rows)
 
 
-def _likely(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, la, lb) whose sizes and sketches leave a link possible, stored: small
-    enough ones then go to the texts and not the texts to them."""
+def _nearest(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, la, lb) whose sizes and sketches leave a link possible, the PIVOTS
+    with the nearest sketches for each a; stored, so that a small table of pairs goes to the
+    texts and not the texts to it."""
     one = sizes.select(F.col("node").alias("a"), "n", "fold")
     two = sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fold").alias("g"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("d", _distance("fold", "g"))
-    return materialise(met.filter(_near(percent)).select("a", "b", "la", "lb"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("d", _distance("fold", "g")).filter(_near(percent)).select("a", "b", "la", "lb", "d")
+    best = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return materialise(met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select("a", "b", "la", "lb"))
 
 
 def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
@@ -214,12 +216,9 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
             other = mine.select("tok", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("fold").alias("g"))
             met = mine.join(other, "tok").filter("label != lb and node < b").withColumn("d", _distance("fold", "g")).filter(_near(percent))
             pairs = materialise(met.select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
-        else:  # each class against the PIVOTS pivots that it shares most blocks with
-            met = live.select("node", "label", F.explode("pivots").alias("p")).select("node", "label", "p.o", "p.l").filter("label != l").repartition("node")
-            met = met.groupBy("node", "o").agg(F.count("*").alias("c"), F.first("label").alias("la"), F.first("l").alias("lb"))
-            best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "o"))
-            chosen = met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select(F.col("node").alias("a"), F.col("o").alias("b"), "la", "lb")
-            pairs = _likely(chosen, sizes, percent)
+        else:  # each class against the nearest of its blocks' pivots
+            met = live.select("node", "label", F.explode("pivots").alias("p")).select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("p.o").alias("b"), F.col("p.l").alias("lb"))
+            pairs = _nearest(met.filter("la != lb").distinct(), sizes, percent)
         found = materialise(linked(pairs, texts, percent))
         links = found if links is None else links.unionByName(found)
         if final:
@@ -229,7 +228,7 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
         root = ends.groupBy("label").agg(F.min("to").alias("to"))
         now = live.select("tok", "node", "score", "label").join(root, "label", "left")
         now = materialise(now.select("tok", "node", "score", F.least("label", F.coalesce("to", "label")).alias("label")))
-        turn, few = turn + 1, found.count() * 20 < nodes
+        turn, few = turn + 1, found.count() * 200 < nodes
     return None if links is None else materialise(connected_components(links.select("a", "b"), materialise))
 
 
