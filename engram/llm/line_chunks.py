@@ -1,13 +1,16 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A chunk is a shortest run of whole lines that may be removed: two or more lines of
-``MIN_WORDS`` words together, or one line of ``HEAVY`` words.  Every line begins
-the shortest run from it and ends the shortest run up to it, so chunks overlap,
-depend on their own lines alone, and together cover every longer run: of a passage
-found elsewhere before, all whole lines go, whatever stands around it.
-Chunks that occur more than once anywhere are kept where they come first (by
-doc_id, text digest and position) and removed elsewhere: neighbouring chunks with
-neighbouring first places are joined, and their bytes must equal those kept.
+Boundaries depend on the lines around them alone, so they shift with the text: a line of
+``WINDOW`` words or more has one before and one after it; among shorter lines, every
+window of ``WINDOW`` words has one where a rolling hash over the hashes of two lines is
+least.  A chunk is the shortest run from a boundary to another that has two or more
+lines and ``MIN_WORDS`` words, or one line of ``HEAVY`` words.
+
+Chunks that occur more than once anywhere are kept where they come first (by doc_id, text
+digest and position) and removed elsewhere: neighbouring chunks with neighbouring first
+places are joined, their bytes must equal those kept, and then the run grows line by line
+both ways as long as the lines are equal, to the ends of the passage.  Each line removed
+has its equal at an earlier place, so nothing vanishes altogether.
 
 Edge cases: null and empty texts stay as they are; a document whose chunks all
 occur earlier ends up empty, not dropped; rows equal in doc_id and text are one
@@ -26,6 +29,27 @@ from .common import _POWERS, U64, map_batches, materialise, mix, span_hashes
 
 HEAVY = 30
 MIN_WORDS = 20
+WINDOW = 10
+GROW_WORDS, GROW_LINES = 100, 100  # how far beyond a run lines are compared; a chunk lies nearer
+
+
+def boundaries(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The lines (or the end) before which a chunk may begin or end, ascending, from the
+    lines' hashes and numbers of words."""
+    n = len(h)
+    cut = np.zeros(n + 1, bool)
+    big = words >= WINDOW
+    cut[:-1] |= big
+    cut[1:] |= big
+    if not big.all():
+        rolled = mix(h * U64(0xE7037ED1A0B428DB) + np.append(h[1:], U64(0))).tolist()
+        total = np.concatenate(([0], np.cumsum(words)))
+        last = np.searchsorted(total, total[:-1] + WINDOW) - 1  # the line that fills the window
+        for i in np.flatnonzero((last < n - 1) & ~big).tolist():  # the hash takes in the next line
+            at = range(i, int(last[i]) + 1)
+            if not big[i : at.stop].any():
+                cut[min(at, key=rolled.__getitem__)] = True
+    return np.flatnonzero(cut)
 
 
 def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,12 +63,12 @@ def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = np.array([len(x.split()) for x in lines])
     h = span_hashes(raw, start, start + size) if len(raw) else np.zeros(n, U64)
     total = np.concatenate(([0], np.cumsum(words)))
-    heavy = words >= HEAVY
-    each = np.arange(n)
-    to = np.where(heavy, each + 1, np.maximum(each + 2, np.searchsorted(total, total[:-1] + MIN_WORDS)))
-    at = np.where(heavy, each, np.minimum(each - 1, np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1))
-    pairs = np.unique(np.concatenate((each[to <= n] * (n + 1) + to[to <= n], at[at >= 0] * (n + 1) + each[at >= 0] + 1)))
-    at, to = pairs // (n + 1), pairs % (n + 1)
+    marks = boundaries(h, words)
+    at = marks[marks < n]
+    # the first boundary that gives two lines and enough words, or a heavy line alone
+    least = np.maximum(at + 2, np.searchsorted(total, total[at] + MIN_WORDS))
+    where = np.searchsorted(marks, np.where(words[at] >= HEAVY, at + 1, least))
+    at, to = at[where < len(marks)], marks[where[where < len(marks)]]
     # a run's hash is a difference of prefix sums, scaled back to its first line
     _POWERS.grow(n + 1)
     keys = np.zeros((len(at), 2), U64)
@@ -59,6 +83,30 @@ def chunk_lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, to, keys
 
 
+def _reach(lines: list[str], at: int, step: int) -> int:
+    """The line up to which a run that ends at line ``at`` may grow."""
+    words = 0
+    for _ in range(GROW_LINES):
+        if words > GROW_WORDS or not 0 <= at + step < len(lines):
+            break
+        at += step
+        words += len(lines[at].split())
+    return at
+
+
+def _same(lines: list[str], a: int, b: int, kept: list[str], ahead: int) -> range:
+    """The lines around the run a to b that equal the kept ones (``kept`` has ``ahead`` lines
+    before the run); none if the run itself differs."""
+    if lines[a:b] != kept[ahead : ahead + b - a]:
+        return range(0)
+    to = ahead + b - a
+    while a and ahead and lines[a - 1] == kept[ahead - 1]:
+        a, ahead = a - 1, ahead - 1
+    while b < len(lines) and to < len(kept) and lines[b] == kept[to]:
+        b, to = b + 1, to + 1
+    return range(a, b)
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the rest of the caller's row as one column, so that none of its names
     can meet one of ours; _td and _id name the document."""
@@ -106,17 +154,18 @@ def edit_rows(docs: DataFrame) -> DataFrame:
     keepers = runs.select("u", "p", "e").distinct().groupBy(F.col("u").alias("_id")).agg(F.collect_list(F.struct("p", "e")).alias("k"))
 
     def kept(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"u": [], "p": [], "e": [], "bytes": []}
+        out: dict[str, list] = {"u": [], "p": [], "e": [], "ahead": [], "bytes": []}
         for uid, text, wanted in zip(cols["_id"], cols["text"], cols["k"]):
             lines = text.split("\n")
             for x in wanted:
-                for k, v in zip(out, (uid, x["p"], x["e"], "\n".join(lines[x["p"] : x["e"]]).encode("utf-8", "surrogatepass"))):
+                a, b = _reach(lines, x["p"], -1), _reach(lines, x["e"] - 1, 1) + 1
+                for k, v in zip(out, (uid, x["p"], x["e"], x["p"] - a, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass"))):
                     out[k].append(v)
         return out
 
     first_text = named.join(keepers, "_id").dropDuplicates(["_id"]).select("_id", "text", "k")
-    originals = materialise(map_batches(first_text, {"u": "binary", "p": "int", "e": "int", "bytes": "binary"}, kept))
-    later = runs.join(originals, ["u", "p", "e"]).groupBy("_id").agg(F.collect_list(F.struct("pos", "end", "bytes")).alias("_later"))
+    originals = materialise(map_batches(first_text, {"u": "binary", "p": "int", "e": "int", "ahead": "int", "bytes": "binary"}, kept))
+    later = runs.join(originals, ["u", "p", "e"]).groupBy("_id").agg(F.collect_list(F.struct("pos", "end", "ahead", "bytes")).alias("_later"))
     edited = named.join(later, "_id", "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
@@ -132,9 +181,7 @@ def edit_rows(docs: DataFrame) -> DataFrame:
             drop: set[int] = set()
             if gone is not None and len(gone):
                 for x in gone:
-                    a, b = x["pos"], x["end"]
-                    if "\n".join(lines[a:b]).encode("utf-8", "surrogatepass") == bytes(x["bytes"]):
-                        drop.update(range(a, b))
+                    drop.update(_same(lines, x["pos"], x["end"], bytes(x["bytes"]).decode("utf-8", "surrogatepass").split("\n"), x["ahead"]))
             out.append((t if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
