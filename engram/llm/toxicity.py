@@ -3,7 +3,7 @@
 Features are the distinct lower-cased words of a text and their beginnings of 4,
 5 and 6 bytes, hashed.  The classifier is fitted on a bounded sample of labelled
 rows (at most ``MAX_TOXIC`` and ``MAX_CLEAN``, those with the least hash of their
-doc_id).  Wherever a labelled sentence names a group, the name is swapped for the
+doc_id; of rows that repeat a doc_id the one with the least text).  Wherever a labelled sentence names a group, the name is swapped for the
 others of its list, and the squared change of the score is penalised: what a
 group name alone adds to the score vanishes, so neutral mentions aren't flagged.
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, separators, span_hashes, word_spans
+from .common import LOWER, U64, map_batches, materialise, separators, span_hashes, word_spans
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -86,36 +86,54 @@ class Model:
         return out
 
 
+def _constant(share: float, n: int) -> Model:
+    """Without rows of both kinds every score is the share of toxic ones."""
+    return Model(np.zeros(0, np.int64), np.zeros(0), 12.0 * (share > 0) - 6.0 if n else -np.inf)
+
+
+def _choose(n_all: np.ndarray, n_pos: np.ndarray, share: float, kinds: dict[tuple[str, str], int]) -> np.ndarray:
+    """The at most FEATURES features to fit, ascending: those of swapped names, and those whose
+    share of toxic documents lies farthest from the overall one."""
+    z = np.abs(n_pos - n_all * share) / np.sqrt(n_all * share * (1 - share) + 1)
+    z[(n_all < MIN_DOCS) | (z < MIN_Z)] = -1
+    for pair in kinds:
+        for name in pair:
+            z[feature_ids(name)] = np.inf
+    ids = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    return ids[z[ids] > 0]
+
+
 def fit(texts: list[str | None], toxic: list[int], groups=GROUPS, strength: float = COUNTERFACTUAL, rounds: int = 1000) -> Model:
-    """Fit on the given rows (gradient descent with momentum on the sparse matrix)."""
+    """Fit on the given rows."""
     y = np.array(toxic, np.float64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 12.0 * (share > 0) - 6.0 if len(y) else -np.inf)
+        return _constant(share, len(y))
     rows = [feature_ids(t).astype(np.int32) for t in texts]
     n_pos, n_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for ids, mark in zip(rows, y):  # the numbers of a row are distinct
         n_all[ids] += 1
         n_pos[ids] += mark
-    # rank by how far the share of toxic documents among a feature's is from the overall share
-    z = np.abs(n_pos - n_all * share) / np.sqrt(n_all * share * (1 - share) + 1)
-    z[(n_all < MIN_DOCS) | (z < MIN_Z)] = -1
-    pairs = [p for t in texts for p in swaps(t, groups)]
-    named = {n: feature_ids(n) for p in pairs for n in p}
-    for ids in named.values():
-        z[ids] = np.inf
-    ids = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    ids = ids[z[ids] > 0]
+    kinds: dict[tuple[str, str], int] = {}
+    for t in texts:
+        for p in swaps(t, groups):
+            kinds[p] = kinds.get(p, 0) + 1
+    return _descend(_choose(n_all, n_pos, share, kinds), n_all, n_pos, rows, y, kinds, strength, rounds)
+
+
+def _descend(ids: np.ndarray, n_all: np.ndarray, n_pos: np.ndarray, rows: list[np.ndarray], y: np.ndarray, kinds: dict[tuple[str, str], int],
+             strength: float, rounds: int) -> Model:
+    """Gradient descent with momentum on the sparse matrix of the chosen features.  ``kinds``
+    has each kind of swap with its count."""
+    share = float(y.mean())
+    named = {n: feature_ids(n) for p in kinds for n in p}
     place = np.full(1 << BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
     # log count ratios scale the features: rare ones move the score less
     ratio = np.log((n_pos[ids] + 1) / (y.sum() + 2)) - np.log((n_all[ids] - n_pos[ids] + 1) / ((1 - y).sum() + 2))
     cols = [place[r][place[r] >= 0] for r in rows]
     row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
-    # differences of counterfactual sentences: one row per kind of swap, with its count
-    kinds: dict[tuple[str, str], int] = {}
-    for p in pairs:
-        kinds[p] = kinds.get(p, 0) + 1
+    # differences of counterfactual sentences: one row per kind of swap
     diff = np.zeros((len(kinds), len(ids))) if kinds else None
     times = np.array(list(kinds.values()), np.float64)
     for k, (a, b) in enumerate(kinds):
@@ -154,8 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, grou
     chosen = _bounded(known, 1, MAX_TOXIC).unionByName(_bounded(known, 0, MAX_CLEAN))
     # at most MAX_TOXIC + MAX_CLEAN ids: broadcast, so that the documents stay where they are
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.orderBy("doc_id", "text").limit(2 * (MAX_TOXIC + MAX_CLEAN)).select("text", F.col("toxic").cast("int")).toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].tolist(), groups, strength)
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+
+    def features(cols: dict[str, list]) -> dict[str, list]:
+        named = ["\n".join(f"{a} {b}" for a, b in swaps(t, groups)) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "toxic": cols["toxic"], "ids": [feature_ids(t) for t in cols["text"]], "swaps": named}
+
+    rows = materialise(map_batches(sample, {"doc_id": "long", "toxic": "int", "ids": "array<int>", "swaps": "string"}, features))
+    # texts stay in the tasks: counts by feature (2**BITS at most), kinds of swaps (pairs of the
+    # lists) and the chosen features of each row (FEATURES at most) come to the driver
+    marks = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    total = sum(r["n"] for r in marks)
+    share = sum(r["n"] for r in marks if r["toxic"]) / total if total else 0.0
+    if not 0 < share < 1:
+        return _constant(share, total)
+    counts = rows.select(F.explode("ids").alias("id"), "toxic").groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).toPandas()
+    n_all, n_pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    n_all[counts["id"]], n_pos[counts["id"]] = counts["n"], counts["k"]
+    pairs = rows.filter("swaps <> ''").select(F.explode(F.split("swaps", "\n")).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    kinds = {tuple(r["p"].split(" ")): r["n"] for r in pairs.sort("p").collect()}
+    ids = _choose(n_all, n_pos, share, kinds)
+    wanted = F.array(*[F.lit(int(i)) for i in ids]) if len(ids) else F.array().cast("array<int>")
+    few = rows.select("doc_id", "toxic", F.array_intersect("ids", wanted).alias("ids")).sort("doc_id").toPandas()
+    return _descend(ids, n_all, n_pos, [np.array(x, np.int32) for x in few["ids"]], few["toxic"].to_numpy(np.float64), kinds, strength, 1000)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
