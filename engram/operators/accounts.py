@@ -122,11 +122,11 @@ def validate_feedback(df: DataFrame) -> DataFrame:
     """The first failing rule wins (type/title missing, type enum,
     title > 200, description > 5000)."""
     missing = F.col("type").isNull() | (F.col("type") == "") | F.col("title").isNull() | (F.col("title") == "")
-    reason = (F.when(missing, F.lit("type and title are required"))
-              .when(~F.col("type").isin(*FEEDBACK_TYPES), F.lit("type must be feature, bug, or general"))
-              .when(F.length("title") > TITLE_MAX, F.lit("title must be under 200 characters"))
+    reason = (F.when(missing, F.lit("missing"))
+              .when(~F.col("type").isin(*FEEDBACK_TYPES), F.lit("unknown type"))
+              .when(F.length("title") > TITLE_MAX, F.lit("long title"))
               .when(F.coalesce(F.length("description"), F.lit(0)) > DESCRIPTION_MAX,
-                    F.lit("description must be under 5000 characters")))
+                    F.lit("long description")))
     return df.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit(201)).otherwise(F.lit(400)))
 

@@ -185,10 +185,10 @@ def q_waitlist(spark, sf_dir):
 
 
 _FB_REASON_SQL = """
-    CASE WHEN type IS NULL OR type = '' OR title IS NULL OR title = '' THEN 'type and title are required'
-         WHEN type NOT IN ('feature', 'bug', 'general') THEN 'type must be feature, bug, or general'
-         WHEN length(title) > 200 THEN 'title must be under 200 characters'
-         WHEN coalesce(length(description), 0) > 5000 THEN 'description must be under 5000 characters'
+    CASE WHEN type IS NULL OR type = '' OR title IS NULL OR title = '' THEN 'missing'
+         WHEN type NOT IN ('feature', 'bug', 'general') THEN 'unknown type'
+         WHEN length(title) > 200 THEN 'long title'
+         WHEN coalesce(length(description), 0) > 5000 THEN 'long description'
     END"""
 
 

@@ -88,15 +88,19 @@ def hashed_trigram_model(dim: int) -> Callable[[list[str]], np.ndarray]:
     ``embed_with``): the same buckets, L2-normalised."""
     import hashlib
 
+    known: dict[str, int] = {}  # buckets of the trigrams that this worker has met
+
     def model(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
+        if len(known) > 1_000_000:
+            known.clear()
         for r, text in enumerate(texts):
-            for i in range(len(text) - 2):
-                h = int(hashlib.md5(text[i:i + 3].encode("utf-8")).hexdigest()[:8], 16) % dim
-                out[r, h] += 1
-            nrm = np.linalg.norm(out[r])
-            if nrm > 0:
-                out[r] /= nrm
+            grams = [text[i:i + 3] for i in range(len(text) - 2)]
+            for g in set(grams) - known.keys():
+                known[g] = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:8], 16) % dim
+            if grams:
+                out[r] = np.bincount([known[g] for g in grams], minlength=dim)
+                out[r] /= np.linalg.norm(out[r])
         return out
 
     return model
