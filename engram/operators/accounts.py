@@ -59,7 +59,7 @@ def valid_email(email) -> "F.Column":
 
 # Fixed value: the email format of a request body (atoms, dots, host labels).
 EMAIL_FORMAT = (r"(?i)^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
-                r"@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$")
+                r"@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?\z")
 
 
 def signup(signups: DataFrame, tenants: DataFrame, api_keys: DataFrame, n: int = 5,

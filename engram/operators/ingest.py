@@ -277,7 +277,7 @@ def prior_count(df: DataFrame, keys: list[str], order: list[str], flag: Column,
     """Number of earlier rows (in ``order``) with the same ``keys`` for which
     ``flag`` holds -- the 'first wins' test -- as a range-sliced running sum,
     so a hot key is spread over tasks.  Null keys are grouped as a value."""
-    pk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    pk = F.struct(*[F.col(k).cast("string") for k in keys])  # null equals null inside
     d = df.withColumn("_pk", pk)
     return running_sum(d, "_pk", order, F.coalesce(flag, F.lit(False)).cast("int"), out).drop("_pk")
 
@@ -290,7 +290,7 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
+    pk = F.struct(*[F.col(k).cast("string") for k in keys])  # null equals null inside
     d = df.withColumn("_pk", pk)
     for name, v in values.items():
         d = d.withColumn(f"_v_{name}", v)

@@ -25,6 +25,7 @@ from engram.functions.vectors import cosine, norm
 
 RESULT_COLUMNS = ["id", "fact", "importance", "decay_score", "similarity", "score",
                   "source", "namespace", "created_at"]
+# Fixed value: the service's text for an empty context (``context_line`` has its line format).
 NO_MEMORIES = "No relevant memories found."
 DEFAULT_BROADCAST_ROWS = 20_000
 

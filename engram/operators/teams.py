@@ -16,7 +16,7 @@ from engram.operators.ingest import prior_count, running_last, running_sum
 from engram.operators.retrieval import team_access
 
 ROLES = ("admin", "member", "read_only")   # fixed: the role enum
-SLUG_PATTERN = r"^[a-z0-9-]+$"
+SLUG_PATTERN = r"^[a-z0-9-]+\z"
 INVITE_DAYS = 7
 
 

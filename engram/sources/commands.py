@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.scalars import col_
 
-UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
 STORE_SCHEMA = ("struct<user_id:string, fact:string, importance:double, source:string, namespace:string, "
                 "team_id:string, visibility:string>")
