@@ -30,7 +30,7 @@ from .common import _POWERS, U64, map_batches, materialise, mix, span_hashes
 HEAVY = 30
 MIN_WORDS = 20
 WINDOW = 10
-GROW_WORDS, GROW_LINES = 100, 100  # how far beyond a run lines are compared; a chunk lies nearer
+GROW_WORDS, GROW_LINES = 40, 60  # how far beyond a run lines are compared; another chunk lies nearer
 
 
 def boundaries(h: np.ndarray, words: np.ndarray) -> np.ndarray:
