@@ -8,19 +8,24 @@ extend the window.
 The windows' anchors form a chain: anchor_1 is the key's first event and
 anchor_{k+1} is the first event with t > anchor_k + W.  Event j is accepted
 iff fewer than n events precede it inside its window.  Instead of walking
-the chain per key (which would put a hot key in one task), the chain is
-enumerated by pointer doubling: J_0(i) = next(i), J_{k+1} = J_k o J_k and
-the anchor set O_{k+1} = O_k u J_k(O_k) -- log2(#windows) rounds of joins on
-(key, index), which spread evenly whatever the key skew.
+the chain per key (which would put a hot key in one task), events are
+range-sliced and the pointers next(i) are followed to the end of their slice
+in one pass.  Only pointers from slice to slice are left, and these double:
+log2(#slices of a key) rounds of joins on (key, index).  The rows where a
+chain enters a slice give all its anchors in a second pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.ingest import running_sum
-from engram.session import ensure_checkpoint_dir
+from engram.session import ensure_checkpoint_dir, ship_package, stored
 
 
 def _index(events: DataFrame, key: str, t: str, tie: str) -> DataFrame:
@@ -40,56 +45,97 @@ def _next_pointer(idx: DataFrame, key: str, t: str, window_s: int) -> DataFrame:
             .select(key, F.col("src").alias("idx"), F.col("_before").alias("nxt")))
 
 
-def anchors(events: DataFrame, key: str, t: str, tie: str, window_s: int,
-            max_rounds: int = 64) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """The rows of a task, a slice of the log."""
+    rows = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(rows) if rows else None
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the rows of a slice (sorted by key and idx): ``exit``, the first pointer of the row's
+    chain that leaves the slice's part of the key (null when the key ends before)."""
+    table = _whole(batches)
+    if table is None:
+        return
+    start = table.column("part_start").to_numpy()
+    idx, nxt, n = (table.column(c).to_numpy() for c in ("idx", "nxt", "n_key"))
+    first = np.flatnonzero(start)
+    which = np.cumsum(start) - 1
+    last = np.append(first[1:], len(idx))[which] - 1  # the row that ends this part of the key
+    low, high = idx[first][which], idx[last]
+    out = nxt.copy()
+    while True:  # pointers double inside the part
+        inside = np.flatnonzero(out <= high)
+        if not len(inside):
+            break
+        out[inside] = out[first[which[inside]] + out[inside] - low[inside]]
+    yield from table.append_column("exit", pa.array(out, pa.int64(), mask=out >= n)).to_batches()
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole slices (sorted by slice, key and idx) with ``entry`` on the rows where a chain comes
+    in: ``anchor`` of each row, as far as it lies in the slice."""
+    table = _whole(batches)
+    if table is None:
+        return
+    start, entry = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part_start", "entry"))
+    idx, nxt = table.column("idx").to_numpy(), table.column("nxt").to_numpy()
+    first = np.flatnonzero(start)
+    ends = np.append(first[1:], len(idx))
+    which = np.cumsum(start) - 1
+    anchor = np.full(len(idx), -1)
+    for at in np.flatnonzero(entry).tolist():  # one at most in each part of a key
+        base, end = first[which[at]], ends[which[at]]
+        while at < end:
+            anchor[at] = idx[at]
+            at = base + nxt[at] - idx[base]
+    anchor = _running(anchor, first)
+    yield from table.append_column("anchor", pa.array(anchor, pa.int64(), mask=anchor < 0)).to_batches()
+
+
+def _running(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running maximum that begins anew at ``first``."""
+    out = values.copy()
+    for a, b in zip(first, np.append(first[1:], len(values))):
+        np.maximum.accumulate(values[a:b], out=out[a:b])
+    return out
+
+
+def anchors(events: DataFrame, key: str, t: str, tie: str, window_s: int) -> DataFrame:
     """Mark each event with its window's anchor index (``anchor``) and its
     own index (``idx``)."""
     spark = events.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     idx = _index(events, key, t, tie).checkpoint()
-    # j = next(i), null when no later event falls outside i's window
-    n_key = idx.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    jump = (_next_pointer(idx, key, t, window_s).join(n_key, key)
-            .select(key, "idx", F.when(F.col("nxt") < F.col("_n"), F.col("nxt")).alias("j"))
-            .checkpoint())
-    orbit = idx.filter(F.col("idx") == 0).select(key, "idx").checkpoint()
-    for it in range(max_rounds):
-        # O_{k+1} = O_k + J_k(O_k); the new part never overlaps O_k
-        step = (orbit.join(jump, [key, "idx"]).filter(F.col("j").isNotNull())
-                .select(key, F.col("j").alias("idx")))
-        step = step.checkpoint() if (it + 1) % 4 == 0 else step.cache()
-        if step.limit(1).count() == 0:
+    n_key = idx.groupBy(key).agg(F.count(F.lit(1)).alias("n_key"))
+    # pointers inside a slice are followed at once
+    chain = _next_pointer(idx, key, t, window_s).join(n_key, key).repartitionByRange(slices, key, "idx").sortWithinPartitions(key, "idx")
+    chain = stored(chain.withColumn("slice", F.spark_partition_id()).select(key, "idx", "nxt", "n_key", "slice"))
+    part = Window.partitionBy("slice").orderBy(key, "idx")
+    chain = chain.withColumn("part_start", F.coalesce(F.lag(key).over(part) != F.col(key), F.lit(True)))
+    fields = f"{key} {dict(events.dtypes)[key]}, idx bigint, nxt bigint, n_key bigint, slice int, part_start boolean"
+    jumps = stored(chain.mapInArrow(_exits, f"{fields}, exit bigint"))
+    # the rows where a chain enters a slice: pointers between slices double
+    orbit = jumps.filter("idx = 0").select(key, "idx")
+    jump = jumps.select(key, "idx", F.col("exit").alias("j"))
+    while True:
+        step = stored(orbit.join(jump, [key, "idx"]).filter("j is not null").select(key, F.col("j").alias("idx")))
+        if step.isEmpty():
             break
         orbit = orbit.unionByName(step)
-        jump = (jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
-                                     & (F.col("a.j") == F.col("b.idx")), "left")
-                .select(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx"),
-                        F.col("b.j").alias("j")))
-        jump = jump.checkpoint() if (it + 1) % 4 == 0 else jump.cache()
-        if (it + 1) % 4 == 0:
-            orbit = orbit.checkpoint()
-    else:
-        raise RuntimeError("rate-limit anchors did not converge")
-    marked = idx.join(orbit.withColumn("_is_anchor", F.lit(True)), [key, "idx"], "left")
-    # anchor(j) = the largest anchor index <= j: a running max per key,
-    # again done slice-wise so a hot key is not one task.
-    return running_max_inclusive(marked, key, ["idx"],
-                                 F.when(F.col("_is_anchor"), F.col("idx")), "anchor").drop("_is_anchor")
-
-
-def running_max_inclusive(df: DataFrame, part: str, order: list[str], value, out: str) -> DataFrame:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.withColumn("_v", value).repartitionByRange(n, part, *order)
-         .withColumn("_slice", F.spark_partition_id())).checkpoint()
-    tops = d.groupBy(part, "_slice").agg(F.max("_v").alias("_m"))
-    w_tot = Window.partitionBy(part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tops.withColumn("_carry", F.max("_m").over(w_tot)).drop("_m")
-    w_loc = Window.partitionBy(part, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_loc", F.max("_v").over(w_loc))
-    # a row per (key, slice): join strategy left to AQE's runtime sizes
-    return (local.join(carry, [part, "_slice"])
-            .withColumn(out, F.greatest("_carry", "_loc")).drop("_v", "_slice", "_carry", "_loc"))
+        after = jump.select(key, F.col("idx").alias("j"), F.col("j").alias("k"))
+        jump = stored(jump.filter("j is not null").join(after, [key, "j"]).filter("k is not null").select(key, "idx", F.col("k").alias("j")))
+    entered = jumps.drop("exit").join(orbit.withColumn("entry", F.lit(True)), [key, "idx"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    entered = entered.select(key, "idx", "nxt", "n_key", "slice", "part_start", "entry").repartition(slices, "slice").sortWithinPartitions("slice", key, "idx")
+    marked = stored(entered.mapInArrow(_marks, f"{fields}, entry boolean, anchor bigint").select(key, "idx", "slice", "anchor"))
+    # rows before the first anchor of their part: the last one of the parts before
+    tops = marked.groupBy(key, "slice").agg(F.max("anchor").alias("top"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(key, "slice", F.max("top").over(before).alias("carry"))
+    whole = marked.join(carry, [key, "slice"]).select(key, "idx", F.coalesce("anchor", "carry").alias("anchor"))
+    return idx.join(whole, [key, "idx"])
 
 
 def rate_limit(events: DataFrame, key: str = "key", t: str = "t", tie: str = "event_id",

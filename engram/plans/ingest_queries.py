@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from engram.functions import scalars as S
 from engram.operators import ingest as I
