@@ -42,7 +42,6 @@ BLOCKS = 256
 DEVIATIONS = 5.5
 FOLD = 1024  # bits of the folded sketch
 PIVOTS = 4
-RANKS = 2  # pivots of a block in a turn
 _SHINGLE = [U64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -181,30 +180,19 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows_in, {k: "long" for k in ("a", "b", "la", "lb")}, rows)
 
 
-def _nearest(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, la, lb) whose sizes and sketches leave a link possible, the PIVOTS
-    with the nearest sketches for each a; stored, so that a small table of pairs goes to the
-    texts and not the texts to it."""
-    one = sizes.select(F.col("node").alias("a"), "n", "fold")
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fold").alias("g"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("d", _distance("fold", "g")).filter(_near(percent)).select("a", "b", "la", "lb", "d")
-    best = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return materialise(met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select("a", "b", "la", "lb"))
-
-
 def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the linked classes; None when no two classes share a block."""
     links, turn, few = None, 0, False
     nodes = sizes.count()
     now = cand.withColumn("label", F.col("node"))
     while True:
-        # per block: whether it holds several labels, and some pivots
-        ranks = [F.col("score").cast("long") if turn + k == 0 else F.xxhash64("node", "tok", F.lit(RANKS * turn + k)) for k in range(RANKS)]
+        # per block: whether it holds several labels, and a pivot with its sketch
+        rank = F.col("score").cast("long") if turn == 0 else F.xxhash64("node", "tok", F.lit(turn))
         blocks = now.groupBy("tok").agg(
             F.count("*").cast("double").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"),
-            *[F.max(F.struct(r.alias("rank"), F.col("node").alias("o"), F.col("label").alias("l"))).alias(f"p{k}") for k, r in enumerate(ranks)])
-        pivots = F.array(*[F.struct(f"p{k}.o", f"p{k}.l") for k in range(RANKS)])
-        blocks = materialise(blocks.filter("low < high").select("tok", "c", pivots.alias("pivots")))
+            F.max(F.struct(rank.alias("rank"), F.col("node").alias("o"), F.col("label").alias("l"))).alias("p"))
+        sketch = sizes.select(F.col("node").alias("o"), F.col("n").alias("m"), F.col("fold").alias("g"))
+        blocks = materialise(blocks.filter("low < high").select("tok", "c", "p.o", "p.l").join(sketch, "o"))
         most = blocks.agg(F.sum(F.col("c") * (F.col("c") - 1)) / 2).first()[0]
         if most is None:
             break
@@ -216,9 +204,12 @@ def class_links(cand: DataFrame, sizes: DataFrame, texts: DataFrame, percent: in
             other = mine.select("tok", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("fold").alias("g"))
             met = mine.join(other, "tok").filter("label != lb and node < b").withColumn("d", _distance("fold", "g")).filter(_near(percent))
             pairs = materialise(met.select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb").distinct())
-        else:  # each class against the nearest of its blocks' pivots
-            met = live.select("node", "label", F.explode("pivots").alias("p")).select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("p.o").alias("b"), F.col("p.l").alias("lb"))
-            pairs = _nearest(met.filter("la != lb").distinct(), sizes, percent)
+        else:  # each class against the PIVOTS nearest among the pivots of its blocks
+            met = live.filter("label != l").join(sizes.select("node", "n", "fold"), "node").withColumn("d", _distance("fold", "g")).filter(_near(percent))
+            met = met.select(F.col("node").alias("a"), F.col("o").alias("b"), F.col("label").alias("la"), F.col("l").alias("lb"), "d").distinct()
+            best = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+            # stored: a small table of pairs goes to the texts and not the texts to it
+            pairs = materialise(met.withColumn("rn", best).filter(F.col("rn") <= PIVOTS).select("a", "b", "la", "lb"))
         found = materialise(linked(pairs, texts, percent))
         links = found if links is None else links.unionByName(found)
         if final:
