@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +55,75 @@ def embed_with(df: DataFrame, model: Callable[[list[str]], np.ndarray], text_col
     return df.mapInPandas(run, schema)
 
 
+CHUNK = 1 << 20  # code points of texts that are counted at once
+
+
+def _bucket_counts(texts: list[str], dim: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, count) of the trigrams of ``texts``; ``known`` keeps the buckets
+    of the trigrams (three code points as one number) that this worker has met."""
+    import hashlib
+
+    sizes = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    grams = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(points), dtype=bool)  # a trigram does not run over the end of its text
+    for back in (1, 2):
+        inside[(ends - back)[sizes >= back]] = False
+    inside = inside[:-2]
+    distinct, which = np.unique(grams[inside], return_inverse=True)
+    if len(known) > 1_000_000:
+        known.clear()
+    buckets = np.empty(len(distinct), dtype=np.int64)
+    for k, g in enumerate(distinct.tolist()):
+        if g not in known:
+            gram = chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF)
+            known[g] = int(hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
+        buckets[k] = known[g]
+    rows = np.repeat(np.arange(len(texts)), sizes)[:-2][inside]
+    counts = np.bincount(rows * dim + buckets[which], minlength=1)
+    hit = np.flatnonzero(counts)
+    return hit // dim, hit % dim, counts[hit]
+
+
 def trigram_buckets(df: DataFrame, text_col: str, dim: int) -> DataFrame:
     """S8 (sparse form): character trigrams (code points) of the whole text,
     each hashed to one of ``dim`` buckets by the first 32 bits of its MD5;
-    returns (key columns..., bucket, cnt).  Work grows with the text and is
-    spread by explode + a map-side-combined aggregate."""
+    returns (key columns..., bucket, cnt).  Trigrams are counted where their
+    text is, a bounded stretch of texts at a time, so at most ``dim`` rows a
+    text are shuffled."""
+    from pyspark.sql import types as T
+
+    from engram.session import ship_package
+
+    ship_package(df.sparkSession)
     keys = [c for c in df.columns if c != text_col]
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
-        # few input files: spread the texts before the (much larger) explode
+        # few input files: spread the texts before the counting
         df = df.repartition(par)
-    grams = F.when(F.length(text_col) >= 3, F.expr(
-        f"transform(sequence(1, length({text_col}) - 2), i -> substring({text_col}, i, 3))"))
-    g = df.select(*keys, F.explode(grams).alias("g"))
-    bucket = F.pmod(F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-    return g.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
+    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("bucket", T.LongType()), T.StructField("cnt", T.LongType())])
+
+    def run(batches):
+        known: dict[int, int] = {}
+        for batch in batches:
+            text, rest = batch.column(text_col), batch.select(keys)
+            at, texts, held = [], [], 0
+            for k in range(batch.num_rows):
+                t = text[k].as_py()
+                if t is not None and len(t) >= 3:
+                    at.append(k)
+                    texts.append(t)
+                    held += len(t)
+                if texts and (held >= CHUNK or k == batch.num_rows - 1):
+                    row, bucket, cnt = _bucket_counts(texts, dim, known)
+                    of = rest.take(pa.array(np.array(at)[row]))
+                    yield pa.RecordBatch.from_arrays([*of.columns, pa.array(bucket, pa.int64()), pa.array(cnt, pa.int64())],
+                                                     names=[*keys, "bucket", "cnt"])
+                    at, texts, held = [], [], 0
+
+    g = df.select(*keys, text_col).mapInArrow(run, schema)
+    return g.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("cnt"))
 
 
 def dense(sparse: DataFrame, keys: list[str], dim: int) -> DataFrame:
