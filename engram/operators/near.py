@@ -1,15 +1,18 @@
-"""Pairs of vectors above a cosine bound, within scopes, by blocked products.
-
-Rows and probes of a scope are dealt into tiles of at most ``TILE`` by
-``TILE``, and each tile is one matrix product; small scopes share a task.  A
-scope with more rows is first cut into cells: every row belongs to the nearest
-of a few directions, and by the triangle inequality on angles a probe can only
-match rows of cells within the cell's radius plus the bound's angle of it, so
-its other tiles are never formed.  (Near-independent random vectors have no
-such cells; there every pair costs one product.)
-
-Products select candidates with a margin; the reported similarity is then
-summed in the order of the vector's entries, as the column form does.
+"""Pairs of vectors above a cosine bound, and the nearest ones, within scopes by blocked products.
+
+Rows and probes of a scope are dealt into tiles of at most ``ENTRIES`` vector
+entries a side, and each tile is a matrix product, some probes at a time;
+small scopes share a task.  For pairs above a bound a scope with more rows is
+cut into cells: every row belongs to the nearest of a few directions, and by
+the triangle inequality on angles a probe can only match rows of cells within
+the cell's radius plus the bound's angle of it, so its other products are
+never formed.  Cells are packed into tiles, so a probe is copied once for each
+tile that it meets and not for each cell.  (Near-independent random vectors
+have no far cells; there every pair costs one product.)
+
+Products in single precision select candidates with a margin; the reported
+similarity is then summed in the order of the vector's entries, as the column
+form does.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.session import ship_package, stored
 
-TILE = 4096
+ENTRIES = 1 << 21
 CELLS = 64
+AT_ONCE = 256  # probes of a product
 _SCOPE = ("s1", "s2", "s3", "s4")
+_TILE = (*_SCOPE, "g", "i", "j")
 OUT = "src string, arrival_order bigint, dst string, dst_kind string, dst_order bigint, sim double"
 
 
@@ -64,15 +69,17 @@ def _with_angles(df: DataFrame, directions: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def tiles(probes: DataFrame, rows: DataFrame, lo: float, tile: int = TILE, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """(probes, rows) dealt to tiles: both get ``cell``, ``i`` (piece of rows) and ``j`` (piece
-    of probes), once for each tile that they take part in."""
-    many = rows.groupBy(*_SCOPE).agg(F.count("*").alias("n"))
+def tiles(probes: DataFrame, rows: DataFrame, lo: float | None, tile: int | None = None, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """(probes, rows) dealt to tiles: both get ``g`` (a pack of cells, or a large cell's own), ``i``
+    (piece of rows) and ``j`` (piece of probes), once for each tile that they take part in; rows
+    their ``cell``, and probes the ``cells`` of the tile that they can match (null: all)."""
+    held = F.lit(tile) if tile else F.greatest(F.lit(1024), F.floor(F.lit(ENTRIES) / F.greatest(F.max(F.size("vec")), F.lit(1))))
+    many = rows.groupBy(*_SCOPE).agg(F.count("*").alias("n"), held.cast("bigint").alias("t"))
     asked = probes.groupBy(*_SCOPE).agg(F.count("*").alias("m"))
-    sizes = stored(many.join(asked, [*_SCOPE]).withColumn("big", F.col("n") > tile))
+    sizes = stored(many.join(asked, [*_SCOPE]).withColumn("big", F.col("n") > F.col("t")))
     probes, rows = probes.join(sizes.select(*_SCOPE, "big"), [*_SCOPE]), rows.join(sizes.select(*_SCOPE, "big"), [*_SCOPE])
     none = F.array().cast("array<double>")
-    directions = None if sizes.filter("big").isEmpty() else _directions(rows.filter("big"), cells)
+    directions = None if lo is None or sizes.filter("big").isEmpty() else _directions(rows.filter("big"), cells)
     if directions is None:
         probes, rows = probes.withColumn("angles", none), rows.withColumn("angles", none)
     else:
@@ -82,73 +89,177 @@ def tiles(probes: DataFrame, rows: DataFrame, lo: float, tile: int = TILE, cells
         probes, rows = stored(angled(probes)), stored(angled(rows))
     nearest = F.when(F.size("angles") > 0, F.array_position("angles", F.array_min("angles")).cast("int")).otherwise(F.lit(0))
     rows = rows.withColumn("cell", nearest).withColumn("away", F.array_min("angles"))
-    made = rows.groupBy(*_SCOPE, "cell").agg(F.count("*").alias("k"), F.max("away").alias("radius"))
-    made = stored(made.join(sizes, [*_SCOPE]).select(
-        *_SCOPE, "cell", "radius", F.ceil(F.col("k") / tile).cast("int").alias("pieces"), F.ceil(F.col("m") / tile).cast("int").alias("parts")))
-    reach = math.acos(lo) + 1e-6
-    near = (F.col("cell") == 0) | (F.size("angles") == 0) | (F.try_element_at("angles", F.greatest("cell", F.lit(1))) <= F.col("radius") + F.lit(reach))
-    piece = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = probes.join(made, [*_SCOPE]).filter(near).withColumn("j", piece("src", "parts")).withColumn("i", every("pieces"))
-    rows = rows.join(made, [*_SCOPE, "cell"]).withColumn("i", piece("dst", "pieces")).withColumn("j", every("parts"))
-    return probes.drop("angles", "big", "radius", "pieces", "parts"), rows.drop("angles", "big", "away", "radius", "pieces", "parts")
+    made = rows.groupBy(*_SCOPE, "cell").agg(F.count("*").alias("k"), F.max("away").alias("radius")).join(sizes, [*_SCOPE])
+    packed = F.when(F.col("k") <= F.col("t"), F.col("k"))  # a cell above a tile has pieces of its own
+    before = F.sum(packed).over(Window.partitionBy(*_SCOPE).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    pack = F.when(packed.isNotNull(), F.floor(F.coalesce(before, F.lit(0)) / F.col("t"))).otherwise(-1 - F.col("cell"))
+    made = stored(made.select(
+        *_SCOPE, "cell", "radius", pack.cast("int").alias("g"), F.ceil(F.col("k") / F.col("t")).cast("int").alias("pieces"),
+        F.ceil(F.col("m") / F.col("t")).cast("int").alias("parts")))
+    # at most ``cells`` + 1 entries a scope
+    layout = made.groupBy(*_SCOPE).agg(F.collect_list(F.struct("cell", "radius", "g", "pieces")).alias("layout"), F.max("parts").alias("parts"))
+    reach = F.lit(math.acos(-1.0 if lo is None else lo) + 1e-6)
 
+    def near(c: Column) -> Column:
+        return (c["cell"] == 0) | (F.size("angles") == 0) | (
+            F.try_element_at("angles", F.greatest(c["cell"], F.lit(1))) <= c["radius"] + reach)
 
-def _dot(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.cumsum(a * b)[-1])  # in order of the entries
+    piece = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = (probes.join(layout, [*_SCOPE]).withColumn("j", piece("src", "parts")).withColumn("met", F.filter("layout", near))
+              .withColumn("g", F.explode(F.array_distinct(F.transform("met", lambda c: c["g"])))))
+    mine = F.transform(F.filter("met", lambda c: c["g"] == F.col("g")), lambda c: c["cell"])
+    there = F.filter("layout", lambda c: c["g"] == F.col("g"))
+    probes = (probes.withColumn("cells", F.when(F.size(mine) < F.size(there), mine)).withColumn("pieces", there[0]["pieces"])
+              .withColumn("i", every("pieces")))
+    rows = rows.join(made.drop("radius"), [*_SCOPE, "cell"]).withColumn("i", piece("dst", "pieces")).withColumn("j", every("parts"))
+    return probes.drop("angles", "big", "layout", "met", "pieces", "parts"), rows.drop("angles", "big", "away", "pieces", "parts")
 
 
-def _product(probes: pa.Table, rows: pa.Table, lo: float) -> pa.Table:
-    """The pairs of one bucket: its tiles one after another."""
-    out: dict[str, list] = {k: [] for k in ("src", "arrival_order", "dst", "dst_kind", "dst_order", "sim")}
-    groups: dict[tuple, list] = {}
+def _groups(probes: pa.Table, rows: pa.Table):
+    """(dimension, places of probes, places of rows) that are to be multiplied: the tiles of a
+    bucket one after another, cell by cell where probes leave some out."""
+    found: dict[tuple, list] = {}
     for side, table in enumerate((probes, rows)):
-        keys = zip(*(table.column(c).to_pylist() for c in (*_SCOPE, "cell", "i", "j")), table.column("vec").combine_chunks().value_lengths().to_pylist())
+        keys = zip(*(table.column(c).to_pylist() for c in _TILE), table.column("vec").combine_chunks().value_lengths().to_pylist())
         for at, key in enumerate(keys):
-            groups.setdefault(key, [[], []])[side].append(at)
-    p_vec, r_vec = probes.column("vec").combine_chunks(), rows.column("vec").combine_chunks()
-    p_norm, r_norm = probes.column("norm").to_numpy(), rows.column("norm").to_numpy()
-    p_at, r_at = probes.column("arrival_order").to_pylist(), rows.column("dst_order").to_pylist()
-    p_id, r_id, r_kind = probes.column("src").to_pylist(), rows.column("dst").to_pylist(), rows.column("dst_kind").to_pylist()
-    for (*_, dim), (ps, rs) in groups.items():
+            found.setdefault(key, [[], []])[side].append(at)
+    cells, cell = probes.column("cells").to_pylist(), rows.column("cell").to_numpy()
+    for (*_, dim), (ps, rs) in found.items():
         if not ps or not rs or not dim:
             continue
-        a, b = (v.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for v, k in ((p_vec, ps), (r_vec, rs)))
-        met = (a / p_norm[ps][:, None]) @ (b / r_norm[rs][:, None]).T
-        for x, y in zip(*np.nonzero(met >= lo - 1e-9)):
-            p, r = ps[x], rs[y]
-            if r_at[r] is not None and r_at[r] >= p_at[p]:
-                continue
-            sim = _dot(a[x], b[y]) / (p_norm[p] * r_norm[r])
-            if sim >= lo:
-                for k, v in zip(out, (p_id[p], p_at[p], r_id[r], r_kind[r], r_at[r], sim)):
-                    out[k].append(v)
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
-
-
-def pairs_above(probes: DataFrame, rows: DataFrame, lo: float, tile: int = TILE, cells: int = CELLS) -> DataFrame:
+        rs = np.array(rs)
+        if all(cells[p] is None for p in ps):
+            yield dim, np.array(ps), rs
+            continue
+        for c in np.unique(cell[rs]).tolist():
+            some = [p for p in ps if cells[p] is None or c in cells[p]]
+            if some:
+                yield dim, np.array(some), rs[cell[rs] == c]
+
+
+def _vectors(table: pa.Table, at: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, norms, unit vectors in single precision) at the places ``at``."""
+    vec = table.column("vec").combine_chunks().take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    norm = table.column("norm").to_numpy()[at]
+    return vec, norm, (vec / norm[:, None]).astype(np.float32)
+
+
+def _margin(dim: int) -> float:
+    return 3e-7 * (dim + 8)  # more than a product in single precision is off
+
+
+def _exact(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of the pairs (x, y), summed in order of the entries."""
+    step = max(1, ENTRIES // a.shape[1])
+    dots = [np.cumsum(a[x[k:k + step]] * b[y[k:k + step]], axis=1)[:, -1] for k in range(0, len(x), step)]
+    return np.concatenate([np.empty(0), *dots]) / (an[x] * bn[y])
+
+
+def _longs(table: pa.Table, name: str, none: int) -> np.ndarray:
+    return table.column(name).fill_null(none).to_numpy()
+
+
+def _product(probes: pa.Table, rows: pa.Table, lo: float) -> pa.Table:
+    """The pairs of one bucket."""
+    least = np.iinfo(np.int64).min
+    p_at, r_at = _longs(probes, "arrival_order", least), _longs(rows, "dst_order", least)
+    timeless = np.asarray(rows.column("dst_order").is_null())
+    parts: list[tuple] = []
+    for dim, ps, rs in _groups(probes, rows):
+        (a, an, a32), (b, bn, b32) = _vectors(probes, ps, dim), _vectors(rows, rs, dim)
+        for k in range(0, len(ps), AT_ONCE):
+            x, y = np.nonzero(a32[k:k + AT_ONCE] @ b32.T >= lo - _margin(dim))
+            x += k
+            earlier = timeless[rs[y]] | (r_at[rs[y]] < p_at[ps[x]])
+            x, y = x[earlier], y[earlier]
+            sim = _exact(a, an, b, bn, x, y)
+            hit = sim >= lo
+            parts.append((ps[x[hit]], rs[y[hit]], sim[hit]))
+    p, r, sim = (np.concatenate([np.empty(0, dtype), *(part[k] for part in parts)]) for k, dtype in enumerate((np.int64, np.int64, float)))
+    p, r = pa.array(p), pa.array(r)
+    return pa.table({"src": probes.column("src").take(p), "arrival_order": probes.column("arrival_order").take(p), "dst": rows.column("dst").take(r),
+                     "dst_kind": rows.column("dst_kind").take(r), "dst_order": rows.column("dst_order").take(r), "sim": pa.array(sim)})
+
+
+def _best(probes: pa.Table, rows: pa.Table) -> pa.Table:
+    """Of one bucket: each probe's ``k`` rows of the greatest similarity (ties: least dst) in each tile,
+    among those with born < at < died."""
+    least, greatest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    at, k_of = _longs(probes, "at", 0), probes.column("k").to_numpy()
+    born, died = _longs(rows, "born", least), _longs(rows, "died", greatest)
+    ids = np.array(rows.column("dst").to_pylist(), dtype=object)
+    ageless = bool((born == least).all() and (died == greatest).all())
+    parts: list[tuple] = []
+    for dim, ps, rs in _groups(probes, rows):
+        rs = rs[np.argsort(ids[rs], kind="stable")]
+        (a, an, a32), (b, bn, b32) = _vectors(probes, ps, dim), _vectors(rows, rs, dim)
+        if ageless:  # of equal vectors only the first ids can count
+            order = np.argsort(np.unique(np.ascontiguousarray(b).view(f"V{8 * dim}").ravel(), return_inverse=True)[1], kind="stable")
+            same = np.all(b[order][1:] == b[order][:-1], axis=1)
+            run = np.arange(len(order)) - np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))
+            keep = np.sort(order[run < k_of[ps].max()])
+            rs, b, bn, b32 = rs[keep], b[keep], bn[keep], b32[keep]
+        for c in range(0, len(ps), AT_ONCE):
+            some = ps[c:c + AT_ONCE]
+            met = a32[c:c + AT_ONCE] @ b32.T
+            if not ageless:
+                met[(born[rs][None, :] >= at[some][:, None]) | (died[rs][None, :] <= at[some][:, None])] = -np.inf
+            k = int(k_of[some].max())
+            line = np.partition(met, len(rs) - k, axis=1)[:, len(rs) - k] if k < len(rs) else np.full(len(some), -np.inf)
+            x, y = np.nonzero((met >= line[:, None] - 2 * _margin(dim)) & (met > -np.inf))
+            sim = _exact(a[c:c + AT_ONCE], an[c:c + AT_ONCE], b, bn, x, y)
+            order = np.lexsort((y, -sim, x))
+            x, y, sim = x[order], y[order], sim[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            hit = place < k_of[some[x]]
+            parts.append((some[x[hit]], rs[y[hit]], sim[hit]))
+    p, r, sim = (np.concatenate([np.empty(0, dtype), *(part[k] for part in parts)]) for k, dtype in enumerate((np.int64, np.int64, float)))
+    return pa.table({"src": probes.column("src").take(pa.array(p)), "dst": rows.column("dst").take(pa.array(r)), "sim": pa.array(sim)})
+
+
+def _dealt(probes: DataFrame, rows: DataFrame, p_cols: list[str], r_cols: list[str]):
+    spark = probes.sparkSession
+    ship_package(spark)
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(*_TILE), F.lit(n))
+    p = probes.withColumn("bucket", bucket).select("bucket", *_TILE, "cells", "vec", "norm", *p_cols)
+    r = rows.withColumn("bucket", bucket).select("bucket", *_TILE, "cell", "vec", "norm", *r_cols)
+    return p.groupBy("bucket").cogroup(r.groupBy("bucket"))
+
+
+def pairs_above(probes: DataFrame, rows: DataFrame, lo: float, tile: int | None = None, cells: int = CELLS) -> DataFrame:
     """probes(src, arrival_order, s1-s4, vec, norm), rows(dst, dst_kind, dst_order, s1-s4, vec,
     norm) -> the pairs of a scope with cosine >= ``lo``, rows with an order only before the
     probe's.  Norms must be positive."""
-    spark = probes.sparkSession
-    ship_package(spark)
     probes, rows = tiles(probes, rows, lo, tile, cells)
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(*_SCOPE, "cell", "i", "j"), F.lit(n))
-    p = probes.withColumn("bucket", bucket).select("bucket", *_SCOPE, "cell", "i", "j", "src", "arrival_order", "vec", "norm")
-    r = rows.withColumn("bucket", bucket).select("bucket", *_SCOPE, "cell", "i", "j", "dst", "dst_kind", "dst_order", "vec", "norm")
-    return p.groupBy("bucket").cogroup(r.groupBy("bucket")).applyInArrow(lambda a, b: _product(a, b, lo), OUT)
+    return _dealt(probes, rows, ["src", "arrival_order"], ["dst", "dst_kind", "dst_order"]).applyInArrow(lambda a, b: _product(a, b, lo), OUT)
 
 
-def compared(probes: DataFrame, rows: DataFrame, lo: float, tile: int = TILE, cells: int = CELLS) -> int:
+def best(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> DataFrame:
+    """probes(src, at, k, s1-s4, vec, norm), rows(dst, born, died, s1-s4, vec, norm) -> (src, dst,
+    sim): from each tile of a probe's scope the ``k`` rows of the greatest cosine (ties: least
+    dst), among which are those of the scope.  Rows count that have born < at < died (nulls:
+    always).  Norms must be positive."""
+    probes, rows = tiles(probes, rows, None, tile)
+    kind = dict(probes.dtypes)["src"]
+    return _dealt(probes, rows, ["src", "at", "k"], ["dst", "born", "died"]).applyInArrow(_best, f"src {kind}, dst string, sim double")
+
+
+def compared(probes: DataFrame, rows: DataFrame, lo: float, tile: int | None = None, cells: int = CELLS) -> int:
     """The number of products that ``pairs_above`` takes."""
     probes, rows = tiles(probes, rows, lo, tile, cells)
-    key = [*_SCOPE, "cell", "i", "j"]
-    both = probes.groupBy(*key).agg(F.count("*").alias("p")).join(rows.groupBy(*key).agg(F.count("*").alias("r")), key)
-    return both.agg(F.coalesce(F.sum(F.col("p") * F.col("r")), F.lit(0))).first()[0]
+    r = rows.groupBy(*_TILE, "cell").agg(F.count("*").alias("r"))
+    whole = probes.filter("cells is null").groupBy(*_TILE).agg(F.count("*").alias("p")).join(r, [*_TILE])
+    some = probes.select(*_TILE, F.explode("cells").alias("cell")).groupBy(*_TILE, "cell").agg(F.count("*").alias("p")).join(r, [*_TILE, "cell"])
+    return whole.select("p", "r").unionByName(some.select("p", "r")).agg(F.coalesce(F.sum(F.col("p") * F.col("r")), F.lit(0))).first()[0]
 
 
 def usable(vec: Column, norm: Column) -> Column:
     """Vectors with a direction: others have no similarity to anything."""
     return vec.isNotNull() & (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
+
+
+def plain(vec: Column, norm: Column) -> Column:
+    """Usable vectors whose products of norms are neither lost nor infinite."""
+    return F.coalesce(usable(vec, norm) & (norm > 1e-100) & (norm < 1e100), F.lit(False))
