@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from engram.functions import scalars as S
 from engram.operators.ingest import prior_count
 from engram.operators.ratelimit import rate_limit
+from engram.operators.retrieval import DEFAULT_BROADCAST_ROWS
 
 BEARER = "Bearer "
 FEEDBACK_TYPES = ("feature", "bug", "general")   # fixed: the accepted feedback types
@@ -131,11 +132,19 @@ def validate_feedback(df: DataFrame) -> DataFrame:
         "status", F.when(F.col("reason").isNull(), F.lit(201)).otherwise(F.lit(400)))
 
 
-def feedback_tenant(df: DataFrame, api_keys: DataFrame, header: str = "authorization") -> DataFrame:
-    """Optional tenant from a Bearer key; unknown key -> null tenant."""
+def feedback_tenant(df: DataFrame, api_keys: DataFrame, header: str = "authorization",
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Optional tenant from a Bearer key; unknown key -> null tenant.
+
+    The rows of a busy key, and those without one, never meet in a task: keys are
+    broadcast behind a proven bound, and above it each is dealt to ``salts`` tasks."""
     keys = api_keys.select(F.col("key_hash").alias("_h"), F.col("tenant_id"))
     r = df.withColumn("_h", S.key_hash(bearer_key(header)))
-    return r.join(keys, "_h", "left").drop("_h")
+    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return r.join(F.broadcast(keys), "_h", "left").drop("_h")
+    r = r.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    keys = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return r.join(keys, ["_h", "_salt"], "left").drop("_h", "_salt")
 
 
 def submit_feedback(posts: DataFrame, api_keys: DataFrame) -> DataFrame:
