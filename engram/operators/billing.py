@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.operators.retrieval import broadcast_if_small
 from engram.operators.unique import claim_keys
 from engram.session import ensure_checkpoint_dir, stored
 
@@ -118,7 +119,7 @@ def effective_changes(events: DataFrame, tenants: DataFrame, plans: DataFrame,
     ev = events.filter(~F.coalesce(F.col("rejected"), F.lit(False))).join(rejected, "event_id", "left")
     owners = _owner_at(events, links)
     ev = ev.join(owners, "event_id", "left")
-    ev = ev.join(plans, "price", "left")
+    ev = ev.join(broadcast_if_small(plans), "price", "left")  # few prices: by key, whole shares of the log would meet in a task
     checkout = ((F.col("type") == CHECKOUT) & F.col("_rej").isNull() & F.col("subscription").isNotNull()
                 & F.col("tenant_id").isNotNull() & F.col("plan").isNotNull())
     invoice = ((F.col("type") == INVOICE) & F.col("subscription").isNotNull() & F.col("owner").isNotNull()
@@ -170,7 +171,8 @@ def plan_history(events: DataFrame, tenants: DataFrame, plans: DataFrame) -> Dat
 def highest_plan(items: DataFrame, plans: DataFrame) -> DataFrame:
     """Per subscription the known plan with the largest memory_limit
     (null when no item has a known price)."""
-    j = items.join(plans, "price", "left")
-    return j.groupBy("subscription").agg(
-        F.max_by(F.struct("plan", "memory_limit"), "memory_limit").alias("_b")).select(
-        "subscription", F.col("_b.plan").alias("plan"), F.col("_b.memory_limit").alias("memory_limit"))
+    j = items.join(broadcast_if_small(plans).select("price", "memory_limit"), "price", "left")
+    # a plain maximum is aggregated by hash; a struct's would sort every item
+    best = j.groupBy("subscription").agg(F.max("memory_limit").alias("memory_limit"))
+    names = plans.groupBy("memory_limit").agg(F.min("plan").alias("plan"))
+    return best.join(broadcast_if_small(names), "memory_limit", "left").select("subscription", "plan", "memory_limit")
