@@ -246,6 +246,49 @@ def best(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> DataFra
     return _dealt(probes, rows, ["src", "at", "k"], ["dst", "born", "died"]).applyInArrow(_best, f"src {kind}, dst string, sim double")
 
 
+def _newest(probes: pa.Table, rows: pa.Table) -> pa.Table:
+    """Of one bucket: each probe's ``k`` newest rows of each tile (ties: least dst) with born < at < died.
+    Rows are looked through from the newest on, and only as long as a probe lacks some."""
+    least, greatest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    found: dict[tuple, list] = {}
+    for side, table in enumerate((probes, rows)):
+        for at, key in enumerate(zip(*(table.column(c).to_pylist() for c in _TILE))):
+            found.setdefault(key, [[], []])[side].append(at)
+    at, k_of = _longs(probes, "at", 0), probes.column("k").to_numpy().astype(np.int64)
+    born, died, newness = _longs(rows, "born", least), _longs(rows, "died", greatest), rows.column("newness").to_numpy()
+    ids = np.array(rows.column("dst").to_pylist(), dtype=object)
+    parts: list[tuple] = []
+    for ps, rs in found.values():
+        rs = np.array(rs, dtype=np.int64)
+        rs = rs[np.argsort(ids[rs], kind="stable")]
+        rs = rs[np.argsort(-(newness[rs] + 1), kind="stable")]
+        for c in range(0, len(ps), 4 * AT_ONCE):
+            some = np.array(ps[c:c + 4 * AT_ONCE], dtype=np.int64)
+            lacks = k_of[some].copy()
+            for start in range(0, len(rs), 512):
+                here = rs[start:start + 512]
+                alive = (born[here][None, :] < at[some][:, None]) & (died[here][None, :] > at[some][:, None])
+                x, y = np.nonzero(alive)
+                place = np.arange(len(x)) - np.searchsorted(x, x)
+                hit = place < lacks[x]
+                parts.append((some[x[hit]], here[y[hit]]))
+                lacks -= np.bincount(x[hit], minlength=len(some))
+                some, lacks = some[lacks > 0], lacks[lacks > 0]
+                if not len(some):
+                    break
+    p, r = (np.concatenate([np.empty(0, np.int64), *(part[k] for part in parts)]) for k in (0, 1))
+    return pa.table({"src": probes.column("src").take(pa.array(p)), "dst": rows.column("dst").take(pa.array(r))})
+
+
+def newest(probes: DataFrame, rows: DataFrame, tile: int = ENTRIES // 16) -> DataFrame:
+    """probes(src, at, k, s1-s4), rows(dst, born, died, newness, s1-s4) -> (src, dst): from each tile
+    of a probe's scope the ``k`` newest rows, among which are those of the scope."""
+    kind = dict(probes.dtypes)["src"]
+    none = [F.array().cast("array<double>").alias("vec"), F.lit(1.0).alias("norm")]
+    probes, rows = tiles(probes.select("*", *none), rows.select("*", *none), None, tile)
+    return _dealt(probes, rows, ["src", "at", "k"], ["dst", "born", "died", "newness"]).applyInArrow(_newest, f"src {kind}, dst string")
+
+
 def compared(probes: DataFrame, rows: DataFrame, lo: float, tile: int | None = None, cells: int = CELLS) -> int:
     """The number of products that ``pairs_above`` takes."""
     probes, rows = tiles(probes, rows, lo, tile, cells)

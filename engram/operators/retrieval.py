@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from engram.functions import scalars as S
 from engram.functions.vectors import cosine, norm
+from engram.operators import near
+from engram.session import stored
 
 RESULT_COLUMNS = ["id", "fact", "importance", "decay_score", "similarity", "score",
                   "source", "namespace", "created_at"]
@@ -196,6 +198,70 @@ def topk_candidates(pairs: DataFrame, max_limit: int) -> DataFrame:
             .filter(F.col("cand_rank") <= 2 * F.col("lim")))
 
 
+def _scope_side(df: DataFrame, prefix: str, kind: Column, key: Column) -> list[Column]:
+    return [F.col(f"{prefix}tenant_id").alias("s1"), F.col(f"{prefix}namespace").alias("s2"), kind.alias("s3"), key.alias("s4")]
+
+
+def _living_sides(queries: DataFrame, memories: DataFrame, apply_source: bool, vectors: bool) -> tuple[DataFrame, DataFrame]:
+    """Accepted queries and active ``versioned`` memories keyed by read scope for blocked tiles:
+    'u' a user's rows, 'o' those without a team, 't' a team's shared ones; a query that filters
+    the source asks for its kind of scope and source."""
+    q = queries.filter((F.col("status") == 200) & F.col("lim").isNotNull())
+    kinds = F.array_compact(F.array(
+        F.struct(F.when(F.col("include"), F.lit("o")).otherwise(F.lit("u")).alias("k"), F.col("user_id").alias("v")),
+        F.when(F.col("include"), F.struct(F.lit("t").alias("k"), F.col("team_id").alias("v")))))
+    q = q.withColumn("_sk", F.explode(kinds))
+    sourced = F.col("source").isNotNull() & (F.col("source") != "") if apply_source else F.lit(False)
+    q_kind = F.when(sourced, F.concat(F.col("_sk.k"), F.lit("="), F.col("source"))).otherwise(F.col("_sk.k"))
+    q_side = [F.col("query_id").alias("src"), F.col("at").cast("bigint").alias("at"), (2 * F.col("lim")).cast("int").alias("k"),
+              *_scope_side(q, "", q_kind, F.col("_sk.v"))]
+    asked = q.select(*q_side, *([F.col("vector").cast("array<double>").alias("vec")] if vectors else []))
+    m = active(memories)
+    kinds = F.array_compact(F.array(
+        F.struct(F.lit("u").alias("k"), F.col("user_id").alias("v")),
+        F.when(F.col("team_id").isNull(), F.struct(F.lit("o").alias("k"), F.col("user_id").alias("v"))),
+        F.when(F.col("team_id").isNotNull() & (F.col("visibility") == "team"), F.struct(F.lit("t").alias("k"), F.col("team_id").alias("v")))))
+    m = m.withColumn("_sk", F.explode(kinds))
+    forms = F.array(F.col("_sk.k"), F.concat(F.col("_sk.k"), F.lit("="), F.col("source"))) if apply_source else F.array(F.col("_sk.k"))
+    m = m.withColumn("_form", F.explode(F.array_compact(forms)))
+    wide = [F.col("embedding").cast("array<double>").alias("vec")] if vectors else ["created_at"]
+    rows = m.select(F.col("id").alias("dst"), "born", "died", *_scope_side(m, "", F.col("_form"), F.col("_sk.v")), *wide)
+    # no row is kept for a kind of scope that no query asks for
+    rows = rows.join(asked.select("s3").distinct(), "s3", "left_semi")
+    if vectors:
+        asked, rows = (d.withColumn("norm", norm("vec")) for d in (asked, rows))
+    return asked, rows
+
+
+def _ranked_living(queries: DataFrame, memories: DataFrame, found: DataFrame) -> DataFrame:
+    """(query, memory) pairs with what ranking needs of both."""
+    m = active(memories).select("id", "importance", "created_at", "source", "namespace")
+    return found.join(m, "id").join(queries.select("query_id", "lim"), "query_id")
+
+
+def _nearest_living(queries: DataFrame, memories: DataFrame, apply_source: bool) -> DataFrame:
+    """The candidates of ``versioned`` memories by similarity, from blocked products; queries and
+    rows of odd vectors (without a direction, or of extreme norm) meet pair by pair."""
+    asked, rows = (stored(d.withColumn("_plain", near.plain(F.col("vec"), F.col("norm"))))
+                   for d in _living_sides(queries, memories, apply_source, True))
+    found = near.best(asked.filter("_plain").drop("_plain"), rows.filter("_plain").drop("_plain")).select(
+        F.col("src").alias("query_id"), F.col("dst").alias("id"), "sim")
+    scope = ["s1", "s2", "s3", "s4"]
+    for q, r in ((asked.filter("not _plain"), rows), (asked.filter("_plain"), rows.filter("not _plain"))):
+        q = q.select("src", "at", *scope, F.col("vec").alias("_v"), F.col("norm").alias("_n"))
+        pairs = q.join(r, scope).filter("(born is null or born < at) and (died is null or died > at)")
+        found = found.unionByName(pairs.select(F.col("src").alias("query_id"), F.col("dst").alias("id"), cosine("_v", "vec", "_n", "norm").alias("sim")))
+    return found
+
+
+def _newest_living(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """The candidates of ``versioned`` memories by recency."""
+    asked, rows = _living_sides(queries, memories, False, False)
+    age = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(created_at as timestamp_ntz))")
+    rows = rows.withColumn("newness", F.coalesce(age, F.lit(-(1 << 63)).cast("bigint"))).drop("created_at")
+    return near.newest(asked, rows).select(F.col("src").alias("query_id"), F.col("dst").alias("id"))
+
+
 def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
            teams: DataFrame | None = None, *, max_limit: int | None = None,
            apply_source: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -206,9 +272,13 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     q = queries if gated else gate_queries(queries, members, teams, "search").persist()
     if max_limit is None:
         max_limit = _max_limit(q, 50)
-    pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source,
-                         broadcast_rows=broadcast_rows, versioned=versioned)
-    cands = topk_candidates(pairs, max_limit)
+    if versioned:
+        pairs = _nearest_living(q, memories, apply_source).join(q.select("query_id", "lim"), "query_id")
+        cands = topk_candidates(pairs, max_limit)
+        cands = cands.join(active(memories).select("id", "importance", "created_at", "source", "namespace"), "id")
+    else:
+        pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source, broadcast_rows=broadcast_rows)
+        cands = topk_candidates(pairs, max_limit)
     dec = S.decay("created_at", "importance", as_of)
     cands = cands.withColumn("_decay", dec).withColumn("decay_score", S.round4("_decay"))
     ranked = _rerank(cands, S.round4("sim"), S.round4(S.blend("sim", "_decay")), max_limit=max_limit)
@@ -217,6 +287,24 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
 
 # --------------------------------------------------------------------------- R2
 
+def newest_of_scopes(memories: DataFrame, max_limit: int) -> DataFrame:
+    """The active rows that a recency query can return: the newest ``2 * max_limit`` of a user,
+    of a user's rows without a team, and of a team's shared ones.  Queries of a scope all
+    want the same rows, so ranking them once spares a pair for every query and row."""
+    keep = F.lit(2 * max_limit)
+    cols = ["id", "tenant_id", "user_id", "namespace", "team_id", "visibility", "importance", "created_at", "source"]
+    m = active(memories).select(*cols)
+    newest = [F.col("created_at").desc(), F.col("id").asc()]
+
+    def first(df: DataFrame, *scope: str) -> DataFrame:
+        w = Window.partitionBy("tenant_id", "namespace", *scope).orderBy(*newest)
+        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
+
+    every = first(m, "user_id").unionByName(first(m.filter("team_id is null"), "user_id")).unionByName(
+        first(m.filter("visibility = 'team' and team_id is not null"), "team_id"))
+    return every.dropDuplicates(["id"]).withColumn("valid_until", F.lit(None).cast("timestamp_ntz"))
+
+
 def recent(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame | None = None,
            teams: DataFrame | None = None, *, max_limit: int | None = None,
            endpoint: str = "context", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -226,8 +314,10 @@ def recent(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     q = queries if gated else gate_queries(queries, members, teams, endpoint).persist()
     if max_limit is None:
         max_limit = _max_limit(q, 20)
-    pairs = scoped_pairs(q, memories, with_vector=False, apply_source=False,
-                         broadcast_rows=broadcast_rows, versioned=versioned)
+    if versioned:
+        pairs = _ranked_living(q, memories, _newest_living(q, memories))
+    else:
+        pairs = scoped_pairs(q, newest_of_scopes(memories, max_limit), with_vector=False, apply_source=False, broadcast_rows=broadcast_rows)
     w = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), F.col("id").asc())
     cands = (pairs.withColumn("cand_rank", F.row_number().over(w))
              .filter(F.col("cand_rank") <= F.lit(2 * max_limit))
