@@ -17,8 +17,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,29 +120,99 @@ RATE_OUT = "key string, event_id long, t long, accepted boolean, window_start lo
 RATE_STATE = "count long, reset long, start long"
 
 
-def _rate_fn(n: int, window_s: int, ttl_ms: int | None):
+RUN = 1 << 19  # events of a key that are sorted at once
+PIECE = 10_000  # rows of an output frame
+NO_LONG = np.iinfo(np.int64).max  # in place of a null: sorts last
+
+
+def _longs(column: pd.Series) -> np.ndarray:
+    if column.dtype == np.int64:
+        return column.to_numpy()
+    return column.astype("Int64").to_numpy(dtype=np.int64, na_value=NO_LONG)
+
+
+def _nullable(values: np.ndarray):
+    none = values == NO_LONG
+    return pd.arrays.IntegerArray(values, none) if none.any() else values
+
+
+def _sorted_runs(pdfs: Iterator[pd.DataFrame], file, run: int) -> Iterator[np.ndarray]:
+    """(t, event_id) rows in order, in pieces of about ``run`` rows.  More rows than that are sorted
+    run by run into ``file`` and merged from there, so memory does not grow with a key's events."""
+    def in_order(rows: np.ndarray) -> np.ndarray:
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+    lengths: list[int] = []
+    held: list[np.ndarray] = []
+    n = 0
+    for pdf in pdfs:
+        held.append(np.column_stack([_longs(pdf["t"]), _longs(pdf["event_id"])]))
+        n += len(pdf)
+        if n >= run:
+            in_order(np.concatenate(held)).tofile(file)
+            lengths.append(n)
+            held, n = [], 0
+    last = in_order(np.concatenate(held)) if held else np.empty((0, 2), np.int64)
+    if not lengths:
+        yield last
+        return
+    last.tofile(file)
+    lengths.append(n)
+    at = np.cumsum([0, *lengths[:-1]])
+    left = np.array(lengths)
+    some = max(1, run // len(lengths))
+    buffers = [np.empty((0, 2), np.int64) for _ in lengths]
+    while True:
+        for k in range(len(buffers)):
+            if not len(buffers[k]) and left[k]:
+                take = int(min(some, left[k]))
+                file.seek(int(at[k]) * 16)
+                buffers[k] = np.fromfile(file, np.int64, 2 * take).reshape(-1, 2)
+                at[k] += take
+                left[k] -= take
+        ends = [tuple(b[-1]) for k, b in enumerate(buffers) if left[k]]  # behind these more may come
+        line = min(ends) if ends else (NO_LONG, NO_LONG)
+        out = []
+        for k, b in enumerate(buffers):
+            lo, hi = np.searchsorted(b[:, 0], line[0], "left"), np.searchsorted(b[:, 0], line[0], "right")
+            cut = lo + np.searchsorted(b[lo:hi, 1], line[1], "right")
+            out.append(b[:cut])
+            buffers[k] = b[cut:]
+        yield in_order(np.concatenate(out))
+        if not ends:
+            return
+
+
+def _rate_fn(n: int, window_s: int, ttl_ms: int | None, run: int = RUN):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # the service's periodic cleanup of idle entries
             state.remove()
             return
         count, reset, start = state.get if state.exists else (0, None, None)
-        batch = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
-        acc, starts = [], []
-        for t in batch["t"].tolist():
-            if reset is None or t > reset:
-                count, reset, start = 1, t + window_s, t
-                acc.append(True)
-            elif count >= n:
-                acc.append(False)
-            else:
-                count += 1
-                acc.append(True)
-            starts.append(start)
+        with tempfile.TemporaryFile() as file:
+            for rows in _sorted_runs(pdfs, file, run):
+                t = rows[:, 0]
+                timed = int(np.searchsorted(t, NO_LONG))
+                accepted, starts = np.zeros(len(t), bool), np.full(len(t), NO_LONG)
+                i = 0
+                while i < len(t):  # a window's events at once; those without a time open none
+                    opens = i < timed and (reset is None or t[i] > reset)
+                    if opens:
+                        start = int(t[i])
+                        count, reset = 0, start + window_s
+                    end = i + int(np.searchsorted(t[i:timed], reset, "right")) if i < timed else len(t)
+                    free = max(min(n - count, end - i), 1 if opens else 0)
+                    accepted[i:i + free] = True
+                    count += free
+                    starts[i:end] = NO_LONG if start is None else start
+                    i = end
+                for k in range(0, len(t), PIECE):
+                    here = slice(k, k + PIECE)
+                    yield pd.DataFrame({"key": key[0], "event_id": _nullable(rows[here, 1]), "t": _nullable(t[here]),
+                                        "accepted": accepted[here], "window_start": _nullable(starts[here])})
         state.update((count, reset, start))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(),
-                            "t": batch["t"].to_numpy(), "accepted": acc, "window_start": starts})
 
     return fn
 
@@ -149,7 +221,8 @@ def rate_limit_stream(events: DataFrame, n: int = 5, window_s: int = 3600,
                       ttl_ms: int | None = None) -> DataFrame:
     """U2 per key with per-key state; equal to the batch operator when each
     key's events arrive in time order.  Keys do not wait for one another: a
-    watermark would drop the events of a key that trails the others.  State
+    watermark would drop the events of a key that trails the others.  A key's
+    events of a batch are sorted in runs of bounded size.  State
     is three numbers per key; ``ttl_ms`` forgets a key that long idle on the
     clock, and must exceed the window and the delay of the input."""
     from engram.session import ship_package
