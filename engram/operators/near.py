@@ -29,6 +29,9 @@ from engram.session import ship_package, stored
 ENTRIES = 1 << 21
 CELLS = 64
 AT_ONCE = 256  # probes of a product
+ROWS_AT_ONCE = 1 << 13  # and rows, where their pairs are looked for
+PRODUCTS = 250_000_000  # of a task, about
+WORTH = 0.7  # cells are multiplied one by one when no more than this share of the products is left
 _SCOPE = ("s1", "s2", "s3", "s4")
 _TILE = (*_SCOPE, "g", "i", "j")
 OUT = "src string, arrival_order bigint, dst string, dst_kind string, dst_order bigint, sim double"
@@ -41,7 +44,9 @@ def _unit(column: pa.Array, norms: np.ndarray, dim: int) -> np.ndarray:
 def _directions(rows: DataFrame, cells: int) -> np.ndarray:
     """A few rows' directions, the same for the same data: at most ``cells`` to the driver.
     Those of the commonest dimension among them; vectors of another stay in a cell of their own."""
-    few = rows.select("dst", "vec", "norm").dropDuplicates(["dst"]).orderBy(F.xxhash64("dst"), "dst").limit(cells).collect()
+    chosen = rows.select("dst").distinct().orderBy(F.xxhash64("dst"), "dst").limit(cells)
+    found = rows.select("dst", "vec", "norm").join(F.broadcast(chosen), "dst").dropDuplicates(["dst"]).collect()
+    few = sorted(found, key=lambda r: r["dst"])
     dims = [len(r["vec"]) for r in few]
     few = [r for r in few if len(r["vec"]) == max(dims, key=lambda d: (dims.count(d), d))]
     return np.array([r["vec"] for r in few]) / np.array([r["norm"] for r in few])[:, None]
@@ -70,14 +75,26 @@ def _with_angles(df: DataFrame, directions: np.ndarray) -> DataFrame:
 
 
 def tiles(probes: DataFrame, rows: DataFrame, lo: float | None, tile: int | None = None, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """(probes, rows) dealt to tiles: both get ``g`` (a pack of cells, or a large cell's own), ``i``
+    """The probes and rows of ``_tiles``."""
+    return _tiles(probes, rows, lo, tile, cells)[:2]
+
+
+def _tiles(probes: DataFrame, rows: DataFrame, lo: float | None, tile: int | None = None,
+           cells: int = CELLS) -> tuple[DataFrame, DataFrame, int, int]:
+    """(probes, rows, number of buckets, number of tasks): both sides dealt to tiles: both get ``g`` (a pack of cells, or a large cell's own), ``i``
     (piece of rows) and ``j`` (piece of probes), once for each tile that they take part in; rows
     their ``cell``, and probes the ``cells`` of the tile that they can match (null: all)."""
     held = F.lit(tile) if tile else F.greatest(F.lit(1024), F.floor(F.lit(ENTRIES) / F.greatest(F.max(F.size("vec")), F.lit(1))))
-    many = rows.groupBy(*_SCOPE).agg(F.count("*").alias("n"), held.cast("bigint").alias("t"))
+    many = rows.groupBy(*_SCOPE).agg(F.count("*").alias("n"), held.cast("bigint").alias("t"), F.max(F.size("vec")).alias("dim"))
     asked = probes.groupBy(*_SCOPE).agg(F.count("*").alias("m"))
     sizes = stored(many.join(asked, [*_SCOPE]).withColumn("big", F.col("n") > F.col("t")))
+    # tasks by the size of the copies and the number of products, at any number of shuffle partitions
+    copies = F.col("n") * F.ceil(F.col("m") / F.col("t")) + F.col("m") * F.ceil(F.col("n") / F.col("t"))
+    full = copies.cast("double") * F.greatest("dim", F.lit(16)) / F.lit(ENTRIES)
+    made = sizes.agg(F.sum(full).alias("full"), F.sum(F.col("n").cast("double") * F.col("m")).alias("products")).first()
+    tasks = 1 + math.ceil((made["full"] or 0) / 4) + math.ceil((made["products"] or 0) / PRODUCTS)
     probes, rows = probes.join(sizes.select(*_SCOPE, "big"), [*_SCOPE]), rows.join(sizes.select(*_SCOPE, "big"), [*_SCOPE])
+    sizes = sizes.drop("dim")
     none = F.array().cast("array<double>")
     directions = None if lo is None or sizes.filter("big").isEmpty() else _directions(rows.filter("big"), cells)
     if directions is None:
@@ -113,7 +130,8 @@ def tiles(probes: DataFrame, rows: DataFrame, lo: float | None, tile: int | None
     probes = (probes.withColumn("cells", F.when(F.size(mine) < F.size(there), mine)).withColumn("pieces", there[0]["pieces"])
               .withColumn("i", every("pieces")))
     rows = rows.join(made.drop("radius"), [*_SCOPE, "cell"]).withColumn("i", piece("dst", "pieces")).withColumn("j", every("parts"))
-    return probes.drop("angles", "big", "layout", "met", "pieces", "parts"), rows.drop("angles", "big", "away", "pieces", "parts")
+    return (probes.drop("angles", "big", "layout", "met", "pieces", "parts"), rows.drop("angles", "big", "away", "pieces", "parts"),
+            8 * tasks, tasks)
 
 
 def _groups(probes: pa.Table, rows: pa.Table):
@@ -121,26 +139,37 @@ def _groups(probes: pa.Table, rows: pa.Table):
     bucket one after another, cell by cell where probes leave some out."""
     found: dict[tuple, list] = {}
     for side, table in enumerate((probes, rows)):
-        keys = zip(*(table.column(c).to_pylist() for c in _TILE), table.column("vec").combine_chunks().value_lengths().to_pylist())
+        keys = zip(*(table.column(c).to_pylist() for c in _TILE), (table.column("vec").chunk(0).value_lengths() if len(table) else pa.array([])).to_pylist())
         for at, key in enumerate(keys):
             found.setdefault(key, [[], []])[side].append(at)
-    cells, cell = probes.column("cells").to_pylist(), rows.column("cell").to_numpy()
+    cells, cell = probes.column("cells").combine_chunks(), rows.column("cell").to_numpy()
     for (*_, dim), (ps, rs) in found.items():
         if not ps or not rs or not dim:
             continue
-        rs = np.array(rs)
-        if all(cells[p] is None for p in ps):
-            yield dim, np.array(ps), rs
+        ps, rs = np.array(ps), np.array(rs)
+        mine = cells.take(pa.array(ps))
+        if mine.null_count == len(ps):
+            yield dim, ps, rs
             continue
-        for c in np.unique(cell[rs]).tolist():
-            some = [p for p in ps if cells[p] is None or c in cells[p]]
-            if some:
-                yield dim, np.array(some), rs[cell[rs] == c]
+        here, count = np.unique(cell[rs], return_counts=True)
+        meets = np.zeros((len(ps), len(here)), bool)
+        meets[np.asarray(mine.is_null())] = True
+        whose = np.repeat(np.arange(len(ps)), mine.value_lengths().fill_null(0).to_numpy())
+        named = mine.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(here, named), len(here) - 1)
+        known = here[at] == named
+        meets[whose[known], at[known]] = True
+        if (meets @ count).sum() > WORTH * len(ps) * len(rs):
+            yield dim, ps, rs
+            continue
+        for k, c in enumerate(here.tolist()):
+            if meets[:, k].any():
+                yield dim, ps[meets[:, k]], rs[cell[rs] == c]
 
 
 def _vectors(table: pa.Table, at: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, norms, unit vectors in single precision) at the places ``at``."""
-    vec = table.column("vec").combine_chunks().take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    vec = table.column("vec").chunk(0).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     norm = table.column("norm").to_numpy()[at]
     return vec, norm, (vec / norm[:, None]).astype(np.float32)
 
@@ -162,20 +191,28 @@ def _longs(table: pa.Table, name: str, none: int) -> np.ndarray:
 
 def _product(probes: pa.Table, rows: pa.Table, lo: float) -> pa.Table:
     """The pairs of one bucket."""
+    probes, rows = probes.combine_chunks(), rows.combine_chunks()
     least = np.iinfo(np.int64).min
     p_at, r_at = _longs(probes, "arrival_order", least), _longs(rows, "dst_order", least)
     timeless = np.asarray(rows.column("dst_order").is_null())
     parts: list[tuple] = []
     for dim, ps, rs in _groups(probes, rows):
+        ps = ps[np.argsort(p_at[ps], kind="stable")]
+        rs = rs[np.lexsort((r_at[rs], ~timeless[rs]))]
+        ordered = r_at[rs][int(timeless[rs].sum()):]
         (a, an, a32), (b, bn, b32) = _vectors(probes, ps, dim), _vectors(rows, rs, dim)
         for k in range(0, len(ps), AT_ONCE):
-            x, y = np.nonzero(a32[k:k + AT_ONCE] @ b32.T >= lo - _margin(dim))
-            x += k
-            earlier = timeless[rs[y]] | (r_at[rs[y]] < p_at[ps[x]])
-            x, y = x[earlier], y[earlier]
-            sim = _exact(a, an, b, bn, x, y)
-            hit = sim >= lo
-            parts.append((ps[x[hit]], rs[y[hit]], sim[hit]))
+            some = slice(k, k + AT_ONCE)
+            until = len(rs) - len(ordered) + int(np.searchsorted(ordered, p_at[ps[some]].max()))  # later rows are no one's
+            for j in range(0, until, ROWS_AT_ONCE):
+                met = a32[some] @ b32[j:min(j + ROWS_AT_ONCE, until)].T
+                x, y = np.divmod(np.flatnonzero((met >= lo - _margin(dim)).ravel()), met.shape[1])
+                x, y = x + k, y + j
+                earlier = timeless[rs[y]] | (r_at[rs[y]] < p_at[ps[x]])
+                x, y = x[earlier], y[earlier]
+                sim = _exact(a, an, b, bn, x, y)
+                hit = sim >= lo
+                parts.append((ps[x[hit]], rs[y[hit]], sim[hit]))
     p, r, sim = (np.concatenate([np.empty(0, dtype), *(part[k] for part in parts)]) for k, dtype in enumerate((np.int64, np.int64, float)))
     p, r = pa.array(p), pa.array(r)
     return pa.table({"src": probes.column("src").take(p), "arrival_order": probes.column("arrival_order").take(p), "dst": rows.column("dst").take(r),
@@ -185,6 +222,7 @@ def _product(probes: pa.Table, rows: pa.Table, lo: float) -> pa.Table:
 def _best(probes: pa.Table, rows: pa.Table) -> pa.Table:
     """Of one bucket: each probe's ``k`` rows of the greatest similarity (ties: least dst) in each tile,
     among those with born < at < died."""
+    probes, rows = probes.combine_chunks(), rows.combine_chunks()
     least, greatest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     at, k_of = _longs(probes, "at", 0), probes.column("k").to_numpy()
     born, died = _longs(rows, "born", least), _longs(rows, "died", greatest)
@@ -218,22 +256,22 @@ def _best(probes: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({"src": probes.column("src").take(pa.array(p)), "dst": rows.column("dst").take(pa.array(r)), "sim": pa.array(sim)})
 
 
-def _dealt(probes: DataFrame, rows: DataFrame, p_cols: list[str], r_cols: list[str]):
-    spark = probes.sparkSession
-    ship_package(spark)
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(*_TILE), F.lit(n))
+def _dealt(probes: DataFrame, rows: DataFrame, buckets: int, tasks: int, p_cols: list[str], r_cols: list[str]):
+    """Tiles in buckets, whose number grows with the tiles' so that a bucket stays small; tasks by the
+    work, which small input may hide (products of few vectors are many)."""
+    ship_package(probes.sparkSession)
+    bucket = F.pmod(F.xxhash64(*_TILE), F.lit(buckets))
     p = probes.withColumn("bucket", bucket).select("bucket", *_TILE, "cells", "vec", "norm", *p_cols)
     r = rows.withColumn("bucket", bucket).select("bucket", *_TILE, "cell", "vec", "norm", *r_cols)
-    return p.groupBy("bucket").cogroup(r.groupBy("bucket"))
+    return p.repartition(tasks, "bucket").groupBy("bucket").cogroup(r.repartition(tasks, "bucket").groupBy("bucket"))
 
 
 def pairs_above(probes: DataFrame, rows: DataFrame, lo: float, tile: int | None = None, cells: int = CELLS) -> DataFrame:
     """probes(src, arrival_order, s1-s4, vec, norm), rows(dst, dst_kind, dst_order, s1-s4, vec,
     norm) -> the pairs of a scope with cosine >= ``lo``, rows with an order only before the
     probe's.  Norms must be positive."""
-    probes, rows = tiles(probes, rows, lo, tile, cells)
-    return _dealt(probes, rows, ["src", "arrival_order"], ["dst", "dst_kind", "dst_order"]).applyInArrow(lambda a, b: _product(a, b, lo), OUT)
+    probes, rows, *shape = _tiles(probes, rows, lo, tile, cells)
+    return _dealt(probes, rows, *shape, ["src", "arrival_order"], ["dst", "dst_kind", "dst_order"]).applyInArrow(lambda a, b: _product(a, b, lo), OUT)
 
 
 def best(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> DataFrame:
@@ -241,9 +279,9 @@ def best(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> DataFra
     sim): from each tile of a probe's scope the ``k`` rows of the greatest cosine (ties: least
     dst), among which are those of the scope.  Rows count that have born < at < died (nulls:
     always).  Norms must be positive."""
-    probes, rows = tiles(probes, rows, None, tile)
+    probes, rows, *shape = _tiles(probes, rows, None, tile)
     kind = dict(probes.dtypes)["src"]
-    return _dealt(probes, rows, ["src", "at", "k"], ["dst", "born", "died"]).applyInArrow(_best, f"src {kind}, dst string, sim double")
+    return _dealt(probes, rows, *shape, ["src", "at", "k"], ["dst", "born", "died"]).applyInArrow(_best, f"src {kind}, dst string, sim double")
 
 
 def _newest(probes: pa.Table, rows: pa.Table) -> pa.Table:
@@ -285,12 +323,12 @@ def newest(probes: DataFrame, rows: DataFrame, tile: int = ENTRIES // 16) -> Dat
     of a probe's scope the ``k`` newest rows, among which are those of the scope."""
     kind = dict(probes.dtypes)["src"]
     none = [F.array().cast("array<double>").alias("vec"), F.lit(1.0).alias("norm")]
-    probes, rows = tiles(probes.select("*", *none), rows.select("*", *none), None, tile)
-    return _dealt(probes, rows, ["src", "at", "k"], ["dst", "born", "died", "newness"]).applyInArrow(_newest, f"src {kind}, dst string")
+    probes, rows, *shape = _tiles(probes.select("*", *none), rows.select("*", *none), None, tile)
+    return _dealt(probes, rows, *shape, ["src", "at", "k"], ["dst", "born", "died", "newness"]).applyInArrow(_newest, f"src {kind}, dst string")
 
 
 def compared(probes: DataFrame, rows: DataFrame, lo: float, tile: int | None = None, cells: int = CELLS) -> int:
-    """The number of products that ``pairs_above`` takes."""
+    """The number of products that ``pairs_above`` takes, at most."""
     probes, rows = tiles(probes, rows, lo, tile, cells)
     r = rows.groupBy(*_TILE, "cell").agg(F.count("*").alias("r"))
     whole = probes.filter("cells is null").groupBy(*_TILE).agg(F.count("*").alias("p")).join(r, [*_TILE])

@@ -21,7 +21,7 @@ from engram.functions import scalars as S
 from engram.operators import ingest as I
 from engram.operators import mutate as M
 from engram.operators import retrieval as R
-from engram.session import ensure_checkpoint_dir
+from engram.session import ensure_checkpoint_dir, stored
 
 BEFORE_ALL = -1  # born of rows that the batch finds
 
@@ -44,16 +44,27 @@ class ToolRun:
         ensure_checkpoint_dir(calls.sparkSession)
         self.memories, self.as_of = memories, as_of
         arguments = M.tool_arguments(compat)
-        parsed = M.checked_tool_calls(calls, prefix)
-        self.calls = parsed.select(
-            "call_id", "tenant_id", "kind", "status", F.col("args.user_id").alias("user_id"), F.col("args.fact").alias("fact"),
-            F.col("args.memory_id").alias("memory_id"), F.col("args.importance").alias("importance"), F.col("args.q").alias("q"),
-            *[v.alias(k) for k, v in arguments.items()], "vector", F.lit(None).cast("string").alias("team_id")).checkpoint()
-        self.stores = self.kind("store_memory", 201).select(
+
+        def parsed(some: DataFrame) -> DataFrame:
+            return M.checked_tool_calls(some, prefix).select(
+                "call_id", "tenant_id", "kind", "status", F.col("args.user_id").alias("user_id"), F.col("args.fact").alias("fact"),
+                F.col("args.memory_id").alias("memory_id"), F.col("args.importance").alias("importance"), F.col("args.q").alias("q"),
+                *[v.alias(k) for k, v in arguments.items()], "vector", F.lit(None).cast("string").alias("team_id"))
+
+        self.calls = stored(parsed(calls).select("call_id", "tenant_id", "kind", "status", "memory_id"))
+
+        def whole(name: str, status: int = 200) -> DataFrame:
+            """Calls of a kind with their vectors, which no other call's are read for: bodies without the
+            name (or an escape that may stand for it) are left out before the vectors are joined."""
+            named = calls.filter(F.col("body").rlike(name + r"|\\"))
+            return parsed(named.join(self.kind(name, status).select("call_id"), "call_id", "left_semi"))
+
+        self.whole = whole
+        self.stores = stored(self.whole("store_memory", 201).select(
             F.concat(F.lit(memory_prefix), F.col("call_id")).alias("arrival_id"), F.col("call_id").alias("arrival_order"), "tenant_id", "user_id",
             "namespace", "team_id", "fact", F.col("vector").alias("embedding"),
             F.coalesce("importance", F.lit(0.5)).alias("importance"), F.coalesce("source", F.lit("openai")).alias("source"),
-            F.lit(None).cast("string").alias("visibility"))
+            F.lit(None).cast("string").alias("visibility")))
         self.deletes = self.kind("delete_memory").select("call_id", "tenant_id", "memory_id")
         self._fold()
 
@@ -63,23 +74,23 @@ class ToolRun:
     def _fold(self) -> None:
         births = _target_births(self.stores, self.memories)
         hits = self.deletes.join(births, "memory_id").filter("tenant_id = owner and born < call_id")
-        first = hits.groupBy("memory_id").agg(F.min("call_id").alias("call_id")).checkpoint()
-        near = I.near_pairs(self.stores, self.memories).checkpoint()
+        first = stored(hits.groupBy("memory_id").agg(F.min("call_id").alias("call_id")))
+        near = stored(I.near_pairs(self.stores, self.memories))
         nodes = near.select(F.col("src").alias("memory_id")).union(near.select("dst")).distinct()
         contested = first.join(nodes, "memory_id", "left_semi").select(
             F.concat(F.lit("delete "), F.col("call_id")).alias("src"), F.col("call_id").alias("arrival_order"), F.col("memory_id").alias("dst"),
             F.lit("delete").alias("dst_kind"), F.lit(None).cast("bigint").alias("dst_order"), F.lit(None).cast("double").alias("sim"))
-        folded = I.fold_edges(near.unionByName(contested).checkpoint()).checkpoint()
+        folded = stored(I.fold_edges(near.unionByName(contested)))
         missed = folded.filter("action = 'missing'").select(F.expr("cast(substring(arrival_id, 8) as bigint)").alias("call_id"))
-        self.deleted = first.join(missed, "call_id", "left_anti").checkpoint()  # memory_id, call_id
+        self.deleted = stored(first.join(missed, "call_id", "left_anti"))  # memory_id, call_id
         done = self.stores.select("arrival_id", "arrival_order", "tenant_id").join(
             folded.filter("action in ('duplicate', 'replaced')"), "arrival_id", "left")
         action = F.coalesce("action", F.lit("stored"))
-        self.outcomes = done.select(
+        self.outcomes = stored(done.select(
             "arrival_id", "arrival_order", "tenant_id", action.alias("action"),
             F.when(action == "duplicate", F.col("target_id")).otherwise(F.col("arrival_id")).alias("memory_id"),
             F.when(action == "replaced", F.col("target_id")).alias("replaced_id"),
-            S.round4(F.when(action != "stored", F.col("nearest_sim"))).alias("similarity")).checkpoint()
+            S.round4(F.when(action != "stored", F.col("nearest_sim"))).alias("similarity")))
 
     def lives(self) -> DataFrame:
         """Every memory that was active before or at some time in the batch, with ``born`` and
@@ -110,10 +121,10 @@ class ToolRun:
         return self.deletes.join(hit, "call_id", "left").select("call_id", "memory_id", F.coalesce("_hit", F.lit(404)).alias("status"))
 
     def _queries(self, kind: str) -> DataFrame:
-        return self.kind(kind).select(
+        return stored(self.whole(kind).select(
             F.col("call_id").alias("query_id"), F.col("call_id").alias("at"), "tenant_id", "user_id", "namespace",
             F.when(F.col("q").isNotNull() & (F.col("q") != ""), F.col("vector")).alias("vector"), F.col("limit").alias("q_limit"), "source",
-            F.lit(None).cast("string").alias("team_id"), F.lit(False).alias("include_team"))
+            F.lit(None).cast("string").alias("team_id"), F.lit(False).alias("include_team")))
 
     def search_results(self) -> DataFrame:
         return R.search(self._queries("search_memories"), self.lives(), self.as_of, versioned=True)
@@ -124,7 +135,7 @@ class ToolRun:
     def usage_results(self, tenants: DataFrame) -> DataFrame:
         """used = rows before the batch + births - deaths before the call."""
         plus = self.outcomes.filter("action = 'stored'").select("tenant_id", F.col("arrival_order").alias("call_id"), F.lit(1).alias("change"))
-        minus = (self.calls.select("call_id", "tenant_id").join(self.deleted.select("call_id"), "call_id")
+        minus = (self.deletes.select("call_id", "tenant_id").join(self.deleted.select("call_id"), "call_id")
                  .select("tenant_id", "call_id", F.lit(-1).alias("change")))
         asked = self.kind("get_usage").select("tenant_id", "call_id", F.lit(0).alias("change"), F.lit(True).alias("asked"))
         log = asked.unionByName(plus.unionByName(minus), allowMissingColumns=True)
