@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.operators import ingest as I
-from engram.session import ensure_checkpoint_dir
+from engram.session import ensure_checkpoint_dir, stored
 from engram.sources.commands import UUID_PATTERN, memory_reasons
 from engram.sources.tables import write_snapshot
 
@@ -65,16 +65,17 @@ def store_requests(requests: DataFrame, memories: DataFrame, tenants: DataFrame,
     ensure_checkpoint_dir(requests.sparkSession)
     checked = validated(requests, uuid_pattern)
     gate = I.store_access(checked.filter("status = 200").drop("status"), members, teams).select("arrival_id", F.col("status").alias("_gate"))
-    checked = checked.join(gate, "arrival_id", "left").withColumn("status", F.coalesce("_gate", "status")).drop("_gate").checkpoint()
+    checked = checked.join(gate, "arrival_id", "left").withColumn("status", F.coalesce("_gate", "status")).drop("_gate")
+    checked = stored(checked)
     ready = checked.filter("status = 200").drop("status")
     route = ready.select("arrival_id", "via")
     used = I.active_counts(memories)
-    edges = I.near_pairs(ready, memories).checkpoint()
-    first = _counted(I.store(ready, memories, edges).checkpoint(), used, tenants)
+    edges = stored(I.near_pairs(ready, memories))
+    first = _counted(stored(I.store(ready, memories, edges)), used, tenants)
     place = F.struct("arrival_order", "arrival_id")
     cuts = first.filter("count_before >= `limit`").groupBy("tenant_id").agg(F.min(place).alias("cut"))
-    refused = (ready.filter("via <> 'tool'").join(cuts, "tenant_id").filter(place >= F.col("cut"))
-               .select("arrival_id", "arrival_order", "tenant_id")).checkpoint()
+    refused = stored(ready.filter("via <> 'tool'").join(cuts, "tenant_id").filter(place >= F.col("cut"))
+                     .select("arrival_id", "arrival_order", "tenant_id"))
     gone = refused.select("arrival_id")
     again = ready.join(refused.select("tenant_id").distinct(), "tenant_id", "left_semi").join(gone, "arrival_id", "left_anti")
     left = (edges.join(again.select(F.col("arrival_id").alias("src")), "src", "left_semi")
@@ -84,14 +85,17 @@ def store_requests(requests: DataFrame, memories: DataFrame, tenants: DataFrame,
     none = F.lit(None).cast("string")
     refusals = refused.select("arrival_id", "arrival_order", "tenant_id", F.lit("refused").alias("action"),
                               none.alias("memory_id"), none.alias("replaced_id"), F.lit(None).cast("double").alias("similarity"))
-    every = kept.unionByName(I.store(again, memories, left).select(names)).unionByName(refusals)
-    done = _counted(every, used, tenants).join(route, "arrival_id")
+    if refused.isEmpty():
+        done = first.join(route, "arrival_id")
+    else:
+        every = kept.unionByName(I.store(again, memories, left).select(names)).unionByName(refusals)
+        done = _counted(every, used, tenants).join(route, "arrival_id")
     status = (F.when(F.col("action") == "refused", F.lit(402)).when(F.col("via") == "tool", F.lit(201))
               .when(F.col("action") == "duplicate", F.lit(200)).otherwise(F.lit(201)))
     done = done.select(*names, status.alias("status"), "count_before")
     early = checked.filter("status <> 200").select("arrival_id", "arrival_order", "tenant_id", "status")
     outcomes = done.unionByName(early.withColumn("action", F.lit("rejected")), allowMissingColumns=True)
-    return outcomes.checkpoint(), ready
+    return stored(outcomes), ready
 
 
 def next_snapshot(memories: DataFrame, accepted: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:

@@ -101,6 +101,9 @@ def q_stream_billing(spark, sf_dir):
     return spark.read.parquet(f"{root}/state/latest")
 
 
+ROWS_OF_A_FILE = 50_000
+
+
 @register("stream_store_gated", ORACLES["store_pipeline"])
 def q_stream_store_gated(spark, sf_dir):
     """ST1 with all gates: the store requests in five micro-batches, each committed as a
@@ -112,13 +115,14 @@ def q_stream_store_gated(spark, sf_dir):
 
     root = _scratch(spark, "st1g")
     requests = stored(FX.store_requests_fx(spark, sf_dir))
-    last = requests.agg(F.max("arrival_order")).first()[0]
+    last, n = requests.agg(F.max("arrival_order"), F.count("*")).first()
+    files = 1 + n // ROWS_OF_A_FILE  # of each batch
     for k in range(5):  # one after another: files are read in order of their time
         part = requests.filter((F.col("arrival_order") * 5 >= k * (last + 1)) & (F.col("arrival_order") * 5 < (k + 1) * (last + 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ST.append_files(part, f"{root}/in", files)
     log = SnapshotLog(spark, f"{root}/log")
     log.start(FX.memories_fx(spark, sf_dir))
-    stream = ST.stream_table(spark, f"{root}/in", requests.schema, file_glob="*.parquet", max_files=1)
+    stream = ST.stream_table(spark, f"{root}/in", requests.schema, file_glob="*.parquet", max_files=files)
     gated_store_stream(stream, log, FX.store_tenants_fx(spark, sf_dir), FX.team_members_fx(spark, sf_dir), FX.teams_fx(spark, sf_dir),
                        FX.as_of_col(), f"{root}/chk", TEAM_PATTERN).awaitTermination()
     return log.outcomes().select(

@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PARTS = 32  # of a tenant's rows, at most, that are written side by side
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -65,12 +68,14 @@ class SnapshotLog:
         folder = f"{self.root}/data/attempt={attempt}"
         if version < 0:
             self.spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/schema")
-        rows.repartition("tenant_id").sortWithinPartitions("user_id", "namespace").write.partitionBy("tenant_id").parquet(folder)
+        part = F.pmod(F.xxhash64("user_id", "namespace"), F.lit(PARTS))  # a busy tenant's rows are written by several tasks
+        rows.repartition("tenant_id", part).sortWithinPartitions("user_id", "namespace").write.partitionBy("tenant_id").parquet(folder)
         if outcomes is not None:
             outcomes.write.parquet(f"{self.root}/outcomes/{attempt}")
         if before_commit:
             before_commit()
-        new = rows.select("tenant_id").distinct().withColumn("attempt", F.lit(attempt))
+        written = self.spark.read.schema("tenant_id string").parquet(folder)  # the folders' names: no row is read or made again
+        new = written.distinct().withColumn("attempt", F.lit(attempt))
         if version >= 0:
             new = new.unionByName(self.manifest(version - 1).join(new.select("tenant_id"), "tenant_id", "left_anti"))
             self.spark.createDataFrame([(version, attempt)], "version int, attempt string").coalesce(1).write.mode("overwrite").parquet(
@@ -96,7 +101,7 @@ def gated_store_stream(requests: DataFrame, log: SnapshotLog, tenants: DataFrame
     and stored (``store_path``) against the version before it.  Only the batch's tenants are
     read, and only those that it changes are written."""
     from engram.operators import store_path as P
-    from engram.session import ensure_checkpoint_dir
+    from engram.session import ensure_checkpoint_dir, stored
     from engram.sources.commands import UUID_PATTERN
 
     ensure_checkpoint_dir(log.spark)
@@ -104,11 +109,11 @@ def gated_store_stream(requests: DataFrame, log: SnapshotLog, tenants: DataFrame
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if log.committed(batch_id):
             return
-        batch = batch.checkpoint()
-        memories = log.read(batch_id - 1, batch).checkpoint()
+        batch = stored(batch)
+        memories = log.read(batch_id - 1, batch)  # files that stay: each use reads the columns that it needs
         outcomes, accepted = P.store_requests(batch, memories, tenants, members, teams, uuid_pattern or UUID_PATTERN)
         changed = outcomes.filter("action in ('stored', 'replaced')").select("tenant_id").distinct()
         new = P.next_snapshot(memories, accepted, outcomes, as_of).join(changed, "tenant_id", "left_semi")
-        log.publish(batch_id, new.checkpoint(), outcomes, before_commit)
+        log.publish(batch_id, new, outcomes, before_commit)
 
     return requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

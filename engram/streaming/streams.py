@@ -41,6 +41,24 @@ def stream_table(spark: SparkSession, folder: str, schema, file_glob: str | None
     return r.parquet(folder)
 
 
+def append_files(df: DataFrame, folder: str, files: int) -> None:
+    """Append ``df`` to ``folder`` in exactly ``files`` files (empty ones make up the number), so that
+    a stream which takes that many at a time has it in one micro-batch."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def count() -> int:
+        found = system.listStatus(where) if system.exists(where) else []
+        return sum(f.getPath().getName().endswith(".parquet") for f in found)
+
+    due = count() + files
+    df.coalesce(files).write.mode("append").parquet(folder)
+    empty = spark.createDataFrame([], df.schema).coalesce(1)
+    while count() < due:
+        empty.write.mode("append").parquet(folder)
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 

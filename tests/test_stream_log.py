@@ -96,3 +96,36 @@ def test_sessions_close_and_late_rows_have_their_own_output(spark):
     out = ST.run_to_table(ST.session_stream(ST.stream_table(spark, f"{root}/split/in_time/*", stream.schema, max_files=1)), "sessions")
     got = sorted((r["user_id"], (r["w"]["start"] - t0).seconds // 60, r["calls"]) for r in out.collect())
     assert got == [("u", 0, 2), ("u", 200, 2), ("v", 5, 1), ("v", 210, 1)]
+
+
+def test_a_batch_has_as_many_files_as_are_read_at_once(spark):
+    import tempfile
+
+    from engram.streaming import streams as ST
+
+    root = tempfile.mkdtemp(prefix="engram-files-")
+    frame = spark.range(0, 4000, 1, 8).selectExpr("id", "id div 1000 k")
+    for k in range(4):  # part 2 has no rows at all; the others lie in two of eight partitions
+        ST.append_files(frame.filter(f"k = {k} and k <> 2"), f"{root}/in", 3)
+    batches = {}
+
+    def per_batch(batch, batch_id):
+        batches[batch_id] = sorted(r["k"] for r in batch.select("k").distinct().collect())
+
+    stream = ST.stream_table(spark, f"{root}/in", frame.schema, file_glob="*.parquet", max_files=3)
+    stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{root}/chk").trigger(availableNow=True).start().awaitTermination()
+    assert batches == {0: [0], 1: [1], 2: [], 3: [3]}
+
+
+def test_a_tenants_rows_are_written_by_several_tasks(spark, tmp_path):
+    from engram.streaming.snapshots import SnapshotLog
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for large tables
+    try:
+        log = SnapshotLog(spark, str(tmp_path))
+        log.start(spark.range(1000).selectExpr("concat('m', id) id", "'t' tenant_id", "concat('u', id % 20) user_id", "'n' namespace"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = log.read(-1)
+    assert len(rows.inputFiles()) > 2 and rows.count() == 1000
+    assert [tuple(r) for r in log.manifest(-1).select("tenant_id").collect()] == [("t",)]
