@@ -8,15 +8,19 @@ the triangle inequality on angles a probe can only match rows of cells within
 the cell's radius plus the bound's angle of it, so its other products are
 never formed.  Cells are packed into tiles, so a probe is copied once for each
 tile that it meets and not for each cell.  (Near-independent random vectors
-have no far cells; there every pair costs one product.)
+have no far cells; a few of them tell, and then no cells are made and every
+pair of a scope is looked at.)
 
 Products in single precision select candidates with a margin; the reported
 similarity is then summed in the order of the vector's entries, as the column
-form does.
+form does.  For pairs above a bound most candidates are dropped by a bound on
+the product from a few rotated entries and the length of the rest (Cauchy and
+Schwarz), so that full products are rare.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -30,6 +34,7 @@ ENTRIES = 1 << 21
 CELLS = 64
 AT_ONCE = 256  # probes of a product
 ROWS_AT_ONCE = 1 << 13  # and rows, where their pairs are looked for
+SHORTENED = 32  # entries from which a bound on products is looked at first
 PRODUCTS = 250_000_000  # of a task, about
 WORTH = 0.7  # cells are multiplied one by one when no more than this share of the products is left
 _SCOPE = ("s1", "s2", "s3", "s4")
@@ -52,6 +57,14 @@ def _directions(rows: DataFrame, cells: int) -> np.ndarray:
     return np.array([r["vec"] for r in few]) / np.array([r["norm"] for r in few])[:, None]
 
 
+def _apart(directions: np.ndarray, lo: float) -> bool:
+    """Whether cells around the directions can leave out products: judged by the directions, which are
+    rows themselves, so their angles to the nearest other stand for the radius of a cell."""
+    angles = np.arccos(np.clip(directions @ directions.T, -1, 1))
+    others = angles[~np.eye(len(angles), dtype=bool)].reshape(len(angles), -1)
+    return others.size == 0 or bool((others <= np.quantile(others.min(axis=1), 0.9) + math.acos(lo)).mean() <= WORTH)
+
+
 def _with_angles(df: DataFrame, directions: np.ndarray) -> DataFrame:
     """Adds ``angles`` to all directions (of vectors of their dimension, else empty)."""
     from pyspark.sql import types as T
@@ -63,13 +76,12 @@ def _with_angles(df: DataFrame, directions: np.ndarray) -> DataFrame:
         for batch in batches:
             vec, norm = batch.column("vec"), batch.column("norm").to_numpy()
             sizes = vec.value_lengths().to_numpy(zero_copy_only=False)
-            angles: list = [[] for _ in range(batch.num_rows)]
             fits = np.flatnonzero(sizes == dim)
-            if len(fits):
-                unit = _unit(vec.take(pa.array(fits)), norm[fits], dim)
-                for i, row in zip(fits, np.arccos(np.clip(unit @ directions.T, -1, 1)).tolist()):
-                    angles[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles, pa.list_(pa.float64()))], names=[*batch.schema.names, "angles"])
+            unit = _unit(vec.take(pa.array(fits)), norm[fits], dim)
+            found = np.arccos(np.clip(unit @ directions.T, -1, 1)).ravel()
+            ends = np.append(0, np.cumsum(np.where(sizes == dim, len(directions), 0))).astype(np.int32)
+            angles = pa.ListArray.from_arrays(pa.array(ends), pa.array(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, angles], names=[*batch.schema.names, "angles"])
 
     return df.mapInArrow(run, schema)
 
@@ -97,7 +109,7 @@ def _tiles(probes: DataFrame, rows: DataFrame, lo: float | None, tile: int | Non
     sizes = sizes.drop("dim")
     none = F.array().cast("array<double>")
     directions = None if lo is None or sizes.filter("big").isEmpty() else _directions(rows.filter("big"), cells)
-    if directions is None:
+    if directions is None or not _apart(directions, lo):
         probes, rows = probes.withColumn("angles", none), rows.withColumn("angles", none)
     else:
         def angled(df: DataFrame) -> DataFrame:
@@ -178,6 +190,27 @@ def _margin(dim: int) -> float:
     return 3e-7 * (dim + 8)  # more than a product in single precision is off
 
 
+@functools.lru_cache(maxsize=4)
+def _rotation(dim: int) -> np.ndarray:
+    """Orthonormal columns, fewer than ``dim``, the same for the same dimension."""
+    return np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, 3 * dim // 8)))[0].astype(np.float32)
+
+
+def _short(unit: np.ndarray) -> np.ndarray:
+    """Vectors whose products are no less than those of ``unit``: some rotated entries and the length of the rest."""
+    some = unit @ _rotation(unit.shape[1])
+    rest = np.einsum("ij,ij->i", unit, unit) - np.einsum("ij,ij->i", some, some)
+    return np.hstack([some, np.sqrt(np.maximum(rest, 0) + np.float32(1e-5))[:, None]])
+
+
+def _places(hits: np.ndarray) -> np.ndarray:
+    """Where few flags are set: eight are looked at together."""
+    flat = hits.ravel()
+    whole = len(flat) // 8 * 8
+    at = (8 * np.flatnonzero(flat[:whole].view(np.uint64))[:, None] + np.arange(8)).ravel()
+    return np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+
+
 def _exact(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Similarities of the pairs (x, y), summed in order of the entries."""
     step = max(1, ENTRIES // a.shape[1])
@@ -201,12 +234,19 @@ def _product(probes: pa.Table, rows: pa.Table, lo: float) -> pa.Table:
         rs = rs[np.lexsort((r_at[rs], ~timeless[rs]))]
         ordered = r_at[rs][int(timeless[rs].sum()):]
         (a, an, a32), (b, bn, b32) = _vectors(probes, ps, dim), _vectors(rows, rs, dim)
+        short = dim >= SHORTENED and len(ps) >= dim and len(rs) >= dim  # else the rotation costs more
+        a_few, b_few = (_short(a32), _short(b32)) if short else (a32, b32)
+        line = lo - (2 if short else 1) * _margin(dim)
         for k in range(0, len(ps), AT_ONCE):
             some = slice(k, k + AT_ONCE)
             until = len(rs) - len(ordered) + int(np.searchsorted(ordered, p_at[ps[some]].max()))  # later rows are no one's
             for j in range(0, until, ROWS_AT_ONCE):
-                met = a32[some] @ b32[j:min(j + ROWS_AT_ONCE, until)].T
-                x, y = np.divmod(np.flatnonzero((met >= lo - _margin(dim)).ravel()), met.shape[1])
+                here = slice(j, min(j + ROWS_AT_ONCE, until))
+                met = a_few[some] @ b_few[here].T
+                at = _places(met >= line)
+                if short and len(at) > met.size // 64:  # the bound drops too little here
+                    at = _places(a32[some] @ b32[here].T >= lo - _margin(dim))
+                x, y = np.divmod(at, met.shape[1])
                 x, y = x + k, y + j
                 earlier = timeless[rs[y]] | (r_at[rs[y]] < p_at[ps[x]])
                 x, y = x[earlier], y[earlier]

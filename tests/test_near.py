@@ -60,3 +60,38 @@ def test_fixture_pairs_with_small_tiles(spark, monkeypatch):
     whole = sorted(map(tuple, I.near_pairs(arrivals, memories).collect()))
     cut = sorted(map(tuple, near.pairs_above(*I._near_sides(arrivals, memories), 0.94, 8, 16).collect()))
     assert whole == cut and len(whole) > 100
+
+
+def test_bound_on_products_drops_no_pair(spark, monkeypatch):
+    """Pairs are the same with the bound from few entries as with whole products, also where the
+    bound drops nothing (all vectors alike) and for pairs at the very bound."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.standard_normal((200, 64))).astype(np.float32)
+    across = rng.standard_normal((200, 64))
+    across = unit(across - (across * a).sum(1, keepdims=True) * a)
+    b = (0.94 * a + np.sqrt(1 - 0.94**2) * across).astype(np.float32)
+    for x, y in ((a, b), (a, a[::-1]), (unit(1 + 0.01 * a), unit(1 + 0.01 * b))):
+        assert (near._short(x) @ near._short(y).T >= x @ y.T - near._margin(64)).all()
+    few, whole = near._short(a) @ near._short(a).T >= 0.94, a @ a.T >= 0.94
+    assert whole.sum() == 200 and few.sum() < 400
+    probes, rows, want = sides(spark, 400, 64, 12, 9)
+    calls = []
+    monkeypatch.setattr(near, "ship_package", calls.append)
+    got = {(r["src"], r["dst"]): r["sim"] for r in near.pairs_above(probes, rows, 0.94).collect()}
+    assert len(want) > 200 and got == want and calls
+
+
+def test_flags_are_found():
+    rng = np.random.default_rng(6)
+    for shape in ((1, 1), (3, 5), (17, 33), (0, 4), (64, 64)):
+        hits = rng.random(shape) < 0.1
+        assert near._places(hits).tolist() == np.flatnonzero(hits).tolist()
+
+
+def test_cells_only_where_some_are_far():
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert not near._apart(unit(rng.standard_normal((64, 64))), 0.94)
+    assert near._apart(unit(np.repeat(rng.standard_normal((8, 64)), 8, axis=0) + 0.1 * rng.standard_normal((64, 64))), 0.94)
+    assert near._apart(np.ones((1, 4)) / 2, 0.94)
