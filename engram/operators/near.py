@@ -324,6 +324,177 @@ def best(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> DataFra
     return _dealt(probes, rows, *shape, ["src", "at", "k"], ["dst", "born", "died"]).applyInArrow(_best, f"src {kind}, dst string, sim double")
 
 
+class _Part:
+    """Some probes of a scope, by time, and the best rows met so far.  Rows come in order of dst, a
+    chunk at a time, and none but the chunk's vectors are held."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.probes, self.rows = key, [], []
+        self.ids, self.marks, self.met = [], [], 0
+        self.best: list | None = None
+
+    def add(self, some: pa.RecordBatch) -> None:
+        n = int(np.searchsorted(some.column("side").to_numpy(), 1))
+        if n:
+            self.probes.append(some.slice(0, n))
+        if n < some.num_rows and self.probes:
+            self.rows.append(some.slice(n))
+            if sum(r.num_rows for r in self.rows) * self.key[-1] >= ENTRIES // 2:
+                self._look()
+
+    def _open(self) -> None:
+        table = pa.Table.from_batches(self.probes).combine_chunks()
+        self.probes = [table]
+        self.a, self.an, self.a32 = _vectors(table, np.arange(len(table)), self.key[-1])
+        self.at, self.k = table.column("begin").to_numpy(), table.column("k").to_numpy().astype(np.int64)
+        none = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.best = [none] * -(-len(table) // AT_ONCE)
+        self.floor = np.full(len(table), -np.inf)  # similarity that a row must reach
+
+    def _look(self) -> None:
+        if self.best is None:
+            self._open()
+        dim, at = self.key[-1], self.at
+        table = pa.Table.from_batches(self.rows).combine_chunks()
+        self.rows = []
+        self.ids.append(table.column("dst").chunk(0))
+        self.marks.append(table.column("mark").chunk(0))
+        b, bn, b32 = _vectors(table, np.arange(len(table)), dim)
+        born, died, seq = table.column("begin").to_numpy(), table.column("died").to_numpy(), self.met + np.arange(len(table))
+        self.met += len(table)
+        always = np.flatnonzero((born < at.min()) & (died > at.max()))
+        if len(always) > self.k.max():  # of equal vectors only the first ids can count
+            which = np.unique(np.ascontiguousarray(b[always]).view(f"V{8 * dim}").ravel(), return_inverse=True)[1].ravel()
+            order = np.argsort(which, kind="stable")
+            late = np.arange(len(order)) - np.searchsorted(which[order], which[order]) >= self.k.max()
+            if late.any():
+                keep = np.setdiff1d(np.arange(len(table)), always[order[late]])
+                b, bn, b32, born, died, seq = b[keep], bn[keep], b32[keep], born[keep], died[keep], seq[keep]
+        for c in range(len(self.best)):
+            some = slice(c * AT_ONCE, (c + 1) * AT_ONCE)
+            now, first, last = at[some, None], at[some].min(), at[some].max()
+            alive = np.flatnonzero((born < last) & (died > first))
+            if not len(alive):
+                continue
+            met = self.a32[some] @ b32[alive].T
+            brief = np.flatnonzero((born[alive] >= first) | (died[alive] <= last))
+            out = (born[alive[brief]] >= now) | (died[alive[brief]] <= now)
+            met[:, brief] = np.where(out, -np.inf, met[:, brief])
+            k = int(self.k[some].max())
+            line = self.floor[some] - _margin(dim)
+            if k < len(alive):
+                line = np.maximum(line, np.partition(met, len(alive) - k, axis=1)[:, len(alive) - k] - 2 * _margin(dim))
+            line = np.maximum(line, np.finfo(np.float32).min).astype(np.float32)
+            x, y = np.divmod(_places(met >= line[:, None]), len(alive))
+            if not len(x):
+                continue
+            y = alive[y]
+            sim = _exact(self.a[some], self.an[some], b, bn, x, y)
+            x, sim, y = (np.concatenate(pair) for pair in zip(self.best[c], (x, sim, seq[y])))
+            order = np.lexsort((y, -sim, x))
+            x, sim, y = x[order], sim[order], y[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            hit = place < self.k[some][x]
+            full = place == self.k[some][x] - 1
+            self.floor[some][x[full]] = sim[full]
+            self.best[c] = x[hit], sim[hit], y[hit]
+
+    def found(self):
+        if self.rows:
+            self._look()
+        if self.best is None:
+            return
+        ids, marks, table = pa.concat_arrays(self.ids), pa.concat_arrays(self.marks), self.probes[0]
+        for c in range(0, len(self.best), 8):
+            some = self.best[c:c + 8]
+            of = table.slice(c * AT_ONCE, len(some) * AT_ONCE)
+            x = np.concatenate([part[0] + k * AT_ONCE for k, part in enumerate(some)])
+            sim, y = np.concatenate([part[1] for part in some]), pa.array(np.concatenate([part[2] for part in some]))
+            ends = np.append(0, np.cumsum(np.bincount(x, minlength=len(of)))).astype(np.int32)
+            rows = pa.StructArray.from_arrays([ids.take(y), pa.array(sim), marks.take(y)], names=["dst", "sim", "mark"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), rows)
+            yield pa.RecordBatch.from_arrays([of.column("src").chunk(0), of.column("k").chunk(0), lists], names=["src", "k", "found"])
+
+
+def _parts_found(batches):
+    """Probes and rows of parts, one part after another and probes first -> the probes with their best rows."""
+    part = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "sub", "piece", "dim")], axis=1)
+        start = 0
+        for end in (*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)):
+            key = tuple(keys[start].tolist())
+            if part is None or part.key != key:
+                if part is not None:
+                    yield from part.found()
+                part = _Part(key)
+            part.add(batch.slice(start, end - start))
+            start = end
+    if part is not None:
+        yield from part.found()
+
+
+def nearest(probes: DataFrame, rows: DataFrame, tile: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """probes(src, at, k, s1-s4, vec, norm), rows(dst, born, died, s1-s4, vec, norm, mark?) -> (src, k,
+    found): the ``k`` rows of the greatest cosine in the probe's scope as an array of (dst, sim,
+    mark), the nearest first (ties: least dst).  Rows count that have born < at < died (nulls:
+    always).  Norms must be positive.
+
+    A scope's probes are dealt into parts by slices of time, and a row goes to the slices it lives
+    in.  A part meets its rows in one task as they stream by, so no pair is ever shuffled.  Where a
+    part has very many rows they are dealt to several tasks: the second result (null: there
+    is none) has such probes, once for each of them."""
+    ship_package(probes.sparkSession)
+    scope = [*_SCOPE, "dim"]
+    least, greatest = -(1 << 63), (1 << 63) - 1
+    probes = probes.filter("k > 0").withColumn("dim", F.size("vec")).withColumn("at", F.coalesce("at", F.lit(0)).cast("bigint"))
+    rows = (rows.withColumn("dim", F.size("vec")).withColumn("born", F.coalesce("born", F.lit(least).cast("bigint")))
+            .withColumn("died", F.coalesce("died", F.lit(greatest).cast("bigint"))))
+    if "mark" not in rows.columns:
+        rows = rows.withColumn("mark", F.lit(None).cast("double"))
+    asked = probes.groupBy(*scope).agg(F.count("*").alias("m"), F.max("k").alias("most"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    held = F.lit(tile) if tile else F.greatest(F.lit(1024), F.floor(F.lit(ENTRIES) / F.greatest("dim", "most")))
+    asked = asked.withColumn("t", held.cast("bigint"))
+    sizes = stored(asked.join(rows.select(*scope).distinct(), scope, "left_semi").select(
+        *scope, "t", "lo", "hi", F.when(F.col("hi") > F.col("lo"), F.ceil(F.col("m") / F.col("t"))).otherwise(F.lit(1)).alias("slices")))
+
+    def slice_of(time: Column) -> Column:
+        lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+        at = F.floor((time.cast("double") - lo) / ((hi - lo + 1) / F.col("slices")))
+        return F.least(at, F.col("slices") - 1).cast("int")
+
+    probes = probes.join(sizes, scope).withColumn("slice", slice_of(F.col("at")))
+    lived = F.sequence(slice_of(F.greatest("born", "lo")), slice_of(F.least("died", "hi")))
+    rows = rows.join(sizes, scope).filter("born < hi and died > lo").withColumn("slice", F.explode(lived))
+    key = [*scope, "slice"]
+    piece = F.lit(tile) if tile else F.greatest(F.lit(1024), F.floor(F.lit(4 * ENTRIES) / F.col("dim")))
+    made = probes.groupBy(*key).agg(F.count("*").alias("m"), F.first("t").alias("t")).join(rows.groupBy(*key).agg(F.count("*").alias("n")), key)
+    made = made.select(*key, "m", "n", F.ceil(F.col("m") / F.col("t")).cast("int").alias("subs"), F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    parts = stored(made.withColumn("part", F.monotonically_increasing_id()))
+    copies = (F.col("m") * F.col("pieces") + F.col("n") * F.col("subs")).cast("double") * F.greatest("dim", F.lit(16)) / F.lit(ENTRIES)
+
+    def run(some: DataFrame) -> DataFrame:
+        work = some.agg(F.sum(copies).alias("full"), F.sum(F.col("m").cast("double") * F.col("n")).alias("products")).first()
+        tasks = 1 + math.ceil((work["full"] or 0) / 2) + math.ceil((work["products"] or 0) / PRODUCTS)
+        some = some.drop("m", "n")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+        place = ["part", "sub", "piece", "dim"]
+        kind = dict(probes.dtypes)["src"]
+        p = probes.join(some, key).withColumn("sub", one("src", "subs")).withColumn("piece", every("pieces")).select(
+            *place, F.lit(0).alias("side"), "src", F.lit(None).cast("string").alias("dst"), F.col("at").alias("begin"),
+            F.lit(None).cast("bigint").alias("died"), F.col("k").cast("int").alias("k"), F.lit(None).cast("double").alias("mark"), "vec", "norm")
+        r = rows.join(some, key).withColumn("piece", one("dst", "pieces")).withColumn("sub", every("subs")).select(
+            *place, F.lit(1).alias("side"), F.lit(None).cast(kind).alias("src"), "dst", F.col("born").alias("begin"), "died",
+            F.lit(None).cast("int").alias("k"), "mark", "vec", "norm")
+        order = ["part", "sub", "piece", "side", F.when(F.col("side") == 0, F.col("begin")), "dst"]
+        return p.unionByName(r).repartition(tasks, "part", "sub", "piece").sortWithinPartitions(*order).mapInArrow(
+            _parts_found, f"src {kind}, k int, found array<struct<dst:string,sim:double,mark:double>>")
+
+    cut = parts.filter("pieces > 1")
+    return run(parts.filter("pieces = 1")), None if cut.isEmpty() else run(cut)
+
+
 def _newest(probes: pa.Table, rows: pa.Table) -> pa.Table:
     """Of one bucket: each probe's ``k`` newest rows of each tile (ties: least dst) with born < at < died.
     Rows are looked through from the newest on, and only as long as a probe lacks some."""

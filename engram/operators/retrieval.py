@@ -17,6 +17,8 @@ the OR predicate becomes one equi-join and no key is as coarse as
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,10 +204,16 @@ def _scope_side(df: DataFrame, prefix: str, kind: Column, key: Column) -> list[C
     return [F.col(f"{prefix}tenant_id").alias("s1"), F.col(f"{prefix}namespace").alias("s2"), kind.alias("s3"), key.alias("s4")]
 
 
-def _living_sides(queries: DataFrame, memories: DataFrame, apply_source: bool, vectors: bool) -> tuple[DataFrame, DataFrame]:
+def _with_norm(side: DataFrame) -> DataFrame:
+    side = side.withColumn("norm", norm("vec"))
+    return side.withColumn("_plain", near.plain(F.col("vec"), F.col("norm")))
+
+
+def _living_sides(queries: DataFrame, memories: DataFrame, apply_source: bool, vectors: bool, as_of=None) -> tuple[DataFrame, DataFrame]:
     """Accepted queries and active ``versioned`` memories keyed by read scope for blocked tiles:
     'u' a user's rows, 'o' those without a team, 't' a team's shared ones; a query that filters
-    the source asks for its kind of scope and source."""
+    the source asks for its kind of scope and source.  With vectors both are stored, also with norm and
+    ``_plain``, and a row's ``mark`` is its decay."""
     q = queries.filter((F.col("status") == 200) & F.col("lim").isNotNull())
     kinds = F.array_compact(F.array(
         F.struct(F.when(F.col("include"), F.lit("o")).otherwise(F.lit("u")).alias("k"), F.col("user_id").alias("v")),
@@ -216,6 +224,8 @@ def _living_sides(queries: DataFrame, memories: DataFrame, apply_source: bool, v
     q_side = [F.col("query_id").alias("src"), F.col("at").cast("bigint").alias("at"), (2 * F.col("lim")).cast("int").alias("k"),
               *_scope_side(q, "", q_kind, F.col("_sk.v"))]
     asked = q.select(*q_side, *([F.col("vector").cast("array<double>").alias("vec")] if vectors else []))
+    if vectors:
+        asked = stored(_with_norm(asked))
     m = active(memories)
     kinds = F.array_compact(F.array(
         F.struct(F.lit("u").alias("k"), F.col("user_id").alias("v")),
@@ -224,13 +234,12 @@ def _living_sides(queries: DataFrame, memories: DataFrame, apply_source: bool, v
     m = m.withColumn("_sk", F.explode(kinds))
     forms = F.array(F.col("_sk.k"), F.concat(F.col("_sk.k"), F.lit("="), F.col("source"))) if apply_source else F.array(F.col("_sk.k"))
     m = m.withColumn("_form", F.explode(F.array_compact(forms)))
-    wide = [F.col("embedding").cast("array<double>").alias("vec")] if vectors else ["created_at"]
+    wide = ([F.col("embedding").cast("array<double>").alias("vec"), S.decay("created_at", "importance", as_of).alias("mark")] if vectors
+            else ["created_at"])
     rows = m.select(F.col("id").alias("dst"), "born", "died", *_scope_side(m, "", F.col("_form"), F.col("_sk.v")), *wide)
     # no row is kept for a kind of scope that no query asks for
-    rows = rows.join(asked.select("s3").distinct(), "s3", "left_semi")
-    if vectors:
-        asked, rows = (d.withColumn("norm", norm("vec")) for d in (asked, rows))
-    return asked, rows
+    rows = rows.join(stored(asked.select("s3").distinct()), "s3", "left_semi")
+    return asked, stored(_with_norm(rows)) if vectors else rows
 
 
 def _ranked_living(queries: DataFrame, memories: DataFrame, found: DataFrame) -> DataFrame:
@@ -239,19 +248,51 @@ def _ranked_living(queries: DataFrame, memories: DataFrame, found: DataFrame) ->
     return found.join(m, "id").join(queries.select("query_id", "lim"), "query_id")
 
 
-def _nearest_living(queries: DataFrame, memories: DataFrame, apply_source: bool) -> DataFrame:
-    """The candidates of ``versioned`` memories by similarity, from blocked products; queries and
-    rows of odd vectors (without a direction, or of extreme norm) meet pair by pair."""
-    asked, rows = (stored(d.withColumn("_plain", near.plain(F.col("vec"), F.col("norm"))))
-                   for d in _living_sides(queries, memories, apply_source, True))
-    found = near.best(asked.filter("_plain").drop("_plain"), rows.filter("_plain").drop("_plain")).select(
-        F.col("src").alias("query_id"), F.col("dst").alias("id"), "sim")
+def _nearest_living(queries: DataFrame, memories: DataFrame, as_of, apply_source: bool) -> tuple[DataFrame, DataFrame]:
+    """(src, k, found): the candidates of ``versioned`` memories by similarity, an array of (dst, sim,
+    mark) for each query, ranked like W2; mark is the row's decay.  They come from blocked products;
+    queries and rows of odd vectors (without a direction, or of extreme norm) meet pair by pair.
+    And (id) of the memories in a scope that some query asks for."""
+    asked, rows = _living_sides(queries, memories, apply_source, True, as_of)
+    plain_q, plain_r = asked.filter("_plain"), rows.filter("_plain")
+    odd_q, odd_r = asked.filter("not _plain"), rows.filter("not _plain")
     scope = ["s1", "s2", "s3", "s4"]
-    for q, r in ((asked.filter("not _plain"), rows), (asked.filter("_plain"), rows.filter("not _plain"))):
-        q = q.select("src", "at", *scope, F.col("vec").alias("_v"), F.col("norm").alias("_n"))
-        pairs = q.join(r, scope).filter("(born is null or born < at) and (died is null or died > at)")
-        found = found.unionByName(pairs.select(F.col("src").alias("query_id"), F.col("dst").alias("id"), cosine("_v", "vec", "_n", "norm").alias("sim")))
-    return found
+    pairs = []  # of queries whose candidates are not all found together
+    if not odd_r.isEmpty():
+        there = stored(odd_r.select(*scope).distinct())
+        pairs += [d for d in near.nearest(plain_q.join(there, scope, "left_semi"), plain_r) if d is not None]
+        plain_q = plain_q.join(there, scope, "left_anti")
+    whole, cut = near.nearest(plain_q, plain_r)
+    pairs = [d.select("src", "k", F.inline("found")) for d in (*pairs, *([] if cut is None else [cut]))]
+    for q, r in ((odd_q, rows), (asked.filter("_plain"), odd_r)):
+        if not q.isEmpty() and not r.isEmpty():
+            met = q.select("src", "at", "k", *scope, F.col("vec").alias("_v"), F.col("norm").alias("_n")).join(r, scope)
+            met = met.filter("(born is null or born < at) and (died is null or died > at)")
+            pairs.append(met.select("src", "k", "dst", cosine("_v", "vec", "_n", "norm").alias("sim"), "mark"))
+    if not pairs:
+        return whole, rows.select(F.col("dst").alias("id"))
+    every = functools.reduce(DataFrame.unionByName, pairs)
+    w = Window.partitionBy("src").orderBy(F.col("sim").desc_nulls_last(), F.col("dst").asc())
+    most = 2 * S.LIMITS["search"][1]
+    firsts = every.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.lit(most)).filter("place <= k")
+    # at most 2L rows a query: a bounded collect
+    joined = firsts.groupBy("src").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("place", "dst", "sim", "mark"))).alias("found"))
+    joined = joined.withColumn("found", F.transform("found", lambda x: F.struct(x["dst"], x["sim"], x["mark"])))
+    return whole.unionByName(joined), rows.select(F.col("dst").alias("id"))
+
+
+def _search_living(queries: DataFrame, memories: DataFrame, as_of, apply_source: bool) -> DataFrame:
+    """R1 over ``versioned`` memories: a query's candidates are ranked where they were found, so
+    that no more than its results are shuffled, and those without what the memory itself can tell."""
+    found, asked_for = _nearest_living(queries, memories, as_of, apply_source)
+    by_score = F.transform("found", lambda x, i: F.struct(
+        S.round4(S.blend(x["sim"], x["mark"])).alias("score"), (-i).alias("place"), x["dst"].alias("id"), x["sim"].alias("sim")))
+    # Descending, so nulls last and ties in candidate order
+    kept = F.slice(F.sort_array(by_score, asc=False), F.lit(1), F.floor(F.col("k") / 2).cast("int"))
+    ranked = found.select(F.col("src").alias("query_id"), F.posexplode(kept).alias("pos", "hit"))
+    ranked = ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("id"), F.col("hit.sim").alias("sim"))
+    told = active(memories).select("id", "fact", "importance", "created_at", "source", "namespace").join(asked_for, "id", "left_semi")
+    return ranked.join(told, "id")
 
 
 def _newest_living(queries: DataFrame, memories: DataFrame) -> DataFrame:
@@ -269,17 +310,18 @@ def search(queries: DataFrame, memories: DataFrame, as_of, members: DataFrame |
     """queries(query_id, tenant_id, user_id, namespace, vector, q_limit,
     source, team_id, include_team) -> ranked MemoryResult rows per query.
     ``keep_raw`` adds the unrounded similarity (what M7 stores)."""
+    dec = S.decay("created_at", "importance", as_of)
+    if versioned:
+        q = queries if gated else gate_queries(queries, members, teams, "search")
+        ranked = _search_living(q, memories, as_of, apply_source).withColumn("_decay", dec)
+        ranked = ranked.select("*", S.round4("_decay").alias("decay_score"), S.round4("sim").alias("similarity"),
+                               S.round4(S.blend("sim", "_decay")).alias("score"))
+        return _project(ranked, [F.col("sim").alias("raw_similarity")] if keep_raw else None)
     q = queries if gated else gate_queries(queries, members, teams, "search").persist()
     if max_limit is None:
         max_limit = _max_limit(q, 50)
-    if versioned:
-        pairs = _nearest_living(q, memories, apply_source).join(q.select("query_id", "lim"), "query_id")
-        cands = topk_candidates(pairs, max_limit)
-        cands = cands.join(active(memories).select("id", "importance", "created_at", "source", "namespace"), "id")
-    else:
-        pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source, broadcast_rows=broadcast_rows)
-        cands = topk_candidates(pairs, max_limit)
-    dec = S.decay("created_at", "importance", as_of)
+    pairs = scoped_pairs(q, memories, with_vector=True, apply_source=apply_source, broadcast_rows=broadcast_rows)
+    cands = topk_candidates(pairs, max_limit)
     cands = cands.withColumn("_decay", dec).withColumn("decay_score", S.round4("_decay"))
     ranked = _rerank(cands, S.round4("sim"), S.round4(S.blend("sim", "_decay")), max_limit=max_limit)
     return _project(_with_facts(ranked, memories), [F.col("sim").alias("raw_similarity")] if keep_raw else None)

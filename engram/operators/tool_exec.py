@@ -21,7 +21,7 @@ from engram.functions import scalars as S
 from engram.operators import ingest as I
 from engram.operators import mutate as M
 from engram.operators import retrieval as R
-from engram.session import ensure_checkpoint_dir, stored
+from engram.session import ensure_checkpoint_dir, passing, stored
 
 BEFORE_ALL = -1  # born of rows that the batch finds
 
@@ -66,12 +66,13 @@ class ToolRun:
             F.coalesce("importance", F.lit(0.5)).alias("importance"), F.coalesce("source", F.lit("openai")).alias("source"),
             F.lit(None).cast("string").alias("visibility")))
         self.deletes = self.kind("delete_memory").select("call_id", "tenant_id", "memory_id")
-        self._fold()
+        with passing(calls.sparkSession) as keep:  # what the fold stores on its way is as large as the stores
+            self._fold(keep)
 
     def kind(self, name: str, status: int = 200) -> DataFrame:
         return self.calls.filter((F.col("kind") == name) & (F.col("status") == status))
 
-    def _fold(self) -> None:
+    def _fold(self, keep) -> None:
         births = _target_births(self.stores, self.memories)
         hits = self.deletes.join(births, "memory_id").filter("tenant_id = owner and born < call_id")
         first = stored(hits.groupBy("memory_id").agg(F.min("call_id").alias("call_id")))
@@ -82,11 +83,11 @@ class ToolRun:
             F.lit("delete").alias("dst_kind"), F.lit(None).cast("bigint").alias("dst_order"), F.lit(None).cast("double").alias("sim"))
         folded = stored(I.fold_edges(near.unionByName(contested)))
         missed = folded.filter("action = 'missing'").select(F.expr("cast(substring(arrival_id, 8) as bigint)").alias("call_id"))
-        self.deleted = stored(first.join(missed, "call_id", "left_anti"))  # memory_id, call_id
+        self.deleted = keep(first.join(missed, "call_id", "left_anti"))  # memory_id, call_id
         done = self.stores.select("arrival_id", "arrival_order", "tenant_id").join(
             folded.filter("action in ('duplicate', 'replaced')"), "arrival_id", "left")
         action = F.coalesce("action", F.lit("stored"))
-        self.outcomes = stored(done.select(
+        self.outcomes = keep(done.select(
             "arrival_id", "arrival_order", "tenant_id", action.alias("action"),
             F.when(action == "duplicate", F.col("target_id")).otherwise(F.col("arrival_id")).alias("memory_id"),
             F.when(action == "replaced", F.col("target_id")).alias("replaced_id"),
@@ -121,16 +122,16 @@ class ToolRun:
         return self.deletes.join(hit, "call_id", "left").select("call_id", "memory_id", F.coalesce("_hit", F.lit(404)).alias("status"))
 
     def _queries(self, kind: str) -> DataFrame:
-        return stored(self.whole(kind).select(
+        return self.whole(kind).select(
             F.col("call_id").alias("query_id"), F.col("call_id").alias("at"), "tenant_id", "user_id", "namespace",
             F.when(F.col("q").isNotNull() & (F.col("q") != ""), F.col("vector")).alias("vector"), F.col("limit").alias("q_limit"), "source",
-            F.lit(None).cast("string").alias("team_id"), F.lit(False).alias("include_team")))
+            F.lit(None).cast("string").alias("team_id"), F.lit(False).alias("include_team"))
 
     def search_results(self) -> DataFrame:
         return R.search(self._queries("search_memories"), self.lives(), self.as_of, versioned=True)
 
     def context_results(self) -> DataFrame:
-        return R.context(self._queries("get_context"), self.lives(), self.as_of, versioned=True)
+        return R.context(stored(self._queries("get_context")), self.lives(), self.as_of, versioned=True)
 
     def usage_results(self, tenants: DataFrame) -> DataFrame:
         """used = rows before the batch + births - deaths before the call."""

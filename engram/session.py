@@ -8,9 +8,12 @@ folder, which is what tests and the bench use.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,16 +63,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+_OPEN = threading.local()  # paths of the open ``passing`` blocks
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage through a Parquet table of its own below the checkpoint
     folder.  Unlike a checkpoint, what comes back has a known size (so small
     tables are broadcast without a shuffle) and no leftovers of the old plan."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    for block in getattr(_OPEN, "blocks", []):
+        block.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within the block are deleted at its end, but for those that the function it
+    gives has stored: nothing that is used later may be left to read the others."""
+    block, kept = [], set()
+    _OPEN.blocks = [*getattr(_OPEN, "blocks", []), block]
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = len(block)
+        out = stored(df)
+        kept.add(block[at])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _OPEN.blocks = _OPEN.blocks[:-1]
+        for path in block:
+            if path not in kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _SHIPPED: set[str] = set()
 
 
